@@ -10,8 +10,9 @@ Method
 3. Class signatures are banded.  In every bucket each class is paired with the bucket's smallest class (a star, linear
    in the bucket), and pairs are verified on the full sets.
 4. Verified links are grouped: union-find inside tasks, then large-star / small-star rounds across them.
-5. Buckets whose classes are still in several groups are finished exactly: their classes are compared in blocks by
-   signature agreement, those of different groups that may reach the threshold are verified on full sets.
+5. Buckets whose classes are still in several groups are finished exactly: their classes are compared in blocks, by
+   signature agreement and then by bitmaps that bound the overlap from above, and the pairs of different groups that can
+   still reach the threshold are verified on full sets.
 
 No bucket, pair list or component is collected into one task or the driver, and none is capped.
 
@@ -139,13 +140,19 @@ def sets_of(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for lo, hi, texts in tc.chunks(batch.column(1)):
                 sets, bounds = shingle_sets(texts, shingle)
+                maps = [bitmap(sets[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in maps])])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(_signed(sets)))],
-                    names=["doc_id", "shingles"],
+                    [
+                        batch.column(0).slice(lo, hi - lo),
+                        pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(_signed(sets))),
+                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(_signed(np.concatenate(maps)))),
+                    ],
+                    names=["doc_id", "shingles", "bits"],
                 )
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, shingles array<long>")
+    return chosen.mapInArrow(run, "doc_id long, shingles array<long>, bits array<long>")
 
 
 def local_forest(edges: DataFrame) -> DataFrame:
@@ -214,39 +221,94 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(enough & (both * 100 >= (of - both) * percent)).select("a", "b").distinct()
 
 
-def _close(rows: DataFrame) -> DataFrame:
-    """Pairs of different components within a block pair whose signatures agree enough.
+def bitmap_words(n: int) -> int:
+    """Length, in 64-bit words, of the bitmap of a set of ``n``: about 16 bits an element, a power of two."""
+    return 1 << max(0, (n // 4).bit_length())
+
+
+def bitmap(elements: np.ndarray) -> np.ndarray:
+    out = np.zeros(bitmap_words(len(elements)), dtype=np.uint64)
+    bit = elements & np.uint64(64 * len(out) - 1)
+    np.bitwise_or.at(out, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return bits
+
+
+def _possible(x: int, others: np.ndarray, size: np.ndarray, bits: dict[int, np.ndarray], row: np.ndarray, width: np.ndarray, percent: int) -> np.ndarray:
+    """Which of ``others`` can reach the threshold with x.
 
-    Input rows: key, i, j, own (the row's block), rep, comp, bands; rows of one (key, i, j) are together and sorted.
+    An element whose bit the other set lacks is not shared, so bitmaps bound the intersection from above.
+    """
+    keep = np.zeros(len(others), dtype=bool)
+    for w in np.unique(width[others]).tolist():
+        here = np.flatnonzero(width[others] == w)
+        words = min(w, int(width[x]))
+        theirs = _folded(bits[w][row[others[here]]], words)
+        mine = _folded(bits[int(width[x])][row[x : x + 1]], words)
+        lost = np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64)
+        extra = np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64)
+        shared = np.minimum(size[x] - lost, size[others[here]] - extra)
+        keep[here] = 100 * shared >= percent * (size[x] + size[others[here]] - shared)
+    return keep
+
+
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks)
+
+
+def _close(rows: DataFrame, percent: int, pairs: bool) -> DataFrame:
+    """Compares the classes of each block pair by signature, those of one component left out.
+
+    Input rows: key, i, j, own (the row's block), pos (the band), rep, comp, bands and, with ``pairs``, size and bits;
+    rows of one (key, i, j) are together.  Returns the classes that have a close one, or the close pairs whose bitmaps
+    leave the threshold possible; a pair counts in the first band that it shares, so it is found once.
     """
     least = int(np.ceil(AGREEMENT * SLOTS))
 
-    def pairs(t: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def found(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         key = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
         cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]])
-        sig = pa.concat_arrays(t.column("bands").combine_chunks().chunks if isinstance(t.column("bands").combine_chunks(), pa.ChunkedArray) else [t.column("bands").combine_chunks()]).flatten().to_numpy().view(np.uint16).reshape(-1, SLOTS)
-        rep, comp, own = (t.column(c).to_numpy() for c in ("rep", "comp", "own"))
-        left, right = [], []
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        bands = _flat(t.column("bands")).flatten().to_numpy().reshape(-1, SLOTS // ROWS)
+        sig = np.ascontiguousarray(bands).view(np.uint16).reshape(-1, SLOTS)
+        rep, comp, own, pos = (t.column(c).to_numpy() for c in ("rep", "comp", "own", "pos"))
+        if pairs:
+            size, raw = t.column("size").to_numpy(), _flat(t.column("bits"))
+            flat, ends = raw.flatten().to_numpy().view(np.uint64), raw.offsets.to_numpy() - raw.offsets[0].as_py()
+            width, row, bits = np.diff(ends), np.zeros(len(rep), np.int64), {}
+            for w in np.unique(width).tolist():
+                at = np.flatnonzero(width == w)
+                row[at] = np.arange(len(at))
+                bits[w] = flat[ends[at][:, None] + np.arange(w)[None, :]]
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             crossing = key[lo, 1] != key[lo, 2]
             for x in range(lo, hi):
                 if crossing and own[x] != key[lo, 1]:
                     continue
                 other = np.arange(lo if crossing else x + 1, hi)
                 other = other[(comp[other] != comp[x]) & ((own[other] != own[x]) if crossing else True)]
-                if len(other):
-                    other = other[(sig[other] == sig[x]).sum(axis=1) >= least]
-                    left.append(np.full(len(other), rep[x]))
-                    right.append(rep[other])
-        return left, right
+                other = other[(sig[other] == sig[x]).sum(axis=1) >= least]
+                if not len(other):
+                    continue
+                if pairs:
+                    other = other[~(bands[other, : pos[x]] == bands[x, : pos[x]]).any(axis=1)]
+                    other = other[_possible(x, other, size, bits, row, width, percent)]
+                yield np.full(len(other), rep[x]), rep[other]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def out(t: pa.Table) -> pa.RecordBatch:
-            left, right = pairs(t)
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            got = list(found(t))
+            a, b = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (0, 1))
+            if pairs:
+                return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([a, b])))], names=["rep"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -259,7 +321,16 @@ def _close(rows: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield out(held)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long" if pairs else "rep long")
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Deals the rows of each key to all pairs of its blocks of about ``BLOCK`` rows."""
+    spark = rows.sparkSession
+    blocks = F.ceil(F.col("bucket_size") / BLOCK).cast("long")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = rows.withColumn("i", F.least("own", "with")).withColumn("j", F.greatest("own", "with")).drop("with", "bucket_size")
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,8 +344,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     named = stored(found.select("doc_id", "n_shingles", "fp1", "fp2").join(classes, ["fp1", "fp2"], "left").select("doc_id", "n_shingles", "rep"), "classes")
     reps = named.where("doc_id = rep").select("doc_id").distinct()
     banded = found.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "bands", F.posexplode("bands").alias("pos", "value"))
-    banded = banded.select("rep", F.xxhash64("pos", "value").alias("key"))
-    counted = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("rep").alias("size")).where("size > 1")
+    banded = banded.select("rep", "pos", F.xxhash64("pos", "value").alias("key"))
+    counted = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("rep").alias("bucket_size")).where("bucket_size > 1")
     buckets = stored(banded.join(counted, "key"), "buckets")
 
     stars = buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
@@ -284,18 +355,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     links = stored(verified(stars, sets, percent), "links")
     grouped = components(links)
 
-    rest = buckets.where("size > 2").join(grouped.withColumnRenamed("member", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+    rest = buckets.where("bucket_size > 2").join(grouped.withColumnRenamed("member", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     torn = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = rest.join(torn, "key", "left_semi").select("key", "rep", "comp", "size")
-    rest = stored(rest, "unsettled")
+    rest = stored(rest.join(torn, "key", "left_semi").select("key", "pos", "rep", "comp", "bucket_size"), "unsettled")
     if rest.limit(1).count():
-        blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-        rest = rest.withColumn("own", F.pmod(F.xxhash64("rep"), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        rest = rest.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "rep", "comp")
-        rest = rest.join(found.select(F.col("doc_id").alias("rep"), "bands"), "rep")
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        rest = rest.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-        more = stored(_close(rest).distinct(), "close")
+        signatures = found.select(F.col("doc_id").alias("rep"), "bands")
+        near = stored(_close(_in_blocks(rest.join(signatures, "rep")), percent, pairs=False).distinct(), "near")
+        sketches = sets.select(F.col("doc_id").alias("rep"), F.size("shingles").cast("long").alias("size"), "bits")
+        rest = rest.join(near, "rep", "left_semi").join(signatures, "rep").join(sketches, "rep")
+        more = stored(_close(_in_blocks(rest), percent, pairs=True).distinct(), "close")
         more = stored(verified(more, sets, percent), "links")
         if more.limit(1).count():
             grouped = components(links.unionByName(more))
