@@ -11,7 +11,7 @@ of log-probabilities under the rule that below boilerplate everything is boilerp
 So an ancestor and a descendant never contradict each other, and an advert inside an article can still be left out.
 The text of main nodes is returned, one line per block.
 
-Defined cases: a null or empty html gives an empty text; markup that never closes ends with the page; unknown character
+Defined cases: a null or empty html gives an empty text; a page without any block element is its text; markup that never closes ends with the page; unknown character
 references stay as they are; repeated rows are extracted separately; an empty table gives an empty result; extra columns
 are ignored.
 """
@@ -172,7 +172,7 @@ def features(nodes: list[Node], odds: dict[str, float]) -> np.ndarray:
         tag = odds.get(x.tag, 0.0)
         up = x.parent
         marked[i] = own if own else (marked[up] if up >= 0 else 0.0)
-        tagged[i] = tag if x.tag in odds and x.tag[0] != "#" and abs(tag) > 1 else (tagged[up] if up >= 0 else 0.0)
+        tagged[i] = tag if x.tag in odds and x.tag[0] != "#" and abs(tag) > 2 else (tagged[up] if up >= 0 else 0.0)
         brothers = len(nodes[up].children) if up >= 0 else 1
         out[i] = (
             own, tag, marked[up] if up >= 0 else 0.0, tagged[up] if up >= 0 else 0.0, x.depth, x.place / brothers, min(brothers, 50), min(len(x.children), 50),
@@ -298,8 +298,9 @@ def labelled_page(rnd: random.Random) -> tuple[str, set[str]]:
     body = blocks(rnd.choice([1, 2, 4, 8, 15]), True)
     if rnd.random() < 0.8:
         body.insert(0, f"<h1>{words(rnd.randint(2, 9), True)}</h1>")
-    for _ in range(rnd.choice([0, 0, 1, 2])):
-        body.insert(rnd.randint(0, len(body)), shell(rnd.choice(INNER), rnd.choice([words(rnd.randint(2, 25), False), "".join(blocks(2, False))])))
+    for _ in range(rnd.choice([0, 0, 1, 2, 3])):
+        kind = rnd.choice(INNER if rnd.random() < 0.5 else OTHER_SHELLS)
+        body.insert(rnd.randint(0, len(body)), shell(kind, rnd.choice([words(rnd.randint(2, 25), False), "".join(blocks(2, False))])))
     text = "".join(body)
     text = shell(rnd.choice(MAIN_SHELLS), text) if rnd.random() < 0.93 else text
     if rnd.random() < 0.2:
@@ -313,7 +314,7 @@ def labelled_page(rnd: random.Random) -> tuple[str, set[str]]:
 
 
 @cache
-def trained(pages: int = 500, seed: int = 11) -> tuple[dict[str, float], Trees]:
+def trained(pages: int = 800, seed: int = 11) -> tuple[dict[str, float], Trees]:
     """Token log-odds and trees, fitted on generated pages."""
     rnd = random.Random(seed)
     parsed, truths = [], []
@@ -343,11 +344,15 @@ def trained(pages: int = 500, seed: int = 11) -> tuple[dict[str, float], Trees]:
 
 
 STRUCTURAL = {"#page", "html", "body"}
+#: Log-probability lost where boilerplate begins inside main text, at an element whose own tag or attributes speak for
+#: it, and at any other: single odd-looking paragraphs stay.
+MARKED_SWITCH, PLAIN_SWITCH = 0.0, 6.0
 
 
-def decode(nodes: list[Node], log_odds: np.ndarray) -> list[bool]:
-    """Which nodes are main text."""
+def decode(nodes: list[Node], x: np.ndarray, log_odds: np.ndarray) -> list[bool]:
+    """Which nodes are main text; x are their features."""
     n = len(nodes)
+    switch = np.where((x[:, 0] < -1.0) | (x[:, 1] < -2.0), MARKED_SWITCH, PLAIN_SWITCH)
     log_main, log_other = -np.logaddexp(0, -log_odds), -np.logaddexp(0, log_odds)
     best = np.zeros((n, 3))  # main, boilerplate, wrapper
     for i in range(n - 1, -1, -1):
@@ -358,7 +363,7 @@ def decode(nodes: list[Node], log_odds: np.ndarray) -> list[bool]:
         if not x.children:
             wrap = -1e9
         for c in x.children:
-            main += max(best[c][0], best[c][1])
+            main += max(best[c][0], best[c][1] - switch[c])
             other += best[c][1]
             wrap += best[c].max()
         if x.tag in STRUCTURAL:
@@ -368,8 +373,10 @@ def decode(nodes: list[Node], log_odds: np.ndarray) -> list[bool]:
     label = [2] * n
     for i, x in enumerate(nodes):
         up = label[x.parent] if x.parent >= 0 else 2
-        allowed = (0, 1, 2) if up == 2 else (0, 1) if up == 0 else (1,)
-        label[i] = max(allowed, key=lambda k: best[i][k])
+        if up == 0:
+            label[i] = 0 if best[i][0] >= best[i][1] - switch[i] else 1
+        else:
+            label[i] = 1 if up == 1 else max((0, 1, 2), key=lambda k: best[i][k])
     return [k == 0 for k in label]
 
 
@@ -379,10 +386,15 @@ def main_texts(pages: list[str | None], odds: dict[str, float], trees: Trees) ->
     sizes = [len(x) for x in parsed]
     if not sum(sizes):
         return [""] * len(pages)
-    scores = trees(np.concatenate([features(x, odds) for x in parsed if x]))
+    measures = np.concatenate([features(x, odds) for x in parsed if x])
+    scores = trees(measures)
     out, at = [], 0
     for nodes, n in zip(parsed, sizes, strict=True):
-        chosen = decode(nodes, scores[at : at + n]) if n else []
+        if all(x.tag[0] == "#" for x in nodes):  # a page without markup is its text
+            out.append("\n".join(x.text for x in nodes if x.text))
+            at += n
+            continue
+        chosen = decode(nodes, measures[at : at + n], scores[at : at + n]) if n else []
         out.append("\n".join(x.text for x, yes in zip(nodes, chosen, strict=True) if yes and x.text))
         at += n
     return out

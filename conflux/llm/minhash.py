@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcore as tc
@@ -371,3 +371,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     out = named.join(grouped.withColumnRenamed("member", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near duplicates, with all its columns: the one of smallest id.
+
+    Rows that repeat that id count as one document, of which the smallest text stays; rows without an id stay.
+    """
+    found = near_duplicates(docs, shingle, percent, id_col, text_col).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    found = stored(found.select(F.col("doc_id").alias("_kept"), F.col("rows").alias("_rows")), "kept")
+    same = F.col(id_col).cast("long") == F.col("_kept")
+    out = docs.join(found.where("_rows = 1"), same, "left_semi")
+    if found.where("_rows > 1").limit(1).count():
+        many = docs.join(found.where("_rows > 1"), same, "left_semi").select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+        first = F.row_number().over(Window.partitionBy("_id").orderBy("_text"))
+        out = out.unionByName(many.withColumn("_n", first).where("_n = 1").select("_row.*"))
+    return out.unionByName(docs.where(F.col(id_col).isNull()))

@@ -1 +1,70 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL for the queries that SQL can express."""
+
+from __future__ import annotations
+
+from . import mixing, urls
+
+_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+
+
+def mixing_sql(documents: str = "documents") -> str:
+    return rf"""
+WITH d AS (SELECT doc_id, source, {_WORDS}::BIGINT AS size FROM {documents}),
+per AS (SELECT source, count(*) AS n_docs, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+weighted AS (SELECT *, (1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % {mixing.WEIGHTS})::BIGINT AS weight FROM per),
+ranked AS (
+  SELECT *, row_number() OVER o AS rn, sum(source_size) OVER () AS all_words,
+    coalesce(sum(source_size * {mixing.CAP}) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_words,
+    sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight
+  FROM weighted WINDOW o AS (ORDER BY source_size / weight, source IS NULL, source)),
+level AS (
+  SELECT rn AS k, full_words AS fw, open_weight AS ow FROM ranked
+  WHERE (all_words - full_words) * weight <= source_size * {mixing.CAP} * open_weight ORDER BY rn LIMIT 1),
+aimed AS (
+  SELECT source, n_docs, source_size, CASE WHEN source_size = 0 THEN 0.0::DOUBLE WHEN k IS NULL OR rn < k THEN (source_size * {mixing.CAP})::DOUBLE
+    ELSE weight * (all_words - fw)::DOUBLE / ow::DOUBLE END AS target
+  FROM ranked LEFT JOIN level ON true),
+rated AS (
+  SELECT source, source_size, target, ceil(n_docs / {mixing.CELL})::BIGINT AS cells,
+    CASE WHEN source_size = 0 THEN 0 ELSE least(floor(target / source_size * {mixing.UNIT})::BIGINT, {mixing.CAP * mixing.UNIT}) END AS rate,
+    ('0x' || substr(md5('{mixing.SEED}' || coalesce(source, '')), 1, 7))::BIGINT % {mixing.UNIT} AS shift
+  FROM aimed),
+dealt AS (
+  SELECT d.*, source_size, target, rate, shift, (((coalesce(doc_id, 0) % {1 << 31}) * 2654435761) % 4294967291) % cells AS cell
+  FROM d JOIN rated ON d.source IS NOT DISTINCT FROM rated.source),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cell, size, doc_id NULLS FIRST) AS place FROM dealt),
+counted AS (SELECT *, ((shift + place * rate) >> 30) - ((shift + (place - 1) * rate) >> 30) AS copies FROM placed)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies::BIGINT AS copies FROM counted
+"""
+
+
+def urls_sql() -> str:
+    rules = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for v, h, p in rules]
+    rule = " ".join(f"WHEN {c} THEN '{r}'" for c, r, _ in fits)
+    verdict = " ".join(f"WHEN {c} THEN '{v}'" for c, _, v in fits)
+    return rf"""
+WITH parts AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '{urls.PARTS}', 1), ''), '{urls.UPPER}', '{urls.LOWER}') AS host,
+    coalesce(regexp_extract(url, '{urls.PARTS}', 2), '') AS path FROM pages),
+coded AS (SELECT *, list_transform(string_split('^' || host || '$' || path, ''), lambda c: unicode(c)::BIGINT) AS codes FROM parts),
+scored AS (
+  SELECT *, CASE WHEN host = '' THEN 0 ELSE coalesce(list_sum(list_transform(range(1, len(codes) - 1),
+    lambda i: ({urls.weights()})[((codes[i] * {urls.FACTOR} + codes[i + 1]) * {urls.FACTOR} + codes[i + 2]) % {urls.BUCKETS} + 1]))::BIGINT, 0) END::BIGINT AS score FROM coded)
+SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN score > 0 THEN 'block' ELSE 'allow' END AS verdict, score FROM scored
+"""
+
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first_id FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: '{_BASE32}'[((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1]), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM q
+"""
+
+ORACLES: dict[str, str] = {"op3_warc": WARC_SQL, "op4_urls": urls_sql(), "op10_mixing": mixing_sql()}

@@ -16,9 +16,11 @@ documents; a null doc_id is kept; an empty table gives no piece; extra columns a
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,39 +33,55 @@ from .tables import stored
 CAPACITY = 4096
 PART = 32_768
 END_ID = 1
-WORDS_HELD = 400_000
+WORDS_HELD = 3_000_000
+RECENT = 100_000
 ROUNDS = 4
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordEncoder:
-    """Token ids of whole texts through a table of the ids of words."""
+    """Token ids of whole texts through a table of the ids of words.
 
-    def __init__(self, path: str, held: int = WORDS_HELD):
+    Words learned lately are in a dictionary; from time to time they are merged into sorted arrays, about 30 bytes a word.
+    """
+
+    def __init__(self, path: str, held: int = WORDS_HELD, recent: int = RECENT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.held = Tokenizer.from_file(path), held
+        self.tokenizer, self.held, self.most_recent = Tokenizer.from_file(path), held, recent
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys = np.zeros(0, dtype=np.uint64)  # sorted hashes, and the number of each one's word
+        self.number = np.zeros(0, dtype=np.int32)
+        self.recent: dict[int, int] = {}
+        self.words = self.used = 0
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.bounds = np.zeros(1 << 14, dtype=np.int64)
 
-    def learn(self, hashes: list[int], raw: list[str]) -> None:
-        n, used = len(self.known), int(self.bounds[len(self.known)])
-        for h, e in zip(hashes, self.tokenizer.encode_batch_fast(raw, add_special_tokens=False), strict=True):
-            ids = e.ids
-            if used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
-            if n + 1 >= len(self.bounds):
-                self.bounds = np.concatenate([self.bounds, np.zeros(len(self.bounds), np.int64)])
-            self.ids[used : used + len(ids)] = ids
-            used += len(ids)
-            self.known[h] = n
-            n += 1
-            self.bounds[n] = used
+    def merge(self) -> None:
+        keys = np.concatenate([self.keys, np.fromiter(self.recent.keys(), np.uint64, len(self.recent))])
+        number = np.concatenate([self.number, np.fromiter(self.recent.values(), np.int32, len(self.recent))])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.number = keys[order], number[order]
+        self.recent.clear()
+
+    def learn(self, keys: np.ndarray, raw: list[str]) -> np.ndarray:
+        """Encodes new words; returns their numbers."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(raw, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(size.sum()))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+        while self.words + len(found) >= len(self.bounds):
+            self.bounds = np.concatenate([self.bounds, np.zeros(len(self.bounds), np.int64)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.bounds[self.words + 1 : self.words + 1 + len(found)] = self.used + np.cumsum(size)
+        number = np.arange(self.words, self.words + len(found))
+        self.recent.update(zip(keys.tolist(), number.tolist(), strict=True))
+        self.words, self.used = self.words + len(found), self.used + len(flat)
+        return number
 
     def __call__(self, texts: tc.Texts) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts, and each text's bounds in them."""
@@ -71,25 +89,38 @@ class WordEncoder:
         if not len(w.start):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         key, where, spot = np.unique(tc.SpanHash(texts)(w.start, w.end), return_index=True, return_inverse=True)
-        keys = key.tolist()
-        if len(self.known) > self.held:
+        if self.words > self.held:
             self.forget()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
+        if len(self.recent) > self.most_recent:
+            self.merge()
+        number = np.full(len(key), -1, dtype=np.int64)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            number = np.where(self.keys[at] == key, self.number[at], -1)
+        rest = np.flatnonzero(number < 0)
+        number[rest] = [self.recent.get(k, -1) for k in key[rest].tolist()]
+        new = np.flatnonzero(number < 0)
+        if len(new):
             at = where[new]
-            self.learn([keys[i] for i in new], [texts.data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
-        entry = np.fromiter((self.known[k] for k in keys), np.int64, len(keys))[spot]
-        first, number = self.bounds[entry], self.bounds[entry + 1] - self.bounds[entry]
-        total = np.concatenate([[0], np.cumsum(number)])
-        at = np.arange(total[-1]) - np.repeat(total[:-1] - first, number)
+            number[new] = self.learn(key[new], [texts.data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
+        entry = number[spot]
+        first, size = self.bounds[entry], self.bounds[entry + 1] - self.bounds[entry]
+        total = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(total[-1]) - np.repeat(total[:-1] - first, size)
         return self.ids[at], total[w.first]
 
 
+@cache
+def encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return WordEncoder(path)
+
+
 def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, and the ids themselves if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(tokenizer_path)
+        encode = encoder(tokenizer_path)
         for batch in batches:
             for lo, hi, texts in tc.chunks(batch.column(1)):
                 ids, bounds = encode(texts)
