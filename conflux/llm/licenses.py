@@ -3,8 +3,8 @@
 Words here are lower-cased runs of letters, digits and non-ASCII bytes.  Hashes of ``GRAM`` consecutive words are
 winnowed: in every window of ``WINDOW`` of them the smallest is kept, so a run of GRAM + WINDOW - 1 words shared with a
 template always shares a fingerprint.  The templates' fingerprints form an inverted index (template, position) that
-every task holds; a document's fingerprints are looked up in it.  Hits of one template on close diagonals and near each
-other are one candidate; it is aligned with the template by local alignment inside a band around its diagonals (match
+every task holds; a document's fingerprints are looked up in it.  Hits of one template on close diagonals (within the
+band and half the template) and near each other are one candidate; it is aligned with the template by local alignment inside a band around its diagonals (match
 +1, mismatch and gap -1).  Matches that cover at least ``COVERAGE`` of the template's words are reported.
 
 Templates are a short list, so the index has a fixed size; documents are read whole and independently, with no shuffle.
@@ -153,17 +153,18 @@ def matches(texts: tc.Texts, index: Index) -> Iterator[tuple[int, int, int, int,
     sizes = np.array([len(x) for x in index.words])
     start = at - place  # where the template would begin
     new = np.ones(len(at), dtype=bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (template[1:] != template[:-1]) | (np.abs(start[1:] - start[:-1]) > BAND) | (at[1:] - at[:-1] > sizes[template[1:]] + BAND)
+    new[1:] = (owner[1:] != owner[:-1]) | (template[1:] != template[:-1]) | (np.abs(start[1:] - start[:-1]) > np.minimum(BAND, sizes[template[1:]] // 2)) | (at[1:] - at[:-1] > sizes[template[1:]] + BAND)
     cuts = np.append(np.flatnonzero(new), len(at))
     found: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
     for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         d, t = int(owner[lo]), int(template[lo])
         size = int(sizes[t])
-        begin = max(int(start[lo:hi].min()) - BAND, int(w.first[d]))
-        end = min(int(start[lo:hi].max()) + size + BAND, int(w.first[d + 1]))
+        band = min(BAND, size // 2)
+        begin = max(int(start[lo:hi].min()) - band, int(w.first[d]))
+        end = min(int(start[lo:hi].max()) + size + band, int(w.first[d + 1]))
         if end - begin < COVERAGE * size:
             continue
-        low, high = int(start[lo:hi].min()) - begin - BAND, int(start[lo:hi].max()) - begin + BAND
+        low, high = int(start[lo:hi].min()) - begin - band, int(start[lo:hi].max()) - begin + band
         score, matched, a, b = align(index.words[t].tolist(), h[begin:end].tolist(), low, high)
         if matched >= COVERAGE * size:
             found.setdefault((d, t), []).append((score, matched, begin + a, begin + b))
