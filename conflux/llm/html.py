@@ -150,6 +150,8 @@ def parse(page: str) -> list[Node]:
 
 
 FEATURES = 18
+#: Tags of single blocks; what encloses them tells more about a text than they do.
+BLOCK_TAGS = set("p h1 h2 h3 h4 h5 h6 li dt dd td th tr table pre blockquote".split())
 
 
 def features(nodes: list[Node], odds: dict[str, float]) -> np.ndarray:
@@ -172,7 +174,7 @@ def features(nodes: list[Node], odds: dict[str, float]) -> np.ndarray:
         tag = odds.get(x.tag, 0.0)
         up = x.parent
         marked[i] = own if own else (marked[up] if up >= 0 else 0.0)
-        tagged[i] = tag if x.tag in odds and x.tag[0] != "#" and abs(tag) > 2 else (tagged[up] if up >= 0 else 0.0)
+        tagged[i] = tag if x.tag in odds and x.tag[0] != "#" and x.tag not in BLOCK_TAGS and abs(tag) > 2 else (tagged[up] if up >= 0 else 0.0)
         brothers = len(nodes[up].children) if up >= 0 else 1
         out[i] = (
             own, tag, marked[up] if up >= 0 else 0.0, tagged[up] if up >= 0 else 0.0, x.depth, x.place / brothers, min(brothers, 50), min(len(x.children), 50),
@@ -277,7 +279,7 @@ def labelled_page(rnd: random.Random) -> tuple[str, set[str]]:
         made = []
         for _ in range(n):
             size = rnd.choice([1, 3, 8, 20, 40, 80, 160])
-            tag = rnd.choice(["p", "p", "p", "p", "p", "h2", "li", "blockquote", "pre", "td"])
+            tag = rnd.choice(["p", "p", "p", "p", "p", "p", "h2", "h3", "h4", "li", "blockquote", "pre", "td"])
             text = words(size, is_main)
             if rnd.random() < 0.2:
                 text = f'<a href="/x">{text}</a>' if rnd.random() < 0.3 else f"<b>{text}</b>"
@@ -293,16 +295,20 @@ def labelled_page(rnd: random.Random) -> tuple[str, set[str]]:
             inside = words(rnd.choice([2, 6, 12, 30]), False)
         else:
             inside = "".join(blocks(rnd.randint(1, 5), False))
+        if rnd.random() < 0.4 and not kind.startswith(("ul", "ol")):  # boxes have headings too
+            tag = rnd.choice(["h1", "h2"]) if "header" in kind else rnd.choice(["h2", "h3", "h4"])
+            inside = f"<{tag}>{words(rnd.randint(1, 6), False)}</{tag}>{inside if rnd.random() < 0.7 else ''}"
         return shell(kind, inside)
 
     body = blocks(rnd.choice([1, 2, 4, 8, 15]), True)
     if rnd.random() < 0.8:
-        body.insert(0, f"<h1>{words(rnd.randint(2, 9), True)}</h1>")
+        tag = rnd.choice(["h1", "h1", "h1", "h2", "h3"])
+        body.insert(0, f"<{tag}>{words(rnd.randint(1, 9), True)}</{tag}>")
     for _ in range(rnd.choice([0, 0, 1, 2, 3])):
         kind = rnd.choice(INNER if rnd.random() < 0.5 else OTHER_SHELLS)
         body.insert(rnd.randint(0, len(body)), shell(kind, rnd.choice([words(rnd.randint(2, 25), False), "".join(blocks(2, False))])))
     text = "".join(body)
-    text = shell(rnd.choice(MAIN_SHELLS), text) if rnd.random() < 0.93 else text
+    text = shell(rnd.choice(MAIN_SHELLS), text) if rnd.random() < 0.85 else text
     if rnd.random() < 0.2:
         text = shell("main", text)
     page = "".join([*(other() for _ in range(rnd.randint(0, 4))), text, *(other() for _ in range(rnd.randint(0, 4)))])

@@ -56,6 +56,14 @@ def test_copies_cross_integer_boundaries(spark, monkeypatch):
         assert all(r.copies <= 3 for r in got)
 
 
+def test_more_sources_than_are_broadcast(spark, monkeypatch):
+    rows = [(i, f"s{i % 40}", "w " * (1 + i % 9)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    want = sorted(map(str, mixing.mixed(docs).collect()))
+    monkeypatch.setattr(mixing, "SOURCES_BROADCAST", 3)
+    assert sorted(map(str, mixing.mixed(docs).collect())) == want
+
+
 def test_edge_cases(spark):
     rows = [(1, None, "s", 5), (2, "", "s", 5), (3, "a b", None, 5), (3, "a b", None, 5), (None, "c d e", "s", 5), (4, "\t\n", "empty", 5), (5, "w " * 100_000, "t", 5), (6, "x", "", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long")
