@@ -23,11 +23,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import stored
+
 CELL = 2048
 WEIGHTS = 3
 CAP = 3
 UNIT = 1 << 30
 SEED = "mix"
+SOURCES_BROADCAST = 100_000  # rows of the per-source table, about 100 bytes each
+SALTS = 64
 
 
 def size_of(text: Column) -> Column:
@@ -69,15 +73,28 @@ def _source_key() -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
 
 
+def _spread() -> Column:
+    return F.pmod(F.coalesce("doc_id", F.lit(0)).cast("long"), F.lit(1 << 31)) * 2654435761 % 4294967291
+
+
+def _salt() -> Column:
+    return _spread() % SALTS
+
+
+def _salted(per: DataFrame) -> DataFrame:
+    return per.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+
+
 def _copies(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, source, size and more) with source_size, target and copies.
 
     The window that ranks within a cell and the join with the cells' offsets are on the same keys: one shuffle.
     """
-    per = targets(docs.select("source", "size")).withColumn("_key", _source_key()).drop("source")
-    docs = docs.withColumn("_key", _source_key()).join(per, "_key")
-    spread = F.pmod(F.pmod(F.coalesce("doc_id", F.lit(0)).cast("long"), F.lit(1 << 31)) * 2654435761 % 4294967291, F.col("cells"))
-    docs = docs.withColumn("_cell", spread)
+    per = stored(targets(docs.select("source", "size")).withColumn("_key", _source_key()).drop("source"), "targets")
+    # without a shuffle of the documents by source, which would put a hot one into one task
+    per = F.broadcast(per) if per.count() <= SOURCES_BROADCAST else _salted(per)
+    docs = docs.withColumn("_key", _source_key()).withColumn("_salt", _salt()).join(per, ["_key", "_salt"] if "_salt" in per.columns else "_key")
+    docs = docs.withColumn("_cell", F.pmod(_spread(), F.col("cells")))
     counts = docs.groupBy("_key", "_cell").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("_key").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("_key", "_cell", F.coalesce(before, F.lit(0)).alias("_before"))
