@@ -243,7 +243,7 @@ def _has_letters(raw: bytes) -> bool:
 
 def labelled(column: pa.Array, model: Model) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from, to, label number or -1, score)"""
-    for lo, hi, texts in tc.chunks(column, 1 << 20):
+    for lo, hi, texts in tc.chunks(column):
         w = tc.words(texts)
         post = word_posteriors(texts, w, model)
         letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[texts.data] | (texts.data >= 128))])

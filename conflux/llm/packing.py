@@ -33,8 +33,8 @@ from .tables import stored
 CAPACITY = 4096
 PART = 32_768
 END_ID = 1
-WORDS_HELD = 3_000_000
-RECENT = 100_000
+WORDS_HELD = 1_000_000
+RECENT = 50_000
 ROUNDS = 4
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

@@ -7,7 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Arrow batches of whole texts: without a bound, ten thousand long texts would meet in one batch.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -20,19 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def checkpoint_ready(spark: SparkSession) -> None:
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Ends a plan: rows go to reliable storage in the shared folder, and later reads start there."""
-    checkpoint_ready(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Like cut(), but as columnar files, so that later readers take only the columns they need."""
+    """Ends a plan in columnar files of the shared folder; later readers start there and take only the columns they need.
+
+    Files are of this run alone (a fresh name); they live until the folder is cleared.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -16,7 +16,7 @@ import pyarrow as pa
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10  # some hundred bytes of arrays for each byte of text
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -43,7 +43,7 @@ _inverses = np.ones(1, dtype=_U)
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverses
     if len(_powers) < n:
-        size = max(n, 2 * len(_powers))
+        size = max(n, CHUNK_BYTES + 1)
         steps = np.full(size, _BASE, dtype=_U)
         steps[0] = 1
         _powers = np.cumprod(steps)
