@@ -7,6 +7,7 @@ Stand-ins: contacts and their conflict graph come from ``events``; metrics with
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -69,43 +70,53 @@ RUNS = """r AS (SELECT user_id AS run, epoch_us(ts) AS t, event_id AS id, event_
 
 
 class Graph:
-    """The stand-in conflict graph and what is derived from it."""
+    """The stand-in conflict graph and what is derived from it.
+
+    Edges, adjacency, selection and scopes are each read several times by what follows, so they are written once.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str, ant: int = ANTENNA_GAP, owner: int = OWNER_GAP):
         self.c = contacts(spark, sf_dir)
-        self.e = conflict.conflict_edges(self.c, ant, owner)
-        self.adj = conflict.symmetric(self.e)
+        self.plain = conflict.conflict_edges(self.c, ant, owner)
+
+    @cached_property
+    def e(self) -> DataFrame:
+        return greedy.written(self.plain, "edges")
 
-    @property
+    @cached_property
+    def adj(self) -> DataFrame:
+        return greedy.written(conflict.symmetric(self.e), "adj")
+
+    @cached_property
     def sel(self) -> DataFrame:
-        return selection.local_best(self.c, self.e)
+        return greedy.written(selection.local_best(self.c, self.e), "sel")
 
-    @property
+    @cached_property
     def outs(self) -> DataFrame:
         return self.c.select("cid").join(self.sel, "cid", "left_anti")
 
-    @property
+    @cached_property
     def act(self) -> DataFrame:
         outs = self.outs
         one = outs.where("cid % 5 = 3").select(F.col("cid").alias("action"), "cid")
         two = outs.where("cid % 7 = 1").join(outs.select((F.col("cid") - 2).alias("cid")), "cid", "left_semi")
-        return one.union(two.select((-F.col("cid")).alias("action"), F.explode(F.array(F.col("cid"), F.col("cid") + 2)).alias("cid")))
+        return greedy.written(one.union(two.select((-F.col("cid")).alias("action"), F.explode(F.array(F.col("cid"), F.col("cid") + 2)).alias("cid"))), "act")
 
-    @property
+    @cached_property
     def gone(self) -> DataFrame:
-        return selection.displaced(self.act, self.adj, self.sel)
+        return greedy.written(selection.displaced(self.act, self.adj, self.sel), "gone")
 
-    @property
+    @cached_property
     def elig(self) -> DataFrame:
-        return selection.eligible(self.act, self.gone, self.adj, self.sel)
+        return greedy.written(selection.eligible(self.act, self.gone, self.adj, self.sel), "elig")
 
-    @property
+    @cached_property
     def pool(self) -> DataFrame:
         return selection.pool(self.elig, self.c)
 
-    @property
+    @cached_property
     def blk(self) -> DataFrame:
-        return pairs.blockers(self.c, self.adj, self.sel)
+        return greedy.written(pairs.blockers(self.c, self.adj, self.sel), "blk")
 
 
 # Scans, edges and their statistics ------------------------------------------------------------------------------------
@@ -118,7 +129,7 @@ def s01_contacts(spark, d):
 
 @query(f"{GRAPH} SELECT * FROM e")
 def j01_gap_edges(spark, d):
-    return Graph(spark, d).e
+    return Graph(spark, d).plain
 
 
 @query(
@@ -129,7 +140,7 @@ FROM c LEFT JOIN t USING (cid) GROUP BY c.ant"""
 def flagship(spark, d):
     """Typed conflict edges of all contacts, and degree statistics of every antenna."""
     g = Graph(spark, d)
-    rows = g.c.join(conflict.degrees(g.c, g.e), "cid")
+    rows = g.c.join(conflict.degrees(g.c, g.plain), "cid")
     return rows.groupBy("ant").agg(
         F.count(F.lit(1)).alias("vertices"), F.sum("degree").alias("degree_sum"), F.max("degree").alias("degree_max"), F.count_if(F.col("degree") == 0).alias("isolated"), F.sum("w").alias("weight")
     )
@@ -147,7 +158,7 @@ def j03_adjacency(spark, d):
 
 @query(f"WITH {CONTACTS}, {edges_sql(ANTENNA_GAP // 2, OWNER_GAP // 2, 'lo')}, {edges_sql(name='hi')} SELECT lo.u, lo.v FROM lo WHERE NOT EXISTS (SELECT 1 FROM hi WHERE hi.u = lo.u AND hi.v = lo.v)")
 def j19_monotone_edges(spark, d):
-    return conflict.not_contained(Graph(spark, d, ANTENNA_GAP // 2, OWNER_GAP // 2).e, Graph(spark, d).e).select("u", "v")
+    return conflict.not_contained(Graph(spark, d, ANTENNA_GAP // 2, OWNER_GAP // 2).plain, Graph(spark, d).plain).select("u", "v")
 
 
 @query(f"{GRAPH} SELECT c.cid AS u, c.cid + 10 AS v, coalesce(e.etype, 0) AS etype FROM c LEFT JOIN e ON e.u = c.cid AND e.v = c.cid + 10")
@@ -173,13 +184,13 @@ def j23_overlap_edges(spark, d):
 
 @query(f"{GRAPH} SELECT count(*) AS edges, count(*) FILTER (etype & 1 <> 0) AS antenna_edges, count(*) FILTER (etype & 2 <> 0) AS owner_edges, count(*) FILTER (etype = 3) AS double_edges FROM e")
 def a01_typed_edge_stats(spark, d):
-    return conflict.edge_stats(Graph(spark, d).e)
+    return conflict.edge_stats(Graph(spark, d).plain)
 
 
 @query(f"{GRAPH}, x AS (SELECT u AS cid FROM e UNION ALL SELECT v FROM e) SELECT c.cid, count(x.cid) AS degree FROM c LEFT JOIN x ON x.cid = c.cid GROUP BY c.cid")
 def a02_degrees(spark, d):
     g = Graph(spark, d)
-    return conflict.degrees(g.c, g.e)
+    return conflict.degrees(g.c, g.plain)
 
 
 @query(f"WITH {CONTACTS} SELECT ant, count(*) AS n, CAST(sum(w) AS BIGINT) AS w FROM c WHERE ant IN (SELECT DISTINCT CAST(p_size AS INT) FROM part WHERE p_size % 3 = 0) GROUP BY ant")
