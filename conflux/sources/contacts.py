@@ -102,7 +102,7 @@ def parse_graph_text(spark: SparkSession, path: str) -> DataFrame:
 
     One row per line with its part: vertex (a=tick, b=raw, c=owner), edge (a=u, b=v) or initial (a=id).
     """
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.rtrim("value"), r"\n").alias("l"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", r"\s+$", ""), r"\n").alias("l"))
     lines = lines.withColumn("head", F.split(F.get("l", F.lit(0)), r"\s+"))
     lines = lines.withColumn("n", F.get("head", F.lit(1)).cast("int")).withColumn("m", F.get("head", F.lit(2)).cast("int"))
     rows = lines.select("file", "n", "m", F.posexplode("l").alias("at", "line")).where("at > 0")
