@@ -2,7 +2,10 @@
 
 import duckdb
 import pytest
-from conflux.plans import queries
+from conflux.plans import (
+    queries,
+    reports,  # noqa: F401  (registers its queries)
+)
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events conversations".split()
