@@ -381,7 +381,8 @@ def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: s
     found = near_duplicates(docs, shingle, percent, id_col, text_col).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
     found = stored(found.select(F.col("doc_id").alias("_kept"), F.col("rows").alias("_rows")), "kept")
     same = F.col(id_col).cast("long") == F.col("_kept")
-    out = docs.join(found.where("_rows = 1"), same, "left_semi")
+    # a merge join at any size: the list of kept ids grows with the documents
+    out = docs.join(found.where("_rows = 1").hint("merge"), same, "left_semi")
     if found.where("_rows > 1").limit(1).count():
         many = docs.join(found.where("_rows > 1"), same, "left_semi").select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
         first = F.row_number().over(Window.partitionBy("_id").orderBy("_text"))
