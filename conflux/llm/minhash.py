@@ -178,7 +178,7 @@ def local_forest(edges: DataFrame) -> DataFrame:
                 a, b = root(a), root(b)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-            if len(parent) > 1_000_000:  # bounded memory; what was joined so far is passed on
+            if len(parent) > 200_000:  # bounded memory; what was joined so far is passed on
                 yield flush()
         yield flush()
 

@@ -112,7 +112,7 @@ class WordEncoder:
 
 @cache
 def encoder(path: str) -> WordEncoder:
-    """One encoder for all tasks of a Python worker."""
+    """One encoder for all tasks of a Python worker; a task forgets its words when it ends."""
     return WordEncoder(path)
 
 
@@ -142,6 +142,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, en
                     columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept).astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        encode.forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 

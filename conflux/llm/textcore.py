@@ -16,7 +16,7 @@ import pyarrow as pa
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-CHUNK_BYTES = 512 << 10  # some hundred bytes of arrays for each byte of text
+CHUNK_BYTES = 256 << 10  # some hundred bytes of arrays for each byte of text
 
 
 def mix(x: np.ndarray) -> np.ndarray:
