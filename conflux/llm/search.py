@@ -34,7 +34,7 @@ from .tables import stored
 K1, B = 1.2, 0.75
 BLOCK = 64
 K = 10
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 1_000_000
 
 
 def _terms(texts: tc.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
