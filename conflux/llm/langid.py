@@ -244,6 +244,9 @@ def _has_letters(raw: bytes) -> bool:
 def labelled(column: pa.Array, model: Model) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from, to, label number or -1, score)"""
     for lo, hi, texts in tc.chunks(column):
+        if not model.labels:
+            yield lo, hi, np.full(hi - lo, -1), np.zeros(hi - lo)
+            continue
         w = tc.words(texts)
         post = word_posteriors(texts, w, model)
         letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[texts.data] | (texts.data >= 128))])
@@ -257,8 +260,6 @@ def labelled(column: pa.Array, model: Model) -> Iterator[tuple[int, int, np.ndar
         plain = tc.per_document(_ASCII_LETTER[texts.data], texts.bounds) > 0
         for i in np.flatnonzero(~plain):
             plain[i] = _has_letters(texts.text(i))
-        if not model.labels:
-            plain[:] = False
         yield lo, hi, np.where(plain, best, -1), np.where(plain, score, 0.0)
 
 
