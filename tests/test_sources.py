@@ -49,7 +49,7 @@ def test_report_and_manifest(spark, tmp_path):
 
 
 def test_graph_text_and_memberships(spark, tmp_path):
-    path = write(tmp_path, "g.txt", "BARR1 3 2\n5 0.5 0\n6 0.6 1\n7 0.7 1\n0 1\n1 2\n2 0 2\n")
+    path = write(tmp_path, "g.txt", "GRAPH1 3 2\n5 0.5 0\n6 0.6 1\n7 0.7 1\n0 1\n1 2\n2 0 2\n")
     rows = [(r.part, r.a, r.b) for r in S.parse_graph_text(spark, path).orderBy("part", "place").collect()]
     assert rows == [("edge", "0", "1"), ("edge", "1", "2"), ("initial", "2", "0"), ("vertex", "5", "0.5"), ("vertex", "6", "0.6"), ("vertex", "7", "0.7")]
     text = spark.createDataFrame([("1 0 1",)], "value string")
