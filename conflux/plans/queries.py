@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from conflux.functions import scalars as X
@@ -69,6 +69,11 @@ METRIC = """m AS (SELECT o_orderkey AS state, c_custkey AS graph, c_nationkey AS
 RUNS = """r AS (SELECT user_id AS run, epoch_us(ts) AS t, event_id AS id, event_type AS kind, value, min(epoch_us(ts)) OVER (PARTITION BY user_id) + 864000000000 AS deadline FROM events)"""
 
 
+def pair_id(a: str, b: str) -> Column:
+    """A negative number of its own for each pair 0 <= a < b."""
+    return -(F.expr(f"{b} * ({b} - 1) div 2") + F.col(a) + 1)
+
+
 class Graph:
     """The stand-in conflict graph and what is derived from it.
 
@@ -97,10 +102,13 @@ class Graph:
 
     @cached_property
     def act(self) -> DataFrame:
-        outs = self.outs
-        one = outs.where("cid % 5 = 3").select(F.col("cid").alias("action"), "cid")
-        two = outs.where("cid % 7 = 1").join(outs.select((F.col("cid") - 2).alias("cid")), "cid", "left_semi")
-        return greedy.written(one.union(two.select((-F.col("cid")).alias("action"), F.explode(F.array(F.col("cid"), F.col("cid") + 2)).alias("cid"))), "act")
+        """Every unselected contact as a single action, under its own id, and every two-hop pair that pays, under a negative id."""
+        two = pairs.two_hop_pairs(self.c, self.e, self.blk, self.sel)
+        return greedy.written(self.outs.select(F.col("cid").alias("action"), "cid").union(two.select(pair_id("a", "b").alias("action"), F.explode(F.array("a", "b")).alias("cid"))), "act")
+
+    @cached_property
+    def singles(self) -> DataFrame:
+        return self.act.where("action >= 0")
 
     @cached_property
     def gone(self) -> DataFrame:
@@ -359,7 +367,8 @@ SELECT action, (n BETWEEN 1 AND 2 AND dn = n AND kn = n AND ow = n AND ch = 0 AN
 )
 def f11_valid_actions(spark, d):
     g = Graph(spark, d)
-    more = g.sel.where("cid % 11 = 0").select((F.col("cid") + 1_000_000).alias("action"), F.explode(F.array(F.col("cid"), F.col("cid") + 1)).alias("cid"))
+    bad = g.sel.select(F.col("cid").alias("a"), (F.col("cid") + 1).alias("b"))  # selected first inserts: not valid, and no pair of act
+    more = bad.select(pair_id("a", "b").alias("action"), F.explode(F.array("a", "b")).alias("cid"))
     return selection.valid_actions(g.act.union(more), g.c, g.adj, g.sel)
 
 
@@ -371,13 +380,13 @@ def o01_pool(spark, d):
 @query(f"{SELECTED} SELECT cid FROM sel WHERE cid NOT IN (SELECT cid FROM gone WHERE action > 0) UNION SELECT cid FROM act WHERE action > 0")
 def u01_swapped(spark, d):
     g = Graph(spark, d)
-    return selection.swapped(g.sel, g.gone.where("action > 0"), g.act.where("action > 0"))
+    return selection.swapped(g.sel, g.gone.where("action >= 0"), g.singles)
 
 
 @query(f"{SELECTED} SELECT action, cid FROM gone UNION SELECT action, sel.cid FROM (SELECT DISTINCT action FROM act WHERE action > 0) JOIN sel ON sel.cid = action + 1")
 def u02_released(spark, d):
     g = Graph(spark, d)
-    extra = g.act.where("action > 0").select("action", (F.col("action") + 1).alias("cid")).join(g.sel, "cid", "left_semi").select("action", "cid")
+    extra = g.singles.select("action", (F.col("action") + 1).alias("cid")).join(g.sel, "cid", "left_semi").select("action", "cid")
     return selection.released(g.gone, extra)
 
 
