@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from conflux.operators import stats
 from conflux.plans import (
     queries,
     reports,  # noqa: F401  (registers its queries)
@@ -65,3 +66,22 @@ def test_every_unselected_contact_acts(spark):
         if a < 0:
             sets.setdefault(a, []).append(c)
     assert {tuple(sorted(x)) for x in sets.values()} == two and len(sets) == len(two)
+
+
+CUTS = {"j18_matrix_gaps": " WHERE o_orderkey % 50 = 0", "a05_means_by_deadline": " WHERE o_orderkey % 3 = 0", "l04_index_sum": " AND s_suppkey % 3 = 0", "j22_bundles": " WHERE cid % 3 <> 0"}
+
+
+@pytest.mark.parametrize("name", CUTS)
+def test_every_order_supplier_and_contact(spark, duck, name):
+    sql = queries.ORACLES[name]
+    assert sql.count(CUTS[name]) == 1
+    same(queries.QUERIES[name](spark, DATA).toArrow(), duck.execute(sql.replace(CUTS[name], "")).to_arrow_table())
+
+
+def test_missing_cells(spark):
+    plan = spark.createDataFrame([(n, y) for n in (1, 2) for y in (1992, 1993)], "nation int, y int")
+    got = spark.createDataFrame([(1, 1992), (1, 1992), (1, 1993), (2, 1993), (3, 1992)], "nation int, y int")
+    assert [tuple(r) for r in stats.plan_gaps(plan, got, ["nation", "y"]).collect()] == [(2, 1992)]
+    cells = spark.createDataFrame([(1, 1992, 4), (1, 1993, 6), (2, 1993, 9), (3, 1992, 1), (3, 1993, None)], "nation int, y int, x long")
+    means = {r.nation: (r["mean"], r.complete, r.incomplete) for r in stats.grid_mean(cells, ["nation"], "y", "x", [1992, 1993]).collect()}
+    assert means == {1: (5.0, 2, 0), 2: (None, 1, 0), 3: (None, 1, 1)}
