@@ -122,6 +122,11 @@ class Graph:
     def pool(self) -> DataFrame:
         return selection.pool(self.elig, self.c)
 
+    @cached_property
+    def weighed(self) -> DataFrame:
+        """All eligible vertices with weight and owner, whatever their place in the pool."""
+        return self.elig.join(self.c.select("cid", "w", "owner"), "cid")
+
     @cached_property
     def blk(self) -> DataFrame:
         return greedy.written(pairs.blockers(self.c, self.adj, self.sel), "blk")
@@ -276,7 +281,7 @@ SELECT action, u, v, CAST(met.w - coalesce(lost, 0) AS BIGINT) AS gain FROM met
 )
 def j09_compatible_pairs(spark, d):
     g = Graph(spark, d)
-    return pairs.compatible_pairs(g.pool.join(g.c.select("cid", "owner"), "cid"), g.e, g.blk)
+    return pairs.compatible_pairs(g.weighed, g.e, g.blk)
 
 
 @query(

@@ -70,8 +70,8 @@ def a23_acceptance(spark, d):
 
 @query(f"{POOL}, t AS (SELECT action, cid FROM pool WHERE pos <= 2), w AS (SELECT action, cid FROM pool WHERE cid % 2 = 0) SELECT *, 'added' AS side FROM (SELECT * FROM t EXCEPT SELECT * FROM w) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM w EXCEPT SELECT * FROM t)")
 def u04_changes(spark, d):
-    p = Graph(spark, d).pool
-    t, w = p.where("pos <= 2").select("action", "cid"), p.where("cid % 2 = 0").select("action", "cid")
+    g = Graph(spark, d)
+    t, w = g.pool.where("pos <= 2").select("action", "cid"), g.elig.where("cid % 2 = 0").select("action", "cid")
     return t.exceptAll(w).withColumn("side", F.lit("added")).union(w.exceptAll(t).withColumn("side", F.lit("removed")))
 
 
@@ -101,7 +101,7 @@ def w10_prefix(spark, d):
 
 @query(f"{POOL} SELECT action, cid, CAST(row_number() OVER (PARTITION BY action ORDER BY (cid % 2 = 0) DESC, CASE WHEN cid % 2 = 0 THEN 0 ELSE -w END, cid) AS INT) AS pos FROM pool")
 def o02_coordination_pool(spark, d):
-    p = Graph(spark, d).pool
+    p = Graph(spark, d).weighed
     known = F.col("cid") % 2 == 0
     order = Window.partitionBy("action").orderBy(known.desc(), F.when(known, F.lit(0).cast("long")).otherwise(-F.col("w")), "cid")
     return p.select("action", "cid", F.row_number().over(order).alias("pos"))

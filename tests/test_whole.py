@@ -85,3 +85,30 @@ def test_missing_cells(spark):
     cells = spark.createDataFrame([(1, 1992, 4), (1, 1993, 6), (2, 1993, 9), (3, 1992, 1), (3, 1993, None)], "nation int, y int, x long")
     means = {r.nation: (r["mean"], r.complete, r.incomplete) for r in stats.grid_mean(cells, ["nation"], "y", "x", [1992, 1993]).collect()}
     assert means == {1: (5.0, 2, 0), 2: (None, 1, 0), 3: (None, 1, 1)}
+
+
+@pytest.fixture(scope="module")
+def busy(tmp_path_factory):
+    """One contact that holds up 300 light ones, of which 297 meet each other, and an action (contact 1) that displaces it."""
+    folder = str(tmp_path_factory.mktemp("busy"))
+    con = duckdb.connect()
+    at = lambda s: f"TIMESTAMP '2024-01-01' + to_seconds({s})"
+    con.execute(
+        f"""COPY (SELECT 0::BIGINT AS event_id, {at(0)} AS ts, 1::BIGINT AS user_id, 'view' AS event_type, 100000.0::DOUBLE AS value, '{{"k": 1}}' AS props
+  UNION ALL SELECT 1, {at(10)}, 1, 'view', 50.0, '{{"k": 2}}'
+  UNION ALL SELECT i + 2, {at("20 + i * 10")}, i + 100, 'view', 2 + i * 0.01, '{{"k": 1}}' FROM range(297) r(i)
+  UNION ALL SELECT i + 299, {at("40000 + i * 20000")}, i + 900, 'view', 0.5, '{{"k": 1}}' FROM range(3) r(i)) TO '{folder}/events.parquet' (FORMAT parquet)"""
+    )
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    return folder, con
+
+
+@pytest.mark.parametrize("name", ["o02_coordination_pool", "u04_changes", "j09_compatible_pairs", "o01_pool"])
+def test_more_candidates_than_the_cap(spark, busy, name):
+    folder, con = busy
+    got = queries.QUERIES[name](spark, folder).toArrow()
+    same(got, con.execute(whole(queries.ORACLES[name])).to_arrow_table())
+    of_one = [r for r in got.to_pylist() if r["action"] == 1]
+    if name == "o02_coordination_pool":
+        assert [r["cid"] for r in sorted(of_one, key=lambda r: r["pos"])[:150]] == list(range(2, 302, 2))
+    assert len(of_one) == {"o02_coordination_pool": 300, "u04_changes": 150, "j09_compatible_pairs": 3 * 297 + 3, "o01_pool": 256}[name]
