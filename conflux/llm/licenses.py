@@ -7,15 +7,22 @@ every task holds; a document's fingerprints are looked up in it.  Hits of one te
 band and half the template) and near each other are one candidate; it is aligned with the template by local alignment inside a band around its diagonals (match
 +1, mismatch and gap -1).  Matches that cover at least ``COVERAGE`` of the template's words are reported.
 
+Edits can leave no such run, so there are seeds besides.  A local alignment of more than one word begins with two words
+that follow each other in text and template alike (a single match followed by anything else falls back to 0), and one
+that covers COVERAGE begins within the first 1 - COVERAGE of the template.  Every pair of words there is indexed, none
+winnowed, and every hit with enough words of the template behind it is aligned: in the same band around its diagonal and,
+for templates of at most ``SHORT`` words, in one as wide as the template too.
+
 Templates are a short list, so the index has a fixed size; documents are read whole and independently, with no shuffle.
 
 Defined cases: a null or empty text matches nothing; repeated rows are scanned separately; overlapping matches of
-different templates are all reported, of one template the better one; an empty table gives an empty result; extra
+different templates are all reported, of one template the better one (by score, then the first); an empty table gives an empty result; extra
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +34,7 @@ from . import textcore as tc
 
 GRAM, WINDOW = 3, 3
 BAND = 8
+SHORT = 20
 COVERAGE = 0.8
 
 #: Notices of public licenses.
@@ -99,17 +107,56 @@ class Index:
         owner = np.searchsorted(w.first, at, side="right") - 1
         order = np.argsort(fp, kind="stable")
         self.fp, self.template, self.place = fp[order], owner[order], (at - w.first[owner])[order]
-        self.near = np.zeros(1 << 16, dtype=bool)
-        self.near[(self.fp >> np.uint64(48)).astype(np.int64)] = True
+        self.near = _near(self.fp)
+        self.need = [math.ceil(COVERAGE * len(x)) for x in self.words]
+        pair, at, _ = tc.windows(h, w, 2)
+        owner = np.searchsorted(w.first, at, side="right") - 1
+        place = at - w.first[owner]
+        first = np.flatnonzero(place <= np.array([len(x) - n for x, n in zip(self.words, self.need, strict=True)])[owner])
+        order = first[np.argsort(pair[first], kind="stable")]
+        self.pair, self.pair_template, self.pair_place = pair[order], owner[order], place[order]
+        self.pair_near = _near(self.pair)
 
     def hits(self, at: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position in the text, template, position in the template) of every shared fingerprint."""
-        maybe = self.near[(fp >> np.uint64(48)).astype(np.int64)]
-        at, fp = at[maybe], fp[maybe]
-        lo, hi = np.searchsorted(self.fp, fp, side="left"), np.searchsorted(self.fp, fp, side="right")
-        number = hi - lo
-        entry = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number) + np.repeat(lo, number)
-        return np.repeat(at, number), self.template[entry], self.place[entry]
+        at, entry = _met(at, fp, self.fp, self.near)
+        return at, self.template[entry], self.place[entry]
+
+    def seeds(self, w: tc.Words, h: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document, template, start of the template in the text, band) of every place where a match may begin."""
+        pair, at, _ = tc.windows(h, w, 2)
+        at, entry = _met(at, pair, self.pair, self.pair_near)
+        owner = np.searchsorted(w.first, at, side="right") - 1
+        for t in np.unique(self.pair_template[entry]).tolist():
+            mine = self.pair_template[entry] == t
+            size, known = len(self.words[t]), np.sort(self.words[t])
+            band = min(BAND, size // 2)
+            reach = max(band, size) if size <= SHORT else band
+            a, d, start = at[mine], owner[mine], at[mine] - self.pair_place[entry[mine]]
+            for lo in range(0, len(a), 4096):
+                b = a[lo : lo + 4096, None] + np.arange(size + reach)
+                inside = b < np.minimum(w.first[d[lo : lo + 4096] + 1], start[lo : lo + 4096] + size + reach)[:, None]
+                word = h[np.minimum(b, len(h) - 1)]
+                shared = known[np.minimum(np.searchsorted(known, word), size - 1)] == word
+                enough = (shared & inside).sum(axis=1) >= self.need[t]
+                for doc, begin in sorted(set(zip(d[lo : lo + 4096][enough].tolist(), start[lo : lo + 4096][enough].tolist(), strict=True))):
+                    yield from ((doc, t, begin, x) for x in sorted({band, reach}))
+
+
+def _near(sorted_: np.ndarray) -> np.ndarray:
+    near = np.zeros(1 << 16, dtype=bool)
+    near[(sorted_ >> np.uint64(48)).astype(np.int64)] = True
+    return near
+
+
+def _met(at: np.ndarray, fp: np.ndarray, sorted_: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position in the text, entry of the index) of every hash that the index has."""
+    maybe = near[(fp >> np.uint64(48)).astype(np.int64)]
+    at, fp = at[maybe], fp[maybe]
+    lo, hi = np.searchsorted(sorted_, fp, side="left"), np.searchsorted(sorted_, fp, side="right")
+    number = hi - lo
+    entry = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number) + np.repeat(lo, number)
+    return np.repeat(at, number), entry
 
 
 def align(template: list[int], text: list[int], low: int, high: int) -> tuple[int, int, int, int]:
@@ -145,8 +192,6 @@ def matches(texts: tc.Texts, index: Index) -> Iterator[tuple[int, int, int, int,
     """(document, template, matched words, first byte, past last byte, score) of every reported match."""
     w, h, at, fp = fingerprints(texts)
     at, template, place = index.hits(at, fp)
-    if not len(at):
-        return
     owner = np.searchsorted(w.first, at, side="right") - 1
     order = np.lexsort((at, template, owner))
     at, template, place, owner = at[order], template[order], place[order], owner[order]
@@ -155,25 +200,28 @@ def matches(texts: tc.Texts, index: Index) -> Iterator[tuple[int, int, int, int,
     new = np.ones(len(at), dtype=bool)
     new[1:] = (owner[1:] != owner[:-1]) | (template[1:] != template[:-1]) | (np.abs(start[1:] - start[:-1]) > np.minimum(BAND, sizes[template[1:]] // 2)) | (at[1:] - at[:-1] > sizes[template[1:]] + BAND)
     cuts = np.append(np.flatnonzero(new), len(at))
-    found: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
+    around = {}  # (document, template, least start, largest start, band), each once
     for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        d, t = int(owner[lo]), int(template[lo])
+        t = int(template[lo])
+        around[int(owner[lo]), t, int(start[lo:hi].min()), int(start[lo:hi].max()), min(BAND, int(sizes[t]) // 2)] = True
+    around |= {(d, t, begin, begin, band): True for d, t, begin, band in index.seeds(w, h)}
+    found: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
+    for d, t, least, largest, band in around:
         size = int(sizes[t])
-        band = min(BAND, size // 2)
-        begin = max(int(start[lo:hi].min()) - band, int(w.first[d]))
-        end = min(int(start[lo:hi].max()) + size + band, int(w.first[d + 1]))
+        begin = max(least - band, int(w.first[d]))
+        end = min(largest + size + band, int(w.first[d + 1]))
         if end - begin < COVERAGE * size:
             continue
-        low, high = int(start[lo:hi].min()) - begin - band, int(start[lo:hi].max()) - begin + band
-        score, matched, a, b = align(index.words[t].tolist(), h[begin:end].tolist(), low, high)
+        score, matched, a, b = align(index.words[t].tolist(), h[begin:end].tolist(), least - begin - band, largest - begin + band)
         if matched >= COVERAGE * size:
             found.setdefault((d, t), []).append((score, matched, begin + a, begin + b))
-    for (d, t), all_ in found.items():
-        past = -1
-        for score, matched, a, b in sorted(all_, key=lambda x: (x[2], -x[0])):
-            if a >= past:
-                yield d, t, matched, int(w.start[a]), int(w.end[b - 1]), score
-                past = b
+    for (d, t), all_ in sorted(found.items()):
+        kept: list[tuple[int, int, int, int]] = []
+        for score, matched, a, b in sorted(all_, key=lambda x: (-x[0], x[2], -x[1])):
+            if all(b <= c or e <= a for _, _, c, e in kept):
+                kept.append((score, matched, a, b))
+        for score, matched, a, b in sorted(kept, key=lambda x: x[2]):
+            yield d, t, matched, int(w.start[a]), int(w.end[b - 1]), score
 
 
 RESULT = "doc_id long, license string, template string, first long, past long, matched long, template_words long, coverage double"

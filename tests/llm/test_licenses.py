@@ -73,3 +73,43 @@ def test_edge_cases(spark):
     got = sorted((str(r.doc_id), r.license, r.first) for r in licenses.scanned(docs).collect())
     assert got == [("4", "MIT", 0), ("4", "MIT", 0), ("5", "GPL-3.0", 1_300_000), ("None", "Apache-2.0", 2), ("None", "Apache-2.0", 3 + len(SHORT[1]))]
     assert licenses.scanned(docs.limit(0)).count() == 0
+
+
+def edited(words):
+    """Every text that is one substituted, inserted or dropped word away."""
+    for i in range(len(words)):
+        yield [*words[:i], "changed", *words[i + 1 :]]
+        yield [*words[:i], *words[i + 1 :]]
+    for i in range(1, len(words)):
+        yield [*words[:i], "added", *words[i:]]
+
+
+@pytest.mark.parametrize("number", [t for t, x in enumerate(licenses.TEMPLATES) if x[1] == "short"])
+def test_one_edit_of_a_short_template(number):
+    words = [x.lower() for x in re.findall(r"[0-9A-Za-z]+", licenses.TEMPLATES[number][2])]
+    for text in edited(words):
+        code = {x: i for i, x in enumerate([*words, *text, "before", "after"])}
+        whole = [code[x] for x in ["before", *text, "after"]]
+        matched = licenses.align([code[x] for x in words], whole, -len(words), len(whole))[1]  # the full table
+        hits = [h for h in found(" ".join(["Before", *text, "after"])) if h[:2] == licenses.TEMPLATES[number][:2]]
+        assert [h[2] for h in hits] == ([matched] if matched >= licenses.COVERAGE * len(words) else []), text
+
+
+def test_edited_notices_from_the_review():
+    for text, matched in (("Released under the MIT Licence", 4), ("Released under an MIT License", 4), ("Released under the modified MIT License", 5)):
+        assert [h[:3] for h in found(f"Here. {text}. There.")] == [("MIT", "short", matched)]
+
+
+def test_an_edit_in_every_fifth_word_of_a_long_template():
+    for license_, kind, text in licenses.TEMPLATES:
+        if kind != "short":
+            words = [x.lower() for x in re.findall(r"[0-9A-Za-z]+", text)]
+            changed = ["changed" if i % 5 == 4 else x for i, x in enumerate(words)]
+            matched = licenses.align(words, changed, -len(words), len(words))[1]  # the full table
+            want = [(license_, kind, matched)] if matched >= licenses.COVERAGE * len(words) else []
+            assert [h[:3] for h in found(" ".join(changed)) if h[1] != "short"] == want
+
+
+def test_an_edited_notice_beside_a_whole_one():
+    hits = found("Released under the MIT licence. Released under the MIT License. Released under a MIT License.")
+    assert [h[:3] for h in hits] == [("MIT", "short", 4), ("MIT", "short", 5), ("MIT", "short", 4)]
