@@ -10,7 +10,9 @@ A document's language is the label with the largest sum of posterior probabiliti
 its score that label's mean probability.
 
 The model is fitted on a bounded sample of labelled rows: at most ``PER_LANG`` documents of each language, of at most
-``LONGEST`` bytes each, those of smallest hash.  Prediction sees the whole text and nothing else.
+``LONGEST`` bytes each, those of smallest hash.  Where a language has fewer texts of that length, longer ones follow, each
+by a window of ``WINDOW`` code points from its middle.  Training takes at most ``TRAIN_RUNS`` runs of words put together
+from them.  Prediction sees the whole text and nothing else.
 
 Defined cases: a null, empty or letterless text is ``und`` with score 0; with no labelled row every text with letters is
 ``und``; equal scores give the label that sorts first; extra columns are ignored by ``predicted``, kept by ``known``.
@@ -30,6 +32,7 @@ from . import textcore as tc
 
 PER_LANG = 300
 LONGEST = 20_000
+WINDOW = LONGEST // 4  # a code point has at most four bytes
 RUN = 64
 FEATURES = 1 << 16
 PASSES, STEP, BATCH, DECAY = 3, 0.3, 128, 1e-6
@@ -229,10 +232,13 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     """Learns from text and lang of the rows that are not held out; collects at most per_lang texts of a language."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.octet_length("text").between(1, LONGEST))
-    ranked = usable.select("doc_id", "lang").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    chosen = ranked.where(F.col("n") <= per_lang).select("doc_id", "lang").distinct()
-    rows = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").collect()  # per_lang rows of each language
+    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.octet_length("text") > 0))
+    usable = usable.select("doc_id", "lang", "text", (F.octet_length("text") > LONGEST).alias("long"))
+    ranked = usable.select("doc_id", "lang", "long").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id")))
+    chosen = ranked.where(F.col("n") <= per_lang).select("doc_id", "lang", "long").distinct()
+    middle = F.substring("text", F.greatest(F.lit(1), F.expr(f"(char_length(text) - {WINDOW}) div 2 + 1").cast("int")), F.lit(WINDOW))
+    text = F.when(F.col("long"), middle).otherwise(F.col("text")).alias("text")
+    rows = usable.join(F.broadcast(chosen), ["doc_id", "lang", "long"], "left_semi").select("doc_id", "lang", text).collect()  # per_lang rows of each language
     rows = sorted({(r.doc_id, r.lang, r.text) for r in rows})
     return train([(text, lang) for _, lang, text in rows])
 

@@ -82,3 +82,14 @@ def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "ab cd", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in langid.predicted(docs, langid.fit(docs)).collect()] == [("und", 0.0)]
     assert langid.predicted(docs.limit(0), langid.fit(docs.limit(0))).count() == 0
+
+
+def test_language_with_long_texts_only(spark):
+    rnd = np.random.default_rng(4)
+    rows, kinds = sample(rnd, 30)
+    rows = [(i, t, lang) for i, (t, lang) in enumerate(rows) if lang != "bb"] + [(i, words_of(5_000, kinds["bb"], rnd), "bb") for i in range(500, 504)]
+    assert min(len(t) for _, t, lang in rows if lang == "bb") > langid.LONGEST
+    docs = spark.createDataFrame([*rows, (900, words_of(30, kinds["bb"], rnd), None)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.labels == ["aa", "bb", "cc"]
+    assert [r.lang_pred for r in langid.predicted(docs.where("doc_id = 900"), model).collect()] == ["bb"]

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 import public_tokenizers
 from conflux.llm import langid, minhash
@@ -59,3 +61,15 @@ def test_stage_edge_cases(spark):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() >= 0, name
         assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
+def test_text_of_no_learned_language_goes(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rnd = random.Random(5)
+    odd = []
+    for at, letters in enumerate(["abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшщыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"]):
+        odd += [(10**9 + 20 * at + i, " ".join("".join(rnd.choices(letters, k=rnd.randint(2, 9))) for _ in range(80))) for i in range(20)]
+    foreign = spark.createDataFrame(odd, "doc_id long, text string")
+    kept = [r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(foreign, allowMissingColumns=True), SF).select("doc_id").collect()]
+    assert sorted(d for d in kept if d < 10**9) == sorted(r.doc_id for r in docs.collect())
+    assert sum(d >= 10**9 for d in kept) <= len(odd) // 10
