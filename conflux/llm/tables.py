@@ -1,37 +1,28 @@
-"""Reading inputs and writing intermediate tables where every executor can read them."""
+"""Reading inputs, bounded batches of texts, and intermediate tables (see ``conflux.shared``)."""
 
 from __future__ import annotations
 
-import uuid
-
+from conflux.shared import dropped, shared_dir, stored
 from pyspark.sql import DataFrame, SparkSession
 
+__all__ = ["bounded", "dropped", "shared_dir", "stored", "table"]
 
-#: Arrow batches of whole texts: without a bound, ten thousand long texts would meet in one batch.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: Most rows and bytes of an Arrow batch of whole texts: without a bound, ten thousand long texts would meet in one batch.
+LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    for key, value in BATCH.items():
-        spark.conf.set(key, value)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (single machine, tests) one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext.getCheckpointDir()
-        found = held or "file:///tmp/conflux-shared"
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Ends a plan in columnar files of the shared folder; later readers start there and take only the columns they need.
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches bounded; every operator that hands whole texts to Python calls it.
 
-    Files are of this run alone (a fresh name); they live until the folder is cleared.
+    Spark reads these settings when the plan runs, so they stay; a smaller value of the caller is left as it is.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    conf = df.sparkSession.conf
+    for key, most in LIMITS.items():
+        now = conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return df

@@ -4,8 +4,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conflux.llm import packing, queries
+from conflux.llm import textcore as tc
 from tokenizers import Tokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -109,12 +111,52 @@ def test_edge_cases(spark):
     assert packing.packed(packing.tokenised(docs.limit(0), PATH)).count() == 0
 
 
-def test_words_are_forgotten(monkeypatch):
-    import pyarrow as pa
-    from conflux.llm import textcore as tc
+def test_hard_mix_meets_its_bound(spark):
+    for n in (600, 4000):
+        rnd = random.Random(9)
+        rows = [(0, 0, 0, rnd.choice([700, 1100, 1400, 1500, 2100, 2700, 4096, 5]), 0) for _ in range(n)]  # one row repeated
+        got = packing.packed(spark.createDataFrame(rows, packing.PIECES)).collect()
+        assert check_layout(got) == packing.lower_bound(np.array([r[3] for r in rows]))
+        assert {(r.part_bins, r.part_bound) for r in got} == {(got[0].part_bins, got[0].part_bins)}
 
+
+def test_repacking_saves_bins():
+    """Groups of three that fill a bin exactly; best fit decreasing misses many of them."""
+    rnd = random.Random(5)
+    lengths = []
+    for _ in range(120):
+        a, b = rnd.randint(1030, 1600), rnd.randint(1030, 1300)
+        lengths += [a, b, 4096 - a - b]
+    lengths = np.array(lengths)
+    first = packing.best_fit(lengths)[0]
+    better = packing.improved(lengths, first, packing.lower_bound(lengths), 1)
+    assert np.bincount(better, weights=lengths).max() <= 4096 and len(np.unique(better)) == better.max() + 1
+    assert 120 <= better.max() + 1 < first.max() + 1
+
+
+def test_words_are_forgotten():
     encoder, tokenizer = packing.WordEncoder(PATH, held=200, recent=60), Tokenizer.from_file(PATH)
     for k in range(8):
         text = " ".join(f"w{k * 30 + i} x{i}" for i in range(40))
         _, _, texts = next(tc.chunks(pa.array([text])))
         assert encoder(texts)[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder.ids.n <= 200 + 60 + 80
+
+
+def test_ids_of_odd_texts():
+    encoder, tokenizer = packing.WordEncoder(PATH, held=2000, recent=60), Tokenizer.from_file(PATH)
+    rnd = random.Random(8)
+    pieces = ["J\u030c", "j\u030c", "A\u0301", "q\u0301", "\u0130", "\u03a3", "\u212a", "\u00d7", "\u00f7", "\u00a0", "'s", "'S", "'re", ".", ",", "...", "!?", "<|endoftext|>", "<|startoftext|>", "\u00c9", "\u0149", "\u0105", "\ufb01", "\u4e2d", "\u0660", "5", "42", "ab", "The", "&&", "\"", "-", "\u2019", "\u200b", "\ud55c", "\u1112\u1161", "\U0001f600", "\x01", " ", " ", "\n"]
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 30))) for _ in range(3000)]
+    _, _, column = next(tc.chunks(pa.array(texts), 1 << 40))
+    ids, bounds = encoder(column)
+    for i, text in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_two_words_of_one_hash(monkeypatch):
+    monkeypatch.setattr(tc.SpanHash, "__call__", lambda self, start, end: (end - start).astype(np.uint64))
+    encoder, tokenizer = packing.WordEncoder(PATH), Tokenizer.from_file(PATH)
+    for text in ("abc", "abc abd xyz", "zzz"):
+        _, _, texts = next(tc.chunks(pa.array([text])))
+        assert encoder(texts)[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
