@@ -8,6 +8,8 @@ _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 
 def mixing_sql(documents: str = "documents") -> str:
+    """Systematic sampling as the contract has it, in 128-bit numbers: expected copies (rate in units of 2^-30) are
+    summed along a source from its offset on, and a document is taken once for each whole number passed."""
     return rf"""
 WITH d AS (SELECT doc_id, source, {_WORDS}::BIGINT AS size FROM {documents}),
 per AS (SELECT source, count(*) AS n_docs, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -16,7 +18,7 @@ ranked AS (
   SELECT *, row_number() OVER o AS rn, sum(source_size) OVER () AS all_words,
     coalesce(sum(source_size * {mixing.CAP}) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_words,
     sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight
-  FROM weighted WINDOW o AS (ORDER BY source_size / weight, source IS NULL, source)),
+  FROM weighted WINDOW o AS (ORDER BY source_size * 6 // weight, source IS NULL, source)),
 level AS (
   SELECT rn AS k, full_words AS fw, open_weight AS ow FROM ranked
   WHERE (all_words - full_words) * weight <= source_size * {mixing.CAP} * open_weight ORDER BY rn LIMIT 1),
@@ -26,14 +28,14 @@ aimed AS (
   FROM ranked LEFT JOIN level ON true),
 rated AS (
   SELECT source, source_size, target, ceil(n_docs / {mixing.CELL})::BIGINT AS cells,
-    CASE WHEN source_size = 0 THEN 0 ELSE least(floor(target / source_size * {mixing.UNIT})::BIGINT, {mixing.CAP * mixing.UNIT}) END AS rate,
-    ('0x' || substr(md5('{mixing.SEED}' || coalesce(source, '')), 1, 7))::BIGINT % {mixing.UNIT} AS shift
+    CASE WHEN source_size = 0 THEN 0 ELSE least(floor(target / source_size * {mixing.UNIT})::BIGINT, {mixing.CAP * mixing.UNIT}) END::HUGEINT AS rate,
+    (('0x' || substr(md5('{mixing.SEED}' || coalesce('s' || source, 'n')), 1, 15))::BIGINT % {mixing.UNIT})::HUGEINT AS start
   FROM aimed),
 dealt AS (
-  SELECT d.*, source_size, target, rate, shift, (((coalesce(doc_id, 0) % {1 << 31}) * 2654435761) % 4294967291) % cells AS cell
+  SELECT d.*, source_size, target, rate, start, (((coalesce(doc_id, 0) % {1 << 31}) * 2654435761) % 4294967291) % cells AS cell
   FROM d JOIN rated ON d.source IS NOT DISTINCT FROM rated.source),
 placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cell, size, doc_id NULLS FIRST) AS place FROM dealt),
-counted AS (SELECT *, ((shift + place * rate) >> 30) - ((shift + (place - 1) * rate) >> 30) AS copies FROM placed)
+counted AS (SELECT *, (start + place * rate) // {mixing.UNIT} - (start + (place - 1) * rate) // {mixing.UNIT} AS copies FROM placed)
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies::BIGINT AS copies FROM counted
 """
 

@@ -68,6 +68,42 @@ def test_more_sources_than_are_broadcast(spark, monkeypatch):
     assert sorted(map(str, mixing.mixed(docs).collect())) == want
 
 
+def test_many_small_sources_meet_their_targets_in_sum(spark):
+    """Offsets are uniform in [0, 1): of sources with one document, as many emit it as their rates add up to."""
+    rows = [(i, f"s{i:04d}", "w " * (1 + i % 7 * 5)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mixed(docs).collect()
+    want = targets([(f"s{i:04d}", 1 + i % 7 * 5) for i in range(3000)])
+    by_rate = {}
+    for r in got:
+        rate = r.target / r.source_size
+        assert r.target == pytest.approx(want[f"s{r.doc_id:04d}"])
+        assert rate - 1 < r.copies < rate + 1
+        n, total, expected = by_rate.get(round(rate, 2), (0, 0, 0.0))
+        by_rate[round(rate, 2)] = n + 1, total + r.copies, expected + rate
+    for n, total, expected in by_rate.values():
+        assert abs(total - expected) <= 4 * (n / 4) ** 0.5 + 1
+    shifts = sorted(r["shift"] / mixing.UNIT for r in mixing.targets(docs.select("source", mixing.size_of(docs.text).alias("size"))).collect())
+    assert max(abs(x - (i + 0.5) / 3000) for i, x in enumerate(shifts)) < 0.04
+
+
+def test_one_id_repeated(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 100)
+    rows = [(7, "a", "w w w")] * 5000 + [(i, "b", "w " * (i % 4)) for i in range(200)] + [(7, "a", "w x w")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mixed(docs).collect()
+    assert len(got) == len(rows)
+    a = [r for r in got if r.source_size == 5003 * 3]
+    rate = a[0].target / a[0].source_size
+    assert abs(sum(r.copies for r in a) - rate * len(a)) < 2
+    again = mixing.mixture(docs)
+    assert again.count() == sum(r.copies for r in got)
+    con = duckdb.connect()
+    documents = docs.toPandas()  # noqa: F841
+    con.execute("CREATE VIEW docs AS SELECT * FROM documents")
+    assert sorted(con.execute(oracles.mixing_sql("docs")).fetchall()) == sorted(map(tuple, got))
+
+
 def test_edge_cases(spark):
     rows = [(1, None, "s", 5), (2, "", "s", 5), (3, "a b", None, 5), (3, "a b", None, 5), (None, "c d e", "s", 5), (4, "\t\n", "empty", 5), (5, "w " * 100_000, "t", 5), (6, "x", "", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long")
