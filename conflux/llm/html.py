@@ -1,7 +1,8 @@
 """Main-text extraction: gradient-boosted trees over DOM-node features and hierarchical decoding.
 
-A page is parsed into block elements (inline elements belong to their block's text; a run of text directly between
-blocks is a node of its own).  Every node gets features: the learned log-odds of its tag and attribute tokens and of its
+A page is read tag by tag in time linear in its length: a tag ends at the first ``>`` outside quoted values; a ``<`` that
+meets another one or the page's end first is text.  The page becomes block elements (inline elements belong to their
+block's text, but those marked as advertising are nodes; a run of text directly between blocks is a node of its own).  Every node gets features: the learned log-odds of its tag and attribute tokens and of its
 nearest marked ancestor, depth, position and number of siblings, text length and link density, and the same measures of
 its whole subtree.  Boosted regression trees, trained here on generated labelled pages, give each node's probability of
 being main text.
@@ -11,7 +12,7 @@ of log-probabilities under the rule that below boilerplate everything is boilerp
 So an ancestor and a descendant never contradict each other, and an advert inside an article can still be left out.
 The text of main nodes is returned, one line per block.
 
-Defined cases: a null or empty html gives an empty text; a page without any block element is its text; markup that never closes ends with the page; unknown character
+Defined cases: a null or empty html gives an empty text; a page without any block element is its text; markup that never closes ends with the page; a marked inline element ends with its block; unknown character
 references stay as they are; repeated rows are extracted separately; an empty table gives an empty result; extra columns
 are ignored.
 """
@@ -30,9 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+from . import textcore as tc
+from .tables import bounded
+
+INLINE = set("math mi mo mn ms mrow mtext mfrac msqrt msub msup msubsup semantics a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = set("script style noscript template iframe svg math object canvas audio video select textarea head title button".split())
+SILENT = set("script style noscript template iframe svg select textarea head title button".split())
+#: Words of attributes that make an inline element a node of its own.
+ADVERTISING = set("ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored promo banner".split())
 RAW = set("script style textarea title noscript iframe template".split())
 #: An opening tag on the left ends an open element of the kinds on the right, up to the nearest border.
 ENDS = {
@@ -40,7 +46,8 @@ ENDS = {
 }
 BORDER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+NAME = re.compile(r"/?[a-zA-Z][^\s/><]*")
+STOP = re.compile(r"[<>\"']")
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label|data-component)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 PIECE = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
@@ -55,6 +62,7 @@ class Node:
     place: int
     text: str = ""
     linked: int = 0
+    line: int = -1  # texts of one line are put together again
     children: list[int] = field(default_factory=list)
 
 
@@ -67,88 +75,169 @@ def _marks(attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(found))
 
 
+class Tags:
+    """Tags of a page one after another; every ``find`` that fails is remembered, so nothing is searched twice."""
+
+    def __init__(self, page: str):
+        self.page, self.absent = page, dict.fromkeys(("-->", "]]>", ">", '"', "'"), len(page) + 1)
+
+    def find(self, what: str, at: int) -> int:
+        if at >= self.absent[what]:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.absent[what] = at
+        return found
+
+    def end(self, at: int) -> int:
+        """Place of the ``>`` that ends a tag whose attributes begin at ``at``; -1 if it has none."""
+        while m := STOP.search(self.page, at):
+            if m[0] == ">":
+                return m.start()
+            if m[0] == "<":
+                return -1
+            close = self.find(m[0], m.end())
+            if close < 0:  # a quote that never closes is a character like others
+                close = m.start()
+            at = close + 1
+        return -1
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, str, str]]:
+        """(start, end, kind, name, attributes) of what is no text; kind is '', '/', 'cdata' or 'note'."""
+        page, at = self.page, 0
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                close = self.find("-->", at + 4)
+                new = close + 3 if close >= 0 else len(page)
+                yield at, new, "note", "", ""
+            elif page.startswith("<![CDATA[", at):
+                close = self.find("]]>", at + 9)
+                new = close + 3 if close >= 0 else len(page)
+                yield at, new, "cdata", "", page[at + 9 : close if close >= 0 else len(page)]
+            elif page.startswith(("<!", "<?"), at):
+                close = self.find(">", at)
+                new = close + 1 if close >= 0 else at + 1
+                if close >= 0:
+                    yield at, new, "note", "", ""
+            else:
+                m = NAME.match(page, at + 1)
+                close = self.end(m.end()) if m else -1
+                new = close + 1 if close >= 0 else at + 1
+                if m and close >= 0:
+                    name = m[0].lower()
+                    jump = yield at, new, name[0] if name[0] == "/" else "", name.lstrip("/"), page[m.end() : close]
+                    if jump is not None:
+                        new = jump
+                        yield at, new, "note", "", ""  # the answer to send()
+            at = new
+
+
 def parse(page: str) -> list[Node]:
     """Nodes in page order; node 0 is the page."""
     nodes = [Node("#page", (), -1, 0, 0)]
-    open_: list[int] = [0]  # block elements
+    open_: list[int] = [0]  # elements
+    where: dict[str, list[int]] = {}  # places of each tag in open_
     pieces: list[str] = []
-    links, linked = 0, 0
-    silent = 0
-    at = 0
+    links = linked = silent = line = at = 0
 
-    def flush() -> None:
-        nonlocal linked
+    def flush(ends: bool = True) -> None:
+        nonlocal linked, line
         if pieces:
-            text = SPACE.sub(" ", html_lib.unescape("".join(pieces))).strip()
+            text = SPACE.sub(" ", html_lib.unescape("".join(pieces)))
             pieces.clear()
-            if text:
+            if text.strip():
                 own = nodes[open_[-1]]
-                child = Node("#text", (), open_[-1], own.depth + 1, len(own.children), text, linked)
+                child = Node("#text", (), open_[-1], own.depth + 1, len(own.children), text, linked, line)
                 own.children.append(len(nodes))
                 nodes.append(child)
         linked = 0
+        line += ends
 
-    def close(tag_at: int) -> None:
+    def close(place: int, ends: bool = True) -> None:
         nonlocal silent
-        flush()
-        for n in open_[tag_at:]:
+        flush(ends)
+        for n in open_[place:]:
             silent -= nodes[n].tag in SILENT
-        del open_[tag_at:]
-
-    while True:
-        m = TOKEN.search(page, at)
-        chunk = page[at : m.start() if m else len(page)]
-        if chunk and not silent:
-            pieces.append(chunk)
-            linked += links and len(chunk)
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA[") and not silent:
-                pieces.append(html_lib.escape(m[0][9:].removesuffix("]]>")))
+            where[nodes[n].tag].pop()
+        del open_[place:]
+
+    def open_one(tag: str, marks: tuple[str, ...]) -> None:
+        nonlocal silent
+        own = nodes[open_[-1]]
+        nodes.append(Node(tag, marks, open_[-1], own.depth + 1, len(own.children)))
+        own.children.append(len(nodes) - 1)
+        where.setdefault(tag, []).append(len(open_))
+        open_.append(len(nodes) - 1)
+        silent += tag in SILENT
+
+    def last(tags: set[str]) -> int:
+        return max((where[t][-1] for t in tags if where.get(t)), default=0)
+
+    def text_to(end: int) -> None:
+        nonlocal linked
+        if end > at and not silent:
+            pieces.append(page[at:end])
+            linked += links and end - at
+
+    tokens = Tags(page).__iter__()
+    for start, end, kind, tag, rest in tokens:
+        text_to(start)
+        at = end
+        if kind == "note":
+            continue
+        if kind == "cdata":
+            if not silent:
+                pieces.append(html_lib.escape(rest))
             continue
-        tag, closing = m[2].lower(), bool(m[1])
+        closing = kind == "/"
         if tag in INLINE:
             if tag == "br":
                 pieces.append(" ")
             elif tag == "a":
                 links = max(0, links - 1) if closing else links + 1
+            if closing and where.get(tag):  # only marked ones are open, and nothing but inline elements inside them
+                close(where[tag][-1], ends=False)
+            elif not closing and rest and not silent and not where.get(tag) and not ADVERTISING.isdisjoint(marks := _marks(rest)):
+                flush(ends=False)
+                open_one(tag, marks)
             continue
         if closing:
-            for i in range(len(open_) - 1, 0, -1):
-                if nodes[open_[i]].tag == tag:
-                    close(i)
-                    links = 0
-                    break
+            if where.get(tag):
+                close(where[tag][-1])
+                links = 0
             continue
         flush()
         links = 0
         if tag in VOID:
             continue
-        if tag in ENDS:
-            for i in range(len(open_) - 1, 0, -1):
-                if (t := nodes[open_[i]].tag) in BORDER[tag]:
-                    break
-                if t in ENDS[tag]:
-                    close(i)
-                    break
+        while nodes[open_[-1]].tag in INLINE:  # a block ends a marked inline element
+            close(len(open_) - 1)
+        if tag in ENDS and (place := last(ENDS[tag])) > last(BORDER[tag]):
+            close(place)
         if nodes[open_[-1]].tag == "p":  # a block ends an open paragraph
             close(len(open_) - 1)
-        if m[3].endswith("/") and tag in ("svg", "math", "iframe", "template", "path"):
+        if rest.endswith("/") and tag in ("svg", "iframe", "template", "path"):
             continue
-        own = nodes[open_[-1]]
-        nodes.append(Node(tag, _marks(m[3]), open_[-1], own.depth + 1, len(own.children)))
-        own.children.append(len(nodes) - 1)
-        open_.append(len(nodes) - 1)
-        silent += tag in SILENT
+        open_one(tag, _marks(rest))
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.start() if end else len(page)
+            found = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            at = found.start() if found else len(page)
+            tokens.send(at)
+    text_to(len(page))
     flush()
     return nodes
 
 
+def lines(nodes: list[Node], chosen: list[bool]) -> str:
+    """The chosen texts, one line for each run of text."""
+    runs: dict[int, list[str]] = {}
+    for x, yes in zip(nodes, chosen, strict=True):
+        if yes and x.text:
+            runs.setdefault(x.line, []).append(x.text)
+    found = (SPACE.sub(" ", "".join(run)).strip() for run in runs.values())
+    return "\n".join(x for x in found if x)
+
+
 FEATURES = 18
 #: Tags of single blocks; what encloses them tells more about a text than they do.
 BLOCK_TAGS = set("p h1 h2 h3 h4 h5 h6 li dt dd td th tr table pre blockquote".split())
@@ -252,6 +341,7 @@ OTHER_SHELLS = (
     "div class=popup|div class=modal|form|form class=search|form class=newsletter|div class=newsletter-signup|div class=subscribe|section class=comments|div id=comments|div class=comment|ol class=comment-list|div class=reader-comments|"
     "div class=disqus|div class=related|div class=recommended|div class=share|div class=social-links|div class=breadcrumbs|div class=pagination|div class=tags|div class=widget|div class=copyright|div class=toolbar"
 ).split("|")
+INLINE_OTHER = "ins class=ad|ins class=adsbygoogle|span class=advert|span class=ad|span class=sponsored|a class=promo|em class=advertisement|span id=ad-inline|a class=ad-link|b class=banner".split("|")
 WRAPPERS = "div|div class=page|div id=wrapper|div class=container|div class=row|section|div class=layout|div id=root".split("|")
 INNER = "div class=ad|aside|div class=share|div class=related|div class=notice|form class=newsletter|div class=promo|div class=advert|nav class=toc|section class=comments|footer|header".split("|")
 
@@ -283,6 +373,8 @@ def labelled_page(rnd: random.Random) -> tuple[str, set[str]]:
             text = words(size, is_main)
             if rnd.random() < 0.2:
                 text = f'<a href="/x">{text}</a>' if rnd.random() < 0.3 else f"<b>{text}</b>"
+            if is_main and rnd.random() < 0.04:
+                text += shell(rnd.choice(INLINE_OTHER), words(rnd.choice([2, 6, 20]), False)) + words(rnd.choice([1, 9, 30]), True)
             made.append({"li": f"<ul><li>{text}</ul>", "td": f"<table><tr><td>{text}</table>"}.get(tag, f"<{tag}>{text}</{tag}>"))
         return made
 
@@ -397,15 +489,18 @@ def main_texts(pages: list[str | None], odds: dict[str, float], trees: Trees) ->
     out, at = [], 0
     for nodes, n in zip(parsed, sizes, strict=True):
         if all(x.tag[0] == "#" for x in nodes):  # a page without markup is its text
-            out.append("\n".join(x.text for x in nodes if x.text))
+            out.append(lines(nodes, [True] * n))
             at += n
             continue
         chosen = decode(nodes, measures[at : at + n], scores[at : at + n]) if n else []
-        out.append("\n".join(x.text for x, yes in zip(nodes, chosen, strict=True) if yes and x.text))
+        out.append(lines(nodes, chosen))
         at += n
     return out
 
 
+SLICE = 512 << 10  # bytes of pages that are scored together
+
+
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     model = pages.sparkSession.sparkContext.broadcast(trained())
@@ -413,9 +508,9 @@ def extracted(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odds, trees = model.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
+            for lo, hi, _ in tc.chunks(batch.column(2), SLICE):
+                part = batch.slice(lo, hi - lo)
                 texts = main_texts(part.column(2).to_pylist(), odds, trees)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return bounded(pages).select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from conflux.llm import html, queries
@@ -39,6 +40,9 @@ def test_held_out_generated_pages():
         ("<nav><ul><li><a href=x>Home</a></ul></nav><article><h1>T</h1><p>Unclosed <p>Next<script>var t='</p>'</script><style>p{}</style></article><footer>(c)</footer>", "T\nUnclosed\nNext"),
         ("<article><!-- <p>no</p> --><p title='a > b'>yes</p><div class=\"ad\">Buy</div><form><p>Sign up</p></form></article><div id=comments><p>Great post, thanks!</p></div>", "yes"),
         ("<article><p>never ends", "never ends"),
+        ('<article><h1>T</h1><p>One <ins class="ad">Buy now cheap</ins> two.</p><p>three <span class="advert">click <b>here</b> now</span>four</p></article>', "T\nOne two.\nthree four"),
+        ("<article><p>a <a class='header-link' href=x>keep</a> b, x<y and z.</p></article>", "a keep b, x<y and z."),
+        ("<article><p>Area <math><mi>x</mi><mo>+</mo><mn>2</mn></math> ok</p><object><p>fallback text of it</p></object></article>", "Area x+2 ok\nfallback text of it"),
         ("<header><h1>Site</h1></header><aside>Side bar text</aside><main><p>Main part of it.</p></main><div class='cookie-notice'>We use cookies.</div>", "Main part of it."),
     ],
 )
@@ -46,6 +50,22 @@ def test_cases(page, want):
     assert text_of(page) == want
 
 
+@pytest.mark.parametrize(
+    "page",
+    ["<b" * 500_000, "<a " * 340_000, '<a "' * 250_000, "<a '" * 125_000 + '<a "' * 125_000, '<a b="x>" ' * 100_000, "<div>" * 5000 + "</p>" * 200_000, "<div>" * 60_000 + "</span>" * 60_000,
+     "<ul><li><ol>" + "<div>" * 20_000 + "<li></li>" * 50_000, "<" * 1_000_000, "<!--" * 250_000, "<script>" * 120_000, "</script" * 120_000, '<p class="' * 100_000, "<ins class=ad><div>" * 20_000],
+    ids=lambda page: page[:12],
+)
+def test_hostile_pages_take_linear_time(page):
+    def seconds(part):
+        start = time.process_time()
+        html.main_texts([part], *html.trained())
+        return time.process_time() - start
+
+    html.trained()
+    assert seconds(page) < 12 * seconds(page[: len(page) // 4]) + 1  # quadratic would be 16 times
+
+
 def test_decoding_never_contradicts_ancestors():
     import numpy as np
 
