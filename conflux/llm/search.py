@@ -1,20 +1,31 @@
-"""Exact top-k search: BM25 over an inverted index with block-max dynamic pruning, per shard, merged exactly.
+"""Exact top-k search: BM25 over an inverted index with block-max WAND dynamic pruning, per shard, merged exactly.
 
 Global statistics (number of documents, mean length, document frequency of each term) are aggregated first, so every
 shard scores with the same weights and the union of the shards' top k holds the global top k.
 
-A shard is the documents of one task.  Its index holds, for every term, its postings in document order and, for each
-block of ``BLOCK`` documents, the largest BM25 contribution in the block.  For a query the block maxima of its terms sum
-to an upper bound of every block; blocks are taken from the highest bound down, in steps, and a block whose bound is
-below the k-th best score so far is never opened (block-max WAND's skip, taken a block at a time so that numpy scores
-whole blocks).  Queries come to the shards in blocks, from a table in the shared folder.
+A shard is some documents of one task.  Its index is built once and asked all queries; it holds for every term its
+postings and largest BM25 contribution, and, for terms of at least one document in ``HEAD``, the largest contribution in
+each block of ``BLOCK`` documents of similar words and length.
+
+A query comes with a threshold that its k-th best score is known to reach.  Its frequent terms in the order of their
+upper bounds are passed over while these sum to less than the threshold (a share of it): no document is a candidate for
+them alone, which is WAND's choice of the pivot, made once for the whole shard.  Postings of the other terms are summed.
+A document whose sum and whose block's maxima of the terms passed over stay below the threshold is skipped (the
+block-max check); only the others are looked up in the terms passed over.  All documents of a shard take these steps
+together in array operations, instead of one cursor movement after another.
+
+Thresholds come from the documents themselves, by hash: those of the first of ``SHARES`` are searched without one, the
+next with the k-th best score so far, and the rest with the best of both.  So a shard returns only documents that are
+among the best of a known share, and rows returned grow with queries * k, not with shards.
 
 A term is a lower-cased word (see textcore) and is known by its 64-bit hash.  Scores: sum over the query's distinct
 terms of count in the query * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean length)), with
-idf = ln(1 + (N - df + 0.5) / (df + 0.5)), rounded to 1e-6; equal scores rank by smaller doc_id.
+idf = ln(1 + (N - df + 0.5) / (df + 0.5)), rounded to 1e-6; equal scores rank by smaller doc_id.  Bounds are in single
+precision with a margin; what is returned is scored again in double precision, term after term.
 
-Defined cases: null and empty texts are found by nothing and find nothing, null doc_ids are not searched; repeated rows are separate
-documents; fewer than k documents with a shared term give fewer rows; extra columns are ignored.
+Defined cases: null and empty texts are found by nothing and find nothing, null doc_ids are not searched; repeated rows
+are separate documents, and as queries one; fewer than k documents with a shared term give fewer rows; an empty table of
+documents or queries gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +40,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .tables import stored
+from .tables import bounded, stored
 
 K1, B = 1.2, 0.75
 BLOCK = 64
+HEAD = 32
 K = 10
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 3_000_000  # postings of a shard, about 60 bytes each
+TERM_WORDS = 1_000_000
+PASSED = 0.7  # of the threshold, at most, may be left to terms that are passed over
+MARGIN = 1e-4  # relative error allowed to single precision
+PARTS = 64
+SHARES = (1, 8, PARTS)  # documents are searched in these steps, in units of 1 / PARTS
 
 
 def _terms(texts: tc.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -51,7 +68,7 @@ def _terms(texts: tc.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def _text_rows(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return bounded(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def frequencies(docs: DataFrame) -> DataFrame:
@@ -71,7 +88,7 @@ def frequencies(docs: DataFrame) -> DataFrame:
                 _, h, _, counts = _terms(texts)
                 held.append(h)
                 size, number, words = size + len(h), number + hi - lo, words + int(counts.sum())
-                if size > SHARD_WORDS:
+                if size > TERM_WORDS:
                     yield flush()
                     size = 0
         yield flush()
@@ -93,89 +110,124 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 class Shard:
-    """Inverted index of some documents."""
+    """Inverted index of some documents, and the terms of each for exact scores."""
 
     def __init__(self, ids: np.ndarray, owner: np.ndarray, term: np.ndarray, tf: np.ndarray, length: np.ndarray, mean: float):
-        order = np.argsort(ids, kind="stable")  # documents by id: ties fall to the smaller one
-        rank = np.empty(len(ids), np.int64)
-        rank[order] = np.arange(len(ids))
-        self.ids = ids[order]
-        doc = rank[owner]
-        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / mean))
-        order = np.lexsort((doc, term))
-        self.doc, self.impact, term = doc[order].astype(np.int32), impact[order], term[order]
-        block = self.doc // BLOCK
-        new = np.ones(len(term), dtype=bool)
-        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-        self.entry = np.append(np.flatnonzero(new), len(term))  # postings of one term in one block
-        self.entry_block = block[self.entry[:-1]]
-        self.entry_most = np.maximum.reduceat(self.impact, self.entry[:-1]) if len(term) else np.zeros(0)
-        self.terms, first = np.unique(term[self.entry[:-1]], return_index=True)
-        self.first = np.append(first, len(self.entry) - 1)
-        self.blocks = -(-len(ids) // BLOCK)
-
-    def top(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the k best documents."""
+        n = len(ids)
+        self.ids, self.n = ids, n
+        self.norm = K1 * (1 - B + B * length / mean)
+        # owner rises and terms of one document rise: the forward index is as given
+        self.own_term, self.own_tf, self.own = term, tf.astype(np.int32), np.searchsorted(owner, np.arange(n + 1))
+        impact = (tf * (K1 + 1) / (tf + self.norm[owner])).astype(np.float32)
+        order = np.argsort(term, kind="stable")
+        self.doc, self.impact, term = owner[order].astype(np.int32), impact[order], term[order]
+        new = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
+        self.terms, self.first = term[new], np.append(new, len(term))
+        self.most = np.maximum.reduceat(self.impact, new) if len(new) else np.zeros(0, np.float32)
+        frequent = np.flatnonzero(np.diff(self.first) * HEAD >= n)
+        self.head = np.full(len(new), -1, np.int32)
+        self.head[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), n), np.float32)
+        for i, t in enumerate(frequent.tolist()):
+            at = slice(self.first[t], self.first[t + 1])
+            self.dense[i, self.doc[at]] = self.impact[at]
+        # blocks of documents led by the same frequent term, by length
+        lead = self.dense.argmax(axis=0) if len(frequent) else np.zeros(n, np.int64)
+        order = np.lexsort((length, lead))
+        self.block = np.empty(n, np.int64)
+        self.block[order] = np.arange(n) // BLOCK
+        edges = np.arange(0, n, BLOCK)
+        self.block_most = np.maximum.reduceat(self.dense[:, order], edges, axis=1) if n else self.dense
+
+    def exact(self, docs: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Scores of documents, summed in the order of their terms."""
+        size = self.own[docs + 1] - self.own[docs]
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - self.own[docs], size)
+        owner = np.repeat(np.arange(len(docs)), size)
+        spot = np.minimum(np.searchsorted(term, self.own_term[at]), len(term) - 1)
+        there = term[spot] == self.own_term[at]
+        at, owner, spot = at[there], owner[there], spot[there]
+        tf = self.own_tf[at].astype(np.float64)
+        return np.round(np.bincount(owner, weights=weight[spot] * (tf * (K1 + 1) / (tf + self.norm[docs[owner]])), minlength=len(docs)), 6)
+
+    def top(self, term: np.ndarray, weight: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the k best documents of those with a score of at least ``least``; terms rise."""
         at = np.minimum(np.searchsorted(self.terms, term), max(len(self.terms) - 1, 0))
         there = self.terms[at] == term if len(self.terms) else np.zeros(len(term), bool)
-        at, weight = at[there], weight[there]
+        at, by = at[there], weight[there].astype(np.float32)
         if not len(at):
             return np.zeros(0, np.int64), np.zeros(0)
-        number = self.first[at + 1] - self.first[at]
-        entry = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number) + np.repeat(self.first[at], number)
-        by = np.repeat(weight, number)
-        bound = np.bincount(self.entry_block[entry], weights=by * self.entry_most[entry], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        docs, scores = np.zeros(0, np.int64), np.zeros(0)
-        least, lo, step = 0.0, 0, 2
-        while lo < self.blocks and bound[order[lo]] > 0 and (len(docs) < k or bound[order[lo]] + 1e-5 >= least):
-            part = order[lo : lo + step]
-            part = part[bound[part] + 1e-5 >= least] if len(docs) >= k else part
-            chosen = np.zeros(self.blocks, dtype=bool)
-            chosen[part] = True
-            use = chosen[self.entry_block[entry]]
-            e, weights = entry[use], by[use]
-            size = self.entry[e + 1] - self.entry[e]
-            posting = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.entry[e], size)
-            found = np.bincount(self.doc[posting], weights=self.impact[posting] * np.repeat(weights, size), minlength=0)
-            hit = np.flatnonzero(found)
-            docs, scores = np.concatenate([docs, hit]), np.concatenate([scores, np.round(found[hit], 6)])
-            best = np.lexsort((docs, -scores))[:k]
-            docs, scores = docs[best], scores[best]
-            least = scores[-1] if len(docs) >= k else 0.0
-            lo, step = lo + step, step * 4
-        return docs, scores
-
-
-def top_k(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """query_id, rank (from 1), doc_id and score of the k best documents for each query."""
-    df = stored(frequencies(docs), "frequencies")
-    total = df.where("term is null").first()
-    number, mean = (total.df or 0, max((total.words or 0) / max(total.df or 0, 1), 1e-9)) if total else (0, 1.0)
-    idf = F.log(1 + (F.lit(float(number)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = query_terms(queries).join(df.where("term is not null").select("term", "df"), "term").select("query_id", "term", (F.col("count") * idf).alias("weight"))
-    asked = terms.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("t"))
-    asked = stored(asked.select("query_id", F.col("t.term").alias("term"), F.col("t.weight").alias("weight")), "queries")
-    files = asked.inputFiles()
+        floor = np.float32(least * (1 - MARGIN))
+        bound = by * self.most[at]
+        if float(bound.sum()) * (1 + MARGIN) < least:
+            return np.zeros(0, np.int64), np.zeros(0)
+        order = np.lexsort((bound, self.head[at] < 0))  # frequent terms by bound, then all others
+        passed = order[: int(np.searchsorted(np.cumsum(np.where(self.head[at[order]] >= 0, bound[order], np.inf)), PASSED * floor, side="right"))]
+        opened = np.ones(len(at), bool)
+        opened[passed] = False
+        lists = at[opened]
+        cuts = list(zip(self.first[lists].tolist(), self.first[lists + 1].tolist(), strict=True))
+        if cuts:
+            docs = np.concatenate([self.doc[a:b] for a, b in cuts])
+            part = np.concatenate([self.impact[a:b] for a, b in cuts]) * np.repeat(by[opened], self.first[lists + 1] - self.first[lists])
+            total = np.bincount(docs, weights=part, minlength=self.n)
+        else:
+            total = np.zeros(self.n)
+        if len(passed):
+            rows, share = self.head[at[passed]], by[passed]
+            found = np.flatnonzero((total > 0) & (total + (share @ self.block_most[rows])[self.block] >= floor))
+            total = total[found] + share @ self.dense[rows[:, None], found[None, :]]
+            good = total >= floor
+            found, total = found[good], total[good]
+        else:
+            found = np.flatnonzero((total > 0) & (total >= floor))
+            total = total[found]
+        if len(found) > k:
+            good = total >= np.partition(total, len(total) - k)[len(total) - k] * (1 - MARGIN)
+            found = found[good]
+        if not len(found):
+            return found, np.zeros(0)
+        scores = self.exact(found, term, weight)
+        good = np.flatnonzero(scores >= least)
+        good = good[np.lexsort((self.ids[found[good]], -scores[good]))[:k]]
+        return found[good], scores[good]
+
+
+def _read(files: list[str], rows: int, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    for file in files:
+        at, place = fs.FileSystem.from_uri(file)
+        with at.open_input_file(place) as f:
+            yield from pq.ParquetFile(f).iter_batches(rows, columns=columns)
+
+
+def _searched(docs: DataFrame, asked: DataFrame, known: DataFrame | None, mean: float, k: int) -> DataFrame:
+    """query_id, doc_id and score: the best documents of each shard, at least as good as the query's known threshold."""
+    files, bounds = asked.inputFiles(), known.inputFiles() if known is not None else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
         size = 0
+        least = [b for b in _read(bounds, 1 << 16, ["query_id", "least"])]
+        who = np.concatenate([np.zeros(0, np.int64), *(b.column("query_id").to_numpy() for b in least)])
+        floors = np.concatenate([np.zeros(0), *(b.column("least").to_numpy() for b in least)])
+        floors, who = floors[np.argsort(who)], np.sort(who)
+
+        def floor_of(query: int) -> float:
+            at = int(np.searchsorted(who, query))
+            return float(floors[at]) if at < len(who) and who[at] == query else 0.0
 
         def answers() -> Iterator[pa.RecordBatch]:
             ids = np.concatenate([p[0] for p in parts])
             bases = np.cumsum([0, *(len(p[0]) for p in parts)])
             shard = Shard(ids, *(np.concatenate([p[i] + (base if i == 1 else 0) for p, base in zip(parts, bases[:-1], strict=True)]) for i in (1, 2, 3, 4)), mean)
             parts.clear()
-            for file in files:
-                at, place = fs.FileSystem.from_uri(file)
-                with at.open_input_file(place) as f:
-                    for batch in pq.ParquetFile(f).iter_batches(256):
-                        rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                        for q, term, weight in zip(batch.column("query_id").to_pylist(), batch.column("term"), batch.column("weight"), strict=True):
-                            d, s = shard.top(term.values.to_numpy().view(np.uint64), weight.values.to_numpy(), k)
-                            rows.append((np.full(len(d), q), shard.ids[d], s))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names=["query_id", "doc_id", "score"])
+            for batch in _read(files, 256, ["query_id", "term", "weight"]):
+                rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                for q, term, weight in zip(batch.column("query_id").to_pylist(), batch.column("term"), batch.column("weight"), strict=True):
+                    d, s = shard.top(term.values.to_numpy().view(np.uint64), weight.values.to_numpy(), k, floor_of(q))
+                    rows.append((np.full(len(d), q), shard.ids[d], s))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names=["query_id", "doc_id", "score"])
 
         for batch in batches:
             for lo, hi, texts in tc.chunks(batch.column(1)):
@@ -188,6 +240,29 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         if parts:
             yield from answers()
 
-    found = _text_rows(docs).mapInArrow(run, "query_id long, doc_id long, score double")
+    return docs.mapInArrow(run, "query_id long, doc_id long, score double")
+
+
+def top_k(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+    """query_id, rank (from 1), doc_id and score of the k best documents for each query."""
+    df = stored(frequencies(docs), "frequencies")
+    total = df.where("term is null").first()
+    number, mean = (total.df or 0, max((total.words or 0) / max(total.df or 0, 1), 1e-9)) if total else (0, 1.0)
+    idf = F.log(1 + (F.lit(float(number)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    terms = query_terms(queries).distinct().join(df.where("term is not null").select("term", "df"), "term").select("query_id", "term", (F.col("count") * idf).alias("weight"))
+    # in the order of the hashes as unsigned numbers
+    asked = terms.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((F.col("term") < 0).alias("high"), "term", "weight"))).alias("t"))
+    asked = stored(asked.select("query_id", F.col("t.term").alias("term"), F.col("t.weight").alias("weight")), "queries")
     rank: Column = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    rows = _text_rows(docs).withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
+    best, known, lo = None, None, 0
+    for hi in SHARES:
+        part = rows.where((F.col("_part") >= lo) & (F.col("_part") < hi)).drop("_part")
+        found = _searched(part, asked, known, mean, k)
+        found = (found if best is None else found.unionByName(best)).withColumn("rank", rank).where(F.col("rank") <= k)
+        if hi == PARTS:
+            return found.select("query_id", "rank", "doc_id", "score")
+        best, lo = stored(found.select("query_id", "doc_id", "score", "rank"), "best"), hi
+        known = stored(best.where(F.col("rank") == k).select("query_id", F.col("score").alias("least")), "thresholds")
+        best = best.drop("rank")
+    raise AssertionError("the last share is PARTS")
