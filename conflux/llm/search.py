@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
@@ -48,9 +49,10 @@ HEAD = 32
 K = 10
 SHARD_WORDS = 3_000_000  # postings of a shard, about 60 bytes each
 TERM_WORDS = 1_000_000
-PASSED = 0.7  # of the threshold, at most, may be left to terms that are passed over
+PASSED = 0.5  # of the threshold, at most, may be left to terms that are passed over
 MARGIN = 1e-4  # relative error allowed to single precision
 PARTS = 64
+ASKED = 2048
 SHARES = (1, 8, PARTS)  # documents are searched in these steps, in units of 1 / PARTS
 
 
@@ -117,66 +119,86 @@ class Shard:
         self.ids, self.n = ids, n
         self.norm = K1 * (1 - B + B * length / mean)
         # owner rises and terms of one document rise: the forward index is as given
-        self.own_term, self.own_tf, self.own = term, tf.astype(np.int32), np.searchsorted(owner, np.arange(n + 1))
-        impact = (tf * (K1 + 1) / (tf + self.norm[owner])).astype(np.float32)
+        self.own_tf, self.own = tf.astype(np.int32), np.searchsorted(owner, np.arange(n + 1))
         order = np.argsort(term, kind="stable")
-        self.doc, self.impact, term = owner[order].astype(np.int32), impact[order], term[order]
-        new = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
-        self.terms, self.first = term[new], np.append(new, len(term))
-        self.most = np.maximum.reduceat(self.impact, new) if len(new) else np.zeros(0, np.float32)
+        by_term = term[order]
+        new = np.flatnonzero(np.concatenate([[True], by_term[1:] != by_term[:-1]])) if len(term) else np.zeros(0, np.int64)
+        self.terms, self.first = by_term[new], np.append(new, len(term))
+        del by_term
+        self.own_term = np.empty(len(term), np.int32)  # place in terms
+        self.own_term[order] = np.repeat(np.arange(len(new), dtype=np.int32), np.diff(self.first))
+        self.weight = np.zeros(len(new))  # of the query at hand
+        # a posting is a document and its impact
+        self.postings = np.empty((len(term), 2), np.int32)
+        self.postings[:, 0] = owner[order]
+        impact = self.postings[:, 1].view(np.float32)
+        impact[:] = (tf * (K1 + 1) / (tf + self.norm[owner]))[order]
+        self.most = np.maximum.reduceat(impact, new) if len(new) else np.zeros(0, np.float32)
         frequent = np.flatnonzero(np.diff(self.first) * HEAD >= n)
         self.head = np.full(len(new), -1, np.int32)
         self.head[frequent] = np.arange(len(frequent))
-        self.dense = np.zeros((len(frequent), n), np.float32)
+        self.dense = np.zeros((n, len(frequent)), np.float32)
         for i, t in enumerate(frequent.tolist()):
             at = slice(self.first[t], self.first[t + 1])
-            self.dense[i, self.doc[at]] = self.impact[at]
+            self.dense[self.postings[at, 0], i] = impact[at]
         # blocks of documents led by the same frequent term, by length
-        lead = self.dense.argmax(axis=0) if len(frequent) else np.zeros(n, np.int64)
+        lead = self.dense.argmax(axis=1) if len(frequent) else np.zeros(n, np.int64)
         order = np.lexsort((length, lead))
         self.block = np.empty(n, np.int64)
         self.block[order] = np.arange(n) // BLOCK
-        edges = np.arange(0, n, BLOCK)
-        self.block_most = np.maximum.reduceat(self.dense[:, order], edges, axis=1) if n else self.dense
+        self.block_most = np.stack([self.dense[order[lo : lo + BLOCK]].max(axis=0) for lo in range(0, n, BLOCK)], axis=1) if n else self.dense.T
 
-    def exact(self, docs: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    def exact(self, docs: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Scores of documents, summed in the order of their terms."""
         size = self.own[docs + 1] - self.own[docs]
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - self.own[docs], size)
+        own = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - self.own[docs], size)
         owner = np.repeat(np.arange(len(docs)), size)
-        spot = np.minimum(np.searchsorted(term, self.own_term[at]), len(term) - 1)
-        there = term[spot] == self.own_term[at]
-        at, owner, spot = at[there], owner[there], spot[there]
-        tf = self.own_tf[at].astype(np.float64)
-        return np.round(np.bincount(owner, weights=weight[spot] * (tf * (K1 + 1) / (tf + self.norm[docs[owner]])), minlength=len(docs)), 6)
-
-    def top(self, term: np.ndarray, weight: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the k best documents of those with a score of at least ``least``; terms rise."""
-        at = np.minimum(np.searchsorted(self.terms, term), max(len(self.terms) - 1, 0))
-        there = self.terms[at] == term if len(self.terms) else np.zeros(len(term), bool)
-        at, by = at[there], weight[there].astype(np.float32)
-        if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0)
+        self.weight[at] = weight
+        share = self.weight[self.own_term[own]]
+        self.weight[at] = 0
+        there = np.flatnonzero(share)
+        own, owner = own[there], owner[there]
+        tf = self.own_tf[own].astype(np.float64)
+        return np.round(np.bincount(owner, weights=share[there] * (tf * (K1 + 1) / (tf + self.norm[docs[owner]])), minlength=len(docs)), 6)
+
+    def places(self, term: np.ndarray) -> np.ndarray:
+        """Places of terms in the index, -1 for those that it lacks."""
+        if not len(self.terms):
+            return np.full(len(term), -1)
+        once, spot = np.unique(term, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.terms, once), len(self.terms) - 1)
+        return np.where(self.terms[at] == once, at, -1)[spot]
+
+    def top(self, at: np.ndarray, weight: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the k best documents of those with a score of at least ``least``, for terms at ``places``."""
+        nothing = np.zeros(0, np.int64), np.zeros(0)
+        there = at >= 0
+        at, weight = at[there], weight[there]
+        by = weight.astype(np.float32)
         floor = np.float32(least * (1 - MARGIN))
         bound = by * self.most[at]
-        if float(bound.sum()) * (1 + MARGIN) < least:
-            return np.zeros(0, np.int64), np.zeros(0)
-        order = np.lexsort((bound, self.head[at] < 0))  # frequent terms by bound, then all others
-        passed = order[: int(np.searchsorted(np.cumsum(np.where(self.head[at[order]] >= 0, bound[order], np.inf)), PASSED * floor, side="right"))]
+        if not len(at) or float(bound.sum()) * (1 + MARGIN) < least:
+            return nothing
+        head = self.head[at]
+        passed = np.flatnonzero(head >= 0)
+        passed = passed[np.argsort(bound[passed])]
+        passed = passed[: int(np.searchsorted(np.cumsum(bound[passed]), PASSED * floor, side="right"))]
         opened = np.ones(len(at), bool)
         opened[passed] = False
         lists = at[opened]
-        cuts = list(zip(self.first[lists].tolist(), self.first[lists + 1].tolist(), strict=True))
-        if cuts:
-            docs = np.concatenate([self.doc[a:b] for a, b in cuts])
-            part = np.concatenate([self.impact[a:b] for a, b in cuts]) * np.repeat(by[opened], self.first[lists + 1] - self.first[lists])
-            total = np.bincount(docs, weights=part, minlength=self.n)
+        first, last = self.first[lists], self.first[lists + 1]
+        if len(lists):
+            one, share = last - first == 1, by[opened]
+            many = ~one
+            found = np.concatenate([self.postings[first[one]], *(self.postings[a:b] for a, b in zip(first[many].tolist(), last[many].tolist(), strict=True))])
+            part = found[:, 1].view(np.float32) * np.concatenate([share[one], np.repeat(share[many], (last - first)[many])])
+            total = np.bincount(found[:, 0], weights=part, minlength=self.n)
         else:
             total = np.zeros(self.n)
         if len(passed):
-            rows, share = self.head[at[passed]], by[passed]
-            found = np.flatnonzero((total > 0) & (total + (share @ self.block_most[rows])[self.block] >= floor))
-            total = total[found] + share @ self.dense[rows[:, None], found[None, :]]
+            rows, share = head[passed], by[passed]
+            found = np.flatnonzero((total > 0) & (total >= floor - (share @ self.block_most[rows])[self.block]))
+            total = total[found] + self.dense[found[:, None], rows] @ share
             good = total >= floor
             found, total = found[good], total[good]
         else:
@@ -186,8 +208,8 @@ class Shard:
             good = total >= np.partition(total, len(total) - k)[len(total) - k] * (1 - MARGIN)
             found = found[good]
         if not len(found):
-            return found, np.zeros(0)
-        scores = self.exact(found, term, weight)
+            return nothing
+        scores = self.exact(found, at, weight)
         good = np.flatnonzero(scores >= least)
         good = good[np.lexsort((self.ids[found[good]], -scores[good]))[:k]]
         return found[good], scores[good]
@@ -200,47 +222,77 @@ def _read(files: list[str], rows: int, columns: list[str]) -> Iterator[pa.Record
             yield from pq.ParquetFile(f).iter_batches(rows, columns=columns)
 
 
-def _searched(docs: DataFrame, asked: DataFrame, known: DataFrame | None, mean: float, k: int) -> DataFrame:
-    """query_id, doc_id and score: the best documents of each shard, at least as good as the query's known threshold."""
-    files, bounds = asked.inputFiles(), known.inputFiles() if known is not None else []
+def _searched(docs: DataFrame, asked: DataFrame, known: DataFrame | None, mean: float, k: int, shards: int = 0) -> DataFrame:
+    """query_id, doc_id and score: the best documents of each shard, at least as good as the query's known threshold.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple] = []
-        size = 0
-        least = [b for b in _read(bounds, 1 << 16, ["query_id", "least"])]
+    With ``shards`` the documents are few: they are dealt to so many shards, each asked by several tasks, one for every
+    ``ASKED`` queries; else a shard is what a task reads.
+    """
+    files, known_files = asked.inputFiles(), known.inputFiles() if known is not None else []
+    blocks = max(1, -(-asked.count() // ASKED)) if shards else 1
+    names = ["query_id", "doc_id", "score"]
+
+    def read_bounds() -> tuple[np.ndarray, np.ndarray]:
+        least = list(_read(known_files, 1 << 16, ["query_id", "least"]))
         who = np.concatenate([np.zeros(0, np.int64), *(b.column("query_id").to_numpy() for b in least)])
         floors = np.concatenate([np.zeros(0), *(b.column("least").to_numpy() for b in least)])
-        floors, who = floors[np.argsort(who)], np.sort(who)
-
-        def floor_of(query: int) -> float:
-            at = int(np.searchsorted(who, query))
-            return float(floors[at]) if at < len(who) and who[at] == query else 0.0
-
-        def answers() -> Iterator[pa.RecordBatch]:
-            ids = np.concatenate([p[0] for p in parts])
-            bases = np.cumsum([0, *(len(p[0]) for p in parts)])
-            shard = Shard(ids, *(np.concatenate([p[i] + (base if i == 1 else 0) for p, base in zip(parts, bases[:-1], strict=True)]) for i in (1, 2, 3, 4)), mean)
-            parts.clear()
-            for batch in _read(files, 256, ["query_id", "term", "weight"]):
-                rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for q, term, weight in zip(batch.column("query_id").to_pylist(), batch.column("term"), batch.column("weight"), strict=True):
-                    d, s = shard.top(term.values.to_numpy().view(np.uint64), weight.values.to_numpy(), k, floor_of(q))
+        order = np.argsort(who)
+        return who[order], floors[order]
+
+    def indexed(column: pa.Array, ids: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+        for lo, hi, texts in tc.chunks(column):
+            owner, h, tf, counts = _terms(texts)
+            yield ids.slice(lo, hi - lo).to_numpy(), owner, h, tf, counts
+
+    def answers(parts: list[tuple], who: np.ndarray, floors: np.ndarray, block: int) -> Iterator[pa.RecordBatch]:
+        ids = np.concatenate([p[0] for p in parts])
+        bases = np.cumsum([0, *(len(p[0]) for p in parts)])
+        columns = [np.concatenate([p[i] + (base if i == 1 else 0) for p, base in zip(parts, bases[:-1], strict=True)]) for i in (1, 2, 3, 4)]
+        parts.clear()
+        shard = Shard(ids, *columns, mean)
+        del columns
+        for batch in _read(files, 256, ["query_id", "term", "weight"]):
+            rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            queries = batch.column("query_id").to_numpy()
+            spot = np.searchsorted(who, queries)
+            there = np.minimum(spot, max(len(who) - 1, 0))
+            least = np.where(who[there] == queries, floors[there], 0.0) if len(who) else np.zeros(len(queries))
+            terms, weights = batch.column("term"), batch.column("weight").flatten().to_numpy()
+            bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(terms).to_numpy())]).tolist()
+            places = shard.places(terms.flatten().to_numpy().view(np.uint64))
+            for i, (q, floor) in enumerate(zip(queries.tolist(), least.tolist(), strict=True)):
+                if (q * 2654435761 >> 16) % blocks == block:
+                    d, s = shard.top(places[bounds[i] : bounds[i + 1]], weights[bounds[i] : bounds[i + 1]], k, floor)
                     rows.append((np.full(len(d), q), shard.ids[d], s))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names=["query_id", "doc_id", "score"])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names=names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limits = read_bounds()
+        parts: list[tuple] = []
+        size = 0
         for batch in batches:
-            for lo, hi, texts in tc.chunks(batch.column(1)):
-                owner, h, tf, counts = _terms(texts)
-                parts.append((batch.column(0).slice(lo, hi - lo).to_numpy(), owner, h, tf, counts))
-                size += len(h)
+            for part in indexed(batch.column(1), batch.column(0)):
+                parts.append(part)
+                size += len(part[2])
                 if size > SHARD_WORDS:
-                    yield from answers()
+                    yield from answers(parts, *limits, 0)
                     size = 0
         if parts:
-            yield from answers()
+            yield from answers(parts, *limits, 0)
+
+    def run_group(t: pa.Table) -> pa.Table:
+        block = t.column("_block")[0].as_py()
+        parts = list(indexed(t.column("text"), t.column("doc_id")))
+        found = list(answers(parts, *read_bounds(), block))
+        kinds = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
+        return pa.Table.from_batches(found, kinds)
 
-    return docs.mapInArrow(run, "query_id long, doc_id long, score double")
+    schema = "query_id long, doc_id long, score double"
+    if not shards:
+        return docs.mapInArrow(run, schema)
+    dealt = docs.withColumn("_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return dealt.groupBy("_shard", "_block").applyInArrow(run_group, schema)
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
@@ -254,11 +306,12 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     asked = terms.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((F.col("term") < 0).alias("high"), "term", "weight"))).alias("t"))
     asked = stored(asked.select("query_id", F.col("t.term").alias("term"), F.col("t.weight").alias("weight")), "queries")
     rank: Column = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    postings = df.where("term is not null").agg(F.sum("df")).first()[0] or 0
     rows = _text_rows(docs).withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
     best, known, lo = None, None, 0
     for hi in SHARES:
         part = rows.where((F.col("_part") >= lo) & (F.col("_part") < hi)).drop("_part")
-        found = _searched(part, asked, known, mean, k)
+        found = _searched(part, asked, known, mean, k, 0 if hi == PARTS else max(1, -(-postings * (hi - lo) // PARTS // SHARD_WORDS)))
         found = (found if best is None else found.unionByName(best)).withColumn("rank", rank).where(F.col("rank") <= k)
         if hi == PARTS:
             return found.select("query_id", "rank", "doc_id", "score")
