@@ -7,14 +7,19 @@ Method
    element are correlated across slots.  Steps stop as soon as every slot of the document holds a value below the next
    step's ranks (early stopping): later steps cannot change it.
 2. Documents with equal sets are one class (a 128-bit set sum is the key), so copies are grouped by an aggregation.
+   Classes of very many documents (at most ``HOT_CLASSES`` can be that large) are broadcast to their members, the others
+   joined.
 3. Class signatures are banded.  In every bucket each class is paired with the bucket's smallest class (a star, linear
-   in the bucket), and pairs are verified on the full sets.
+   in the bucket); pairs whose signatures agree enough are verified on the full sets.
 4. Verified links are grouped: union-find inside tasks, then large-star / small-star rounds across them.
-5. Buckets whose classes are still in several groups are finished exactly: their classes are compared in blocks, by
-   signature agreement and then by bitmaps that bound the overlap from above, and the pairs of different groups that can
-   still reach the threshold are verified on full sets.
+5. Buckets whose classes are still in several groups get further stars, each from the smallest class of a group that had
+   none, while stars find links.  So a family of near copies that is far from its bucket's smallest class is one star too.
+6. What is still apart is certified exactly: the classes are compared in blocks, by signature agreement and then by
+   bitmaps that bound the overlap from above, and the pairs of different groups that can still reach the threshold are
+   verified on full sets.
 
-No bucket, pair list or component is collected into one task or the driver, and none is capped.
+No bucket, pair list or component is collected into one task or the driver, and none is capped.  Whole texts are not
+shuffled to find the few whose sets are needed, nor to drop copies: a bitmap (see ``sieve``) holds the others back.
 
 Defined cases: a null or word-less text has an empty set, is linked with nothing and keeps itself; a null doc_id is
 given its class's component, else null, and is not kept; rows that repeat a doc_id count as one document and get one
@@ -31,12 +36,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .tables import stored
+from .sieve import Sieve, found
+from .tables import bounded, dropped, stored
 
 SLOTS, ROWS = 96, 4  # 24 bands of 4: a pair at similarity 0.8 shares none with probability 3e-6
 AGREEMENT = 0.6  # least share of equal slots; at similarity 0.8 fewer agree with probability below 1e-6
 ELEMENTS = 60_000
 BLOCK = 512
+HOT, HOT_CLASSES = 1000, 100_000  # a class is hot from HOT documents and a share of 1 / HOT_CLASSES of all on
+STARS = 1  # rounds of further stars; the blocks settle what is left
 
 
 def shingle_sets(texts: tc.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,13 +139,19 @@ def features(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: st
                     names=["doc_id", "n_shingles", "fp1", "fp2", "bands"],
                 )
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    chosen = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return chosen.mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>")
 
 
-def sets_of(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sets_of(docs: DataFrame, wanted: Sieve, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Full sets and their bitmaps of the documents whose ids are in the sieve (and of a few others)."""
+    load = wanted.loader()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = None
         for batch in batches:
+            words = load() if words is None else words
+            batch = batch.filter(pa.array(found(words, batch.column(2).to_numpy())))
             for lo, hi, texts in tc.chunks(batch.column(1)):
                 sets, bounds = shingle_sets(texts, shingle)
                 maps = [bitmap(sets[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
@@ -151,8 +165,8 @@ def sets_of(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str
                     names=["doc_id", "shingles", "bits"],
                 )
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, shingles array<long>, bits array<long>")
+    chosen = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    return chosen.withColumn("spot", wanted.spot(F.col("doc_id"))).mapInArrow(run, "doc_id long, shingles array<long>, bits array<long>")
 
 
 def local_forest(edges: DataFrame) -> DataFrame:
@@ -221,6 +235,19 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(enough & (both * 100 >= (of - both) * percent)).select("a", "b").distinct()
 
 
+def agreeing(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share enough bands' slots to be near: signatures differ in few slots at the threshold."""
+    joined = pairs.join(signatures.toDF("b", "sb"), "b").join(signatures.toDF("a", "sa"), "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sa, sb = (np.ascontiguousarray(batch.column(c).flatten().to_numpy()).view(np.uint16).reshape(-1, SLOTS) for c in (2, 3))
+            good = (sa == sb).sum(axis=1) >= int(np.ceil(AGREEMENT * SLOTS))
+            yield batch.select([0, 1]).filter(pa.array(good))
+
+    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
 def bitmap_words(n: int) -> int:
     """Length, in 64-bit words, of the bitmap of a set of ``n``: about 16 bits an element, a power of two."""
     return 1 << max(0, (n // 4).bit_length())
@@ -338,35 +365,55 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     Links are pairs with 100 * intersection >= percent * union of their distinct shingles.
     """
-    spark = docs.sparkSession
-    found = stored(features(docs, shingle, id_col, text_col), "signatures")
-    classes = found.where("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-    named = stored(found.select("doc_id", "n_shingles", "fp1", "fp2").join(classes, ["fp1", "fp2"], "left").select("doc_id", "n_shingles", "rep"), "classes")
+    features_of = stored(features(docs, shingle, id_col, text_col), "signatures")
+    classes = features_of.where("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"))
+    classes = stored(classes, "all-classes")
+    # at most HOT_CLASSES classes can have that many members
+    hot = F.col("members") > max(HOT, features_of.count() // HOT_CLASSES)
+    of_hot = F.broadcast(classes.where(hot).select("fp1", "fp2", F.col("rep").alias("hot_rep")))
+    marked = features_of.select("doc_id", "n_shingles", "fp1", "fp2").join(of_hot, ["fp1", "fp2"], "left")
+    columns = ["doc_id", "n_shingles", "rep"]
+    cold = marked.where("hot_rep is null").join(classes.where(~hot), ["fp1", "fp2"], "left").select(*columns)
+    named = stored(cold.unionByName(marked.where("hot_rep is not null").withColumnRenamed("hot_rep", "rep").select(*columns)), "classes")
     reps = named.where("doc_id = rep").select("doc_id").distinct()
-    banded = found.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "bands", F.posexplode("bands").alias("pos", "value"))
-    banded = banded.select("rep", "pos", F.xxhash64("pos", "value").alias("key"))
+    signatures = stored(features_of.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "bands").distinct(), "representatives")
+    dropped(features_of, classes)
+    banded = signatures.select("rep", F.posexplode("bands").alias("pos", "value")).select("rep", "pos", F.xxhash64("pos", "value").alias("key"))
     counted = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("rep").alias("bucket_size")).where("bucket_size > 1")
     buckets = stored(banded.join(counted, "key"), "buckets")
+    wanted = Sieve(buckets.select("rep").distinct())
+    sets = stored(sets_of(docs, wanted, shingle, id_col, text_col), "sets")
 
-    stars = buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id", "left_semi")
-    sets = stored(sets_of(chosen, shingle), "sets")
-    links = stored(verified(stars, sets, percent), "links")
-    grouped = components(links)
+    def near(pairs: DataFrame) -> DataFrame:
+        close = stored(agreeing(pairs.distinct(), signatures), "agreeing")
+        return stored(verified(close, sets, percent), "links")
 
-    rest = buckets.where("bucket_size > 2").join(grouped.withColumnRenamed("member", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    torn = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = stored(rest.join(torn, "key", "left_semi").select("key", "pos", "rep", "comp", "bucket_size"), "unsettled")
+    links = near(buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
+    grouped = components(links)
+    tried = buckets.select("key", F.col("pivot").alias("rep")).distinct()
+    for turn in range(STARS + 1):
+        rest = buckets.where("bucket_size > 2").join(grouped.withColumnRenamed("member", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+        torn = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        rest = stored(rest.join(torn, "key", "left_semi").select("key", "pos", "rep", "comp", "bucket_size"), "unsettled")
+        if turn == STARS or not rest.limit(1).count():
+            break
+        reached = rest.join(tried, ["key", "rep"]).select("key", "comp").distinct()
+        new = stored(rest.join(reached, ["key", "comp"], "left_anti").groupBy("key").agg(F.min(F.struct("rep", "comp")).alias("p")).select("key", "p.rep", F.col("p.comp").alias("own")), "pivots")
+        more = near(rest.join(new.withColumnRenamed("rep", "pivot"), "key").where("comp <> own").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")))
+        if not more.limit(1).count():
+            break
+        tried = tried.unionByName(new.select("key", "rep"))
+        links = links.unionByName(more)
+        grouped = components(links)
     if rest.limit(1).count():
-        signatures = found.select(F.col("doc_id").alias("rep"), "bands")
-        near = stored(_close(_in_blocks(rest.join(signatures, "rep")), percent, pairs=False).distinct(), "near")
+        close = stored(_close(_in_blocks(rest.join(signatures, "rep")), percent, pairs=False).distinct(), "near")
         sketches = sets.select(F.col("doc_id").alias("rep"), F.size("shingles").cast("long").alias("size"), "bits")
-        rest = rest.join(near, "rep", "left_semi").join(signatures, "rep").join(sketches, "rep")
+        rest = rest.join(close, "rep", "left_semi").join(signatures, "rep").join(sketches, "rep")
         more = stored(_close(_in_blocks(rest), percent, pairs=True).distinct(), "close")
         more = stored(verified(more, sets, percent), "links")
         if more.limit(1).count():
             grouped = components(links.unionByName(more))
+    dropped(buckets, sets, signatures)
 
     out = named.join(grouped.withColumnRenamed("member", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
@@ -376,15 +423,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near duplicates, with all its columns: the one of smallest id.
 
-    Rows that repeat that id count as one document, of which the smallest text stays; rows without an id stay.
+    Rows that repeat that id count as one document, of which the smallest text stays; rows without an id stay.  Only
+    rows that may have to go, or whose id is repeated, are joined with the verdicts; the others pass as they are read.
     """
-    found = near_duplicates(docs, shingle, percent, id_col, text_col).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    found = stored(found.select(F.col("doc_id").alias("_kept"), F.col("rows").alias("_rows")), "kept")
-    same = F.col(id_col).cast("long") == F.col("_kept")
-    # a merge join at any size: the list of kept ids grows with the documents
-    out = docs.join(found.where("_rows = 1").hint("merge"), same, "left_semi")
-    if found.where("_rows > 1").limit(1).count():
-        many = docs.join(found.where("_rows > 1"), same, "left_semi").select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-        first = F.row_number().over(Window.partitionBy("_id").orderBy("_text"))
-        out = out.unionByName(many.withColumn("_n", first).where("_n = 1").select("_row.*"))
-    return out.unionByName(docs.where(F.col(id_col).isNull()))
+    verdicts = near_duplicates(docs, shingle, percent, id_col, text_col).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    doubtful = Sieve(verdicts.where("not kept or n > 1").select("doc_id"))
+    verdicts = stored(verdicts, "verdicts")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    asked = doubtful.split(rows, "_id", hit=True).join(verdicts.where("kept").select(F.col("doc_id").alias("_id"), "n"), "_id")
+    out = doubtful.split(rows, "_id", hit=False).select("_row.*").unionByName(asked.where("n = 1").select("_row.*"))
+    if verdicts.where("kept and n > 1").limit(1).count():
+        first = asked.where("n > 1").groupBy("_id").agg(F.min_by("_row", "_text").alias("_row"), F.first("_row", ignorenulls=True).alias("_any"))
+        out = out.unionByName(first.select(F.coalesce("_row", "_any").alias("_row")).select("_row.*"))
+    return out.unionByName(rows.where("_id is null").select("_row.*"))

@@ -62,6 +62,34 @@ def test_edge_cases(spark):
     assert got == sorted((d, *want[d]) for d, _, _ in rows)
 
 
+def test_families_far_from_the_pivot(spark, monkeypatch):
+    """Near copies that meet an unrelated smaller id in all of their buckets, classes of many members, repeated ids."""
+    monkeypatch.setattr(minhash, "HOT", 3)
+    monkeypatch.setattr(minhash, "HOT_CLASSES", 30)
+    rnd = random.Random(11)
+    one, two = ([f"w{rnd.randrange(10**6)}" for _ in range(100)] for _ in range(2))
+    mixed = [*one[:60], *two[:60]]  # near neither family
+    rows = [(0, " ".join(mixed)), (1, " ".join(one[:60] + one[:40]))]
+    rows += [(10 + i, " ".join([*one[:i], f"e{i}", *one[i + 1 :]])) for i in range(30)]
+    rows += [(50 + i, " ".join([*two[:i], f"e{i}", *two[i + 1 :]])) for i in range(30)]
+    rows += [(100 + i, "copy of one text here") for i in range(40)]
+    rows += [(7, " ".join(two)), (7, "another text of the same id altogether")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 4, 80).collect()}
+    plain = brute([r for r in rows if r[0] != 7] + [(7, " ".join(two))], 4, 80)
+    assert got == {d: c for d, (_, c, _) in plain.items()}
+
+
+def test_copies_go_and_columns_may_clash(spark):
+    names = ["doc_id", "text", "_kept", "_row", "_id", "n", "kept", "spot"]
+    rows = [(1, "a b c d e f g", 1), (2, "a b c d e f g", 2), (3, None, 3), (4, "", 4), (None, "x", 5), (None, "x", 6), (5, "q r s t u v", 7), (5, "h i j k l m", 8), (6, "z z z z z z z", 9)]
+    docs = spark.createDataFrame([(d, t, *[k] * 6) for d, t, k in rows], "doc_id long, text string, " + ", ".join(f"{c} int" for c in names[2:]))
+    got = minhash.deduplicated(docs)
+    assert got.columns == names
+    assert sorted(r.kept for r in got.collect()) == [1, 3, 4, 5, 6, 8, 9]
+    assert minhash.deduplicated(docs.limit(0)).count() == 0
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(docs).count() == 0
