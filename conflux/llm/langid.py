@@ -1,7 +1,8 @@
 """Language ID of words in code-switched text by a linear-chain conditional random field.
 
-Sequences are runs of up to ``RUN`` consecutive words of a text, so a text of any length is labelled whole by the same
-vectorised forward-backward passes.  A word's label scores are the sum of hashed feature weights: its byte trigrams
+The chain runs over all words of a text.  Runs of ``RUN`` consecutive words are worked on side by side: each run's product
+of transition and score matrices carries the forward and backward messages over its borders, so the probabilities are
+those of the whole text's chain.  A word's label scores are the sum of hashed feature weights: its byte trigrams
 with word borders (n-gram), its first and last three bytes (affix), and itself (lexicon).  Transitions between labels
 are learned with them.  Training maximises the conditional likelihood (AdaGrad on mini-batches) over sequences put
 together from pieces of different documents, so that switches occur; a word's label is its document's language.
@@ -9,13 +10,15 @@ together from pieces of different documents, so that switches occur; a word's la
 A document's language is the label with the largest sum of posterior probabilities over its words that have letters,
 its score that label's mean probability.
 
-The model is fitted on a bounded sample of labelled rows: at most ``PER_LANG`` documents of each language, of at most
-``LONGEST`` bytes each, those of smallest hash.  Where a language has fewer texts of that length, longer ones follow, each
-by a window of ``WINDOW`` code points from its middle.  Training takes at most ``TRAIN_RUNS`` runs of words put together
-from them.  Prediction sees the whole text and nothing else.
+The model is fitted on a bounded sample of labelled rows (parameters of ``fit``): at most ``per_lang`` documents of each
+language and ``in_all`` together, those of smallest hash, of at most ``longest`` bytes each.  Where a language has fewer
+texts of that length, longer ones follow, each by a window of a quarter as many code points from its middle.  Training
+takes ``runs`` runs of words put together from them.  Prediction sees the whole text and nothing else.
 
 Defined cases: a null, empty or letterless text is ``und`` with score 0; with no labelled row every text with letters is
-``und``; equal scores give the label that sorts first; extra columns are ignored by ``predicted``, kept by ``known``.
+``und``; equal scores give the label that sorts first; repeated rows are predicted one by one, and rows that repeat a
+doc_id and language teach once, by the text that sorts first; rows with a null doc_id teach nothing and are not held
+out; an empty table gives an empty result; extra columns are ignored by ``predicted``, kept by ``known``.
 """
 
 from __future__ import annotations
@@ -29,14 +32,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcore as tc
+from .tables import bounded
 
 PER_LANG = 300
 LONGEST = 20_000
-WINDOW = LONGEST // 4  # a code point has at most four bytes
+IN_ALL = 30_000
 RUN = 64
 FEATURES = 1 << 16
 PASSES, STEP, BATCH, DECAY = 3, 0.3, 128, 1e-6
 TRAIN_RUNS = 6_000
+SALTS = 64
 
 _ASCII_LETTER = np.zeros(256, dtype=bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -107,13 +112,20 @@ class Emitter:
         return owner, np.concatenate(feats), self.scale[which][owner]
 
 
-def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Posteriors (runs, time, labels) and expected transition counts, for runs sorted by falling length."""
+def forward_backward(
+    scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Posteriors (runs, time, labels) and expected transition counts, for runs sorted by falling length.
+
+    ``enter`` are the weights of each run's first label in place of ``start``, ``leave`` those of what follows its last.
+    """
     n, most, k = scores.shape
     lift = np.exp(scores - scores.max(axis=2, keepdims=True))
     move = np.exp(transitions)
     alpha, beta = np.zeros_like(lift), np.ones_like(lift)
-    alpha[:, 0] = lift[:, 0] * np.exp(start)
+    if leave is not None:
+        beta[np.arange(n), lengths - 1] = leave
+    alpha[:, 0] = lift[:, 0] * (np.exp(start) if enter is None else enter)
     alpha[:, 0] /= alpha[:, 0].sum(axis=1, keepdims=True)
     here = [int(np.searchsorted(-lengths, -t, side="left")) for t in range(most)]  # runs longer than t
     for t in range(1, most):
@@ -133,15 +145,41 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
     return np.divide(post, total, out=np.zeros_like(post), where=total > 0), pairs
 
 
-def _runs(w: tc.Words) -> tuple[np.ndarray, np.ndarray]:
-    """First word and length of every run, long runs first."""
+def _runs(w: tc.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First word, length, place in its text and text of every run, long runs first."""
     counts = w.counts
     number = -(-counts // RUN)
     place = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
     first = np.repeat(w.first[:-1], number) + place * RUN
     length = np.minimum(np.repeat(w.first[1:], number) - first, RUN)
     order = np.argsort(-length, kind="stable")
-    return first[order], length[order]
+    return first[order], length[order], place[order], np.repeat(np.arange(len(counts)), number)[order]
+
+
+def _messages(scores: np.ndarray, length: np.ndarray, place: np.ndarray, text: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What enters each run from the words before it, and what it leaves to those after it, up to a factor."""
+    n, most, k = scores.shape
+    enter, leave = np.tile(np.exp(start), (n, 1)), np.ones((n, k))
+    if not place.any():
+        return enter, leave
+    lift, move = np.exp(scores - scores.max(axis=2, keepdims=True)), np.exp(transitions)
+    through = np.tile(np.eye(k), (n, 1, 1))  # from the first label of a run to its last
+    for t in range(1, most):
+        m = int(np.searchsorted(-length, -t, side="left"))
+        step = (through[:m].reshape(-1, k) @ move).reshape(m, k, k) * lift[:m, t, None, :]
+        through[:m] = step / step.sum(axis=(1, 2), keepdims=True)
+    order = np.lexsort((text, place))  # all first runs, all second runs and so on, each by text
+    cuts = np.searchsorted(place[order], np.arange(int(place.max()) + 2))
+    steps = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    before = [np.searchsorted(text[a], text[b]) for a, b in zip(steps[:-1], steps[1:], strict=True)]  # a run's predecessor
+    for a, b, at in zip(steps[:-1], steps[1:], before, strict=True):
+        left = a[at]
+        out = np.einsum("ni,nij->nj", enter[left] * lift[left, 0], through[left]) @ move
+        enter[b] = out / out.sum(axis=1, keepdims=True)
+    for a, b, at in zip(reversed(steps[:-1]), reversed(steps[1:]), reversed(before), strict=True):
+        back = (np.einsum("nij,nj->ni", through[b], leave[b]) * lift[b, 0]) @ move.T
+        leave[a[at]] = back / back.sum(axis=1, keepdims=True)
+    return enter, leave
 
 
 def _padded(values: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -151,19 +189,20 @@ def _padded(values: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.nda
 
 
 def word_posteriors(texts: tc.Texts, w: tc.Words, model: Model) -> np.ndarray:
-    """(words, labels) probabilities by forward-backward over every run."""
+    """(words, labels) probabilities by forward-backward over every text."""
     out = np.zeros((len(w.start), len(model.labels)))
     if not len(w.start):
         return out
     scores = Emitter(texts, w).scores(model.weights)
-    first, length = _runs(w)
-    post, _ = forward_backward(_padded(scores, first, length), length, model.transitions, model.start)
+    first, length, place, text = _runs(w)
+    padded = _padded(scores, first, length)
+    post, _ = forward_backward(padded, length, model.transitions, model.start, *_messages(padded, length, place, text, model.transitions, model.start))
     there = np.arange(post.shape[1])[None, :] < length[:, None]
     out[(first[:, None] + np.arange(post.shape[1])[None, :])[there]] = post[there]
     return out
 
 
-def train(samples: list[tuple[str, str]], seed: int = 7) -> Model:
+def train(samples: list[tuple[str, str]], seed: int = 7, number: int = TRAIN_RUNS) -> Model:
     """samples: (text, language)."""
     labels = sorted({lang for _, lang in samples})
     k = max(len(labels), 1)
@@ -176,11 +215,11 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> Model:
     code = {x: i for i, x in enumerate(labels)}
     truth = np.array([code[lang] for _, lang in samples])[w.owner()]
     emit = Emitter(texts, w)
-    first, length = _runs(w)
+    first, length, _, _ = _runs(w)
     by_label = [np.flatnonzero(truth[first] == i) for i in range(k)]
     by_label = [x for x in by_label if len(x)]
     runs = []
-    for _ in range(TRAIN_RUNS):  # one to three pieces, of any languages, in one sequence
+    for _ in range(number):  # one to three pieces, of any languages, in one sequence
         parts, left = [], RUN
         for piece in range(int(rnd.integers(1, 4))):
             pick = by_label[int(rnd.integers(len(by_label)))]
@@ -230,17 +269,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
-    """Learns from text and lang of the rows that are not held out; collects at most per_lang texts of a language."""
+def fit(docs: DataFrame, per_lang: int = PER_LANG, in_all: int = IN_ALL, longest: int = LONGEST, runs: int = TRAIN_RUNS) -> Model:
+    """Learns from text and lang of the rows that are not held out; collects at most ``in_all`` texts of ``longest`` bytes."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.octet_length("text") > 0))
-    usable = usable.select("doc_id", "lang", "text", (F.octet_length("text") > LONGEST).alias("long"))
-    ranked = usable.select("doc_id", "lang", "long").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id")))
-    chosen = ranked.where(F.col("n") <= per_lang).select("doc_id", "lang", "long").distinct()
-    middle = F.substring("text", F.greatest(F.lit(1), F.expr(f"(char_length(text) - {WINDOW}) div 2 + 1").cast("int")), F.lit(WINDOW))
-    text = F.when(F.col("long"), middle).otherwise(F.col("text")).alias("text")
-    rows = usable.join(F.broadcast(chosen), ["doc_id", "lang", "long"], "left_semi").select("doc_id", "lang", text).collect()  # per_lang rows of each language
-    rows = sorted({(r.doc_id, r.lang, r.text) for r in rows})
-    return train([(text, lang) for _, lang, text in rows])
+    usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", (F.octet_length("text") > longest).alias("long"))
+    order = ["long", F.xxhash64("doc_id"), "doc_id"]
+    each = usable.select("doc_id", "lang", "long").groupBy("doc_id", "lang").agg(F.min("long").alias("long"))
+    # ranked in shares of each language first, for one may have most of the rows
+    each = each.withColumn("share", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    each = each.withColumn("n", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).where(F.col("n") <= per_lang)
+    each = each.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("n") <= per_lang)
+    keys = each.orderBy("n", "lang").limit(in_all).select("doc_id", "lang", "long").collect()
+    if not keys:
+        return train([], number=runs)
+    chosen = docs.sparkSession.createDataFrame(keys, "doc_id long, lang string, long boolean")
+    window = longest // 4  # a code point has at most four bytes
+    middle = F.substring("text", F.greatest(F.lit(1), F.expr(f"(char_length(text) - {window}) div 2 + 1").cast("int")), F.lit(window))
+    text = F.when(F.col("long"), middle).otherwise(F.col("text"))
+    rows = usable.join(F.broadcast(chosen), ["doc_id", "lang", "long"], "left_semi").groupBy("doc_id", "lang").agg(F.min(text).alias("text")).collect()  # in_all rows
+    return train([(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id, r.lang))], number=runs)
 
 
 def _has_letters(raw: bytes) -> bool:
@@ -280,7 +327,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
                 lang = names.take(pa.array(np.where(label < 0, len(names) - 1, label)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), lang, pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text")
+    rows = bounded(docs).select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
@@ -295,4 +342,4 @@ def known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             if kept:
                 yield batch.filter(pa.concat_arrays(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

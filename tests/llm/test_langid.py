@@ -28,6 +28,34 @@ def test_forward_backward_is_exact():
     assert abs(pairs.sum() - (lengths - 1).sum()) < 1e-9
 
 
+def test_chain_goes_on_over_the_borders_of_runs(monkeypatch):
+    rnd = np.random.default_rng(6)
+    labels, text = ["aa", "bb", "cc"], [" ".join(rnd.choice(["ka", "to", "schu", "eux"], size=n)) for n in (9, 1, 4, 12, 0, 8)]
+    model = langid.Model(labels, rnd.normal(size=(langid.FEATURES, 3)).astype(np.float32), rnd.normal(size=(3, 3)) * 2, rnd.normal(size=3))
+    _, _, texts = next(tc.chunks(pa.array(text)))
+    w = tc.words(texts)
+    monkeypatch.setattr(langid, "RUN", 4)
+    got = langid.word_posteriors(texts, w, model)
+    scores = langid.Emitter(texts, w).scores(model.weights).astype(np.float64)
+    for a, b in zip(w.first[:-1], w.first[1:], strict=True):
+        if a < b <= a + 9:
+            np.testing.assert_allclose(got[a:b], brute_posteriors(scores[a:b], model.transitions, model.start), atol=1e-6)
+    monkeypatch.setattr(langid, "RUN", 100)
+    np.testing.assert_allclose(got, langid.word_posteriors(texts, w, model), atol=1e-6)
+
+
+def test_repeated_ids_teach_once(spark, monkeypatch):
+    rows, kinds = sample(np.random.default_rng(2), 30)
+    taught = []
+    monkeypatch.setattr(langid, "train", lambda samples, **kw: taught.append(samples))
+    rows = [(i, t, lang) for i, (t, lang) in enumerate(rows)] + [(200, f"text {i}", "aa") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langid.fit(docs)
+    assert len(taught[0]) <= 91
+    langid.fit(docs, in_all=12)
+    assert len(taught[1]) == 12 and {lang for _, lang in taught[1]} == {"aa", "bb", "cc"}
+
+
 def test_held_out_accuracy_of_query(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
