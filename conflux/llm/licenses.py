@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
+from .tables import bounded
 
 GRAM, WINDOW = 3, 3
 BAND = 8
@@ -246,4 +247,4 @@ def scanned(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES)
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, RESULT)
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, RESULT)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
+from .tables import bounded
 
 BUCKETS = 1 << 16
 NGRAM = 4
@@ -69,7 +70,7 @@ def _counts(docs: DataFrame, trusted: np.ndarray) -> DataFrame:
         seen = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(target[seen]), pa.array(raw[seen])], names=["bucket", "target", "raw"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "bucket int, target long, raw long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "bucket int, target long, raw long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
 
 
 def trusted_ids(labels: DataFrame, bound: int = TRUSTED) -> np.ndarray:
@@ -156,7 +157,7 @@ def measured(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, t
             for lo, hi, columns in judged(batch.column(1), model.value, threshold):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + RESULT)
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + RESULT)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted: int = TRUSTED) -> DataFrame:
@@ -170,4 +171,4 @@ def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
             if kept:
                 yield batch.filter(pa.concat_arrays(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

@@ -1,8 +1,11 @@
 """WARC archives: deduplicating writer and splittable reader.
 
 Writing: payload digests are computed by Spark; of records with equal payloads the smallest page_id is a response, the
-others are revisits that refer to it.  Each task writes one ``.warc.gz`` of one gzip member per record, under a name of
-its own attempt, and renames it when complete; the manifest of finished archives is a table.
+others are revisits that refer to it.  Only digests shared by several pages are looked up: those of very many pages (at
+most ``HOT_DIGESTS`` can be that many) and, through a bitmap, the pages that may have one of the others; all other pages
+are written where they are read, so no payload is shuffled for being common or for being unique.  Each task attempt
+writes one ``.warc.gz`` of one gzip member per record under a name of its own; the manifest, a table that holds the rows
+of successful attempts alone, says which archives count.
 
 Reading: tasks scan byte ranges of archives.  A task looks for the gzip magic in its range, accepts a candidate only if
 it decompresses to a WARC header, and from then on follows the members; it owns the records that start inside its range
@@ -30,10 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import shared_dir, stored
+from .sieve import Sieve
+from .tables import bounded, shared_dir, stored
 
 SPLIT = 8 << 20
 READ = 1 << 20
+HOT, HOT_DIGESTS = 1000, 100_000  # a payload is hot from HOT pages and a share of 1 / HOT_DIGESTS of all on
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
@@ -67,30 +72,38 @@ def record(page: int | None, url: str | None, payload: bytes, first: int | None)
 def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Writes all pages; returns (path, bytes, records) of every archive. Payloads under ``least`` bytes are never revisits."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    firsts = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"))
-    joined = rows.join(firsts, "digest", "left").select("page_id", "url", "payload", F.when(F.col("first") != F.coalesce("page_id", F.col("first") - 1), F.col("first")).alias("first"))
+    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("key", F.xxhash64("digest"))
+    counted = rows.select("page_id", "digest", "key", F.octet_length("payload").alias("size")).where(F.col("size") >= least)
+    shared = counted.groupBy("digest", "key").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("pages")).where("pages > 1 and first is not null")
+    shared = stored(shared, "shared")
+    # at most HOT_DIGESTS can have that many pages
+    hot = F.col("pages") > max(HOT, (shared.agg(F.sum("pages")).first()[0] or 0) // HOT_DIGESTS)
+    rare = shared.where(~hot).select("digest", "first")
+    sieve = Sieve(shared.where(~hot).select("key"))
+    common = sieve.split(rows, "key", hit=False).join(F.broadcast(shared.where(hot).select("digest", "first")), "digest", "left")
+    asked = sieve.split(rows, "key", hit=True).join(F.broadcast(shared.where(hot).select("digest", F.col("first").alias("common"))), "digest", "left")
+    asked = asked.where("common is not null").withColumnRenamed("common", "first").unionByName(asked.where("common is null").drop("common").join(rare, "digest", "left"))
+    first = F.when(F.col("first") != F.coalesce("page_id", F.col("first") - 1), F.col("first")).alias("first")
+    joined = bounded(common.unionByName(asked)).select("page_id", "url", "payload", first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, place = fs.FileSystem.from_uri(folder)
         task = TaskContext.get()
-        final = f"{place}/part-{task.partitionId():06d}.warc.gz"
-        own = f"{final}.{task.taskAttemptId()}-{uuid.uuid4().hex}"
+        name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex}.warc.gz"
         n = size = 0
         out = None
         for batch in batches:
             for i in range(batch.num_rows):
                 if out is None:
                     at.create_dir(place, recursive=True)
-                    out = at.open_output_stream(own, compression=None)
+                    out = at.open_output_stream(f"{place}/{name}", compression=None)
                 page, url, payload, first = (batch.column(c)[i].as_py() for c in range(4))
                 raw = record(page, url, payload, first)
                 out.write(raw)
                 n, size = n + 1, size + len(raw)
         if out is not None:
             out.close()
-            at.move(own, final)
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{final.rsplit('/', 1)[1]}"]), pa.array([size]), pa.array([n])], names=["path", "bytes", "records"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([size]), pa.array([n])], names=["path", "bytes", "records"])
 
     return stored(joined.mapInArrow(run, "path string, bytes long, records long"), "manifest")
 

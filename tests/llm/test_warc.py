@@ -44,6 +44,15 @@ def test_least_size_of_revisits(spark, tmp_path):
     assert got == {1: "response", 2: "response", 3: "response", 4: "revisit"}
 
 
+def test_common_payloads(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HOT", 5)
+    monkeypatch.setattr(warc, "HOT_DIGESTS", 10)
+    rows = [(i, f"http://h/{i}", ["", "error page", f"page {i // 2}", f"own {i}"][i % 4]) for i in range(200, 0, -1)] + [(None, "n", "error page")]
+    pages = spark.createDataFrame([(*r, 1, 2) for r in rows], "page_id long, url string, html string, first long, key long").repartition(3)
+    got = [tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in warc.round_trip(pages, with_payload=True).collect()]
+    assert sorted(got, key=str) == sorted(expected(rows), key=str)
+
+
 def archive(n=60):
     members, starts = [], []
     for i in range(n):
