@@ -15,8 +15,10 @@ def gap_conflicts(rows: DataFrame, resource: str, gap: int, width: int | None =
     touches and met there by the windows that start in the bucket.  So the join key is (resource, bucket): a pair is made
     once, a busy resource is spread over its buckets, and the residual range test sees only near windows.
     """
-    width = width or max(gap, 1)
     rows = rows.where(F.col(resource).isNotNull())
+    if not width:  # windows of ordinary length touch one bucket or two, whatever the gap
+        usual = rows.agg(F.percentile_approx(F.col(end) - F.col(start), 0.9, 1000)).first()[0] if gap <= 0 else 0
+        width = max(gap, int(usual or 0), 1)
     last = F.greatest(F.col(end) + gap - 1, F.col(start))
     left = rows.select(
         F.col(resource).alias("r"), F.col(id_col).alias("i"), F.col(start).alias("si"), (F.col(end) + gap).alias("until"),

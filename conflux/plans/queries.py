@@ -53,8 +53,11 @@ GRAPH = f"WITH {CONTACTS}, {edges_sql()}"
 SELECTED = f"""{GRAPH}, adj AS MATERIALIZED (SELECT u, v FROM e UNION SELECT v, u FROM e),
 sel AS MATERIALIZED (SELECT cid FROM c WHERE NOT EXISTS (SELECT 1 FROM adj JOIN c n ON n.cid = adj.v WHERE adj.u = c.cid AND (n.w > c.w OR (n.w = c.w AND n.cid < c.cid)))),
 outs AS (SELECT cid FROM c WHERE cid NOT IN (SELECT cid FROM sel)),
-act AS MATERIALIZED (SELECT cid AS action, cid FROM outs WHERE cid % 5 = 3
-  UNION ALL SELECT -cid, cid + k FROM outs, (SELECT 0 AS k UNION ALL SELECT 2) WHERE cid % 7 = 1 AND cid + 2 IN (SELECT cid FROM outs)),
+ablk AS MATERIALIZED (SELECT outs.cid, adj.v AS b, n.w AS bw FROM outs JOIN adj ON adj.u = outs.cid JOIN c n ON n.cid = adj.v WHERE adj.v IN (SELECT cid FROM sel)),
+ad AS MATERIALIZED (SELECT c.cid, coalesce(sum(bw), 0) - c.w AS d FROM c LEFT JOIN ablk ON ablk.cid = c.cid WHERE c.cid IN (SELECT cid FROM outs) GROUP BY c.cid, c.w),
+ash AS (SELECT x.cid AS a, y.cid AS z, sum(x.bw) AS shared FROM ablk x JOIN ablk y ON x.b = y.b AND x.cid < y.cid GROUP BY ALL),
+two AS (SELECT a, z FROM ash JOIN ad p ON p.cid = a JOIN ad q ON q.cid = z WHERE shared - p.d - q.d > 0 AND NOT EXISTS (SELECT 1 FROM e WHERE u = a AND v = z)),
+act AS MATERIALIZED (SELECT cid AS action, cid FROM outs UNION ALL SELECT -(z * (z - 1) // 2 + a + 1), unnest([a, z]) FROM two),
 gone AS MATERIALIZED (SELECT DISTINCT action, adj.v AS cid FROM act JOIN adj ON adj.u = act.cid WHERE adj.v IN (SELECT cid FROM sel))"""
 SPHERE = f"""{SELECTED}, sph AS MATERIALIZED (SELECT action, cid FROM gone UNION SELECT action, adj.v FROM gone JOIN adj ON adj.u = gone.cid)"""
 ELIGIBLE = f"""{SPHERE}, base AS (SELECT a.action, sel.cid FROM (SELECT DISTINCT action FROM gone) a, sel WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.action = a.action AND g.cid = sel.cid)
@@ -340,7 +343,7 @@ def j16_similar_pairs(spark, d):
 
 @query(
     """WITH g AS (SELECT n_nationkey AS nation, y FROM nation, (SELECT unnest(range(1992, 1999)) AS y)),
-r AS (SELECT DISTINCT c_nationkey AS nation, year(o_orderdate) AS y FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 50 = 0)
+r AS (SELECT DISTINCT c_nationkey AS nation, year(o_orderdate) AS y FROM orders JOIN customer ON o_custkey = c_custkey)
 SELECT nation, CAST(y AS INT) AS y FROM g WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.nation = g.nation AND r.y = g.y)"""
 )
 def j18_matrix_gaps(spark, d):
@@ -350,7 +353,7 @@ def j18_matrix_gaps(spark, d):
 
 
 @query(
-    f"""{BLOCKED}, fresh AS (SELECT cid FROM outs WHERE cid % 3 <> 0), nr AS (SELECT b, cid FROM blk WHERE cid IN (SELECT cid FROM fresh)), many AS (SELECT b, count(*) AS n FROM nr GROUP BY b HAVING count(*) >= 2)
+    f"""{BLOCKED}, fresh AS (SELECT cid FROM outs), nr AS (SELECT b, cid FROM blk WHERE cid IN (SELECT cid FROM fresh)), many AS (SELECT b, count(*) AS n FROM nr GROUP BY b HAVING count(*) >= 2)
 SELECT b, n FROM many WHERE NOT EXISTS (SELECT 1 FROM nr x JOIN e ON e.u = x.cid JOIN nr y ON y.cid = e.v AND y.b = x.b WHERE x.b = many.b)"""
 )
 def j22_bundles(spark, d):
@@ -365,7 +368,7 @@ def f10_immediate_gain(spark, d):
 
 
 @query(
-    f"""{SELECTED}, all_act AS (SELECT * FROM act UNION ALL SELECT cid + 1000000, cid + k FROM sel, (SELECT 0 AS k UNION ALL SELECT 1) WHERE cid % 11 = 0),
+    f"""{SELECTED}, all_act AS (SELECT * FROM act UNION ALL SELECT -((cid + 1) * ((cid + 1) - 1) // 2 + cid + 1), cid + k FROM sel, (SELECT 0 AS k UNION ALL SELECT 1)),
 o AS (SELECT action, count(*) AS n, count(DISTINCT a.cid) AS dn, count(owner) AS kn, count(DISTINCT owner) AS ow, count(sel.cid) AS ch FROM all_act a LEFT JOIN c ON c.cid = a.cid LEFT JOIN sel ON sel.cid = a.cid GROUP BY action),
 cl AS (SELECT DISTINCT x.action FROM all_act x JOIN adj ON adj.u = x.cid JOIN all_act y ON y.cid = adj.v AND y.action = x.action)
 SELECT action, (n BETWEEN 1 AND 2 AND dn = n AND kn = n AND ow = n AND ch = 0 AND action NOT IN (SELECT action FROM cl)) AS valid FROM o"""
@@ -382,13 +385,13 @@ def o01_pool(spark, d):
     return Graph(spark, d).pool
 
 
-@query(f"{SELECTED} SELECT cid FROM sel WHERE cid NOT IN (SELECT cid FROM gone WHERE action > 0) UNION SELECT cid FROM act WHERE action > 0")
+@query(f"{SELECTED} SELECT cid FROM sel WHERE cid NOT IN (SELECT cid FROM gone WHERE action >= 0) UNION SELECT cid FROM act WHERE action >= 0")
 def u01_swapped(spark, d):
     g = Graph(spark, d)
     return selection.swapped(g.sel, g.gone.where("action >= 0"), g.singles)
 
 
-@query(f"{SELECTED} SELECT action, cid FROM gone UNION SELECT action, sel.cid FROM (SELECT DISTINCT action FROM act WHERE action > 0) JOIN sel ON sel.cid = action + 1")
+@query(f"{SELECTED} SELECT action, cid FROM gone UNION SELECT action, sel.cid FROM (SELECT DISTINCT action FROM act WHERE action >= 0) JOIN sel ON sel.cid = action + 1")
 def u02_released(spark, d):
     g = Graph(spark, d)
     extra = g.singles.select("action", (F.col("action") + 1).alias("cid")).join(g.sel, "cid", "left_semi").select("action", "cid")
@@ -768,7 +771,7 @@ def g08_branch_and_bound(spark, d):
 
 @query()
 def g10_local_search(spark, d):
-    return recover.recovered(_scopes(spark, d), lambda w, n: (recover.local_search(w, n, [], 2000), False))
+    return recover.recovered(_scopes(spark, d), lambda w, n: (recover.local_search(w, n, None, 2000), False))
 
 
 @query()
