@@ -5,6 +5,7 @@ import pytest
 from conflux.plans import (
     queries,
     reports,  # noqa: F401  (registers its queries)
+    requests,  # noqa: F401
 )
 
 DATA = "/root/testdata/sf0.001"
