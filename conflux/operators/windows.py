@@ -33,10 +33,14 @@ def ranked_gain(rows: DataFrame, keys: list[str], order: list[Column], value: st
 
 
 def round_robin(rows: DataFrame, spent: DataFrame) -> DataFrame:
-    """Requests (action, cap, idx) in turn order: (turns used by the action, action, cap, idx), spent ones left out."""
-    used = spent.groupBy("action").agg(F.count(F.lit(1)).alias("turns"))
-    open_ = rows.join(spent, ["action", "cap", "idx"], "left_anti").join(used, "action", "left").withColumn("turns", F.coalesce("turns", F.lit(0)))
-    return open_.select("action", "cap", "idx", "turns")
+    """Requests (state, action, cap, idx) of each state in turn order: by turns its action has used, then action, cap, idx.
+
+    Spent ones are left out; ``place`` counts from 1.
+    """
+    used = spent.groupBy("state", "action").agg(F.count(F.lit(1)).alias("turns"))
+    open_ = rows.join(spent, ["state", "action", "cap", "idx"], "left_anti").join(used, ["state", "action"], "left").withColumn("turns", F.coalesce("turns", F.lit(0)))
+    order = Window.partitionBy("state").orderBy("turns", "action", "cap", "idx")
+    return open_.select("state", "action", "cap", "idx", "turns", F.row_number().over(order).alias("place"))
 
 
 def first_minimum(rows: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:

@@ -577,11 +577,15 @@ def w06_ranked_gain(spark, d):
 
 
 @query(
-    """WITH r AS (SELECT l_orderkey AS action, l_linenumber AS cap, CAST(l_quantity AS BIGINT) AS idx, l_returnflag AS f FROM lineitem), s AS (SELECT DISTINCT action, cap, idx FROM r WHERE f = 'R'),
-t AS (SELECT action, count(*) AS turns FROM s GROUP BY action) SELECT r.action, r.cap, r.idx, coalesce(turns, 0) AS turns FROM r LEFT JOIN t USING (action) WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.action = r.action AND s.cap = r.cap AND s.idx = r.idx)"""
+    """WITH r AS (SELECT l_suppkey AS state, l_orderkey AS action, l_linenumber AS cap, CAST(l_quantity AS BIGINT) AS idx, l_returnflag AS f FROM lineitem), s AS (SELECT DISTINCT state, action, cap, idx FROM r WHERE f = 'R'),
+t AS (SELECT state, action, count(*) AS turns FROM s GROUP BY state, action),
+x AS (SELECT r.state, r.action, r.cap, r.idx, coalesce(turns, 0) AS turns FROM r LEFT JOIN t USING (state, action) WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.state = r.state AND s.action = r.action AND s.cap = r.cap AND s.idx = r.idx))
+SELECT *, CAST(row_number() OVER (PARTITION BY state ORDER BY turns, action, cap, idx) AS INT) AS place FROM x"""
 )
 def w07_round_robin(spark, d):
-    r = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("action"), F.col("l_linenumber").alias("cap"), F.col("l_quantity").cast("long").alias("idx"), F.col("l_returnflag").alias("f"))
+    r = table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("state"), F.col("l_orderkey").alias("action"), F.col("l_linenumber").alias("cap"), F.col("l_quantity").cast("long").alias("idx"), F.col("l_returnflag").alias("f")
+    )
     return windows.round_robin(r.drop("f"), r.where("f = 'R'").drop("f").distinct())
 
 
@@ -680,10 +684,15 @@ def l19_offline_regret(spark, d):
     return policy.offline_regret(_calls(spark, d).withColumnRenamed("run", "state").withColumn("truth", (F.col("idx") % 101).cast("double")))
 
 
-@query(f"WITH {RUNS} SELECT run, count(*) FILTER (kind = 'click') AS seen FROM r GROUP BY run")
+@query(
+    f"""WITH {RUNS}, last AS (SELECT run, arg_max(id % 100, struct_pack(t := t, id := id)) AS told FROM r WHERE kind = 'purchase' AND id % 3 = 0 GROUP BY run), seen AS (SELECT run, count(*) FILTER (kind = 'click') AS seen FROM r GROUP BY run)
+SELECT run, coalesce(told, seen) AS calls, told IS NOT NULL AS known FROM seen LEFT JOIN last USING (run)"""
+)
 def r05_observed_calls(spark, d):
-    rows = _runs(spark, d).select("run", "t", "id", F.when(F.col("kind") == "click", "request_started").otherwise("other").alias("kind"), F.lit(None).cast("long").alias("calls"))
-    return admission.call_counts(rows).select("run", F.col("calls").alias("seen"))
+    """Clicks are requests; every third purchase finishes a log and tells its calls."""
+    finished = (F.col("kind") == "purchase") & (F.col("id") % 3 == 0)
+    kind = F.when(F.col("kind") == "click", "request_started").when(finished, "finished").otherwise("other")
+    return admission.call_counts(_runs(spark, d).select("run", "t", "id", kind.alias("kind"), (F.col("id") % 100).alias("calls")))
 
 
 @query()

@@ -118,10 +118,14 @@ def o03_greedy_order(spark, d):
     return rows.select("ant", "cid", F.row_number().over(order).alias("pos"))
 
 
-@query("SELECT k, max(obj) AS obj FROM (SELECT o_custkey AS k, CAST(floor(o_totalprice / 100000) AS BIGINT) AS obj FROM orders) GROUP BY k")
+@query(
+    """WITH x AS (SELECT o_custkey AS k, CAST(floor(o_totalprice / 100000) AS BIGINT) AS obj, list_sort([o_orderkey % 97, o_orderkey % 89]) AS m FROM orders), y AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY obj DESC, m[1] DESC, m[2] DESC) AS n FROM x)
+SELECT k, obj, m[1] AS first_member, m[2] AS second_member FROM y WHERE n = 1"""
+)
 def o09_portfolio_winner(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.floor(F.col("o_totalprice") / 100000).alias("obj"), F.array_sort(F.array(F.col("o_orderkey") % 97, F.col("o_orderkey") % 89)).alias("members"))
-    return rows.groupBy("k").agg(F.max(F.struct("obj", "members")).alias("m")).select("k", "m.obj")
+    best = rows.groupBy("k").agg(F.max(F.struct("obj", "members")).alias("m"))
+    return best.select("k", "m.obj", F.col("m.members")[0].alias("first_member"), F.col("m.members")[1].alias("second_member"))
 
 
 @query(

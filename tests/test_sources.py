@@ -2,7 +2,7 @@ import json
 
 import pytest
 from conflux.sources import contacts as S
-from conflux.sources import sinks
+from conflux.sources import arrays, generators, sinks
 
 HEADER = ",".join(S.CONTACT_SCHEMA.fieldNames())
 GOOD = "g,geo,r0,2026-11-01T00:00:00Z,c1,p1,sat1,site1,ant1,0.000000000,5.000000001,5.000000001,a,b,no,h"
@@ -73,3 +73,71 @@ def test_sinks(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "m")).collect()] == ["3 1 10", "5 3", "6", "7 1"]
     sinks.write_graphs(v.selectExpr("'g' as graph_id", "v", "w"), e.selectExpr("'g' as graph_id", "u", "v"), str(tmp_path / "g"))
     assert spark.read.parquet(str(tmp_path / "g/vertices")).count() == 3
+
+
+def test_graph_arrays_round_trip(spark, tmp_path):
+    rows = [("g", "vertex", i, i % 2, w) for i, w in enumerate([2.5, 0.0, 3.0, 1.0])] + [("g", "edge", 0, 1, None), ("g", "edge", 1, 3, None), ("g", "member", 0, None, None), ("g", "member", 3, None, None)]
+    rows += [("g", "clique", 0, 0, None), ("g", "clique", 0, 1, None), ("g", "clique", 1, 2, None), ("h", "vertex", 0, -1, 1.0)]
+    df = spark.createDataFrame(rows, arrays.ROWS)
+    folder = (tmp_path / "npz").as_uri()
+    assert sorted(r.graph_id for r in arrays.write_graph_arrays(df, folder).collect()) == ["g", "h"]
+    back = [tuple(r) for r in arrays.read_graph_arrays(spark, folder).collect()]
+    assert sorted(map(str, back)) == sorted(map(str, rows))
+    with pytest.raises(Exception, match="FileExists"):
+        arrays.write_graph_arrays(df, folder).collect()
+
+
+@pytest.mark.parametrize(
+    ("change", "why"),
+    [({"weights": [1.0, float("nan")]}, "finite"), ({"edges": [[0, 0]]}, "loop"), ({"edges": [[0, 2]]}, "leaves"), ({"edges": [[0, 1], [1, 0]]}, "twice"), ({"selected": [0, 1]}, "inside"), ({"selected": [0, 0]}, "different"),
+     ({"agents": [1]}, "length"), ({"initial_mask": [0, 2]}, "0 or 1"), ({"cliques_flat": [0], "cliques_ptr": [0, 2]}, "fit")],
+)
+def test_contradicting_arrays(change, why):
+    import numpy as np
+
+    good = {"weights": np.array([1.0, 2.0]), "edges": np.array([[0, 1]])}
+    arrays.checked(good)
+    with pytest.raises(ValueError, match=why):
+        arrays.checked(good | {k: np.array(v) for k, v in change.items()})
+    with pytest.raises(ValueError, match="must be 1"):
+        arrays.checked(good, unit=True)
+
+
+def test_graph_and_kernel_text(spark, tmp_path):
+    v = spark.createDataFrame([(0, 5, 0.5, 0), (1, 6, 0.25, 1), (2, 7, 1.5, 1)], "v long, tick long, raw double, owner long")
+    e = spark.createDataFrame([(0, 1), (1, 2)], "u long, v long")
+    sinks.write_lines(arrays.graph_lines(v, e, spark.createDataFrame([(2,), (0,)], "v long"), "GRAPH1"), str(tmp_path / "g"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "g")).collect()]
+    assert lines == ["GRAPH1 3 2", "5 0.5 0", "6 0.25 1", "7 1.5 1", "0 1", "1 2", "2 0 2"]
+    k = spark.createDataFrame([(0, 5, 0.5, 0, 0, 1, 1, 0, 0.5, 10), (1, 6, 0.25, 1, 1, 0, 0, 1, 1.0, 11), (2, 7, 1.5, 1, -1, 0, 0, 0, 0.0, 12)], "v long, w long, raw double, owner long, color int, base int, p int, q int, freq double, id long")
+    sinks.write_lines(arrays.kernel_lines(k, e, "KERNEL1").coalesce(1), str(tmp_path / "k"))
+    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "k")).collect())
+    own, links, faults = arrays.parse_kernel_text(spark, write(tmp_path, "k.txt", text + "\n"), "KERNEL1")
+    assert sorted(tuple(r)[1:] for r in own.collect()) == sorted(map(tuple, k.collect()))
+    assert sorted(tuple(r)[1:] for r in links.collect()) == [(0, 1), (1, 2)] and not faults.count()
+    for old, new in (("KERNEL1 3", "OTHER 3"), ("\n1 2", "\n1 3"), ("0.5 10", "0.5 11"), ("-1 0 0 0", "-1 1 0 0"), ("1.0 11", "1.5 11")):
+        assert old in text
+        assert arrays.parse_kernel_text(spark, write(tmp_path, "bad.txt", text.replace(old, new) + "\n"), "KERNEL1")[2].count() == 1
+
+
+def test_json_is_strict_and_whole(spark, tmp_path):
+    path = str(tmp_path / "x.json")
+    for value in (1, 2):
+        sinks.write_json_strict(spark, {"b": value, "a": [None, "é"]}, path)
+    assert json.loads(open(path).read()) == {"a": [None, "é"], "b": 2}
+    with pytest.raises(ValueError, match="(?i)json"):
+        sinks.write_json_strict(spark, {"a": float("nan")}, path)
+
+
+def test_generated_graphs(spark):
+    v, e = generators.block_graph(spark, 3, n=60)
+    edges = {(r.u, r.v) for r in e.collect()}
+    assert {(u, u + 1) for u in range(0, 60, 3)} <= edges and all(u < w < 60 for u, w in edges)
+    assert all(3 <= r.w < 20 for r in v.collect())
+    again = generators.block_graph(spark, 3, n=60)[1].repartition(7)
+    assert {(r.u, r.v) for r in again.collect()} == edges != {(r.u, r.v) for r in generators.block_graph(spark, 4, n=60)[1].collect()}
+    tight = {(r.u, r.v) for r in generators.block_graph(spark, 3, compatibility=1.0, n=60)[1].collect()}
+    assert all(u % 3 == 0 or w % 3 == 0 for u, w in tight)
+    chosen = {r.cid for r in generators.initial_schedule(v, e, seed=5).collect()}
+    assert chosen and not any(u in chosen and w in chosen for u, w in edges)
+    assert all(x in chosen or any(y in chosen for p in edges if x in p for y in p) for x in range(60))
