@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from conflux.llm import langid, minhash, mixing, packing, quality
-from conflux.llm.tables import stored, table
+from conflux.llm.tables import dropped, stored, table
 from pyspark.sql import DataFrame, SparkSession
 
 #: Between the scores of held-out clean text and those of text in no learned language; measured figures are in README.
@@ -46,5 +46,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, from all ``documents``; what a stage keeps is written before the next one reads it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
