@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, urls
+from . import merkle, mixing, negatives, urls
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -69,4 +69,63 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
 FROM q
 """
 
-ORACLES: dict[str, str] = {"op3_warc": WARC_SQL, "op4_urls": urls_sql(), "op10_mixing": mixing_sql()}
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in merkle.COLUMNS) + ")"
+
+#: CRC-32 of decimal ids by the polynomial, bit by bit; the trees by level, in recursion; then each row's way up.
+MERKLE_SQL = f"""
+WITH RECURSIVE
+table_of AS (SELECT list_transform(range(256), lambda c: list_reduce(list_prepend(c::UBIGINT, [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]),
+  lambda r, _: xor(r >> 1, (r & 1) * 3988292384))) AS crc),
+d AS (
+  SELECT doc_id, lang, {_LEAF} AS leaf, {_LEAF.replace("n_chars", "(n_chars::HUGEINT + 1)")} AS changed,
+    xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: unicode(c)::UBIGINT)),
+      lambda r, b: xor(r >> 8, crc[(xor(r, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT) AS crc
+  FROM documents, table_of),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+    CASE WHEN crc % 7 = 0 THEN coalesce(changed, leaf) ELSE leaf END AS told FROM d),
+low AS (
+  SELECT lang, 0 AS level, idx, leaf AS node, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, idx // 2, sha256(string_agg(node, '' ORDER BY idx)), (min(n) + 1) // 2 FROM low WHERE n > 1 GROUP BY lang, level, idx // 2),
+subroots AS (SELECT lang, node AS subroot, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS level, place AS idx, subroot AS node, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 2, sha256(string_agg(node, '' ORDER BY idx)), (min(n) + 1) // 2 FROM high WHERE n > 1 GROUP BY level, idx // 2),
+siblings AS (
+  SELECT l.doc_id, l.lang, l.idx, s.level, s.idx < (l.idx >> s.level::BIGINT) AS is_left, s.node
+  FROM leaves l JOIN low s ON s.lang IS NOT DISTINCT FROM l.lang AND s.idx = xor(l.idx >> s.level::BIGINT, 1)
+  UNION ALL
+  SELECT l.doc_id, l.lang, l.idx, r.height + s.level, s.idx < (r.place >> s.level::BIGINT), s.node
+  FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang JOIN high s ON s.idx = xor(r.place >> s.level::BIGINT, 1)),
+proofs AS (SELECT lang, idx, list({{'is_left': is_left, 'node': node}} ORDER BY level) AS way FROM siblings GROUP BY lang, idx),
+folds AS (
+  SELECT l.lang, l.idx, l.told AS own, coalesce(way, []) AS way, 1 AS k FROM leaves l LEFT JOIN proofs p ON p.lang IS NOT DISTINCT FROM l.lang AND p.idx = l.idx
+  UNION ALL
+  SELECT lang, idx, sha256(CASE WHEN way[k].is_left THEN way[k].node || own ELSE own || way[k].node END), way, k + 1 FROM folds WHERE k <= len(way))
+SELECT l.doc_id, l.leaf, r.subroot, h.node AS root, sha256(coalesce(array_to_string(list_transform(f.way, lambda x: x.node), ''), '')) AS proof_sha256,
+  f.own AS folded_root, f.own = h.node AS verified
+FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang JOIN high h ON h.n = 1
+JOIN folds f ON f.lang IS NOT DISTINCT FROM l.lang AND f.idx = l.idx AND f.k = len(f.way) + 1
+"""
+
+_FINITE = "list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)"
+
+NEGATIVES_SQL = f"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor({negatives.SCALE} * x::DOUBLE)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_FINITE}),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, r.vec_id, r.label, list_inner_product(a.q, r.q)::BIGINT AS score
+  FROM v a JOIN v r ON r.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {negatives.POSITIVES})
+SELECT anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE label <> own AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= {negatives.NEGATIVES}
+"""
+
+ORACLES: dict[str, str] = {"op3_warc": WARC_SQL, "op4_urls": urls_sql(), "op10_mixing": mixing_sql(), "op11_negatives": NEGATIVES_SQL, "op12_merkle": MERKLE_SQL}

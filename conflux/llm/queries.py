@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import html, langid, licenses, minhash, mixing, packing, quality, search, urls, warc
+from . import html, langid, licenses, merkle, minhash, mixing, negatives, packing, quality, search, toxicity, urls, warc
 from .tables import table
 
 
@@ -56,5 +57,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(negatives.relabelled(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merkle.audited(table(spark, sf_dir, "documents"))
+    rows = rows.withColumn("proof_sha256", merkle.proof(F.col("siblings"))).withColumn("folded_root", merkle.folded(F.col("told"), F.col("siblings")))
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 from conflux.shared import dropped, shared_dir, stored
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-__all__ = ["bounded", "dropped", "shared_dir", "stored", "table"]
+__all__ = ["bounded", "dropped", "parquet_batches", "shared_dir", "stored", "table"]
 
 #: Most rows and bytes of an Arrow batch of whole texts: without a bound, ten thousand long texts would meet in one batch.
 LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
@@ -26,3 +31,11 @@ def bounded(df: DataFrame) -> DataFrame:
         if now is None or not now.isdigit() or not 0 < int(now) <= most:
             conf.set(key, str(most))
     return df
+
+
+def parquet_batches(files: list[str], rows: int, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of a stored table, inside a task."""
+    for file in files:
+        at, place = fs.FileSystem.from_uri(file)
+        with at.open_input_file(place) as f:
+            yield from pq.ParquetFile(f).iter_batches(rows, columns=columns)
