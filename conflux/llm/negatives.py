@@ -40,7 +40,7 @@ ROWS, WINDOWS = 32_768, 128  # of a block of scores
 EDGE = 1 << 61
 POSITIVES, NEGATIVES = 5, 10
 
-_HELD = ["anchor_id", "w", "label", "vec", "top", "lo", "hi", "need"]
+_HELD = ["anchor_id", "w", "label", "vec", "top", "lo", "hi", "need", "shift"]
 
 
 def whole(x: np.ndarray) -> np.ndarray:
@@ -54,7 +54,7 @@ def matrices(ids: pa.Array, labels: pa.Array, vectors: pa.Array) -> Iterator[tup
     size = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
     for n in np.unique(size).tolist():
         own = pa.array(size == n)
-        x = vectors.filter(own).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)  # null becomes NaN
+        x = vectors.filter(own).flatten().to_numpy(zero_copy_only=False).reshape(int((size == n).sum()), n)  # null becomes NaN
         good = np.isfinite(x).all(axis=1)
         yield ids.filter(own).to_numpy()[good], labels.filter(own).to_numpy()[good], whole(x[good])
 
@@ -69,24 +69,20 @@ def products(a: np.ndarray, b: np.ndarray, most: float) -> np.ndarray:
     return np.clip(big @ np.array([[int(x) for x in row] for row in b], dtype=object).reshape(b.shape).T, -EDGE, EDGE).astype(np.int64) if a.shape[1] else a @ b.T
 
 
-def _shift(lo: int, hi: int) -> int:
-    return max(0, (hi - lo).bit_length() - DIGIT)
-
-
 def _scored(rows: DataFrame, windows: DataFrame, same: bool, most: float, found: Callable[..., tuple[np.ndarray, np.ndarray]], names: list[str]) -> DataFrame:
     """(anchor_id, w, two numbers that ``found`` gives for a window) over blocks of rows and batches of windows."""
-    files = windows.inputFiles()
+    files, most_rows, most_windows = windows.inputFiles(), ROWS, WINDOWS
 
     def answers(ids: np.ndarray, labels: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for batch in parquet_batches(files, WINDOWS, _HELD):
+        for batch in parquet_batches(files, most_windows, _HELD):
             own = batch.filter(pc.equal(pc.list_value_length(batch.column("vec")), x.shape[1]))
             if not own.num_rows:
                 continue
-            anchors, label, w, top, lo, hi, need = (own.column(k).to_numpy() for k in ("anchor_id", "label", "w", "top", "lo", "hi", "need"))
+            anchors, label, w, *window = (own.column(k).to_numpy() for k in ("anchor_id", "label", "w", "top", "lo", "hi", "need", "shift"))
             once, first, spot = np.unique(anchors, return_index=True, return_inverse=True)
-            scores = products(own.column("vec").flatten().to_numpy().reshape(-1, x.shape[1])[first], x, most)
+            scores = products(own.column("vec").flatten().to_numpy().reshape(own.num_rows, x.shape[1])[first], x, most)
             fits = [((labels == label[i]) == same) & (ids != anchors[i]) for i in first.tolist()]
-            out = [found(scores[i], fits[i], ids, *window) for i, *window in zip(spot.tolist(), top.tolist(), lo.tolist(), hi.tolist(), need.tolist(), strict=True)]
+            out = [found(scores[i], fits[i], ids, *numbers) for i, *numbers in zip(spot.tolist(), *(c.tolist() for c in window), strict=True)]
             number = [len(a) for a, _ in out]
             if sum(number):
                 columns = [np.repeat(anchors, number), np.repeat(w, number), np.concatenate([a for a, _ in out]).astype(np.int64), np.concatenate([b for _, b in out]).astype(np.int64)]
@@ -102,7 +98,7 @@ def _scored(rows: DataFrame, windows: DataFrame, same: bool, most: float, found:
             for part in matrices(*batch.columns):
                 n = part[2].shape[1]
                 held.setdefault(n, []).append(part)
-                if sum(len(p[0]) for p in held[n]) >= ROWS:
+                if sum(len(p[0]) for p in held[n]) >= most_rows:
                     yield from block(n)
         for n in sorted(held):
             yield from block(n)
@@ -110,16 +106,16 @@ def _scored(rows: DataFrame, windows: DataFrame, same: bool, most: float, found:
     return rows.mapInArrow(run, f"anchor_id long, w int, {names[0]} long, {names[1]} long")
 
 
-def _counted(s: np.ndarray, fits: np.ndarray, ids: np.ndarray, top: int, lo: int, hi: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+def _counted(s: np.ndarray, fits: np.ndarray, ids: np.ndarray, top: int, lo: int, hi: int, need: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
     if lo == hi:  # settled
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     own = s[(s >= lo) & (s <= hi) & fits]
     if len(own) > need:
         own = np.partition(own, len(own) - need)[len(own) - need :]
-    return np.unique((own.astype(np.int64) - lo) >> _shift(lo, hi), return_counts=True)
+    return np.unique((own.astype(np.int64) - lo) >> shift, return_counts=True)
 
 
-def _gathered(s: np.ndarray, fits: np.ndarray, ids: np.ndarray, top: int, lo: int, hi: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+def _gathered(s: np.ndarray, fits: np.ndarray, ids: np.ndarray, top: int, lo: int, hi: int, need: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
     above = np.flatnonzero((s > lo) & (s <= top) & fits)
     ties = np.flatnonzero((s == lo) & fits)
     if len(ties) > need:
@@ -128,27 +124,29 @@ def _gathered(s: np.ndarray, fits: np.ndarray, ids: np.ndarray, top: int, lo: in
     return ids[own], s[own]
 
 
-def _bits(n: Column) -> Column:
-    return F.when(n <= 0, 0).otherwise(F.length(F.bin(n)))
+def _windows(df: DataFrame) -> DataFrame:
+    """Stores windows with the shift that leaves ``DIGIT`` bits of their range."""
+    wide = F.col("hi") - F.col("lo")
+    df = df.withColumn("shift", F.greatest(F.lit(0), F.length(F.bin(wide)) - DIGIT))
+    return stored(df.select(*_HELD).sortWithinPartitions("anchor_id", "w"), "windows")
 
 
 def selected(rows: DataFrame, windows: DataFrame, same: bool, most: float, k: int) -> DataFrame:
     """The k best rows of each window (anchor_id, w, label, vec, lo, hi): anchor_id, w, vec_id, score and rank."""
-    windows = stored(windows.withColumns({"top": F.col("hi"), "need": F.lit(k)}).select(*_HELD).sortWithinPartitions("anchor_id", "w"), "windows")
+    windows = _windows(windows.withColumns({"top": F.col("hi"), "need": F.lit(k)}))
     while (windows.agg(F.max(F.col("hi") - F.col("lo"))).first()[0] or 0) > 0:
         counts = _scored(rows, windows, same, most, _counted, ["bucket", "n"]).groupBy("anchor_id", "w", "bucket").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("anchor_id", "w").orderBy(F.desc("bucket"))
         counts = counts.withColumn("above", F.sum("n").over(down) - F.col("n")).join(windows.select("anchor_id", "w", "need"), ["anchor_id", "w"])
         there = counts.where((F.col("above") < F.col("need")) & (F.col("above") + F.col("n") >= F.col("need"))).select("anchor_id", "w", "bucket", "above")
-        shift = F.greatest(F.lit(0), _bits(F.col("hi") - F.col("lo")) - DIGIT)
-        both = windows.join(there, ["anchor_id", "w"], "left").withColumn("shift", shift).withColumn("from", F.expr("lo + shiftleft(bucket, shift)"))
+        both = windows.join(there, ["anchor_id", "w"], "left").withColumn("from", F.expr("lo + shiftleft(bucket, shift)"))
         both = both.withColumns({
             # fewer rows than asked for: all of them, from the lowest score on
             "hi": F.when(F.col("bucket").isNull(), F.col("lo")).otherwise(F.least(F.col("hi"), F.expr("from + shiftleft(1L, shift) - 1"))),
             "lo": F.coalesce("from", "lo"),
             "need": F.col("need") - F.coalesce("above", F.lit(0)).cast("int"),
         })
-        before, windows = windows, stored(both.select(*_HELD).sortWithinPartitions("anchor_id", "w"), "windows")
+        before, windows = windows, _windows(both)
         dropped(before)
     rank = F.row_number().over(Window.partitionBy("anchor_id", "w").orderBy(F.desc("score"), "vec_id"))
     return _scored(rows, windows, same, most, _gathered, ["vec_id", "score"]).withColumn("rank", rank).where(F.col("rank") <= k)

@@ -69,7 +69,8 @@ class Vocabulary:
         """The distinct numbers in each document, rising."""
         each, rows = features(texts)
         place = self.slots[each >> np.uint64(64 - SLOTS)]
-        place[(place >= 0) & (self.hashes[place] != each)] = -1
+        if len(self.hashes):
+            place[(place >= 0) & (self.hashes[place] != each)] = -1
         for lo, hi in rows:
             own = place[lo:hi]
             yield np.unique(own[own >= 0])
