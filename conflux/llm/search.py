@@ -4,19 +4,22 @@ Global statistics (number of documents, mean length, document frequency of each
 shard scores with the same weights and the union of the shards' top k holds the global top k.
 
 A shard is some documents of one task.  Its index is built once and asked all queries; it holds for every term its
-postings and largest BM25 contribution, and, for terms of at least one document in ``HEAD``, the largest contribution in
-each block of ``BLOCK`` documents of similar words and length.
+postings and largest BM25 contribution.  Documents are numbered in blocks of ``BLOCK`` of similar words and length, and
+terms of at least one document in ``HEAD`` have their contributions laid out by block, with the largest of each block.
 
 A query comes with a threshold that its k-th best score is known to reach.  Its frequent terms in the order of their
 upper bounds are passed over while these sum to less than the threshold (a share of it): no document is a candidate for
-them alone, which is WAND's choice of the pivot, made once for the whole shard.  Postings of the other terms are summed.
-A document whose sum and whose block's maxima of the terms passed over stay below the threshold is skipped (the
-block-max check); only the others are looked up in the terms passed over.  All documents of a shard take these steps
-together in array operations, instead of one cursor movement after another.
+them alone, which is WAND's choice of the pivot, made once for the whole shard.  The postings of rare terms are summed.
+Then blocks are skipped: where a block's best sum and its maxima of all frequent terms stay below the threshold, none of
+its contributions is read.  In the others the frequent terms that were not passed over are added, documents that cannot
+reach the threshold with the block's maxima of the terms passed over are skipped, and only the rest is looked up in those.
+All documents of a shard take these steps together in array operations, instead of one cursor movement after another.
 
 Thresholds come from the documents themselves, by hash: those of the first of ``SHARES`` are searched without one, the
 next with the k-th best score so far, and the rest with the best of both.  So a shard returns only documents that are
-among the best of a known share, and rows returned grow with queries * k, not with shards.
+among the best of a known share, and rows returned grow with queries * k, not with shards.  The early shares are few
+documents, so their terms are written once, by shard, and each task reads one shard and one block of ``ASKED`` queries; of
+the last share each task indexes what it reads, and texts are not shuffled.
 
 A term is a lower-cased word (see textcore) and is known by its 64-bit hash.  Scores: sum over the query's distinct
 terms of count in the query * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean length)), with
@@ -35,13 +38,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .tables import bounded, stored
+from .tables import bounded, parquet_batches, stored
 
 K1, B = 1.2, 0.75
 BLOCK = 64
@@ -128,25 +129,29 @@ class Shard:
         self.own_term = np.empty(len(term), np.int32)  # place in terms
         self.own_term[order] = np.repeat(np.arange(len(new), dtype=np.int32), np.diff(self.first))
         self.weight = np.zeros(len(new))  # of the query at hand
-        # a posting is a document and its impact
-        self.postings = np.empty((len(term), 2), np.int32)
-        self.postings[:, 0] = owner[order]
-        impact = self.postings[:, 1].view(np.float32)
-        impact[:] = (tf * (K1 + 1) / (tf + self.norm[owner]))[order]
+        impact = (tf * (K1 + 1) / (tf + self.norm[owner]))[order].astype(np.float32)
         self.most = np.maximum.reduceat(impact, new) if len(new) else np.zeros(0, np.float32)
         frequent = np.flatnonzero(np.diff(self.first) * HEAD >= n)
         self.head = np.full(len(new), -1, np.int32)
         self.head[frequent] = np.arange(len(frequent))
-        self.dense = np.zeros((n, len(frequent)), np.float32)
+        doc = owner[order].astype(np.int32)
+        self.blocks = -(-n // BLOCK)
+        dense = np.zeros((len(frequent), self.blocks * BLOCK), np.float32)
         for i, t in enumerate(frequent.tolist()):
             at = slice(self.first[t], self.first[t + 1])
-            self.dense[self.postings[at, 0], i] = impact[at]
+            dense[i, doc[at]] = impact[at]
         # blocks of documents led by the same frequent term, by length
-        lead = self.dense.argmax(axis=1) if len(frequent) else np.zeros(n, np.int64)
-        order = np.lexsort((length, lead))
-        self.block = np.empty(n, np.int64)
-        self.block[order] = np.arange(n) // BLOCK
-        self.block_most = np.stack([self.dense[order[lo : lo + BLOCK]].max(axis=0) for lo in range(0, n, BLOCK)], axis=1) if n else self.dense.T
+        lead = dense[:, :n].argmax(axis=0) if len(frequent) else np.zeros(n, np.int64)
+        self.given = np.lexsort((length, lead))  # the document at each place
+        place = np.empty(n, np.int32)
+        place[self.given] = np.arange(n, dtype=np.int32)
+        dense[:, :n] = dense[:, self.given]
+        self.dense = dense.reshape(len(frequent), self.blocks, BLOCK)
+        self.block_most = self.dense.max(axis=2, initial=0)
+        # a posting is a place and its impact
+        self.postings = np.empty((len(term), 2), np.int32)
+        self.postings[:, 0] = place[doc]
+        self.postings[:, 1] = impact.view(np.int32)
 
     def exact(self, docs: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Scores of documents, summed in the order of their terms."""
@@ -169,8 +174,19 @@ class Shard:
         at = np.minimum(np.searchsorted(self.terms, once), len(self.terms) - 1)
         return np.where(self.terms[at] == once, at, -1)[spot]
 
+    def summed(self, lists: np.ndarray, by: np.ndarray) -> np.ndarray:
+        """Sums over the postings of some terms, for every place."""
+        if not len(lists):
+            return np.zeros(self.blocks * BLOCK, np.float32)
+        first, last = self.first[lists], self.first[lists + 1]
+        one = last - first == 1
+        many = ~one
+        found = np.concatenate([self.postings[first[one]], *(self.postings[a:b] for a, b in zip(first[many].tolist(), last[many].tolist(), strict=True))])
+        part = found[:, 1].view(np.float32) * np.concatenate([by[one], np.repeat(by[many], (last - first)[many])])
+        return np.bincount(found[:, 0], weights=part, minlength=self.blocks * BLOCK).astype(np.float32)
+
     def top(self, at: np.ndarray, weight: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the k best documents of those with a score of at least ``least``, for terms at ``places``."""
+        """The k best documents and their scores, of those with a score of at least ``least``, for terms at ``places``."""
         nothing = np.zeros(0, np.int64), np.zeros(0)
         there = at >= 0
         at, weight = at[there], weight[there]
@@ -179,79 +195,89 @@ class Shard:
         bound = by * self.most[at]
         if not len(at) or float(bound.sum()) * (1 + MARGIN) < least:
             return nothing
-        head = self.head[at]
-        passed = np.flatnonzero(head >= 0)
-        passed = passed[np.argsort(bound[passed])]
-        passed = passed[: int(np.searchsorted(np.cumsum(bound[passed]), PASSED * floor, side="right"))]
-        opened = np.ones(len(at), bool)
-        opened[passed] = False
-        lists = at[opened]
-        first, last = self.first[lists], self.first[lists + 1]
-        if len(lists):
-            one, share = last - first == 1, by[opened]
-            many = ~one
-            found = np.concatenate([self.postings[first[one]], *(self.postings[a:b] for a, b in zip(first[many].tolist(), last[many].tolist(), strict=True))])
-            part = found[:, 1].view(np.float32) * np.concatenate([share[one], np.repeat(share[many], (last - first)[many])])
-            total = np.bincount(found[:, 0], weights=part, minlength=self.n)
-        else:
-            total = np.zeros(self.n)
-        if len(passed):
-            rows, share = head[passed], by[passed]
-            found = np.flatnonzero((total > 0) & (total >= floor - (share @ self.block_most[rows])[self.block]))
-            total = total[found] + self.dense[found[:, None], rows] @ share
-            good = total >= floor
-            found, total = found[good], total[good]
+        rare = self.head[at] < 0
+        total = self.summed(at[rare], by[rare])
+        order = np.argsort(bound[~rare])
+        heads, share = self.head[at[~rare]][order], by[~rare][order]
+        passed = int(np.searchsorted(np.cumsum(bound[~rare][order]), PASSED * floor, side="right"))
+        if len(heads):
+            most = self.block_most[heads]
+            low = share[:passed] @ most[:passed]
+            blocks = np.flatnonzero(total.reshape(-1, BLOCK).max(axis=1) + low + share[passed:] @ most[passed:] >= floor)
+            opened = total.reshape(-1, BLOCK)[blocks]
+            if passed < len(heads):
+                opened = opened + (share[passed:] @ self.dense[heads[passed:, None], blocks].reshape(len(heads) - passed, -1)).reshape(-1, BLOCK)
+            block, spot = np.nonzero((opened > 0) & (opened >= (floor - low[blocks])[:, None]))
+            found, total = blocks[block] * BLOCK + spot, opened[block, spot]
+            if passed:
+                total = total + share[:passed] @ self.dense.reshape(len(self.dense), -1)[heads[:passed, None], found]
         else:
-            found = np.flatnonzero((total > 0) & (total >= floor))
+            found = np.flatnonzero(total > 0)
             total = total[found]
+        good = total >= floor
+        found, total = found[good], total[good]
         if len(found) > k:
-            good = total >= np.partition(total, len(total) - k)[len(total) - k] * (1 - MARGIN)
-            found = found[good]
+            found = found[total >= np.partition(total, len(total) - k)[len(total) - k] * (1 - MARGIN)]
         if not len(found):
             return nothing
+        found = self.given[found]
         scores = self.exact(found, at, weight)
         good = np.flatnonzero(scores >= least)
         good = good[np.lexsort((self.ids[found[good]], -scores[good]))[:k]]
         return found[good], scores[good]
 
 
-def _read(files: list[str], rows: int, columns: list[str]) -> Iterator[pa.RecordBatch]:
-    for file in files:
-        at, place = fs.FileSystem.from_uri(file)
-        with at.open_input_file(place) as f:
-            yield from pq.ParquetFile(f).iter_batches(rows, columns=columns)
+def _indexed(column: pa.Array, ids: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+    for lo, hi, texts in tc.chunks(column):
+        owner, h, tf, counts = _terms(texts)
+        yield ids.slice(lo, hi - lo).to_numpy(), owner, h, tf, counts
+
+
+def _term_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, terms and counts of documents, as bytes of their arrays, and length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, owner, h, tf, counts in _indexed(batch.column(1), batch.column(0)):
+                cut = np.searchsorted(owner, np.arange(len(ids) + 1))
+                held = [[x[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)] for x in (h, tf.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(x, pa.binary()) for x in held), pa.array(counts)], names=["doc_id", "terms", "tf", "length"])
+
+    return docs.mapInArrow(run, "doc_id long, terms binary, tf binary, length long")
+
+
+def _from_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    terms, tf = batch.column("terms"), batch.column("tf")
+    number = pc.binary_length(terms).to_numpy() // 8
+    whole = [np.frombuffer(b"".join(x.to_pylist()), kind) for x, kind in ((terms, np.uint64), (tf, np.int32))]
+    return batch.column("doc_id").to_numpy(), np.repeat(np.arange(batch.num_rows), number), *whole, batch.column("length").to_numpy()
 
 
 def _searched(docs: DataFrame, asked: DataFrame, known: DataFrame | None, mean: float, k: int, shards: int = 0) -> DataFrame:
     """query_id, doc_id and score: the best documents of each shard, at least as good as the query's known threshold.
 
-    With ``shards`` the documents are few: they are dealt to so many shards, each asked by several tasks, one for every
-    ``ASKED`` queries; else a shard is what a task reads.
+    With ``shards`` the documents are few: their terms are written in so many shards, and a task is one of these and one
+    block of queries (a file of ``asked``); else a shard is what a task reads.
     """
     files, known_files = asked.inputFiles(), known.inputFiles() if known is not None else []
-    blocks = max(1, -(-asked.count() // ASKED)) if shards else 1
+    most_words = SHARD_WORDS
     names = ["query_id", "doc_id", "score"]
 
     def read_bounds() -> tuple[np.ndarray, np.ndarray]:
-        least = list(_read(known_files, 1 << 16, ["query_id", "least"]))
+        least = list(parquet_batches(known_files, 1 << 16, ["query_id", "least"]))
         who = np.concatenate([np.zeros(0, np.int64), *(b.column("query_id").to_numpy() for b in least)])
         floors = np.concatenate([np.zeros(0), *(b.column("least").to_numpy() for b in least)])
         order = np.argsort(who)
         return who[order], floors[order]
 
-    def indexed(column: pa.Array, ids: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
-        for lo, hi, texts in tc.chunks(column):
-            owner, h, tf, counts = _terms(texts)
-            yield ids.slice(lo, hi - lo).to_numpy(), owner, h, tf, counts
-
-    def answers(parts: list[tuple], who: np.ndarray, floors: np.ndarray, block: int) -> Iterator[pa.RecordBatch]:
+    def answers(parts: list[tuple], who: np.ndarray, floors: np.ndarray, own_files: list[str]) -> Iterator[pa.RecordBatch]:
         ids = np.concatenate([p[0] for p in parts])
         bases = np.cumsum([0, *(len(p[0]) for p in parts)])
         columns = [np.concatenate([p[i] + (base if i == 1 else 0) for p, base in zip(parts, bases[:-1], strict=True)]) for i in (1, 2, 3, 4)]
         parts.clear()
         shard = Shard(ids, *columns, mean)
         del columns
-        for batch in _read(files, 256, ["query_id", "term", "weight"]):
+        for batch in parquet_batches(own_files, 256, ["query_id", "term", "weight"]):
             rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             queries = batch.column("query_id").to_numpy()
             spot = np.searchsorted(who, queries)
@@ -261,38 +287,37 @@ def _searched(docs: DataFrame, asked: DataFrame, known: DataFrame | None, mean:
             bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(terms).to_numpy())]).tolist()
             places = shard.places(terms.flatten().to_numpy().view(np.uint64))
             for i, (q, floor) in enumerate(zip(queries.tolist(), least.tolist(), strict=True)):
-                if (q * 2654435761 >> 16) % blocks == block:
-                    d, s = shard.top(places[bounds[i] : bounds[i + 1]], weights[bounds[i] : bounds[i + 1]], k, floor)
-                    rows.append((np.full(len(d), q), shard.ids[d], s))
+                d, s = shard.top(places[bounds[i] : bounds[i + 1]], weights[bounds[i] : bounds[i + 1]], k, floor)
+                rows.append((np.full(len(d), q), shard.ids[d], s))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(found: Iterator[tuple[np.ndarray, ...]], own_files: list[str]) -> Iterator[pa.RecordBatch]:
         limits = read_bounds()
         parts: list[tuple] = []
         size = 0
-        for batch in batches:
-            for part in indexed(batch.column(1), batch.column(0)):
-                parts.append(part)
-                size += len(part[2])
-                if size > SHARD_WORDS:
-                    yield from answers(parts, *limits, 0)
-                    size = 0
+        for part in found:
+            parts.append(part)
+            size += len(part[2])
+            if size > most_words:
+                yield from answers(parts, *limits, own_files)
+                size = 0
         if parts:
-            yield from answers(parts, *limits, 0)
-
-    def run_group(t: pa.Table) -> pa.Table:
-        block = t.column("_block")[0].as_py()
-        parts = list(indexed(t.column("text"), t.column("doc_id")))
-        found = list(answers(parts, *read_bounds(), block))
-        kinds = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
-        return pa.Table.from_batches(found, kinds)
+            yield from answers(parts, *limits, own_files)
 
     schema = "query_id long, doc_id long, score double"
     if not shards:
-        return docs.mapInArrow(run, schema)
-    dealt = docs.withColumn("_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return dealt.groupBy("_shard", "_block").applyInArrow(run_group, schema)
+        return docs.mapInArrow(lambda batches: search((p for b in batches for p in _indexed(b.column(1), b.column(0))), files), schema)
+    index = stored(_term_rows(docs).repartition(shards, F.xxhash64("doc_id")), "index").inputFiles()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for task in batch.column(0).to_pylist():
+                rows = parquet_batches([index[task // len(files)]], 256, ["doc_id", "terms", "tf", "length"])
+                yield from search((_from_rows(b) for b in rows), [files[task % len(files)]])
+
+    tasks = len(index) * len(files)
+    return docs.sparkSession.range(0, tasks, 1, max(tasks, 1)).mapInArrow(run, schema)
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
@@ -304,7 +329,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     terms = query_terms(queries).distinct().join(df.where("term is not null").select("term", "df"), "term").select("query_id", "term", (F.col("count") * idf).alias("weight"))
     # in the order of the hashes as unsigned numbers
     asked = terms.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((F.col("term") < 0).alias("high"), "term", "weight"))).alias("t"))
-    asked = stored(asked.select("query_id", F.col("t.term").alias("term"), F.col("t.weight").alias("weight")), "queries")
+    blocks = max(1, -(-queries.where("doc_id is not null").count() // ASKED))
+    asked = stored(asked.select("query_id", F.col("t.term").alias("term"), F.col("t.weight").alias("weight")).repartition(blocks, "query_id"), "queries")
     rank: Column = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     postings = df.where("term is not null").agg(F.sum("df")).first()[0] or 0
     rows = _text_rows(docs).withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))

@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conflux.llm import queries, search
 
@@ -55,7 +57,7 @@ def test_query_matches_brute_force(spark):
 @pytest.mark.parametrize(("k", "shard"), [(1, 10**9), (5, 300), (40, 2000)])
 def test_pruning_and_merging_are_exact(spark, monkeypatch, k, shard):
     monkeypatch.setattr(search, "SHARD_WORDS", shard)
-    monkeypatch.setattr(search, "BLOCK", 4)
+    monkeypatch.setattr(search, "ASKED", 4)  # two blocks of queries
     rnd = random.Random(k)
     vocabulary = [f"t{int(rnd.paretovariate(0.7))}" for _ in range(400)]
     docs = [(i, " ".join(rnd.choices(vocabulary, k=rnd.choice([1, 3, 20, 80])))) for i in range(300)]
@@ -63,6 +65,32 @@ def test_pruning_and_merging_are_exact(spark, monkeypatch, k, shard):
     check(search.top_k(df, df.where("doc_id % 50 = 0"), k).collect(), brute(docs, [d for d in docs if d[0] % 50 == 0], k))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_a_shard_skips_blocks_and_stays_exact(seed):
+    """Thresholds up to the k-th best score itself lose nothing, ties at that place included."""
+    rnd = random.Random(seed)
+    vocabulary = [f"t{int(rnd.paretovariate(0.8))}" for _ in range(300)]
+    texts = [" ".join(rnd.choices(vocabulary, k=rnd.choice([3, 20, 80, 200]))) for _ in range(700)]
+    texts[100:130] = [texts[100]] * 30
+    docs = list(enumerate(texts))
+    parts = list(search._indexed(pa.array(texts), pa.array(range(len(texts)))))
+    assert len(parts) == 1
+    ids, owner, h, tf, length = parts[0]
+    shard = search.Shard(ids, owner, h, tf, length, length.mean())
+    n = len(texts)
+    for q in range(90, 140):
+        own, terms, count = owner == q, h[owner == q], tf[owner == q]
+        assert own.any()
+        df = np.array([(h == t).sum() for t in terms])
+        weight = count * np.log(1 + (n - df + 0.5) / (df + 0.5))
+        want = [(d, s) for d, s in brute(docs, [docs[q]], 10)[q]]
+        for least in (0.0, want[-1][1] * 0.7, want[-1][1]):
+            d, s = shard.top(shard.places(terms), weight, 10, least)
+            assert s == pytest.approx([x for _, x in want], abs=5e-6)
+            if 100 <= q < 130:
+                assert ids[d].tolist() == list(range(100, 110))
+
+
 def test_edge_cases(spark):
     rows = [(0, None), (50, ""), (100, "only here"), (1, "a b"), (2, "a b"), (2, "a b"), (None, "a b c"), (150, "a"), (200, "ONLY " * 100_000)]
     docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double")
