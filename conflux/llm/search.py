@@ -308,7 +308,7 @@ def _searched(docs: DataFrame, asked: DataFrame, known: DataFrame | None, mean:
     schema = "query_id long, doc_id long, score double"
     if not shards:
         return docs.mapInArrow(lambda batches: search((p for b in batches for p in _indexed(b.column(1), b.column(0))), files), schema)
-    index = stored(_term_rows(docs).repartition(shards, F.xxhash64("doc_id")), "index").inputFiles()
+    index = stored(_term_rows(docs).repartition(shards), "index").inputFiles()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,7 +330,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     # in the order of the hashes as unsigned numbers
     asked = terms.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((F.col("term") < 0).alias("high"), "term", "weight"))).alias("t"))
     blocks = max(1, -(-queries.where("doc_id is not null").count() // ASKED))
-    asked = stored(asked.select("query_id", F.col("t.term").alias("term"), F.col("t.weight").alias("weight")).repartition(blocks, "query_id"), "queries")
+    asked = stored(asked.select("query_id", F.col("t.term").alias("term"), F.col("t.weight").alias("weight")).repartition(blocks), "queries")
     rank: Column = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     postings = df.where("term is not null").agg(F.sum("df")).first()[0] or 0
     rows = _text_rows(docs).withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
