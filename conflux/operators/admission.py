@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scans
+
 
 def admitted(events: DataFrame, inclusive: bool = False) -> DataFrame:
     """Events (run, t, id, value, deadline) with ``on_time`` (strictly before the deadline unless inclusive).
@@ -13,8 +15,7 @@ def admitted(events: DataFrame, inclusive: bool = False) -> DataFrame:
     """
     on_time = F.col("t") <= F.col("deadline") if inclusive else F.col("t") < F.col("deadline")
     rows = events.withColumn("on_time", on_time).withColumn("counted", F.when(F.col("on_time"), F.col("value")).otherwise(0.0))
-    so_far = Window.partitionBy("run").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("best", F.max(F.when(F.col("on_time"), F.col("value"))).over(so_far))
+    return scans.running(rows, ["run"], ["t", "id"], "best", F.when(F.col("on_time"), F.col("value")), inclusive=True)
 
 
 def final_incumbents(events: DataFrame, initial: float = 0.0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import pairs
+from . import pairs, scans
 
 
 def proposals(vertices: DataFrame, edges: DataFrame, blocked: DataFrame, sel: DataFrame, most: int = 12, pool: int = 64) -> DataFrame:
@@ -149,9 +149,8 @@ def surrogates(scope: DataFrame, gains: DataFrame) -> DataFrame:
 
 def warm_updates(events: DataFrame) -> DataFrame:
     """Events (run, t, id, value, deadline) that replace the warm set: timely, and strictly better than all timely before."""
-    timely = events.where("t < deadline")
-    before = Window.partitionBy("run").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, -1)
-    return timely.withColumn("_best", F.max("value").over(before)).where("_best is null or value > _best").drop("_best")
+    timely = scans.running(events.where("t < deadline"), ["run"], ["t", "id"], "_best", F.col("value"))
+    return timely.where("_best is null or value > _best").drop("_best")
 
 
 def gated(events: DataFrame, warmup: int, stale: int, cooldown: int, share: float, cost: int) -> DataFrame:

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+
 
 def running_overlaps(rows: DataFrame, keys: list[str], start: str = "s", end: str = "e", id_col: str = "cid") -> DataFrame:
     """Per resource, how many windows start before the latest end seen so far (by start, id)."""
-    before = Window.partitionBy(*keys).orderBy(start, id_col).rowsBetween(Window.unboundedPreceding, -1)
-    hit = F.col(start) < F.max(end).over(before)
-    return rows.withColumn("_hit", hit).groupBy(*keys).agg(F.count_if("_hit").alias("overlaps"), F.count(F.lit(1)).alias("n"))
+    seen = scans.running(rows.select(*keys, start, end, id_col), keys, [start, id_col], "_latest", F.col(end))
+    return seen.withColumn("_hit", F.col(start) < F.col("_latest")).groupBy(*keys).agg(F.count_if("_hit").alias("overlaps"), F.count(F.lit(1)).alias("n"))
 
 
 def setup_violations(rows: DataFrame, resource: str, setup: int, start: str = "s", end: str = "e", id_col: str = "cid") -> DataFrame:
     """Neighbours in time on one resource that are closer than the setup time."""
-    w = Window.partitionBy(resource).orderBy(start, id_col)
-    gap = F.col(start) - F.lag(end).over(w)
-    return rows.withColumn("gap", gap).where(F.col("gap") < setup).select(resource, id_col, "gap")
+    near = scans.previous(rows.select(resource, start, end, id_col), [resource], [start, id_col], "_until", F.col(end))
+    return near.withColumn("gap", F.col(start) - F.col("_until")).where(F.col("gap") < setup).select(resource, id_col, "gap")
 
 
 def first_of_equal(rows: DataFrame, code: str, order: str) -> DataFrame:

@@ -223,6 +223,7 @@ def test_scalars(spark):
 
 
 def test_round_robin(spark):
-    rows = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (2, 1, 2)], "action long, cap long, idx long")
-    spent = spark.createDataFrame([(1, 1, 0)], "action long, cap long, idx long")
-    assert rows_of(windows.round_robin(rows, spent)) == [(1, 2, 1, 1), (2, 1, 2, 0)]
+    rows = spark.createDataFrame([(7, 1, 1, 0), (7, 1, 2, 1), (7, 2, 1, 2), (8, 1, 1, 0)], "state long, action long, cap long, idx long")
+    spent = spark.createDataFrame([(7, 1, 1, 0)], "state long, action long, cap long, idx long")
+    got = windows.round_robin(rows, spent).select("state", "action", "cap", "idx", "turns", "place")
+    assert rows_of(got) == [(7, 1, 2, 1, 1, 2), (7, 2, 1, 2, 0, 1), (8, 1, 1, 0, 0, 1)]
