@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scans
+from ..shared import stored
+
 
 def blockers(vertices: DataFrame, adj: DataFrame, sel: DataFrame) -> DataFrame:
     """(cid, b, bw): unselected vertices and their selected neighbours."""
@@ -26,20 +29,216 @@ def pair_estimate(blocked: DataFrame) -> DataFrame:
     return k.agg(F.count(F.lit(1)).alias("blockers"), F.coalesce(F.sum(F.expr("k * (k - 1) div 2")), F.lit(0)).alias("pairs"), F.max("k").alias("largest"))
 
 
-def two_hop_pairs(vertices: DataFrame, edges: DataFrame, blocked: DataFrame, sel: DataFrame) -> DataFrame:
-    """(a, b, gain > 0): compatible unselected pairs that share a selected blocker and pay together.
+#: Outsiders of one blocker that a task meets with each other; longer lists are cut into blocks by rising deficit.
+LIST = 1024
+#: Pairs of lists that are made for each row of the lists, at most; beyond it the expansion is refused.
+PAIRS_PER_ROW = 4096
+#: Pairs that outsiders without a shared blocker are met in, at most.
+APART = 1 << 22
+
+
+class PairsRefused(ValueError):
+    """The pairs that would have to be made are too many; ``rows`` tells how many."""
+
+    def __init__(self, rows: int, limit: int):
+        super().__init__(f"{rows} pairs of outsiders of a shared blocker, {limit} allowed")
+        self.rows, self.limit = rows, limit
+
 
-    gain = shared blocker weight - d_a - d_b.  Pairs whose bound min(bw_a, bw_b) - (d_a + d_b) is not positive are dropped
-    before the sum, and a blocker's list is met on the blocker, never as a product of all vertices.
+class Expansion:
+    """The blockers' lists, ready to be met: what can be in a pair of gain above ``least``, and how many pairs that makes.
+
+    A pair of outsiders a and c of one blocker gains at most w_c - d_a and at most w_a - d_c, for the blockers of one of
+    them go in any case.  So an outsider whose deficit is not below the largest weight of its list (less ``least``) is
+    dropped before pairs are made.  A list of more than ``size`` is cut into blocks by rising deficit; a pair of blocks
+    is met only if by its smallest deficits and largest weights it can hold a pair, so that no key is met whole.
     """
-    d = deficits(vertices, blocked, sel)
-    rich = blocked.join(d.select("cid", "d", "blocked_weight"), "cid")
-    a = rich.select("b", F.col("cid").alias("a"), "bw", F.col("d").alias("da"), F.col("blocked_weight").alias("wa"))
-    c = rich.select("b", F.col("cid").alias("c"), F.col("d").alias("dc"), F.col("blocked_weight").alias("wc"))
-    met = a.join(c, "b").where((F.col("a") < F.col("c")) & (F.least("wa", "wc") - (F.col("da") + F.col("dc")) > 0))
+
+    def __init__(self, vertices: DataFrame, blocked: DataFrame, sel: DataFrame, least: int = 0, size: int = LIST):
+        d = deficits(vertices, blocked, sel).select("cid", "w", "d", "blocked_weight")
+        rows = blocked.select("b", "cid", "bw").join(d, "cid")
+        for _ in range(2):  # what is dropped may have held the largest weight
+            rows = rows.join(rows.groupBy("b").agg(F.max("w").alias("_most")), "b").where(F.col("d") + least < F.col("_most")).drop("_most")
+        number = rows.groupBy("b").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+        rows = stored(rows.join(number, "b"), "lists")
+        self.whole = rows.where(F.col("k") <= size)
+        short = F.when(F.col("k") <= size, F.col("k") - 1).otherwise(0)
+        known = rows.agg(F.count(F.lit(1)).alias("listed"), F.coalesce(F.sum(short), F.lit(0)).alias("twice"), F.count_if(F.col("k") > size).alias("long")).first()
+        self.listed, self.rows, self.cut = known.listed, known.twice // 2, None
+        if not known.long:
+            return
+        cut = scans.ranked(rows.where(F.col("k") > size), ["b"], ["d", "cid"], "_n")
+        self.cut = stored(cut.withColumn("block", F.expr(f"(_n - 1) div {size}")).drop("_n"), "blocks")
+        block = self.cut.groupBy("b", "block").agg(F.min("d").alias("d"), F.max("w").alias("w"), F.count(F.lit(1)).alias("n"))
+        left, right = (block.select("b", *(F.col(c).alias(f"{side}{c}") for c in ("block", "d", "w", "n"))) for side in "xy")
+        met = left.join(right, "b").where((F.col("xblock") <= F.col("yblock")) & (F.col("yw") - F.col("xd") > least) & (F.col("xw") - F.col("yd") > least))
+        self.met = stored(met.select("b", "xblock", "yblock", F.when(F.col("xblock") == F.col("yblock"), F.expr("xn * (xn - 1) div 2")).otherwise(F.col("xn") * F.col("yn")).alias("pairs")), "met")
+        self.rows += self.met.agg(F.sum("pairs")).first()[0] or 0
+
+    def pairs(self) -> DataFrame:
+        """(b, bw, a, c) and their weights (wa, wc), deficits (da, dc) and blocked weights (ba, bc), a < c."""
+        side = lambda rows, k, *more: rows.select("b", *more, F.col("cid").alias(k), F.col("d").alias(f"d{k}"), F.col("w").alias(f"w{k}"), F.col("blocked_weight").alias(f"b{k}"))
+        small = side(self.whole, "a", "bw").join(side(self.whole, "c"), "b").where("a < c")
+        if self.cut is None:
+            return small
+        x = self.met.select("b", "xblock", "yblock").join(side(self.cut, "x", "bw", "block").withColumnRenamed("block", "xblock"), ["b", "xblock"])
+        large = x.join(side(self.cut, "y", "block").withColumnRenamed("block", "yblock"), ["b", "yblock"]).where("xblock < yblock or x < y")
+        first = F.col("x") < F.col("y")
+        pick = lambda p, s: F.when(first, F.col(f"{p}x")).otherwise(F.col(f"{p}y")) if s else F.when(first, F.col(f"{p}y")).otherwise(F.col(f"{p}x"))
+        large = large.select("b", "bw", *(pick(p, s).alias(f"{p}{k}") for s, k in ((True, "a"), (False, "c")) for p in ("", "d", "w", "b")))
+        return small.select(large.columns).unionByName(large)
+
+
+def two_hop_pairs(vertices: DataFrame, edges: DataFrame, blocked: DataFrame, sel: DataFrame, least: int = 0, limit: int | None = None, size: int = LIST) -> DataFrame:
+    """(a, b, gain > least): compatible unselected pairs that share a selected blocker and pay together.
+
+    gain = shared blocker weight - d_a - d_b.  ``PairsRefused`` is raised before any pair is made if the lists hold more
+    than ``limit`` pairs (by default ``PAIRS_PER_ROW`` for each of their rows).
+    """
+    lists = Expansion(vertices, blocked, sel, least, size)
+    most = PAIRS_PER_ROW * max(lists.listed, LIST) if limit is None else limit
+    if lists.rows > most:
+        raise PairsRefused(lists.rows, most)
+    # whatever they share, it is no more than what either has for blockers
+    met = lists.pairs().where(F.least("ba", "bc") - (F.col("da") + F.col("dc")) > least)
     shared = met.groupBy("a", "c", "da", "dc").agg(F.sum("bw").alias("shared"))
     apart = shared.join(edges.select(F.col("u").alias("a"), F.col("v").alias("c")), ["a", "c"], "left_anti")
-    return apart.select("a", F.col("c").alias("b"), (F.col("shared") - F.col("da") - F.col("dc")).alias("gain")).where("gain > 0")
+    return apart.select("a", F.col("c").alias("b"), (F.col("shared") - F.col("da") - F.col("dc")).alias("gain")).where(F.col("gain") > least)
+
+
+def known_gains(candidates: DataFrame, vertices: DataFrame, edges: DataFrame, blocked: DataFrame, sel: DataFrame) -> DataFrame:
+    """(a, b, gain) of compatible candidate pairs (a, b), whatever they share."""
+    d = deficits(vertices, blocked, sel).select("cid", "d")
+    of = lambda k: d.select(F.col("cid").alias(k), F.col("d").alias(f"d{k}"))
+    apart = candidates.select("a", "b").distinct().join(edges.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti")
+    common = apart.join(blocked.select(F.col("cid").alias("a"), F.col("b").alias("x"), "bw"), "a").join(blocked.select(F.col("cid").alias("b"), F.col("b").alias("x")), ["b", "x"])
+    shared = common.groupBy("a", "b").agg(F.sum("bw").alias("shared"))
+    out = apart.join(shared, ["a", "b"], "left").join(of("a"), "a").join(of("b"), "b")
+    return out.select("a", "b", (F.coalesce("shared", F.lit(0)) - F.col("da") - F.col("db")).cast("long").alias("gain"))
+
+
+def guarded_pairs(vertices: DataFrame, edges: DataFrame, blocked: DataFrame, sel: DataFrame, share: float = 1.0) -> DataFrame:
+    """(b, k, pairs, lower, upper, complete) of every blocker: the best pair of its list, if it is small enough to be met.
+
+    The limit is taken from the data: ``share`` times the mean number of pairs of a blocker.  A list within it is met and
+    gives its best gain (0 if no pair pays), exact over all shared blockers; a larger one has no lower bound, and its two
+    heaviest outsiders as an upper one.
+    """
+    k = blocked.groupBy("b").agg(F.count(F.lit(1)).alias("k")).withColumn("pairs", F.expr("k * (k - 1) div 2"))
+    limit = k.agg(F.coalesce(F.avg("pairs"), F.lit(0.0)) * share).first()[0]
+    k = stored(k.withColumn("complete", F.col("pairs") <= limit), "guard")
+    rows = blocked.join(k.where("complete").select("b"), "b", "left_semi").select("b", "cid")
+    met = stored(rows.withColumnRenamed("cid", "a").join(rows.select(F.col("b").alias("_b"), F.col("cid").alias("c")), F.col("b") == F.col("_b")).where("a < c").select(F.col("b").alias("blocker"), "a", F.col("c").alias("b")), "met")
+    best = met.join(known_gains(met, vertices, edges, blocked, sel), ["a", "b"]).groupBy("blocker").agg(F.max("gain").alias("best"))
+    weights = blocked.select("b", "cid").join(vertices.select("cid", "w"), "cid")
+    # the largest and the second largest without ranking the list: partial aggregates keep two
+    top = weights.groupBy("b").agg(F.max(F.struct("w", "cid")).alias("x"))
+    rest = weights.join(top, "b").where("cid <> x.cid").groupBy("b").agg(F.max("w").alias("second"))
+    loose = top.join(rest, "b", "left").select("b", (F.col("x.w") + F.coalesce("second", F.lit(0))).cast("long").alias("loose"))
+    out = k.join(best.withColumnRenamed("blocker", "b"), "b", "left").join(loose, "b")
+    lower = F.when(F.col("complete"), F.greatest(F.coalesce("best", F.lit(0)), F.lit(0))).cast("long")
+    return out.select("b", "k", "pairs", lower.alias("lower"), F.coalesce(lower, F.col("loose")).alias("upper"), "complete")
+
+
+def pairs_below_zero(d: DataFrame) -> int:
+    """How many pairs of rows (cid, d) have d_a + d_c < 0, without making one.
+
+    Each distinct deficit x asks how many rows lie strictly below -x; questions and counts are put in one order and summed
+    along it.
+    """
+    n = d.groupBy(F.col("d").cast("long").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    line = n.select("d", F.lit(1).alias("kind"), "n", F.lit(0).cast("long").alias("asked")).unionByName(n.select((-F.col("d")).alias("d"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("n"), F.col("n").alias("asked")))
+    found = scans.running(line, [], ["d", "kind"], "below", F.col("n"), "sum")
+    ordered = found.agg(F.sum(F.col("asked") * F.coalesce("below", F.lit(0)))).first()[0] or 0
+    return (ordered - d.where("d < 0").count()) // 2
+
+
+def best_apart(vertices: DataFrame, edges: DataFrame, blocked: DataFrame, sel: DataFrame, limit: int, start: int = 64) -> tuple[tuple[int, int, int] | None, int]:
+    """((gain, a, b), bound): the best pair that shares no blocker, is compatible and pays, the lowest ids on ties.
+
+    Such a pair gains -d_a - d_c.  The outsiders of smallest deficit are met with each other; a pair outside these gains no
+    more than the smallest deficit and the next one allow, so if the best found gains more it is the best of all, and else
+    four times as many are met.  ``bound`` is the gain if that is settled, or what is left possible when the pairs to be
+    made would pass ``limit``.
+    """
+    d = stored(deficits(vertices, blocked, sel).select("cid", F.col("d").cast("long").alias("d")), "deficits")
+    number = d.count()
+    while True:
+        taken = min(start, number)
+        few = d.orderBy("d", "cid").limit(taken + 1).collect()  # at most the square root of what may be made
+        head, after = few[:taken], few[taken:]
+        if len(head) < 2 or head[0].d + head[1].d >= 0:
+            return None, 0
+        rows = d.sparkSession.createDataFrame([(r.cid, r.d) for r in head], "cid long, d long")
+        met = rows.select(F.col("cid").alias("a"), F.col("d").alias("da")).join(rows.select(F.col("cid").alias("b"), F.col("d").alias("dc")), (F.col("a") < F.col("b")) & (F.col("da") + F.col("dc") < 0))
+        met = met.join(edges.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti")
+        own = blocked.join(F.broadcast(rows.select("cid")), "cid", "left_semi")  # ``taken`` rows
+        common = own.select(F.col("cid").alias("a"), F.col("b").alias("x")).join(own.select(F.col("cid").alias("b"), F.col("b").alias("x")), "x").where("a < b").select("a", "b").distinct()
+        best = met.join(common, ["a", "b"], "left_anti").select((-F.col("da") - F.col("dc")).alias("gain"), "a", "b").orderBy(F.desc("gain"), "a", "b").first()
+        left = max(0, -head[0].d - after[0].d) if after else 0
+        if best is not None and best.gain > left:
+            return (best.gain, best.a, best.b), best.gain
+        if not after or (best is None and not left):
+            return ((best.gain, best.a, best.b), best.gain) if best is not None else (None, 0)
+        if taken * taken * 8 > limit:
+            return ((best.gain, best.a, best.b) if best is not None else None), left
+        start = taken * 4
+
+
+def pair_audit(vertices: DataFrame, edges: DataFrame, blocked: DataFrame, sel: DataFrame, limit: int | None = None, size: int = LIST) -> DataFrame:
+    """One row that audits every change by at most two outsiders of a selection.
+
+    occurrences: pairs of the blockers' lists.  singles, shared_pairs, apart_pairs: how many single insertions, pairs with
+    a shared blocker and pairs without one pay (counts are null where they are not known).  lower and (a, b): the best
+    gain and its insertion, b null for a single, a single before a pair and lower ids first on ties.  If the lists hold
+    more pairs than ``limit``, what the most promising outsiders of each blocker gain raises the bar that lists must
+    pass; if they still do, complete is false, and upper is the loose bound, the two heaviest outsiders.
+    """
+    d = deficits(vertices, blocked, sel)
+    ones = d.agg(F.count_if(F.col("d") < 0).alias("n"), F.min(F.struct(F.col("d").cast("long").alias("d"), "cid")).alias("x")).first()
+    best: tuple[int, int, int | None] | None = (-ones.x.d, ones.x.cid, None) if ones.n else None
+    occurrences = pair_estimate(blocked).first().pairs
+    loose = vertices.join(sel, "cid", "left_anti").orderBy(F.desc("w"), "cid").limit(2).agg(F.coalesce(F.sum("w"), F.lit(0)).cast("long").alias("w")).first().w
+    most = PAIRS_PER_ROW * max(blocked.count(), LIST) if limit is None else limit
+    apart, bound = best_apart(vertices, edges, blocked, sel, min(most, APART)) if ones.n else (None, 0)
+    shared_count = apart_count = None
+    complete = apart is None or apart[0] == bound
+
+    def better(gain: int, a: int, b: int) -> None:
+        nonlocal best
+        if best is None or gain > best[0] or (gain == best[0] and best[2] is not None and (a, b) < (best[1], best[2])):
+            best = (gain, a, b)
+
+    if apart is not None:
+        better(*apart)
+    elif bound:
+        complete = False
+    try:
+        found = stored(two_hop_pairs(vertices, edges, blocked, sel, 0, most, size), "pairs")
+        shared_count = found.count()
+        if shared_count:
+            r = found.orderBy(F.desc("gain"), "a", "b").first()
+            better(r.gain, r.a, r.b)
+        of = lambda k: d.select(F.col("cid").alias(k), F.col("d").alias(f"d{k}"))
+        clash = edges.select("u", "v").join(of("u"), "u").join(of("v"), "v").where("du + dv < 0").count()
+        below = found.join(of("a"), "a").join(of("b"), "b").where("da + db < 0").count()
+        apart_count = pairs_below_zero(d) - clash - below
+    except PairsRefused:
+        probes = d.select("cid", "d").join(blocked.select("cid", "b"), "cid").groupBy("b").agg(F.min_by(F.struct("cid"), F.struct("d", "cid")).alias("x"))
+        near = blocked.select("b", "cid").join(probes, "b").where("cid <> x.cid").select(F.least("cid", "x.cid").alias("a"), F.greatest("cid", "x.cid").alias("b"))
+        r = known_gains(near, vertices, edges, blocked, sel).where("gain > 0").orderBy(F.desc("gain"), "a", "b").first()
+        if r is not None:
+            better(r.gain, r.a, r.b)
+        bar = best[0] if best is not None else 0
+        try:  # pairs as good as the bar too, for the lowest ids
+            r = two_hop_pairs(vertices, edges, blocked, sel, max(bar - 1, 0), most, size).orderBy(F.desc("gain"), "a", "b").first()
+            if r is not None:
+                better(r.gain, r.a, r.b)
+        except PairsRefused:
+            complete = False
+    lower = best[0] if best is not None else 0
+    row = (ones.n, occurrences, shared_count, apart_count, lower, best[1] if best else None, best[2] if best else None, lower if complete else max(loose, lower), complete)
+    return vertices.sparkSession.createDataFrame([row], "singles long, occurrences long, shared_pairs long, apart_pairs long, lower long, a long, b long, upper long, complete boolean")
 
 
 def compatible_pairs(candidates: DataFrame, edges: DataFrame, blocked: DataFrame) -> DataFrame:

@@ -40,13 +40,29 @@ def g22_pair_bounds(spark, d):
 
 
 @query(
-    f"""{PAIRS}, heavy AS (SELECT coalesce(sum(w), 0) AS loose FROM (SELECT w FROM c WHERE cid IN (SELECT cid FROM outs) ORDER BY w DESC, cid LIMIT 2))
-SELECT NULL::BIGINT AS lower, loose::BIGINT AS upper, false AS complete FROM heavy"""
+    f"""{PAIRS}, k AS (SELECT b, count(*) AS k, count(*) * (count(*) - 1) // 2 AS pairs FROM blk GROUP BY b), g AS (SELECT *, pairs <= (SELECT avg(pairs) FROM k) AS complete FROM k),
+best AS (SELECT x.b, max(shared - p.d - q.d) AS gain FROM blk x JOIN blk y ON x.b = y.b AND x.cid < y.cid JOIN sh ON sh.a = x.cid AND sh.z = y.cid JOIN d p ON p.cid = x.cid JOIN d q ON q.cid = y.cid
+  WHERE NOT EXISTS (SELECT 1 FROM e WHERE u = x.cid AND v = y.cid) GROUP BY x.b),
+h AS (SELECT b, sum(w) AS loose FROM (SELECT b, w, row_number() OVER (PARTITION BY b ORDER BY w DESC, cid) AS n FROM blk JOIN c USING (cid)) WHERE n <= 2 GROUP BY b)
+SELECT b, k, pairs, CASE WHEN complete THEN greatest(coalesce(gain, 0), 0) END::BIGINT AS lower, CASE WHEN complete THEN greatest(coalesce(gain, 0), 0) ELSE loose END::BIGINT AS upper, complete FROM g LEFT JOIN best USING (b) JOIN h USING (b)"""
 )
-def r02_refused_pairs(spark, d):
-    """The guard refuses: more pairs than are allowed, so the best is unknown and the bound loose."""
+def r02_guarded_pairs(spark, d):
+    """Per blocker, under a limit taken from the data: the best pair of its list, or unknown with a loose bound."""
     g = Graph(spark, d)
-    return requests.pair_bounds(g.c, g.e, g.blk, g.sel, -1)[0]
+    return pairs.guarded_pairs(g.c, g.e, g.blk, g.sel)
+
+
+@query(
+    f"""{PAIRS}, xs AS (SELECT p.cid AS a, q.cid AS b, CAST(-p.d - q.d AS BIGINT) AS gain FROM d p JOIN d q ON p.cid < q.cid AND p.d + q.d < 0
+  WHERE NOT EXISTS (SELECT 1 FROM e WHERE u = p.cid AND v = q.cid) AND NOT EXISTS (SELECT 1 FROM sh WHERE sh.a = p.cid AND sh.z = q.cid)),
+every AS (SELECT cid AS a, NULL::BIGINT AS b, CAST(-d AS BIGINT) AS gain FROM d WHERE d < 0 UNION ALL SELECT * FROM duo UNION ALL SELECT * FROM xs), best AS (SELECT * FROM every ORDER BY gain DESC, b IS NOT NULL, a, b LIMIT 1)
+SELECT (SELECT count(*) FROM d WHERE d < 0) AS singles, (SELECT CAST(coalesce(sum(k * (k - 1) // 2), 0) AS BIGINT) FROM (SELECT count(*) AS k FROM blk GROUP BY b)) AS occurrences,
+(SELECT count(*) FROM duo) AS shared_pairs, (SELECT count(*) FROM xs) AS apart_pairs, coalesce((SELECT gain FROM best), 0) AS lower, (SELECT a FROM best) AS a, (SELECT b FROM best) AS b, coalesce((SELECT gain FROM best), 0) AS upper, true AS complete"""
+)
+def r01_pair_audit(spark, d):
+    """All changes by one or two outsiders, pairs without a shared blocker (J-11) included."""
+    g = Graph(spark, d)
+    return pairs.pair_audit(g.c, g.e, g.blk, g.sel)
 
 
 @query(f"{PAIRS} SELECT a, b, gain FROM (SELECT cid AS a, NULL::BIGINT AS b, CAST(-d AS BIGINT) AS gain FROM d WHERE d < 0 UNION ALL SELECT * FROM duo) ORDER BY gain DESC, b IS NOT NULL, a, b LIMIT 1")

@@ -188,6 +188,60 @@ def test_two_hop_pairs_brute_force(spark):
         assert rows_of(pairs.two_hop_pairs(v, e, pairs.blockers(v, adj, chosen), chosen)) == want
 
 
+def audited(weights, edges, sel):
+    near = {i: {b if a == i else a for a, b in edges if i in (a, b)} for i in range(len(weights))}
+    outs = sorted(set(near) - sel)
+    gain = lambda *x: sum(weights[i] for i in x) - sum(weights[b] for b in set().union(*(near[i] & sel for i in x)))
+    two = [(a, b) for a, b in itertools.combinations(outs, 2) if b not in near[a] and gain(a, b) > 0]
+    shared = [p for p in two if near[p[0]] & near[p[1]] & sel]
+    every = [(-gain(a), 0, a, None) for a in outs if gain(a) > 0] + [(-gain(a, b), 1, a, b) for a, b in two]
+    best = min(every, key=lambda x: (x[0], x[1], x[2], x[3] or 0), default=(0, 0, None, None))
+    return sum(gain(a) > 0 for a in outs), len(shared), len(two) - len(shared), -best[0], best[2], best[3]
+
+
+@pytest.mark.parametrize(("seed", "size", "limit"), [(1, 1024, None), (2, 3, None), (3, 2, None), (4, 3, 0), (5, 3, 6)])
+def test_pair_audit_brute_force(spark, seed, size, limit):
+    """Counts, gain and witness of all pairs; with lists cut into blocks, and refused ones."""
+    rnd = random.Random(seed)
+    weights, edges = random_graph(rnd, 26, 0.16)
+    sel = set(scan(weights, edges, lambda x, near: x))
+    v, e, adj = graph(spark, weights, edges)
+    chosen = members(spark, *sel)
+    blocked = pairs.blockers(v, adj, chosen)
+    singles, shared, apart, gain, a, b = audited(weights, edges, sel)
+    r = pairs.pair_audit(v, e, blocked, chosen, limit, size).first()
+    assert r.singles == singles
+    if limit is None:
+        assert (r.shared_pairs, r.apart_pairs, r.lower, r.a, r.b, r.upper, r.complete) == (shared, apart, gain, a, b, gain, True)
+    else:
+        assert r.shared_pairs is None and r.lower <= gain <= r.upper
+        if r.complete:
+            assert (r.lower, r.a, r.b) == (gain, a, b)
+    with pytest.raises(pairs.PairsRefused):
+        pairs.two_hop_pairs(v, e, blocked, chosen, limit=0)
+
+
+def test_pairs_below_zero(spark):
+    rnd = random.Random(9)
+    values = [rnd.randrange(-6, 9) for _ in range(90)]
+    d = spark.createDataFrame(list(enumerate(values)), "cid long, d long")
+    assert pairs.pairs_below_zero(d) == sum(a + b < 0 for a, b in itertools.combinations(values, 2))
+    assert pairs.pairs_below_zero(d.limit(0)) == 0
+
+
+def test_a_hub_of_many_outsiders(spark):
+    """A hub that no pair of its outsiders outweighs makes no pairs; a light hub with 10^5 outsiders is refused, with bounds."""
+    n = 100_000
+    star = spark.range(1, n + 1).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"), F.lit(1).alias("etype"))
+    chosen = members(spark, 0)
+    for weight, complete in ((10**6, True), (1, False)):
+        v = spark.range(n + 1).select(F.col("id").alias("cid"), F.when(F.col("id") == 0, weight).otherwise(F.col("id") % 97 + 2).cast("long").alias("w"), F.col("id").alias("owner"))
+        blocked = pairs.blockers(v, conflict.symmetric(star), chosen)
+        r = pairs.pair_audit(v, star, blocked, chosen).first()
+        assert r.occurrences == n * (n - 1) // 2 and r.complete == complete
+        assert (r.lower, r.upper) == (0, 0) if complete else 97 <= r.lower <= r.upper == 196
+
+
 def test_strict_means(spark):
     rows = spark.createDataFrame([("s", "g", 1.0), ("s", "g", None), ("s", "h", 4.0), ("t", "i", 5.0), ("t", "i", float("nan")), ("u", "j", 2.0)], "source string, graph string, x double")
     graphs, sources, overall = stats.strict_levels(rows, "x", [["source", "graph"], ["source"], []])
