@@ -2,36 +2,46 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Widths of neighbouring levels of buckets.
+STEP = 32
+
 
 def gap_conflicts(rows: DataFrame, resource: str, gap: int, width: int | None = None, id_col: str = "cid", start: str = "s", end: str = "e") -> DataFrame:
     """(u, v), u < v, of windows of one resource where the later one starts before the earlier one's end plus the gap.
 
     Equality is compatible; order is by (start, id).  A window is put into every time bucket that [start, end + gap)
     touches and met there by the windows that start in the bucket.  So the join key is (resource, bucket): a pair is made
-    once, a busy resource is spread over its buckets, and the residual range test sees only near windows.
+    once, a busy resource is spread over its buckets, and the residual range test sees only near windows.  Buckets are as
+    wide as most windows are long, the gap included; a longer window looks into buckets of its own level, each ``STEP``
+    times as wide as those of the level below, and so into few.
     """
     rows = rows.where(F.col(resource).isNotNull())
-    if not width:  # windows of ordinary length touch one bucket or two, whatever the gap
-        usual = rows.agg(F.percentile_approx(F.col(end) - F.col(start), 0.9, 1000)).first()[0] if gap <= 0 else 0
+    until = F.greatest(F.col(end) + gap, F.col(start) + 1)
+    if not width:
+        usual = rows.agg(F.percentile_approx(until - F.col(start), 0.9, 1000)).first()[0]
         width = max(gap, int(usual or 0), 1)
-    last = F.greatest(F.col(end) + gap - 1, F.col(start))
-    left = rows.select(
-        F.col(resource).alias("r"), F.col(id_col).alias("i"), F.col(start).alias("si"), (F.col(end) + gap).alias("until"),
-        F.explode(F.sequence(_bucket(F.col(start), width), _bucket(last, width), F.lit(width).cast("long"))).alias("k"),
-    )
-    right = rows.select(F.col(resource).alias("r"), F.col(id_col).alias("j"), F.col(start).alias("sj"), _bucket(F.col(start), width).alias("k"))
+    # the level whose buckets are at most STEP times shorter than the window
+    level = F.greatest(F.lit(0), F.ceil(F.log((until - F.col(start)) / float(width)) / math.log(STEP)) - 1).cast("int")
+    left = rows.select(F.col(resource).alias("r"), F.col(id_col).alias("i"), F.col(start).alias("si"), (F.col(end) + gap).alias("until"), until.alias("last"), level.alias("level"))
+    levels = [r.level for r in left.select("level").distinct().collect()]  # logarithmic in the longest window
+    wide = lambda n: F.lit(width * STEP**n).cast("long")
+    size = F.coalesce(*(F.when(F.col("level") == n, wide(n)) for n in levels), wide(0))
+    left = left.withColumn("size", size).select("r", "i", "si", "until", "level", F.explode(F.sequence(_bucket(F.col("si"), F.col("size")), _bucket(F.col("last") - 1, F.col("size")), F.col("size"))).alias("k"))
+    at = F.explode(F.array(*(F.struct(F.lit(n).alias("level"), _bucket(F.col(start), wide(n)).alias("k")) for n in levels or [0])))
+    right = rows.select(F.col(resource).alias("r"), F.col(id_col).alias("j"), F.col(start).alias("sj"), at.alias("x")).select("r", "j", "sj", "x.level", "x.k")
     later = (F.col("si") < F.col("sj")) | ((F.col("si") == F.col("sj")) & (F.col("i") < F.col("j")))
-    met = left.join(right, ["r", "k"]).where(later & (F.col("sj") < F.col("until")))
+    met = left.join(right, ["r", "level", "k"]).where(later & (F.col("sj") < F.col("until")))
     return met.select(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v"))
 
 
-def _bucket(t: Column, width: int) -> Column:
-    return (t - F.pmod(t, F.lit(width))).cast("long")
+def _bucket(t: Column, width: Column) -> Column:
+    return (t - F.pmod(t, width)).cast("long")
 
 
 def typed_edges(parts: list[tuple[DataFrame, int]]) -> DataFrame:

@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import pairs, scans
+from ..shared import stored
 
 
-def proposals(vertices: DataFrame, edges: DataFrame, blocked: DataFrame, sel: DataFrame, most: int = 12, pool: int = 64) -> DataFrame:
+def proposals(vertices: DataFrame, edges: DataFrame, blocked: DataFrame, sel: DataFrame, most: int = 12, pool: int = 64, candidates: DataFrame | None = None, whole: int = 160) -> DataFrame:
     """(place, a, b, gain) of the action pool: singles (b null) and compatible pairs of two owners, by immediate gain.
 
-    Singles are the ``pool`` unselected vertices of largest gain; pairs are made of them alone, so at most pool^2 / 2.
-    The first half of ``most``, rounded up, goes to singles, the rest to pairs, and singles fill what pairs leave open.
+    Of more than ``whole`` vertices only the ``pool`` unselected ones of largest gain are considered, so pairs are at most
+    pool^2 / 2; of fewer, or with ``candidates`` (cid), which take the place of that choice, all unselected ones are.  The
+    first half of ``most``, rounded up, goes to singles, the rest to pairs, and singles fill what pairs leave open.
     """
     d = pairs.deficits(vertices, blocked, sel)
-    ones = d.select("cid", "w", "owner", (-F.col("d")).alias("gain")).orderBy(F.desc("gain"), "cid").limit(pool)
+    ones = d.select("cid", "w", "owner", (-F.col("d")).alias("gain"))
+    if candidates is not None:
+        ones = ones.join(candidates.select("cid").distinct(), "cid", "left_semi")
+    elif vertices.limit(whole + 1).count() > whole:
+        ones = ones.orderBy(F.desc("gain"), "cid").limit(pool)
     two = pairs.compatible_pairs(ones.withColumn("action", F.lit(0)), edges, blocked.join(ones, "cid", "left_semi"))
     singles = ones.select(F.col("cid").alias("a"), F.lit(None).cast("long").alias("b"), "gain", F.lit(1).alias("kind"))
     rows = singles.unionByName(two.select(F.col("u").alias("a"), F.col("v").alias("b"), "gain", F.lit(2).alias("kind")))
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("gain"), "a", "b")))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("gain"), "a", "b"))).where(F.col("n") <= most)
     quota = max(1, (most + 1) // 2)
     # singles within the quota, then pairs, then the other singles
     turn = F.when((F.col("kind") == 1) & (F.col("n") <= quota), 0).when(F.col("kind") == 2, 1).otherwise(2)
@@ -27,6 +35,43 @@ def proposals(vertices: DataFrame, edges: DataFrame, blocked: DataFrame, sel: Da
     return chosen.select(F.row_number().over(Window.orderBy(F.desc("gain"), "a", F.col("b").asc_nulls_first())).alias("place"), "a", "b", "gain")
 
 
+def seeds(vertices: DataFrame, blocked: DataFrame, sel: DataFrame, most: int = 128) -> DataFrame:
+    """(cid, score) of the best seeds: weight / (scale + weight of its blockers), then id; scale is the mean weight, 1 at least."""
+    scale = vertices.agg(F.greatest(F.lit(1.0), F.coalesce(F.sum("w").cast("double") / F.count(F.lit(1)), F.lit(0.0)))).first()[0]
+    d = pairs.deficits(vertices, blocked, sel)
+    score = F.col("w").cast("double") / (F.lit(scale) + F.col("blocked_weight").cast("double"))
+    return d.select("cid", score.alias("score")).orderBy(F.desc("score"), "cid").limit(most)
+
+
+def sketches(two: DataFrame, vertices: DataFrame, degrees: DataFrame, blocked: DataFrame, sel: DataFrame) -> DataFrame:
+    """(a, b, witness, upper, credit, score) of compatible pairs (a, b) of outsiders.
+
+    Each blocker is charged to the outsiders that it blocks, in whole parts: half to each if it blocks both.  What is left
+    of an outsider's weight, if positive, adds to ``upper``, which no choice among the two can exceed; 0 certifies that
+    none pays.  ``witness`` is the best of either and both, ``credit`` the weight of shared blockers; the score weighs these
+    against the work, 1 + degree for every outsider and blocker.
+    """
+    two = stored(two.select("a", "b"), "sketches")
+    d = pairs.deficits(vertices, blocked, sel).join(degrees, "cid").select("cid", "w", F.col("d").alias("d"), "degree")
+    ends = two.select("a", "b", F.explode(F.array("a", "b")).alias("cid"))
+    met = ends.join(blocked.select("cid", F.col("b").alias("x"), "bw"), "cid").join(degrees.select(F.col("cid").alias("x"), F.col("degree").alias("xd")), "x")
+    # a blocker of both comes twice
+    per = met.groupBy("a", "b", "x", "bw", "xd").agg(F.count(F.lit(1)).alias("h"), F.min("cid").alias("one"))
+    half = F.expr("bw div h")
+    on_a = (F.col("h") == 2) | (F.col("one") == F.col("a"))
+    on_b = (F.col("h") == 2) | (F.col("one") == F.col("b"))
+    cost = per.groupBy("a", "b").agg(
+        F.sum(F.when(on_a, half).otherwise(0)).alias("ca"), F.sum(F.when(on_b, half).otherwise(0)).alias("cb"), F.sum(F.when(F.col("h") == 2, F.col("bw")).otherwise(0)).alias("credit"), F.sum(1 + F.col("xd")).alias("work")
+    )
+    of = lambda k: d.select(F.col("cid").alias(k), F.col("w").alias(f"w{k}"), F.col("d").alias(f"d{k}"), F.col("degree").alias(f"g{k}"))
+    out = two.join(of("a"), "a").join(of("b"), "b").join(cost, ["a", "b"], "left").fillna(0, ["ca", "cb", "credit", "work"])
+    rest = lambda k: F.greatest(F.lit(0), F.col(f"w{k}") - F.col(f"c{k}"))
+    witness = F.greatest(F.lit(0), -F.col("da"), -F.col("db"), F.col("credit") - F.col("da") - F.col("db"))
+    out = out.select("a", "b", witness.cast("long").alias("witness"), (rest("a") + rest("b")).cast("long").alias("upper"), F.col("credit").cast("long").alias("credit"), (2 + F.col("ga") + F.col("gb") + F.col("work")).cast("double").alias("work"))
+    n = lambda c: F.col(c).cast("double")
+    return out.withColumn("score", (2.0 * n("witness") + 0.05 * n("upper") + 0.01 * n("credit")) / F.sqrt("work")).drop("work")
+
+
 def pair_bounds(vertices: DataFrame, edges: DataFrame, blocked: DataFrame, sel: DataFrame, limit: int) -> tuple[DataFrame, bool]:
     """One row (lower, upper, complete): the best pair's gain, or the two largest unselected weights as a bound.
 
@@ -80,15 +125,20 @@ def request_rows(scopes: DataFrame, returned: DataFrame, known: Column) -> DataF
 def execution_rows(labels: DataFrame) -> DataFrame:
     """Flags and targets of label rows (key, available, launched, returned, valid, elapsed, deadline, gain).
 
-    A launched request is spent whether or not it returns; only a valid return counts, and only a timely one is
-    accepted: a late one keeps its returned gain and is accepted as 0, a missing one has gain 0 and is not valid.
+    A launched request is spent whether or not it returns; only a valid return with a finite gain counts, and only a timely
+    one is accepted: a late one keeps its returned gain and is accepted as 0, a missing one has gain 0 and is not valid.  A
+    return without a time is neither on time nor raw_valid.  A null flag is false; flags and status follow from one another.
     """
-    launched = F.col("available") & F.col("launched")
-    returned = launched & F.col("returned") & F.col("valid") & F.col("gain").isNotNull()
-    on_time = returned & (F.col("elapsed") < F.col("deadline"))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    launched = flag("available") & flag("launched")
+    returned = launched & recorded(flag("returned"), flag("valid"), F.col("gain"))
+    timed = returned & recorded(F.lit(True), F.lit(True), F.col("elapsed"), F.col("deadline"))
+    on_time = timed & F.coalesce(F.col("elapsed") < F.col("deadline"), F.lit(False))
     back = F.when(returned, F.greatest(F.col("gain"), F.lit(0.0))).otherwise(0.0)
-    status = F.when(~F.col("available"), "unavailable").when(~launched, "idle").when(~returned, "failed").when(~on_time, "late").otherwise("accepted")
-    return labels.select("key", launched.alias("spent"), returned.alias("membership_valid"), on_time.alias("on_time"), back.alias("returned_gain"), F.when(on_time, back).otherwise(0.0).alias("accepted_gain"), status.alias("status"))
+    status = F.when(~flag("available"), "unavailable").when(~launched, "idle").when(~returned, "failed").when(~timed, "timestamp_failed").when(~on_time, "late").otherwise("accepted")
+    return labels.select(
+        "key", launched.alias("spent"), returned.alias("membership_valid"), timed.alias("raw_valid"), on_time.alias("on_time"), back.alias("returned_gain"), F.when(on_time, back).otherwise(0.0).alias("accepted_gain"), status.alias("status")
+    )
 
 
 def supervision(rows: DataFrame, domain: str, state: str, value: str, weight: str) -> DataFrame:
@@ -194,16 +244,42 @@ def _little_endian(x: Column) -> Column:
     return F.regexp_replace(F.lpad(F.hex(x), 16, "0"), "(..)(..)(..)(..)(..)(..)(..)(..)", "$8$7$6$5$4$3$2$1")
 
 
+def _double_bits(x: pd.Series) -> pd.Series:
+    """The 64 bits of doubles as whole numbers."""
+    return pd.Series(np.ascontiguousarray(x.to_numpy(np.float64)).view(np.int64), index=x.index)
+
+
 def content_sha(rows: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
-    """SHA-256 over the little-endian 64-bit values of each group, one column after another, rows in order."""
-    kept = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *[F.col(v).cast("long").alias(f"v_{v}") for v in values]))).alias("x"))
+    """SHA-256 over the little-endian 64-bit values of each group, one column after another, rows in order.
+
+    Fractional columns count as doubles, whole ones as longs.
+    """
+    bits = F.pandas_udf(_double_bits, "long")
+    kinds = dict(rows.dtypes)
+    coded = rows.withColumns({f"_{v}": bits(F.col(v).cast("double")) if kinds[v] in ("double", "float") or kinds[v].startswith("decimal") else F.col(v).cast("long") for v in values})
+    kept = coded.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *[F.col(f"_{v}").alias(f"v_{v}") for v in values]))).alias("x"))
     parts = [F.array_join(F.transform(F.col(f"x.v_{v}"), _little_endian), "") for v in values]
     return kept.select(*keys, F.sha2(F.unhex(F.concat(*parts)), 256).alias("sha"))
 
 
-def signature(members: DataFrame, keys: list[str], place: str) -> DataFrame:
-    """A 64-bit signature of a set that does not depend on the order of its members."""
-    return members.groupBy(*keys).agg(F.bit_xor(F.xxhash64(place)).alias("signature"), F.count(F.lit(1)).alias("n"))
+#: Offset basis and prime, 2^40 + 435, of the 64-bit FNV-1a hash: fixed values.
+FNV_BASIS, FNV_PRIME = 1469598103934665603, 1099511628211
+
+
+def _times_prime(h: Column) -> Column:
+    """h * FNV_PRIME modulo 2^64, in halves, for a product of longs must not overflow."""
+    half = F.lit(0xFFFFFFFF)
+    low = h.bitwiseAND(half)
+    product = low * (FNV_PRIME - (1 << 40))
+    high = F.shiftrightunsigned(h, 32) * (FNV_PRIME - (1 << 40)) + F.shiftrightunsigned(product, 32) + F.shiftleft(low, 8)
+    return F.shiftleft(high, 32).bitwiseOR(product.bitwiseAND(half))
+
+
+def signature(members: DataFrame, keys: list[str], place: str, size: Column) -> DataFrame:
+    """FNV hash of the 0/1 mask of each group's members over places 0..size - 1, as a signed long, and their number."""
+    held = members.groupBy(*keys).agg(F.collect_set(F.col(place).cast("long")).alias("held"), F.max(size).cast("int").alias("size"))
+    mask = F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.array_contains("held", i.cast("long")).cast("long"))
+    return held.select(*keys, F.aggregate(mask, F.lit(FNV_BASIS).cast("long"), lambda h, bit: _times_prime(h.bitwiseXOR(bit))).alias("signature"), F.size("held").cast("long").alias("n"))
 
 
 def evaluated(rows: DataFrame, state: str, regret: str, weight: str, pairs_right: str, pairs_all: str) -> DataFrame:
@@ -216,17 +292,34 @@ def evaluated(rows: DataFrame, state: str, regret: str, weight: str, pairs_right
 
 
 def coalitions(rows: DataFrame, keys: list[str], most: int = 12) -> DataFrame:
-    """Per group of up to ``most`` items (i from 0, w, cost as bits of the shared blockers ``mask``): best value of one
-    item, of two, of any set, and the smallest set that pays; larger groups are left out (enumeration is the operator).
+    """What sets of items gain in each group of items (i from 0, w, mask: the shared costs that it needs, as bits).
 
-    The value of a set is its weight less one for each bit that any of its items needs.
+    The value of a set is its weight less one for each bit that any of its items needs; the empty set is worth 0.
+    best_single and best_pair (of at most two) are known for every group, additive (the sum of what items gain alone)
+    and additive_gain (what that choice really gains) too; sets are enumerated in groups of up to ``most`` items and give
+    best_any and least_paying, the size of the smallest set that pays.  In larger groups best_any is null, and
+    least_paying is known if it is 1 or 2; least_lower bounds it from below (null where nothing pays).
     """
-    items = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "w", "mask"))).alias("v")).where(F.size("v") <= most)
+    alone = F.col("w") - F.bit_count("mask")
+    rows = stored(rows.select(*keys, "i", "w", "mask", alone.alias("alone")), "items")
+    union = F.bit_or(F.when(F.col("alone") > 0, F.col("mask")))
+    own = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("items"), F.greatest(F.lit(0), F.max("alone")).cast("long").alias("best_single"), F.sum(F.greatest(F.lit(0), F.col("alone"))).cast("long").alias("additive"),
+        F.greatest(F.lit(0), F.coalesce(F.sum(F.when(F.col("alone") > 0, F.col("w"))) - F.bit_count(union), F.lit(0))).cast("long").alias("additive_gain"),
+    )
+    # of items that need the same only the two heaviest can be in a best pair
+    heavy = F.row_number().over(Window.partitionBy(*keys, "mask").orderBy(F.desc("w"), "i"))
+    few = rows.withColumn("_n", heavy).where("_n <= 2")
+    side = lambda k: few.select(*keys, *(F.col(c).alias(f"{k}{c}") for c in ("i", "w", "mask")))
+    two = side("a").join(side("b"), keys).where("ai < bi").groupBy(*keys).agg(F.max(F.col("aw") + F.col("bw") - F.bit_count(F.col("amask").bitwiseOR(F.col("bmask")))).alias("two"))
+    items = rows.join(own.where(F.col("items") <= most).select(*keys), keys, "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "w", "mask"))).alias("v"))
     sets = items.withColumn("m", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("shiftleft(1L, size(v)) - 1"))))
     chosen = F.expr("filter(v, x -> (shiftright(m, cast(x.i as int)) & 1) = 1)")
     value = F.expr("aggregate(c, 0L, (s, x) -> s + x.w) - bit_count(aggregate(c, 0L, (s, x) -> s | x.mask))")
     sets = sets.withColumn("c", chosen).select(*keys, F.size("c").alias("size"), value.alias("value"))
-    best = lambda c: F.max(F.when(c, F.col("value")))
-    return sets.groupBy(*keys).agg(
-        best(F.col("size") == 1).alias("best_single"), best(F.col("size") == 2).alias("best_pair"), F.max("value").alias("best_any"), F.min(F.when(F.col("value") > 0, F.col("size"))).alias("least_paying")
-    )
+    every = sets.groupBy(*keys).agg(F.greatest(F.lit(0), F.max("value")).cast("long").alias("best_any"), F.min(F.when(F.col("value") > 0, F.col("size"))).alias("least"))
+    out = own.join(two, keys, "left").join(every, keys, "left").withColumn("best_pair", F.greatest("best_single", F.coalesce("two", F.lit(0))).cast("long"))
+    lower = F.when(F.col("best_single") > 0, 1).when(F.col("best_pair") > 0, 2)
+    least = F.when(F.col("items") <= most, F.col("least")).otherwise(lower)
+    bound = F.when(F.col("items") <= most, F.col("least")).otherwise(F.coalesce(lower, F.lit(3)))
+    return out.select(*keys, "items", "best_single", "best_pair", "additive", "additive_gain", "best_any", least.cast("int").alias("least_paying"), bound.cast("int").alias("least_lower"))

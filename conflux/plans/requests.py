@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from conflux.functions import scalars as X
-from conflux.operators import admission, pairs, requests, selection, stats, windows
+from conflux.operators import admission, conflict, pairs, requests, selection
 from conflux.sources.contacts import contacts, micros, table
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -73,21 +73,37 @@ def o11_pair_witness(spark, d):
     return requests.witness(singles, two.withColumn("gain", F.col("gain").cast("long")))
 
 
-@query(f"{PAIRS} SELECT a, b, gain, CAST(x.w + y.w AS BIGINT) AS upper FROM duo JOIN c x ON x.cid = a JOIN c y ON y.cid = b ORDER BY gain DESC, upper DESC, a, b LIMIT 50")
-def o12_sketch_order(spark, d):
-    """The fifty best sketches by (-score, -upper, ids): a top list."""
-    g = Graph(spark, d)
+SKETCHES = f"""{PAIRS}, g AS MATERIALIZED (SELECT c.cid, count(adj.v) AS deg FROM c LEFT JOIN adj ON adj.u = c.cid GROUP BY c.cid),
+mt AS (SELECT a, duo.b, x.b AS blocker, x.bw, count(*) AS h, min(x.cid) AS one FROM duo JOIN blk x ON x.cid IN (duo.a, duo.b) GROUP BY ALL),
+ch AS (SELECT a, b, sum(CASE WHEN h = 2 OR one = a THEN bw // h ELSE 0 END) AS ca, sum(CASE WHEN h = 2 OR one = b THEN bw // h ELSE 0 END) AS cb, sum(CASE WHEN h = 2 THEN bw ELSE 0 END) AS credit, sum(1 + deg) AS work FROM mt JOIN g ON g.cid = blocker GROUP BY ALL),
+sk AS (SELECT a, ch.b, CAST(greatest(0, -p.d, -q.d, credit - p.d - q.d) AS BIGINT) AS witness, CAST(greatest(0, p.w - ca) + greatest(0, q.w - cb) AS BIGINT) AS upper, CAST(credit AS BIGINT) AS credit, CAST(2 + x.deg + y.deg + work AS DOUBLE) AS work
+  FROM ch JOIN d p ON p.cid = a JOIN d q ON q.cid = ch.b JOIN g x ON x.cid = a JOIN g y ON y.cid = ch.b),
+sc AS (SELECT a, b, witness, upper, credit, (2.0::DOUBLE * witness::DOUBLE + 0.05::DOUBLE * upper::DOUBLE + 0.01::DOUBLE * credit::DOUBLE) / sqrt(work) AS score FROM sk)"""
+
+
+def _sketches(g):
     two = pairs.two_hop_pairs(g.c, g.e, g.blk, g.sel)
-    w = lambda k: g.c.select(F.col("cid").alias(k), F.col("w").alias(f"w{k}"))
-    rows = two.join(w("a"), "a").join(w("b"), "b").select("a", "b", F.col("gain").cast("long").alias("gain"), (F.col("wa") + F.col("wb")).alias("upper"))
-    return rows.orderBy(F.desc("gain"), F.desc("upper"), "a", "b").limit(50)
+    return requests.sketches(two, g.c, conflict.degrees(g.c, g.e), g.blk, g.sel)
+
+
+@query(f"{SKETCHES} SELECT a, b, witness, upper, credit, round(score, 3) AS score FROM sc")
+def g17_sketches(spark, d):
+    """Charges, upper bound and witness of every pair that shares a blocker and pays."""
+    return _sketches(Graph(spark, d)).withColumn("score", F.round("score", 3))
+
+
+@query(f"{SKETCHES} SELECT a, b, witness, upper, CAST(row_number() OVER (ORDER BY score DESC, witness DESC, upper DESC, a, b) AS INT) AS place FROM sc ORDER BY score DESC, witness DESC, upper DESC, a, b LIMIT 50")
+def o12_sketch_order(spark, d):
+    """The fifty best sketches by (-score, -witness, -upper, ids): a top list."""
+    best = _sketches(Graph(spark, d)).orderBy(F.desc("score"), F.desc("witness"), F.desc("upper"), "a", "b").limit(50)
+    return best.select("a", "b", "witness", "upper", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("witness"), F.desc("upper"), "a", "b")).alias("place"))
 
 
-@query(f"{BLOCKED} SELECT cid, CAST(d AS BIGINT) AS d FROM d ORDER BY d, cid LIMIT 128")
+@query(f"{BLOCKED}, sc AS (SELECT greatest(1.0::DOUBLE, sum(w)::DOUBLE / count(*)) AS scale FROM c) SELECT cid, w::DOUBLE / (scale + bw::DOUBLE) AS score FROM d, sc ORDER BY score DESC, cid LIMIT 128")
 def o13_top_seeds(spark, d):
-    """The 128 seeds of smallest deficit: a top list."""
+    """The 128 best seeds: a top list."""
     g = Graph(spark, d)
-    return pairs.deficits(g.c, g.blk, g.sel).select("cid", F.col("d").cast("long").alias("d")).orderBy("d", "cid").limit(128)
+    return requests.seeds(g.c, g.blk, g.sel)
 
 
 @query("WITH x AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS n FROM lineitem) SELECT l_orderkey AS k, l_linenumber AS place, l_quantity AS score FROM x WHERE n = 1")
@@ -144,7 +160,7 @@ def f09_inclusive(spark, d):
 
 @query(
     f"""WITH {LABELS}, x AS (SELECT *, available AND launched AS spent FROM l), y AS (SELECT *, spent AND returned AND valid AS ok FROM x), z AS (SELECT *, ok AND elapsed < deadline AS timely FROM y)
-SELECT key, spent, ok AS membership_valid, timely AS on_time, CASE WHEN ok THEN greatest(gain, 0.0) ELSE 0.0 END AS returned_gain, CASE WHEN timely THEN greatest(gain, 0.0) ELSE 0.0 END AS accepted_gain,
+SELECT key, spent, ok AS membership_valid, ok AS raw_valid, timely AS on_time, CASE WHEN ok THEN greatest(gain, 0.0) ELSE 0.0 END AS returned_gain, CASE WHEN timely THEN greatest(gain, 0.0) ELSE 0.0 END AS accepted_gain,
 CASE WHEN NOT available THEN 'unavailable' WHEN NOT spent THEN 'idle' WHEN NOT ok THEN 'failed' WHEN NOT timely THEN 'late' ELSE 'accepted' END AS status FROM z"""
 )
 def r16_execution_rows(spark, d):
@@ -295,10 +311,16 @@ def l20_split_evaluation(spark, d):
 
 
 @query(
-    """WITH x AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS i, CAST(floor(l_quantity) AS BIGINT) // 8 AS w, (1 << CAST(l_partkey % 5 AS INT)) | (1 << CAST(l_suppkey % 5 AS INT)) AS mask FROM lineitem), g AS (SELECT k, list(struct_pack(i := i, w := w, mask := mask) ORDER BY i) AS v FROM x GROUP BY k HAVING count(*) <= 12),
+    """WITH x AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS i, CAST(floor(l_quantity) AS BIGINT) // 8 AS w, (1 << CAST(l_partkey % 5 AS INT)) | (1 << CAST(l_suppkey % 5 AS INT)) AS mask FROM lineitem),
+u AS (SELECT *, w - bit_count(mask) AS alone FROM x),
+o AS (SELECT k, count(*) AS items, greatest(0, max(alone)) AS best_single, sum(greatest(0, alone)) AS additive, greatest(0, coalesce(sum(w) FILTER (alone > 0) - bit_count(bit_or(mask) FILTER (alone > 0)), 0)) AS additive_gain FROM u GROUP BY k),
+t AS (SELECT a.k, max(a.w + b.w - bit_count(a.mask | b.mask)) AS two FROM u a JOIN u b ON a.k = b.k AND a.i < b.i GROUP BY a.k),
+g AS (SELECT k, list(struct_pack(i := i, w := w, mask := mask) ORDER BY i) AS v FROM x GROUP BY k HAVING count(*) <= 12),
 s AS (SELECT k, list_filter(v, lambda y: (m >> y.i) & 1 = 1) AS c FROM g, LATERAL (SELECT unnest(range(1, 1 << len(v))) AS m)),
-y AS (SELECT k, len(c) AS size, list_sum(list_transform(c, lambda z: z.w))::BIGINT - bit_count(list_aggregate(list_transform(c, lambda z: z.mask::BIGINT), 'bit_or')) AS value FROM s)
-SELECT k, max(value) FILTER (size = 1) AS best_single, max(value) FILTER (size = 2) AS best_pair, max(value) AS best_any, CAST(min(size) FILTER (value > 0) AS INT) AS least_paying FROM y GROUP BY k"""
+y AS (SELECT k, len(c) AS size, list_sum(list_transform(c, lambda z: z.w))::BIGINT - bit_count(list_aggregate(list_transform(c, lambda z: z.mask::BIGINT), 'bit_or')) AS value FROM s),
+e AS (SELECT k, greatest(0, max(value)) AS best_any, min(size) FILTER (value > 0) AS least FROM y GROUP BY k), z AS (SELECT o.*, greatest(best_single, coalesce(two, 0)) AS best_pair, best_any, least FROM o LEFT JOIN t USING (k) LEFT JOIN e USING (k))
+SELECT k, items, best_single::BIGINT AS best_single, best_pair::BIGINT AS best_pair, additive::BIGINT AS additive, additive_gain::BIGINT AS additive_gain, best_any::BIGINT AS best_any,
+CASE WHEN items <= 12 THEN least WHEN best_single > 0 THEN 1 WHEN best_pair > 0 THEN 2 END::INT AS least_paying, CASE WHEN items <= 12 THEN least WHEN best_single > 0 THEN 1 WHEN best_pair > 0 THEN 2 ELSE 3 END::INT AS least_lower FROM z"""
 )
 def r19_coalitions(spark, d):
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).cast("long") - 1
@@ -335,15 +357,28 @@ def x13_mask_sha(spark, d):
 _LE = "regexp_replace(lpad(hex({x}::BIGINT), 16, '0'), '(..)(..)(..)(..)(..)(..)(..)(..)', '\\8\\7\\6\\5\\4\\3\\2\\1')"
 
 
-@query(f"SELECT l_orderkey AS k, sha256(unhex(string_agg({_LE.format(x='l_partkey')}, '' ORDER BY l_linenumber, l_partkey, l_suppkey) || string_agg({_LE.format(x='l_suppkey')}, '' ORDER BY l_linenumber, l_partkey, l_suppkey))) AS sha FROM lineitem GROUP BY k")
+#: The 64 bits of a positive double from its exponent g (put right where the logarithm was rounded) and its fraction.
+_BITS = "((g + 1023) * 4503599627370496 + (((x / pow(2.0::DOUBLE, g)) - 1) * 4503599627370496)::BIGINT)"
+
+
+@query(
+    f"""WITH l AS (SELECT *, l_extendedprice::DOUBLE AS x, floor(log2(l_extendedprice::DOUBLE))::BIGINT AS h FROM lineitem), m AS (SELECT *, CASE WHEN x < pow(2.0::DOUBLE, h) THEN h - 1 WHEN x >= pow(2.0::DOUBLE, h + 1) THEN h + 1 ELSE h END AS g FROM l)
+SELECT l_orderkey AS k, sha256(unhex(string_agg({_LE.format(x=_BITS)}, '' ORDER BY l_linenumber, l_partkey, l_suppkey) || string_agg({_LE.format(x='l_suppkey')}, '' ORDER BY l_linenumber, l_partkey, l_suppkey))) AS sha FROM m GROUP BY k"""
+)
 def x14_content_sha(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_partkey", "l_suppkey")
-    return requests.content_sha(rows, ["k"], ["l_linenumber"], ["l_partkey", "l_suppkey"])
+    """Prices as doubles, then suppliers as longs."""
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return requests.content_sha(rows, ["k"], ["l_linenumber", "l_partkey", "l_suppkey"], ["l_extendedprice", "l_suppkey"])
 
 
-@query()
+@query(
+    f"""WITH m AS (SELECT l_orderkey AS k, list(DISTINCT l_linenumber - 1) AS held FROM lineitem GROUP BY k),
+h AS (SELECT k, len(held) AS n, list_reduce(list_prepend({requests.FNV_BASIS}::HUGEINT, list_transform(range(8), lambda i: list_contains(held, i)::INT::HUGEINT)), lambda h, b: (xor(h, b) * {requests.FNV_PRIME}::HUGEINT) % 18446744073709551616::HUGEINT) AS h FROM m)
+SELECT k, n, CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT ELSE h END::BIGINT AS signature FROM h"""
+)
 def x20_signature(spark, d):
-    return requests.signature(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_partkey"), ["k"], "l_partkey")
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") - 1).alias("v"))
+    return requests.signature(rows, ["k"], "v", F.lit(8))
 
 
 @query(

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROWS = "graph_id string, part string, i long, j long, x double"
@@ -38,7 +38,10 @@ def checked(arrays: dict[str, np.ndarray], unit: bool = False) -> dict[str, np.n
     if unit and (w != 1).any():
         raise ValueError("weights of a unit graph must be 1")
     if "edges" in arrays:
-        e = _whole(arrays["edges"], "edges").reshape(-1, 2) if arrays["edges"].size else np.zeros((0, 2), np.int64)
+        e = np.asarray(arrays["edges"])
+        if e.size and (e.ndim != 2 or e.shape[1] != 2):
+            raise ValueError("edges must be rows of two vertices")
+        e = _whole(e, "edges") if e.size else np.zeros((0, 2), np.int64)
     elif {"edge_u", "edge_v"} <= set(arrays):
         e = np.stack([_whole(arrays["edge_u"], "edge_u"), _whole(arrays["edge_v"], "edge_v")], axis=1)
     else:
@@ -94,15 +97,28 @@ def read_graph_arrays(spark: SparkSession, path: str, unit: bool = False) -> Dat
                     yield pd.DataFrame({"graph_id": graph, "part": part, "i": i, "j": pd.array([None] * len(i), "Int64") if j is None else j, "x": np.nan if x is None else x})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("path", "content")
+    told = _manifest(spark, path)
+    if told is not None:  # files of attempts that failed may lie beside those that count
+        files = files.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(told.select("name"), "name", "left_semi").select("path", "content")
     rows = files.mapInPandas(run, ROWS)
     return rows.withColumn("x", F.when(F.col("part") == "vertex", F.col("x")))
 
 
+def _manifest(spark: SparkSession, folder: str) -> DataFrame | None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/_manifest")
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    return spark.read.schema("graph_id string, name string, bytes long").parquet(str(place)) if there else None
+
+
 def write_graph_arrays(rows: DataFrame, folder: str) -> DataFrame:
-    """Writes one ``.npz`` file for each graph of rows as above; returns (graph_id, path, bytes).
+    """Writes one ``.npz`` file for each graph of rows as above; returns the manifest (graph_id, name, bytes).
 
-    A file is written under another name and renamed, and an existing one is not replaced.
+    A file's name ends in that of the attempt that wrote it, so a task that runs again disturbs nothing.  The manifest
+    names the files that count and is committed last; a folder that has one is not written again.
     """
+    spark = rows.sparkSession
+    if _manifest(spark, folder) is not None:
+        raise FileExistsError(folder)
 
     def run(t: pa.Table) -> pa.Table:
         frame = t.to_pandas().sort_values(["part", "i", "j"])
@@ -121,35 +137,38 @@ def write_graph_arrays(rows: DataFrame, folder: str) -> DataFrame:
         np.savez_compressed(held, graph_id=np.array(graph), **arrays)
         at, place = fs.FileSystem.from_uri(folder)
         at.create_dir(place, recursive=True)
-        own, final = f"{place}/.{graph}-{uuid.uuid4().hex}", f"{place}/{graph}.npz"
-        if at.get_file_info(final).type != fs.FileType.NotFound:
-            raise FileExistsError(final)
-        with at.open_output_stream(own, compression=None) as out:
+        name = f"{graph}.{uuid.uuid4().hex}.npz"
+        with at.open_output_stream(f"{place}/{name}", compression=None) as out:
             out.write(held.getvalue())
-        at.move(own, final)
-        return pa.table({"graph_id": [graph], "path": [f"{folder}/{graph}.npz"], "bytes": [len(held.getvalue())]})
+        return pa.table({"graph_id": [graph], "name": [name], "bytes": [len(held.getvalue())]})
 
-    return rows.select("graph_id", "part", "i", "j", "x").groupBy("graph_id").applyInArrow(run, "graph_id string, path string, bytes long")
+    written = rows.select("graph_id", "part", "i", "j", "x").groupBy("graph_id").applyInArrow(run, "graph_id string, name string, bytes long")
+    written.write.parquet(f"{folder.rstrip('/')}/_manifest")
+    out = _manifest(spark, folder)
+    assert out is not None
+    return out
 
 
-def numbered_lines(head: list[str], parts: list[tuple[DataFrame, list[str]]]) -> DataFrame:
-    """(v, line): the head's lines, then the rows of every part in the order of its first column, values parted by spaces."""
-    spark = parts[0][0].sparkSession
-    out = spark.createDataFrame([(-(len(head) - k), x) for k, x in enumerate(head)], "v long, line string")
-    from_ = 0
-    for rows, columns in parts:
-        line = F.concat_ws(" ", *(F.col(c).cast("string") for c in columns))
-        out = out.unionByName(rows.select((F.lit(from_) + F.col("at")).cast("long").alias("v"), line.alias("line")))
-        from_ += 1 << 40
+def numbered_lines(spark: SparkSession, parts: list[tuple[DataFrame, list[str], list[str]]]) -> DataFrame:
+    """(part, first, second, line): rows of the parts one after another, each by its order columns, values parted by spaces."""
+    out = None
+    for number, (rows, order, columns) in enumerate(parts):
+        place = [F.col(c).cast("long") for c in order] + [F.lit(0).cast("long")] * (2 - len(order))
+        lines = rows.select(F.lit(number).alias("part"), place[0].alias("first"), place[1].alias("second"), F.concat_ws(" ", *(F.col(c).cast("string") for c in columns)).alias("line"))
+        out = lines if out is None else out.unionByName(lines)
+    assert out is not None
     return out
 
 
+def _one(spark: SparkSession, text: str) -> tuple[DataFrame, list[str], list[str]]:
+    return spark.createDataFrame([(text,)], "text string"), [], ["text"]
+
+
 def graph_lines(vertices: DataFrame, edges: DataFrame, initial: DataFrame, magic: str) -> DataFrame:
-    """Text of one graph: ``magic n m``, a line ``tick raw owner`` for each vertex (v), one ``u v`` for each edge, the number of initial ids, the ids."""
-    n, m, k = vertices.count(), edges.count(), initial.count()
-    code: Column = F.col("u") * n + F.col("v")
-    chosen = initial.agg(F.array_sort(F.collect_list("v")).alias("ids")).select(F.lit(1).alias("at"), F.array_join("ids", " ").alias("ids"), F.lit(k).alias("k"))
-    return numbered_lines([f"{magic} {n} {m}"], [(vertices.withColumn("at", F.col("v")), ["tick", "raw", "owner"]), (edges.withColumn("at", code), ["u", "v"]), (chosen, ["k", "ids"])])
+    """Text of one graph: ``magic n m``, a line ``tick raw owner`` for each vertex (v), one ``u v`` for each edge, the number of initial ids, a line for each."""
+    spark = vertices.sparkSession
+    head = _one(spark, f"{magic} {vertices.count()} {edges.count()}")
+    return numbered_lines(spark, [head, (vertices, ["v"], ["tick", "raw", "owner"]), (edges, ["u", "v"], ["u", "v"]), _one(spark, str(initial.count())), (initial, ["v"], ["v"])])
 
 
 KERNEL = ["w", "raw", "owner", "color", "base", "p", "q", "freq", "id"]
@@ -157,8 +176,8 @@ KERNEL = ["w", "raw", "owner", "color", "base", "p", "q", "freq", "id"]
 
 def kernel_lines(vertices: DataFrame, edges: DataFrame, magic: str) -> DataFrame:
     """Text of a frozen kernel: ``magic n m``, the columns of ``KERNEL`` for each vertex (v), ``u v`` for each edge."""
-    n, m = vertices.count(), edges.count()
-    return numbered_lines([f"{magic} {n} {m}"], [(vertices.withColumn("at", F.col("v")), KERNEL), (edges.withColumn("at", F.col("u") * n + F.col("v")), ["u", "v"])])
+    spark = vertices.sparkSession
+    return numbered_lines(spark, [_one(spark, f"{magic} {vertices.count()} {edges.count()}"), (vertices, ["v"], KERNEL), (edges, ["u", "v"], ["u", "v"])])
 
 
 def parse_kernel_text(spark: SparkSession, path: str, magic: str) -> tuple[DataFrame, DataFrame, DataFrame]:

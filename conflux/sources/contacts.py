@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import scans
+
 ANTENNA_GAP = 7_200_000_000
 OWNER_GAP = 10_800_000_000
 
@@ -98,18 +100,58 @@ def read_manifest(spark: SparkSession, path: str, allow_test: bool = False) -> D
 
 
 def parse_graph_text(spark: SparkSession, path: str) -> DataFrame:
-    """Weighted-graph text: header (magic n m), n lines (tick raw owner), m lines (u v), then k and k ids.
+    """Weighted-graph text: header (magic n m), n lines (tick raw owner), m lines (u v), then k and k ids, in any lines.
 
-    One row per line with its part: vertex (a=tick, b=raw, c=owner), edge (a=u, b=v) or initial (a=id).
+    One row per part and place: vertex (a=tick, b=raw, c=owner), edge (a=u, b=v), initial (a=id) and size (a=k).
     """
+    rows = _graph_lines(spark, path)
+    part = F.when(F.col("at") <= F.col("n"), "vertex").otherwise("edge")
+    own = rows.where("at <= n + m").select("file", part.alias("part"), (F.col("at") - 1 - F.when(F.col("at") > F.col("n"), F.col("n")).otherwise(0)).cast("long").alias("place"), F.split(F.trim("line"), r"\s+").alias("x"))
+    own = own.select("file", "part", "place", *(F.get("x", F.lit(i)).alias(c) for i, c in enumerate("abc")))
+    tail = _tail(rows)
+    rest = tail.select("file", F.when(F.col("first"), "size").otherwise("initial").alias("part"), F.col("place"), F.col("x").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("string").alias("c"))
+    return own.unionByName(rest)
+
+
+def _graph_lines(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", r"\s+$", ""), r"\n").alias("l"))
-    lines = lines.withColumn("head", F.split(F.get("l", F.lit(0)), r"\s+"))
-    lines = lines.withColumn("n", F.get("head", F.lit(1)).cast("int")).withColumn("m", F.get("head", F.lit(2)).cast("int"))
-    rows = lines.select("file", "n", "m", F.posexplode("l").alias("at", "line")).where("at > 0")
-    part = F.when(F.col("at") <= F.col("n"), "vertex").when(F.col("at") <= F.col("n") + F.col("m"), "edge").otherwise("initial")
-    cells = F.split(F.trim("line"), r"\s+")
-    rows = rows.select("file", part.alias("part"), (F.col("at") - 1 - F.when(F.col("at") > F.col("n"), F.col("n")).otherwise(0)).alias("place"), cells.alias("x"))
-    return rows.select("file", "part", "place", *(F.get("x", F.lit(i)).alias(c) for i, c in enumerate("abc")))
+    head = F.split(F.trim(F.get("l", F.lit(0))), r"\s+")
+    lines = lines.select("file", "l", F.get(head, F.lit(0)).alias("magic"), F.get(head, F.lit(1)).try_cast("long").alias("n"), F.get(head, F.lit(2)).try_cast("long").alias("m"))
+    return lines.select("file", "magic", "n", "m", F.posexplode("l").alias("at", "line")).where("at > 0 or n is null or m is null")
+
+
+def _tail(rows: DataFrame) -> DataFrame:
+    """The words after the edges: (file, at, i, x), first for the number of ids; place counts ids from 0 in order of line and word."""
+    words = rows.where("at > n + m").select("file", "n", "m", "at", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("i", "x")).where("x <> ''")
+    numbered = scans.ranked(words, ["file"], ["at", "i"], "r")
+    return numbered.select("file", "x", (F.col("r") == 1).alias("first"), F.greatest(F.lit(0), F.col("r") - 2).cast("long").alias("place"))
+
+
+def graph_text_faults(spark: SparkSession, path: str, magic: str) -> DataFrame:
+    """(file, why) for what makes graph texts invalid: header, missing or surplus lines, bad vertices and edges, initial ids
+    that are missing, left over, repeated, outside the graph or in conflict."""
+    lines, rows = _graph_lines(spark, path), parse_graph_text(spark, path)
+    say = lambda df, why: df.select("file", F.lit(why).alias("why")).distinct()
+    out = say(lines.where(~F.coalesce((F.col("magic") == magic) & (F.col("n") >= 0) & (F.col("m") >= 0), F.lit(False))), "header")
+    size = lines.groupBy("file", "n", "m").agg(F.max("at").alias("last"))
+    out = out.unionByName(say(size.where("last < n + m + 1"), "truncated"))
+    number = lambda c, kind="long": F.col(c).try_cast(kind)
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    three = number("a").isNotNull() & number("b", "double").isNotNull() & number("c").isNotNull()
+    out = out.unionByName(say(rows.where((F.col("part") == "vertex") & no(three)), "vertex"))
+    bound = size.select("file", "n")
+    inside = lambda c: (number(c) >= 0) & (number(c) < F.col("n"))
+    edges = rows.where("part = 'edge'").join(bound, "file")
+    out = out.unionByName(say(edges.where(no(inside("a") & inside("b") & (number("a") != number("b")))), "edge"))
+    ids = rows.where("part = 'initial'").join(bound, "file")
+    out = out.unionByName(say(ids.where(no(inside("a"))), "initial vertex"))
+    out = out.unionByName(say(ids.groupBy("file", "a").count().where("count > 1"), "initial vertex"))
+    told = rows.where("part = 'size'").select("file", number("a").alias("k"))
+    have = size.select("file").join(told, "file", "left").join(ids.groupBy("file").agg(F.count(F.lit(1)).alias("have")), "file", "left")
+    out = out.unionByName(say(have.where(no(F.col("k") == F.coalesce("have", F.lit(0)))), "initial size"))
+    ends = edges.select("file", number("a").alias("u"), number("b").alias("v"))
+    one = ids.select("file", number("a").alias("u"))
+    return out.unionByName(say(ends.join(one, ["file", "u"], "left_semi").join(one.withColumnRenamed("u", "v"), ["file", "v"], "left_semi"), "infeasible initial")).distinct()
 
 
 def decode_ragged(rows: DataFrame, flat: str, ptr: str) -> DataFrame:
@@ -122,11 +164,13 @@ def decode_ragged(rows: DataFrame, flat: str, ptr: str) -> DataFrame:
 
 
 def membership_from_text(lines: DataFrame, n: int) -> DataFrame:
-    """Solver output: a 0/1 vector of length n, or distinct 1-based ids, as 0-based members."""
-    cells = lines.select(F.explode(F.split(F.trim("value"), r"\s+")).alias("x")).where("x <> ''").select(F.col("x").cast("long").alias("x"), F.monotonically_increasing_id().alias("at"))
-    if cells.count() == n and not cells.where("x not in (0, 1)").limit(1).count():
-        from pyspark.sql import Window
-
-        place = cells.withColumn("v", F.row_number().over(Window.orderBy("at")) - 1)
-        return place.where("x = 1").select(F.col("v").cast("long").alias("v"))
-    return cells.select((F.col("x") - 1).alias("v")).distinct()
+    """Solver output: a 0/1 vector of length n, or distinct 1-based ids, as 0-based members; repeated ids and ids outside 1..n are errors."""
+    cells = lines.select(F.posexplode(F.split(F.trim("value"), r"\s+")).alias("i", "x"), F.monotonically_increasing_id().alias("at")).where("x <> ''").select(F.col("x").cast("long").alias("x"), "at", "i")
+    told = cells.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x").isin(0, 1)).alias("bits"), F.min("x").alias("low"), F.max("x").alias("high"), F.countDistinct("x").alias("different")).first()
+    if told.n == n and told.bits == n:
+        return scans.ranked(cells, [], ["at", "i"], "v").where("x = 1").select((F.col("v") - 1).alias("v"))
+    if told.n and (told.low < 1 or told.high > n):
+        raise ValueError(f"ids must lie in 1..{n}")
+    if told.different != told.n:
+        raise ValueError("an id is given twice")
+    return cells.select((F.col("x") - 1).alias("v"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import greedy
+from ..operators import conflict, greedy
 
 
 def uniform(seed: int, *key: Column) -> Column:
@@ -37,7 +37,14 @@ def block_graph(spark: SparkSession, seed: int, coupling: float = 0.5, compatibi
     return vertices, edges
 
 
-def initial_schedule(vertices: DataFrame, edges: DataFrame, seed: int = 0, perturbation: float = 0.45) -> DataFrame:
-    """A feasible selection by greedy order of weights, each times a lognormal factor."""
-    key = -F.col("w") * F.exp(perturbation * normal(seed, F.col("cid")))
-    return greedy.greedy(vertices, edges, key)
+def initial_schedule(vertices: DataFrame, edges: DataFrame, seed: int = 0, perturbation: float = 0.45, anchors: Column | None = None) -> DataFrame:
+    """A feasible selection by greedy order of weight / sqrt(1 + degree), each times a lognormal factor.
+
+    Vertices where ``anchors`` holds come before all others of ordinary weight (a bonus of 1000).
+    """
+    if perturbation < 0:
+        raise ValueError("perturbation must not be negative")
+    bonus = F.lit(0.0) if anchors is None else F.when(anchors, 1000.0).otherwise(0.0)
+    rows = vertices.join(conflict.degrees(vertices, edges), "cid")
+    priority = F.col("w") / F.sqrt(1.0 + F.col("degree")) * F.exp(perturbation * normal(seed, F.col("cid"))) + bonus
+    return greedy.greedy(rows, edges, -priority)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RESULT = "run long, delivered double, on_time long, late long, winner long"
@@ -38,11 +38,32 @@ def streaming_incumbents(events: DataFrame, initial: float = 0.0) -> DataFrame:
     )
 
 
-def spent_requests(requests: DataFrame) -> DataFrame:
-    """First launch of each request key: a request is spent once launched, whatever becomes of it (stateful dedup)."""
-    return requests.dropDuplicates(["run", "action", "cap", "workpoint"])
+def spent_requests(requests: DataFrame, time: str | None = None, delay: str = "1 day") -> DataFrame:
+    """First launch of each request key: a request is spent once launched, whatever becomes of it (stateful dedup).
+
+    With an event-time column a key is forgotten once ``delay`` has passed since it came, as no run lasts that long; without
+    one, state keeps every key, which only a bounded stream can afford.
+    """
+    keys = ["run", "action", "cap", "workpoint"]
+    if time is None:
+        return requests.dropDuplicates(keys)
+    return requests.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+
+
+def upsert_latest(batch: DataFrame, epoch: int, path: str) -> None:
+    """foreachBatch sink: writes a batch under its epoch; one that is replayed takes the place of its first try."""
+    batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/epoch={epoch}")
+
+
+def latest(spark: SparkSession, path: str, key: str = "run") -> DataFrame:
+    """The last row of every key in a table of ``upsert_latest``."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    own = [c for c in rows.columns if c != "epoch"]
+    return rows.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*own), "epoch").alias("x")).select("x.*")
 
 
-def upsert_latest(batch: DataFrame, path: str) -> None:
-    """foreachBatch sink: keeps the last row of every run in a table of per-batch files."""
-    batch.withColumn("written", F.current_timestamp()).write.mode("append").parquet(path)
+def compacted(spark: SparkSession, path: str, target: str, key: str = "run") -> int:
+    """Writes the last rows as epoch 0 of another table, which later epochs go on from; returns the last epoch it holds."""
+    last = spark.read.option("basePath", path).parquet(path).agg(F.max("epoch")).first()[0]
+    upsert_latest(latest(spark, path, key), 0, target)
+    return int(last or 0)

@@ -5,7 +5,7 @@ import random
 
 import pytest
 from conflux.functions import scalars as X
-from conflux.operators import admission, conflict, greedy, pairs, policy, recover, selection, stats, windows
+from conflux.operators import admission, conflict, greedy, pairs, policy, recover, requests, selection, stats, windows
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,16 @@ def test_gap_conflicts(spark, windows_, gap, want, width):
     assert rows_of(conflict.gap_conflicts(contacts(spark, windows_), "ant", gap, width)) == want
 
 
+def test_one_window_of_a_year_among_seconds(spark):
+    """It looks into few wide buckets, not into one for each second."""
+    second, year = 10**6, 365 * 86_400 * 10**6
+    c = contacts(spark, [(0, year), *((i * 3600 * second, i * 3600 * second + second) for i in range(1, 200))])
+    got = conflict.gap_conflicts(c, "ant", 1)
+    assert rows_of(got) == [(0, i) for i in range(1, 200)]
+    made = got._jdf.queryExecution().executedPlan()
+    assert "Cartesian" not in made.toString()
+
+
 def test_typed_edges(spark):
     c = contacts(spark, [(0, 4), (2, 6)], owner=[7, 7])
     assert rows_of(conflict.conflict_edges(c, 0, 0)) == [(0, 1, 3)]
@@ -281,3 +291,87 @@ def test_round_robin(spark):
     spent = spark.createDataFrame([(7, 1, 1, 0)], "state long, action long, cap long, idx long")
     got = windows.round_robin(rows, spent).select("state", "action", "cap", "idx", "turns", "place")
     assert rows_of(got) == [(7, 1, 2, 1, 1, 2), (7, 2, 1, 2, 0, 1), (8, 1, 1, 0, 0, 1)]
+
+
+def test_execution_rows_with_nulls(spark):
+    """A null flag is false, a gain that is no number counts as failed, a lost time leaves nothing accepted."""
+    nan = float("nan")
+    labels = [
+        ("fine", True, True, True, True, 3.0, 10.0, 4.0), ("late", True, True, True, True, 10.0, 10.0, 4.0), ("loss", True, True, True, True, 3.0, 10.0, -4.0), ("untimed", True, True, True, True, None, 10.0, 4.0), ("nan time", True, True, True, True, nan, 10.0, 4.0),
+        ("nan gain", True, True, True, True, 3.0, 10.0, nan), ("no gain", True, True, True, True, 3.0, 10.0, None), ("available?", None, True, True, True, 3.0, 10.0, 4.0), ("launched?", True, None, True, True, 3.0, 10.0, 4.0),
+        ("returned?", True, True, None, True, 3.0, 10.0, 4.0), ("valid?", True, True, True, None, 3.0, 10.0, 4.0), ("not valid", True, True, True, False, 3.0, 10.0, 4.0),
+    ]
+    df = spark.createDataFrame(labels, "key string, available boolean, launched boolean, returned boolean, valid boolean, elapsed double, deadline double, gain double")
+    got = {r.key: tuple(r)[1:] for r in requests.execution_rows(df).collect()}
+    failed = (True, False, False, False, 0.0, 0.0, "failed")
+    assert got == {
+        "fine": (True, True, True, True, 4.0, 4.0, "accepted"), "late": (True, True, True, False, 4.0, 0.0, "late"), "loss": (True, True, True, True, 0.0, 0.0, "accepted"),
+        "untimed": (True, True, False, False, 4.0, 0.0, "timestamp_failed"), "nan time": (True, True, False, False, 4.0, 0.0, "timestamp_failed"), "nan gain": failed, "no gain": failed, "returned?": failed, "valid?": failed, "not valid": failed,
+        "available?": (False, False, False, False, 0.0, 0.0, "unavailable"), "launched?": (False, False, False, False, 0.0, 0.0, "idle"),
+    }
+
+
+def test_hashes_tell_sets_and_fractions_apart(spark):
+    import hashlib
+    import struct
+
+    rows = spark.createDataFrame([("a", 0, 0.5, 7), ("a", 1, -2.0, 8), ("b", 0, 0.7, 7), ("b", 1, -2.0, 8)], "k string, i long, w double, owner long")
+    got = {r.k: r.sha for r in requests.content_sha(rows, ["k"], ["i"], ["w", "owner"]).collect()}
+    assert got == {k: hashlib.sha256(struct.pack("<2d2q", w, -2.0, 7, 8)).hexdigest() for k, w in (("a", 0.5), ("b", 0.7))}
+    sets = spark.createDataFrame([("x", 5), ("x", 5), ("x", 7), ("y", 7), ("z", 0)], "k string, v long")
+    want = {}
+    for k, held in (("x", {5, 7}), ("y", {7}), ("z", {0})):
+        h = 1469598103934665603
+        for i in range(9):
+            h = ((h ^ (i in held)) * 1099511628211) % 2**64
+        want[k] = (h - 2**64 if h >= 2**63 else h, len(held))
+    assert {r.k: (r.signature, r.n) for r in requests.signature(sets, ["k"], "v", F.lit(9)).collect()} == want
+
+
+@pytest.mark.parametrize("most", [12, 3])
+def test_coalitions_of_any_size(spark, most):
+    rnd = random.Random(most)
+    groups = {k: [(i, rnd.randint(0, 4), rnd.choice([1, 3, 6, 8, 9])) for i in range(n)] for k, n in enumerate([1, 2, 5, 6, 8])}
+    df = spark.createDataFrame([(k, *x) for k, g in groups.items() for x in g], "k long, i long, w long, mask long")
+    value = lambda s: sum(x[1] for x in s) - bin(__import__("functools").reduce(lambda a, x: a | x[2], s, 0)).count("1")
+    got = {r.k: r for r in requests.coalitions(df, ["k"], most).collect()}
+    assert set(got) == set(groups)
+    for k, g in groups.items():
+        sets = [c for n in range(1, len(g) + 1) for c in itertools.combinations(g, n)]
+        best = lambda n: max([0, *(value(c) for c in sets if len(c) <= n)])  # noqa: E731, B023
+        least = min((len(c) for c in sets if value(c) > 0), default=None)
+        pays = [x for x in g if value([x]) > 0]
+        r = got[k]
+        assert (r.best_single, r.best_pair, r.additive, r.additive_gain) == (best(1), best(2), sum(value([x]) for x in pays), max(0, value(pays)))
+        if len(g) <= most:
+            assert (r.best_any, r.least_paying, r.least_lower) == (best(len(g)), least, least)
+        else:
+            assert r.best_any is None and r.least_paying == (least if least in (1, 2) else None) and r.least_lower == (least if least in (1, 2) else 3)
+
+
+def test_sketch_bounds_hold(spark):
+    rnd = random.Random(6)
+    weights, edges = random_graph(rnd, 24, 0.2)
+    v, e, adj = graph(spark, weights, edges)
+    sel = set(scan(weights, edges, lambda x, near: x))
+    near = {i: {b if a == i else a for a, b in edges if i in (a, b)} for i in range(24)}
+    chosen = members(spark, *sel)
+    two = [(a, b) for a, b in itertools.combinations(sorted(set(near) - sel), 2) if b not in near[a]]
+    gain = lambda *x: sum(weights[i] for i in x) - sum(weights[b] for b in set().union(*(near[i] & sel for i in x)))
+    got = requests.sketches(spark.createDataFrame(two, "a long, b long"), v, conflict.degrees(v, e), pairs.blockers(v, adj, chosen), chosen).collect()
+    assert {(r.a, r.b) for r in got} == set(two)
+    for r in got:
+        best = max(0, gain(r.a), gain(r.b), gain(r.a, r.b))
+        assert r.witness == best <= r.upper
+        assert r.credit == sum(weights[x] for x in near[r.a] & near[r.b] & sel)
+
+
+def test_small_graphs_propose_from_all(spark):
+    weights = [100, *range(1, 101)]
+    v, e, adj = graph(spark, weights, [(0, i) for i in range(1, 101)])
+    chosen = members(spark, 0)
+    blocked = pairs.blockers(v, adj, chosen)
+    got = [(r.a, r.b) for r in requests.proposals(v, e, blocked, chosen, most=4, pool=2).collect()]
+    assert sorted(got, key=str) == sorted([(100, None), (99, None), (99, 100), (98, 100)], key=str)
+    few = requests.proposals(v, e, blocked, chosen, most=4, candidates=members(spark, 3, 5, 7)).collect()
+    assert sorted(((r.a, r.b) for r in few), key=str) == sorted([(7, None), (5, None), (5, 7), (3, 7)], key=str)

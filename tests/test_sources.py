@@ -51,10 +51,13 @@ def test_report_and_manifest(spark, tmp_path):
 def test_graph_text_and_memberships(spark, tmp_path):
     path = write(tmp_path, "g.txt", "GRAPH1 3 2\n5 0.5 0\n6 0.6 1\n7 0.7 1\n0 1\n1 2\n2 0 2\n")
     rows = [(r.part, r.a, r.b) for r in S.parse_graph_text(spark, path).orderBy("part", "place").collect()]
-    assert rows == [("edge", "0", "1"), ("edge", "1", "2"), ("initial", "2", "0"), ("vertex", "5", "0.5"), ("vertex", "6", "0.6"), ("vertex", "7", "0.7")]
+    assert rows == [("edge", "0", "1"), ("edge", "1", "2"), ("initial", "0", None), ("initial", "2", None), ("size", "2", None), ("vertex", "5", "0.5"), ("vertex", "6", "0.6"), ("vertex", "7", "0.7")]
     text = spark.createDataFrame([("1 0 1",)], "value string")
     assert sorted(r.v for r in S.membership_from_text(text, 3).collect()) == [0, 2]
     assert sorted(r.v for r in S.membership_from_text(spark.createDataFrame([("3 1",)], "value string"), 5).collect()) == [0, 2]
+    for text, why in (("3 1 3", "twice"), ("3 6", "lie in"), ("0 2", "lie in")):
+        with pytest.raises(ValueError, match=why):
+            S.membership_from_text(spark.createDataFrame([(text,)], "value string"), 5)
     ragged = spark.createDataFrame([("g", [1, 2, 3], [0, 2, 2, 3])], "k string, flat array<int>, ptr array<int>")
     assert sorted(tuple(r) for r in S.decode_ragged(ragged, "flat", "ptr").collect()) == [("g", 0, 0, 1), ("g", 0, 1, 2), ("g", 2, 0, 3)]
 
@@ -83,13 +86,15 @@ def test_graph_arrays_round_trip(spark, tmp_path):
     assert sorted(r.graph_id for r in arrays.write_graph_arrays(df, folder).collect()) == ["g", "h"]
     back = [tuple(r) for r in arrays.read_graph_arrays(spark, folder).collect()]
     assert sorted(map(str, back)) == sorted(map(str, rows))
-    with pytest.raises(Exception, match="FileExists"):
-        arrays.write_graph_arrays(df, folder).collect()
+    with pytest.raises(FileExistsError):
+        arrays.write_graph_arrays(df, folder)
+    (tmp_path / "npz" / "g.lost.npz").write_bytes(b"half a file")  # of an attempt that failed
+    assert arrays.read_graph_arrays(spark, folder).count() == len(rows)
 
 
 @pytest.mark.parametrize(
     ("change", "why"),
-    [({"weights": [1.0, float("nan")]}, "finite"), ({"edges": [[0, 0]]}, "loop"), ({"edges": [[0, 2]]}, "leaves"), ({"edges": [[0, 1], [1, 0]]}, "twice"), ({"selected": [0, 1]}, "inside"), ({"selected": [0, 0]}, "different"),
+    [({"weights": [1.0, float("nan")]}, "finite"), ({"edges": [[0, 0]]}, "loop"), ({"edges": [[0, 2]]}, "leaves"), ({"edges": [[0, 1, 0], [1, 0, 1]]}, "rows of two"), ({"edges": [[0, 1], [1, 0]]}, "twice"), ({"selected": [0, 1]}, "inside"), ({"selected": [0, 0]}, "different"),
      ({"agents": [1]}, "length"), ({"initial_mask": [0, 2]}, "0 or 1"), ({"cliques_flat": [0], "cliques_ptr": [0, 2]}, "fit")],
 )
 def test_contradicting_arrays(change, why):
@@ -108,7 +113,18 @@ def test_graph_and_kernel_text(spark, tmp_path):
     e = spark.createDataFrame([(0, 1), (1, 2)], "u long, v long")
     sinks.write_lines(arrays.graph_lines(v, e, spark.createDataFrame([(2,), (0,)], "v long"), "GRAPH1"), str(tmp_path / "g"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "g")).collect()]
-    assert lines == ["GRAPH1 3 2", "5 0.5 0", "6 0.25 1", "7 1.5 1", "0 1", "1 2", "2 0 2"]
+    assert lines == ["GRAPH1 3 2", "5 0.5 0", "6 0.25 1", "7 1.5 1", "0 1", "1 2", "2", "0", "2"]
+    back = [(r.part, r.place, r.a, r.b) for r in S.parse_graph_text(spark, write(tmp_path, "back.txt", "\n".join(lines) + "\n")).orderBy("part", "place").collect()]
+    assert [x[2] for x in back if x[0] == "initial"] == ["0", "2"] and [x[2:] for x in back if x[0] == "edge"] == [("0", "1"), ("1", "2")]
+    good = "\n".join(lines) + "\n"
+    faults = lambda text: sorted(r.why for r in S.graph_text_faults(spark, write(tmp_path, "f.txt", text), "GRAPH1").collect())
+    assert faults(good) == []
+    for old, new, why in (("GRAPH1 3", "OTHER 3", "header"), ("\n0\n2\n", "\n0\n", "initial size"), ("\n0\n2\n", "\n0\n2\n7 7\n", "initial size"), ("\n0\n2\n", "\n2\n2\n", "initial vertex"), ("\n0\n2\n", "\n0\n1\n", "infeasible initial"), ("\n1 2\n", "\n1 3\n", "edge"), ("6 0.25 1", "6 x 1", "vertex")):
+        assert old in good and why in faults(good.replace(old, new)), why
+    assert "truncated" in faults("GRAPH1 3 2\n5 0.5 0\n")
+    far = 1 << 21
+    spread = arrays.numbered_lines(spark, [(spark.createDataFrame([(far, 1), (1, far), (1, 2)], "u long, v long"), ["u", "v"], ["u", "v"]), (spark.createDataFrame([(3,), (far,)], "v long"), ["v"], ["v"])])
+    assert [r.line for r in spread.orderBy("part", "first", "second").collect()] == ["1 2", f"1 {far}", f"{far} 1", "3", f"{far}"]
     k = spark.createDataFrame([(0, 5, 0.5, 0, 0, 1, 1, 0, 0.5, 10), (1, 6, 0.25, 1, 1, 0, 0, 1, 1.0, 11), (2, 7, 1.5, 1, -1, 0, 0, 0, 0.0, 12)], "v long, w long, raw double, owner long, color int, base int, p int, q int, freq double, id long")
     sinks.write_lines(arrays.kernel_lines(k, e, "KERNEL1").coalesce(1), str(tmp_path / "k"))
     text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "k")).collect())
@@ -141,3 +157,14 @@ def test_generated_graphs(spark):
     chosen = {r.cid for r in generators.initial_schedule(v, e, seed=5).collect()}
     assert chosen and not any(u in chosen and w in chosen for u, w in edges)
     assert all(x in chosen or any(y in chosen for p in edges if x in p for y in p) for x in range(60))
+
+
+def test_the_first_schedule_prefers_leaves_to_a_hub(spark):
+    v = spark.createDataFrame([(0, 10.0, 0), (1, 9.0, 1), (2, 9.0, 2), (3, 9.0, 3)], "cid long, w double, owner long")
+    e = spark.createDataFrame([(0, 1), (0, 2), (0, 3)], "u long, v long")
+    assert sorted(r.cid for r in generators.initial_schedule(v, e, perturbation=0.0).collect()) == [1, 2, 3]
+    from pyspark.sql import functions as F
+
+    assert [r.cid for r in generators.initial_schedule(v, e, perturbation=0.0, anchors=F.col("cid") == 0).collect()] == [0]
+    with pytest.raises(ValueError, match="negative"):
+        generators.initial_schedule(v, e, perturbation=-0.1)
