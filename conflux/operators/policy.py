@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import stats
+
 #: Built-in priorities: score of a request from its q (immediate), lower, upper and p1 values.
 PRIORITIES: dict[str, Callable[[], Column]] = {
     "upper": lambda: F.col("q") + F.col("upper"),
@@ -38,6 +40,19 @@ def offline_regret(rows: DataFrame) -> DataFrame:
     return rows.groupBy("state").agg(chosen.alias("chosen"), best.alias("oracle")).withColumn("regret", F.col("oracle") - F.col("chosen"))
 
 
+def pair_accuracy(rows: DataFrame, known: Column) -> DataFrame:
+    """Per state of requests (state, predicted, truth): unequal_pairs, and the share that the prediction orders rightly.
+
+    The truth of a request is what it adds to the gain that is ``known``, not below 0; predicted ties count a half; accuracy
+    is null where no two requests differ.
+    """
+    wanted = rows.withColumn("_wanted", F.greatest(F.col("truth") - known, F.lit(0.0)))
+    n = stats.pair_counts(wanted, ["state"], "predicted", "_wanted")
+    unequal = F.col("pairs") - F.col("tied_y")
+    half = (F.col("tied_x") - F.col("tied_both")) * 0.5
+    return n.select("state", unequal.alias("unequal_pairs"), F.when(unequal > 0, (F.col("concordant") + half) / unequal).alias("accuracy"))
+
+
 def admission_quota(rows: DataFrame, budget: float, quota: int) -> DataFrame:
     """Ranked calls of each run taken in order while they fit; one that does not fit is skipped and costs no quota."""
     packed = rows.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("turn", "idx", "cost"))).alias("calls"))

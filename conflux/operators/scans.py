@@ -26,9 +26,9 @@ def ranged(rows: DataFrame, keys: list[str], order: list[str], ranges: int | Non
 def _carried(pieces: DataFrame, keys: list[str], own: Column, carry: Column) -> DataFrame:
     """``pieces`` with what the earlier ranges of the same keys leave behind, as ``_carry``; keys may be null."""
     left = pieces.groupBy(*keys, "_range").agg(own.alias("_own")).withColumn("_carry", carry)
-    left = left.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_range").alias("_r"), "_carry")
-    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.col("_range") == F.col("_r"))
-    return pieces.join(left, same).drop("_r", *(f"_k_{k}" for k in keys))
+    left = left.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_range").alias("_scan_r"), "_carry")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.col("_range") == F.col("_scan_r"))
+    return pieces.join(left, same).drop("_scan_r", *(f"_k_{k}" for k in keys))
 
 
 def running(rows: DataFrame, keys: list[str], order: list[str], name: str, value: Column, kind: str = "max", inclusive: bool = False, ranges: int | None = None) -> DataFrame:
@@ -36,18 +36,18 @@ def running(rows: DataFrame, keys: list[str], order: list[str], name: str, value
     f = {"max": F.max, "sum": F.sum}[kind]
     both = F.greatest if kind == "max" else lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = _carried(ranged(rows.withColumn("_v", value), keys, order, ranges), keys, f("_v"), f("_own").over(before))
+    pieces = _carried(ranged(rows.withColumn("_scan_v", value), keys, order, ranges), keys, f("_scan_v"), f("_own").over(before))
     own = Window.partitionBy(*keys, "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    return pieces.withColumn(name, both(F.col("_carry"), f("_v").over(own))).drop("_v", "_at", "_range", "_carry")
+    return pieces.withColumn(name, both(F.col("_carry"), f("_scan_v").over(own))).drop("_scan_v", "_at", "_range", "_carry")
 
 
 def previous(rows: DataFrame, keys: list[str], order: list[str], name: str, value: Column, ranges: int | None = None) -> DataFrame:
     """``rows`` with ``name``: the value of the row just before, of the same key."""
-    pieces = ranged(rows.withColumn("_v", value), keys, order, ranges)
-    pieces = _carried(pieces, keys, F.max_by("_v", "_at"), F.lag("_own").over(Window.partitionBy(*keys).orderBy("_range")))
+    pieces = ranged(rows.withColumn("_scan_v", value), keys, order, ranges)
+    pieces = _carried(pieces, keys, F.max_by("_scan_v", "_at"), F.lag("_own").over(Window.partitionBy(*keys).orderBy("_range")))
     own = Window.partitionBy(*keys, "_range").orderBy("_at")
-    found = F.when(F.row_number().over(own) == 1, F.col("_carry")).otherwise(F.lag("_v").over(own))
-    return pieces.withColumn(name, found).drop("_v", "_at", "_range", "_carry")
+    found = F.when(F.row_number().over(own) == 1, F.col("_carry")).otherwise(F.lag("_scan_v").over(own))
+    return pieces.withColumn(name, found).drop("_scan_v", "_at", "_range", "_carry")
 
 
 def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str, ranges: int | None = None) -> DataFrame:

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from conflux.functions.scalars import finite
 
+from . import scans
+from ..shared import stored
+
 
 def complete_mean(x: Column) -> Column:
     """Mean, null if any member is missing."""
@@ -62,8 +69,37 @@ def best_extra(rows: DataFrame, keys: list[str], value: str, valid: str, least:
     return rows.groupBy(*keys).agg(best.alias("best"), F.coalesce(best > least, F.lit(False)).alias("opportunity"))
 
 
+def pair_counts(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """Per key, of the rows with both values: n, all pairs, those tied in x, in y, in both, and concordant ones.
+
+    No pair is made.  Ranks of x are compared bit by bit: two ranks part at one bit, above which they agree, so within
+    the rows of one upper part those with that bit meet the earlier ones (smaller y) without it, counted by a running sum.
+    That is n log n rows, and no key is scanned as a whole.
+    """
+    cells = stored(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_c")), "cells")
+    two = lambda c: F.sum(F.expr(f"{c} * ({c} - 1) div 2"))
+
+    def tied(*by: str) -> DataFrame:
+        return cells.groupBy(*keys, *by).agg(F.sum("_c").alias("_s")).groupBy(*keys).agg(F.sum("_s").alias("n"), two("_s").alias("t"))
+
+    ranks = stored(scans.ranked(cells.select(*keys, "_x").distinct(), keys, ["_x"], "_r").withColumn("_r", F.col("_r") - 1), "ranks")
+    bits = int(ranks.agg(F.max("_r")).first()[0] or 0).bit_length()
+    lines = cells.join(ranks, [*keys, "_x"]).withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(max(bits - 1, 0)))))
+    lines = lines.withColumns({"_upper": F.expr("shiftright(_r, _level + 1)"), "_bit": F.expr("shiftright(_r, _level) & 1")}).withColumn("_flip", 1 - F.col("_bit"))
+    # of equal y the rows with the bit come first, and so do not meet each other
+    seen = scans.running(lines, [*keys, "_level", "_upper"], ["_y", "_flip"], "_before", F.when(F.col("_bit") == 0, F.col("_c")).otherwise(0), "sum")
+    found = seen.where("_bit = 1").groupBy(*keys).agg(F.sum(F.col("_c") * F.coalesce("_before", F.lit(0))).alias("concordant"))
+    out = tied().select(*keys, "n", F.col("t").alias("pairs"))
+    for name, by in (("tied_x", ["_x"]), ("tied_y", ["_y"]), ("tied_both", ["_x", "_y"])):
+        out = out.join(tied(*by).select(*keys, F.col("t").alias(name)), keys)
+    return out.join(found, keys, "left").withColumn("concordant", F.coalesce("concordant", F.lit(0)))
+
+
 def reversals(rows: DataFrame, keys: list[str], item: str, low: str, high: str, tolerance: float = 1e-7) -> DataFrame:
-    """Unordered pairs of items of a group whose order differs between two measures."""
+    """Unordered pairs of items of a group whose order differs between two measures; without tolerance by ranks alone."""
+    if not tolerance:
+        n = pair_counts(rows, keys, low, high).where("pairs > 0")
+        return n.select(*keys, "pairs", (F.col("pairs") - F.col("tied_x") - F.col("tied_y") + F.col("tied_both") - F.col("concordant")).alias("reversed"))
     sign = lambda x: F.when(x > tolerance, 1).when(x < -tolerance, -1).otherwise(0)
     a = rows.select(*keys, F.col(item).alias("a"), F.col(low).alias("la"), F.col(high).alias("ha"))
     b = rows.select(*keys, F.col(item).alias("b"), F.col(low).alias("lb"), F.col(high).alias("hb"))
@@ -100,6 +136,40 @@ def bootstrap(rows: DataFrame, stratum: str, unit: str, value: str, draws: int,
     return means.groupBy("draw").agg(F.avg("m").alias("mean"))
 
 
+#: Units that one task of the bootstrap holds, and draws that it makes at a time.
+UNITS, AT_ONCE = 1024, 1000
+
+
+def bootstrap_interval(rows: DataFrame, stratum: str, unit: str, value: str, draws: int = 10_000, seed: int = 1979, levels: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
+    """One row (draws, mean, low, high) of the mean over strata, each of the same mass, of the mean of its resampled units.
+
+    A draw gives every unit a number of copies, as many in all as the stratum has units.  Units come in blocks, and how many
+    copies a block gets in each draw is split off binomially on the way down a tree over the blocks, by generators that
+    are seeded by place: a block finds its own counts without seeing another.  So rows are blocks times draws at most.
+    """
+    ranked = scans.ranked(rows.select(stratum, unit, value), [stratum], [unit], "_n")
+    size = ranked.groupBy(stratum).agg(F.max("_n").alias("_size"))
+    blocks = ranked.join(size, stratum).select(F.col(stratum).cast("string").alias("stratum"), F.expr(f"(_n - 1) div {UNITS}").alias("block"), "_size", F.col("_n"), F.col(value).cast("double").alias("x"))
+
+    def run(t: pa.Table) -> pa.Table:
+        name, block, n = (t.column(c)[0].as_py() for c in ("stratum", "block", "_size"))
+        at = zlib.crc32(repr(name).encode())
+        x = t.sort_by("_n").column("x").to_numpy()
+        counts, lo, hi = np.full(draws, n), 0, -(-n // UNITS)
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            left = np.random.default_rng([seed, at, lo, hi]).binomial(counts, (mid - lo) * UNITS / (min(n, hi * UNITS) - lo * UNITS))
+            counts, lo, hi = (left, lo, mid) if block < mid else (counts - left, mid, hi)
+        rnd = np.random.default_rng([seed, at, lo, hi, 1])
+        share = np.full(len(x), 1 / len(x))
+        total = np.concatenate([rnd.multinomial(counts[k : k + AT_ONCE], share) @ x for k in range(0, draws, AT_ONCE)])
+        return pa.table({"stratum": pa.array([name] * draws, pa.string()), "draw": np.arange(draws), "total": total / n})
+
+    each = blocks.groupBy("stratum", "block").applyInArrow(run, "stratum string, draw long, total double")
+    by_draw = each.groupBy("stratum", "draw").agg(F.sum("total").alias("m")).groupBy("draw").agg(F.avg("m").alias("m"))
+    return by_draw.agg(F.count(F.lit(1)).alias("draws"), F.avg("m").alias("mean"), *(F.percentile("m", F.lit(p)).alias(k) for k, p in zip(("low", "high"), levels, strict=True)))
+
+
 def plan_gaps(plan: DataFrame, received: DataFrame, keys: list[str]) -> DataFrame:
     """Declared cells that were not received."""
     return plan.select(*keys).distinct().join(received.select(*keys).distinct(), keys, "left_anti")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from conflux.functions import scalars as X
-from conflux.operators import admission, conflict, greedy, pairs, policy, recover, selection, stats, windows
+from conflux.operators import admission, conflict, greedy, pairs, policy, recover, selection, stats, vectors, windows
 from conflux.sources import sinks
 from conflux.sources.contacts import ANTENNA_GAP, OWNER_GAP, contacts, decode_ragged, table
 
@@ -520,7 +520,7 @@ SELECT a.g, count(*) AS pairs, count(*) FILTER (sign(a.lo - b.lo) * sign(a.hi -
 )
 def a16_reversals(spark, d):
     x = table(spark, d, "part").groupBy(F.col("p_brand").alias("g"), F.col("p_size").alias("i")).agg(F.sum(F.col("p_partkey") % 97).alias("lo"), F.sum(F.col("p_partkey") % 89).alias("hi"))
-    return stats.reversals(x, ["g"], "i", "lo", "hi")
+    return stats.reversals(x, ["g"], "i", "lo", "hi", 0)
 
 
 @query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY status")
@@ -539,6 +539,13 @@ def a18_bootstrap(spark, d):
     return stats.bootstrap(units, "source", "graph", "x", 100, 1979).select("draw", F.round("mean", 6).alias("mean"))
 
 
+@query()
+def a18_bootstrap_interval(spark, d):
+    """Ten thousand draws over all graphs of all sources, with the 95 % interval."""
+    units = _metric(spark, d).groupBy("source", "graph").agg(F.count(F.lit(1)).cast("double").alias("x"))
+    return stats.bootstrap_interval(units, "source", "graph", "x")
+
+
 @query("WITH s AS (SELECT c_nationkey AS source, quantile_cont(c_acctbal, 0.5) AS m FROM customer GROUP BY source) SELECT round(greatest(1.0::DOUBLE, quantile_cont(m, 0.5)), 4) AS scale FROM s")
 def a26_median_scale(spark, d):
     s = table(spark, d, "customer").groupBy("c_nationkey").agg(F.percentile("c_acctbal", F.lit(0.5)).alias("m"))
@@ -684,6 +691,52 @@ def l19_offline_regret(spark, d):
     return policy.offline_regret(_calls(spark, d).withColumnRenamed("run", "state").withColumn("truth", (F.col("idx") % 101).cast("double")))
 
 
+@query(
+    """WITH r AS (SELECT o_custkey AS state, o_orderkey AS idx, CAST(o_orderkey % 17 AS DOUBLE) AS predicted, greatest(CAST(o_orderkey % 101 AS DOUBLE) - 20.0::DOUBLE, 0.0::DOUBLE) AS wanted FROM orders),
+p AS (SELECT a.state, CASE WHEN (a.predicted - b.predicted) * (a.wanted - b.wanted) > 0 THEN 1.0 WHEN a.predicted = b.predicted THEN 0.5 ELSE 0.0 END AS x FROM r a JOIN r b ON a.state = b.state AND a.idx < b.idx AND a.wanted <> b.wanted),
+n AS (SELECT state, count(*) AS unequal_pairs, round(avg(x), 9) AS accuracy FROM p GROUP BY state)
+SELECT state, coalesce(unequal_pairs, 0) AS unequal_pairs, accuracy FROM (SELECT DISTINCT state FROM r) LEFT JOIN n USING (state)"""
+)
+def l19_pair_accuracy(spark, d):
+    rows = _calls(spark, d).select(F.col("run").alias("state"), (F.col("idx") % 17).cast("double").alias("predicted"), (F.col("idx") % 101).cast("double").alias("truth"))
+    return policy.pair_accuracy(rows, F.lit(20.0)).withColumn("accuracy", F.round("accuracy", 9))
+
+
+#: Layers with small whole weights, so that sums are exact.
+OWN, EDGE, FACTOR, BIAS = [[1, 0, -1], [0, 2, 0], [1, 1, 1]], [[0, 1, 0], [1, -1, 0], [0, 0, 2]], [[1, 0, 0], [0, 0, 1], [-1, 1, 0]], [1, -2, 0]
+
+
+def _linear_sql(matrix, h, k, bias=(0, 0, 0)):
+    return " + ".join(f"{w} * {h}[{j + 1}]" for j, w in enumerate(matrix[k])) + f" + {bias[k]}"
+
+
+def _mean_sql(h):
+    return "[" + ", ".join(f"avg({h(k)})" for k in range(3)) + "]"
+
+
+@query(
+    f"""{GRAPH}, n AS MATERIALIZED (SELECT cid AS node, ant, [cid % 5, owner % 3, (w // 10000) % 7]::DOUBLE[] AS h FROM c), arcs AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+m AS (SELECT v AS node, {_mean_sql(lambda k: _linear_sql(EDGE, "h", k))} AS x FROM arcs JOIN n ON n.node = u GROUP BY v), g AS (SELECT ant, {_mean_sql(lambda k: f"h[{k + 1}]")} AS x FROM n GROUP BY ant),
+f AS (SELECT node, h, m.x AS m, g.x AS g FROM n LEFT JOIN m USING (node) LEFT JOIN g USING (ant))
+SELECT node, {", ".join(f"round(greatest(0.0::DOUBLE, {_linear_sql(OWN, 'h', k, BIAS)} + coalesce(m[{k + 1}], 0) + coalesce({_linear_sql(FACTOR, 'g', k)}, 0)), 6) AS h{k}" for k in range(3))} FROM f"""
+)
+def l07_message_round(spark, d):
+    """A round over the conflict graph, with the antennas' cliques as factors."""
+    g = Graph(spark, d)
+    h = F.array(*(x.cast("double") for x in (F.col("cid") % 5, F.col("owner") % 3, F.expr("w div 10000") % 7)))
+    nodes = g.c.select(F.col("cid").alias("node"), h.alias("h"))
+    out = vectors.message_round(nodes, g.adj, g.c.where("ant is not null").select(F.col("cid").alias("node"), F.col("ant").alias("factor")), OWN, EDGE, FACTOR, BIAS)
+    return out.select("node", *(F.round(F.get("h", F.lit(k)), 6).alias(f"h{k}") for k in range(3)))
+
+
+@query("SELECT l_orderkey AS k, l_linenumber AS i, l_extendedprice AS lower, greatest(0.0::DOUBLE, l_extendedprice + (l_extendedprice * 2 - l_extendedprice) * l_discount - l_quantity * 1000) AS score FROM lineitem")
+def l09_residual(spark, d):
+    """The bounded residual over rows with a lower and an upper bound and a fraction between them."""
+    x = F.col("l_extendedprice")
+    _, _, score = vectors.residual(-F.col("l_quantity") * 1000, x, x * 2, F.col("l_discount"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), x.alias("lower"), score.alias("score"))
+
+
 @query(
     f"""WITH {RUNS}, last AS (SELECT run, arg_max(id % 100, struct_pack(t := t, id := id)) AS told FROM r WHERE kind = 'purchase' AND id % 3 = 0 GROUP BY run), seen AS (SELECT run, count(*) FILTER (kind = 'click') AS seen FROM r GROUP BY run)
 SELECT run, coalesce(told, seen) AS calls, told IS NOT NULL AS known FROM seen LEFT JOIN last USING (run)"""

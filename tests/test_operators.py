@@ -375,3 +375,48 @@ def test_small_graphs_propose_from_all(spark):
     assert sorted(got, key=str) == sorted([(100, None), (99, None), (99, 100), (98, 100)], key=str)
     few = requests.proposals(v, e, blocked, chosen, most=4, candidates=members(spark, 3, 5, 7)).collect()
     assert sorted(((r.a, r.b) for r in few), key=str) == sorted([(7, None), (5, None), (5, 7), (3, 7)], key=str)
+
+
+def test_pair_counts_brute_force(spark):
+    rnd = random.Random(8)
+    rows = [(k, rnd.choice([None, *range(6)]), float(rnd.randrange(5))) for k in [1] * 60 + [2] * 7 + [3] for _ in range(1)]
+    got = {r.k: r for r in stats.pair_counts(spark.createDataFrame(rows, "k long, x long, y double"), ["k"], "x", "y").collect()}
+    for k in (1, 2, 3):
+        own = [(x, y) for g, x, y in rows if g == k and x is not None]
+        if not own:
+            assert k not in got
+            continue
+        two = list(itertools.combinations(own, 2))
+        r = got[k]
+        assert (r.n, r.pairs) == (len(own), len(two))
+        assert r.tied_x == sum(a[0] == b[0] for a, b in two) and r.tied_y == sum(a[1] == b[1] for a, b in two) and r.tied_both == sum(a == b for a, b in two)
+        assert r.concordant == sum((a[0] - b[0]) * (a[1] - b[1]) > 0 for a, b in two)
+
+
+def test_pair_accuracy_of_a_large_state(spark):
+    """A state of 10^5 requests, of which every second is ordered the wrong way round."""
+    n = 100_000
+    rows = spark.range(n).select(F.lit(1).alias("state"), F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(-F.col("id")).cast("double").alias("predicted"), F.col("id").cast("double").alias("truth"))
+    r = policy.pair_accuracy(rows, F.lit(-1.0)).first()
+    half = n // 2
+    right = half * (half - 1)  # every even one comes after all smaller ones, and no odd one does
+    assert r.unequal_pairs == n * (n - 1) // 2
+    assert r.accuracy == pytest.approx(right / r.unequal_pairs, abs=1e-9)
+
+
+def test_bootstrap_interval(spark, monkeypatch):
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    rows = [(s, i, float(x)) for s, n in ((1, 40), (2, 700)) for i, x in enumerate(rnd.normal(s, 1, n))]
+    df = spark.createDataFrame(rows, "s long, u long, x double")
+    ones = df.withColumn("x", F.lit(1.0))
+    monkeypatch.setattr(stats, "UNITS", 64)
+    r = stats.bootstrap_interval(ones, "s", "u", "x", 300).first()
+    assert (r.draws, r.mean) == (300, pytest.approx(1)) and r.low == pytest.approx(1) and r.high == pytest.approx(1)  # copies add up to the units
+    a = stats.bootstrap_interval(df, "s", "u", "x", 4000).first()
+    assert tuple(a) == pytest.approx(tuple(stats.bootstrap_interval(df.repartition(7), "s", "u", "x", 4000).first()))
+    x = [np.array([v for s, _, v in rows if s == k]) for k in (1, 2)]
+    middle, spread = np.mean([v.mean() for v in x]), np.sqrt(sum(v.var() / len(v) for v in x)) / 2
+    assert a.mean == pytest.approx(middle, abs=4 * spread / 60)
+    assert (a.high - a.low) / (2 * 1.96 * spread) == pytest.approx(1, abs=0.08)
