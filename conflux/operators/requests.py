@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +38,29 @@ def proposals(vertices: DataFrame, edges: DataFrame, blocked: DataFrame, sel: Da
     return chosen.select(F.row_number().over(Window.orderBy(F.desc("gain"), "a", F.col("b").asc_nulls_first())).alias("place"), "a", "b", "gain")
 
 
+def diverse_proposals(vertices: DataFrame, edges: DataFrame, blocked: DataFrame, sel: DataFrame, seed: int, most: int = 16, pool: int = 64) -> DataFrame:
+    """(kind, place, a, b, gain): half of ``most`` singles (kind 1), half compatible pairs of two owners (2), part of each at random.
+
+    Half of the pool are the unselected vertices of largest gain, half are drawn from the others.  Of either kind the first
+    half of its quota goes to the largest gains, and the rest is drawn from what remains.  Draws order by a hash of seed and
+    ids, so they do not depend on partitions.
+    """
+    shuffled = lambda *ids: F.md5(F.concat(F.lit(f"{seed}:"), F.concat_ws(",", *ids)))
+    d = pairs.deficits(vertices, blocked, sel).select("cid", "w", "owner", (-F.col("d")).alias("gain"))
+    first = stored(d.orderBy(F.desc("gain"), "cid").limit(pool // 2), "first")
+    drawn = d.join(first.select("cid"), "cid", "left_anti").orderBy(shuffled(F.col("cid").cast("string")), "cid").limit(pool - pool // 2)
+    ones = stored(first.unionByName(drawn), "pool")
+    two = pairs.compatible_pairs(ones.withColumn("action", F.lit(0)), edges, blocked.join(ones, "cid", "left_semi"))
+    singles = ones.select(F.col("cid").alias("a"), F.lit(None).cast("long").alias("b"), "gain", F.lit(1).alias("kind"))
+    rows = singles.unionByName(two.select(F.col("u").alias("a"), F.col("v").alias("b"), "gain", F.lit(2).alias("kind")))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("gain"), "a", "b")))
+    quota = F.when(F.col("kind") == 1, most // 2).otherwise(most - most // 2)
+    late = F.col("n") > F.greatest(F.lit(1), F.expr(f"case kind when 1 then {most // 2 // 2} else {(most - most // 2) // 2} end"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(late, F.when(late, shuffled(text("a"), text("b"))), "n"))
+    return rows.withColumn("place", place).where(F.col("place") <= quota).select("kind", "place", "a", "b", "gain")
+
+
 def seeds(vertices: DataFrame, blocked: DataFrame, sel: DataFrame, most: int = 128) -> DataFrame:
     """(cid, score) of the best seeds: weight / (scale + weight of its blockers), then id; scale is the mean weight, 1 at least."""
     scale = vertices.agg(F.greatest(F.lit(1.0), F.coalesce(F.sum("w").cast("double") / F.count(F.lit(1)), F.lit(0.0)))).first()[0]
@@ -208,21 +234,28 @@ def gated(events: DataFrame, warmup: int, stale: int, cooldown: int, share: floa
 
     Per run, times from its first event on, an event opens the gate after ``warmup``, at least ``stale`` since the last
     improvement (rows with ``better``) and ``cooldown`` since the last opening, while ``share`` of the time passed pays
-    for another opening of ``cost``.  State is a few numbers, folded over the run in order.
+    for another opening of ``cost``.  A run's events come in order and meet a state of four numbers; no run is gathered.
     """
-    ordered = events.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("t", "id", "better"))).alias("log"))
-    first = F.col("log")[0]["t"]
-    start = F.struct(first.alias("improved"), F.lit(None).cast("long").alias("opened"), F.lit(0).cast("long").alias("spent"), F.array().cast("array<struct<t:bigint,id:bigint>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        now = x["t"] - first
-        opens = ~x["better"] & (now >= warmup) & (x["t"] - s["improved"] >= stale) & (s["opened"].isNull() | (x["t"] - s["opened"] >= cooldown)) & (share * now - s["spent"] >= cost)
-        return F.struct(
-            F.when(x["better"], x["t"]).otherwise(s["improved"]).alias("improved"), F.when(opens, x["t"]).otherwise(s["opened"]).alias("opened"), F.when(opens, s["spent"] + cost).otherwise(s["spent"]).alias("spent"),
-            F.when(opens, F.concat(s["out"], F.array(F.struct(x["t"].alias("t"), x["id"].alias("id"))))).otherwise(s["out"]).alias("out"),
-        )
-
-    return ordered.select("run", F.explode(F.aggregate("log", start, step, lambda s: s["out"])).alias("x")).select("run", "x.t", "x.id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = object()
+        first = improved = spent = 0
+        opened: int | None = None
+        for batch in batches:
+            kept = []
+            for i, (key, t, _, better) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if key != now:
+                    now, first, improved, opened, spent = key, t, t, None, 0
+                if better:
+                    improved = t
+                elif t - first >= warmup and t - improved >= stale and (opened is None or t - opened >= cooldown) and share * (t - first) - spent >= cost:
+                    opened, spent = t, spent + cost
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64())).select(["run", "t", "id"])
+
+    ordered = events.select("run", F.col("t").cast("long").alias("t"), F.col("id").cast("long").alias("id"), F.coalesce("better", F.lit(False)).alias("better")).where("t is not null")
+    ordered = ordered.repartition("run").sortWithinPartitions("run", "t", "id")
+    return ordered.mapInArrow(run, ordered.select("run", "t", "id").schema)
 
 
 def sealed(blocks: DataFrame, rows: DataFrame, key: str) -> DataFrame:

@@ -317,12 +317,11 @@ def j13_requests(spark, d):
     return policy.requests(a, [16, 64, 128], [("short", 0.01, 0.03), ("long", 0.2, 0.21)]).select("action", "cap", "used", "workpoint", "amount", "expected")
 
 
-_L = "l AS (SELECT l_suppkey AS k, l_returnflag AS f, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS x FROM lineitem WHERE l_suppkey % 5 <> 0 OR l_returnflag <> 'A' GROUP BY ALL)"
+_L = "l AS (SELECT l_suppkey AS k, l_returnflag AS f, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS x FROM lineitem GROUP BY ALL)"
 
 
 def _supplier_flags(spark, d):
-    rows = table(spark, d, "lineitem").where("l_suppkey % 5 <> 0 or l_returnflag <> 'A'")
-    return rows.groupBy(F.col("l_suppkey").alias("k"), F.col("l_returnflag").alias("f")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("x"))
+    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k"), F.col("l_returnflag").alias("f")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("x"))
 
 
 @query(
@@ -452,13 +451,12 @@ def a03_graph_means(spark, d):
 
 
 @query(
-    f"""WITH {METRIC}, k AS (SELECT * FROM m WHERE graph NOT IN (SELECT graph FROM m WHERE x IS NULL AND source % 3 <> 0)), g AS (SELECT source, graph, {_MEAN} AS x FROM k GROUP BY ALL), s AS (SELECT source, {_MEAN} AS x, count(*) AS n FROM g GROUP BY source)
+    f"""WITH {METRIC}, k AS (SELECT state, graph, source, CASE WHEN x IS NULL AND source % 3 <> 0 THEN 0.0::DOUBLE ELSE x END AS x FROM m), g AS (SELECT source, graph, {_MEAN} AS x FROM k GROUP BY ALL), s AS (SELECT source, {_MEAN} AS x, count(*) AS n FROM g GROUP BY source)
 SELECT source, round(x, 2) AS mean, n FROM s UNION ALL SELECT -1, round({_MEAN}, 2), count(*) FROM s"""
 )
 def a03_strict_means(spark, d):
-    rows = _metric(spark, d)
-    bad = rows.where("x is null and source % 3 <> 0").select("graph").distinct()
-    levels = stats.strict_levels(rows.join(bad, "graph", "left_anti"), "x", [["source", "graph"], ["source"], []])
+    rows = _metric(spark, d).withColumn("x", F.expr("case when x is null and source % 3 <> 0 then 0d else x end"))  # a third of the sources has gaps
+    levels = stats.strict_levels(rows, "x", [["source", "graph"], ["source"], []])
     overall = levels[2].select(F.lit(-1).cast(levels[1].schema["source"].dataType).alias("source"), F.round("mean", 2).alias("mean"), "n")
     return levels[1].select("source", F.round("mean", 2).alias("mean"), "n").unionByName(overall)
 
@@ -608,12 +606,12 @@ def t07_clock_guard(spark, d):
 
 
 @query(
-    f"""WITH {CONTACTS}, a AS (SELECT ant, s, e, row_number() OVER (PARTITION BY ant ORDER BY s, e) AS p FROM c), b AS (SELECT ant, s, e, row_number() OVER (PARTITION BY ant ORDER BY s, e) AS p FROM (SELECT ant, s + cid % 3 AS s, e FROM c WHERE cid % 200 <> 0))
+    f"""WITH {CONTACTS}, a AS (SELECT ant, s, e, row_number() OVER (PARTITION BY ant ORDER BY s, e) AS p FROM c), b AS (SELECT ant, s, e, row_number() OVER (PARTITION BY ant ORDER BY s, e) AS p FROM (SELECT ant, s + cid % 3 + CASE WHEN cid % 200 = 0 THEN 9000 ELSE 0 END AS s, e FROM c))
 SELECT ant, count(a.s) AS n1, count(b.s) AS n2, max(greatest(abs(a.s - b.s), abs(a.e - b.e))) AS error, (count(a.s) = count(b.s) AND coalesce(max(greatest(abs(a.s - b.s), abs(a.e - b.e))), 0) <= 5000) AS agrees FROM a FULL JOIN b USING (ant, p) GROUP BY ant"""
 )
 def r07_positional(spark, d):
     c = contacts(spark, d)
-    moved = c.where("cid % 200 <> 0").select("ant", (F.col("s") + F.col("cid") % 3).alias("s"), "e")
+    moved = c.select("ant", F.expr("s + cid % 3 + case when cid % 200 = 0 then 9000 else 0 end").alias("s"), "e")  # some beyond the tolerance
     return windows.positional_match(c.select("ant", "s", "e"), moved, ["ant"], 5000)
 
 
@@ -748,7 +746,14 @@ def r05_observed_calls(spark, d):
     return admission.call_counts(_runs(spark, d).select("run", "t", "id", kind.alias("kind"), (F.col("id") % 100).alias("calls")))
 
 
-@query()
+@query(
+    """WITH RECURSIVE r AS (SELECT o_custkey AS run, o_orderkey AS idx, o_totalprice AS predicted, CAST(o_orderkey % 13 + 1 AS DOUBLE) AS cost FROM orders),
+c AS MATERIALIZED (SELECT run, idx, cost, row_number() OVER (PARTITION BY run ORDER BY greatest(0.0::DOUBLE, predicted - 100000.0) / cost DESC, greatest(0.0::DOUBLE, predicted) / cost DESC, idx) AS turn FROM r),
+w(run, turn, lft, n, idx) AS (SELECT DISTINCT run, 0::BIGINT, 20.0::DOUBLE, 0, NULL::BIGINT FROM c
+  UNION ALL SELECT c.run, c.turn, CASE WHEN lft >= cost AND n < 4 THEN lft - cost ELSE lft END, CASE WHEN lft >= cost AND n < 4 THEN n + 1 ELSE n END, CASE WHEN lft >= cost AND n < 4 THEN c.idx END FROM w JOIN c ON c.run = w.run AND c.turn = w.turn + 1),
+z AS (SELECT run, min(lft) AS "left" FROM w GROUP BY run)
+SELECT run, "left", CAST(n - 1 AS INT) AS place, idx FROM w JOIN z USING (run) WHERE idx IS NOT NULL"""
+)
 def t05_admission_quota(spark, d):
     ranked = policy.fixed_call_order(_calls(spark, d), 100000.0)
     return policy.admission_quota(ranked, 20.0, 4)

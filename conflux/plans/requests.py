@@ -39,6 +39,20 @@ def g22_pair_bounds(spark, d):
     return requests.pair_bounds(g.c, g.e, g.blk, g.sel, 1_000_000_000)[0]
 
 
+@query(
+    f"""{BLOCKED}, g AS (SELECT cid, w, owner, -d AS gain, row_number() OVER (ORDER BY -d DESC, cid) AS n, md5('5:' || cid::VARCHAR) AS h FROM d), rest AS (SELECT *, row_number() OVER (ORDER BY h, cid) AS m FROM g WHERE n > 32),
+ones AS (SELECT cid, w, owner, gain FROM g WHERE n <= 32 UNION ALL SELECT cid, w, owner, gain FROM rest WHERE m <= 32),
+both_ AS (SELECT x.cid AS a, y.cid AS b, x.w + y.w - coalesce((SELECT sum(bw) FROM (SELECT DISTINCT b AS bb, bw FROM blk WHERE blk.cid IN (x.cid, y.cid))), 0) AS gain FROM ones x JOIN ones y ON x.cid < y.cid AND x.owner <> y.owner
+  WHERE NOT EXISTS (SELECT 1 FROM e WHERE u = x.cid AND v = y.cid)),
+r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY gain DESC, a, b) AS n, md5('5:' || a::VARCHAR || ',' || coalesce(b::VARCHAR, '')) AS h FROM (SELECT cid AS a, NULL::BIGINT AS b, gain, 1 AS kind FROM ones UNION ALL SELECT a, b, gain, 2 FROM both_)),
+z AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n > 4, CASE WHEN n > 4 THEN h END, n) AS place FROM r)
+SELECT CAST(kind AS INT) AS kind, CAST(place AS INT) AS place, a, b, CAST(gain AS BIGINT) AS gain FROM z WHERE place <= 8"""
+)
+def o07_diverse_pool(spark, d):
+    g = Graph(spark, d)
+    return requests.diverse_proposals(g.c, g.e, g.blk, g.sel, 5).withColumn("gain", F.col("gain").cast("long"))
+
+
 @query(
     f"""{PAIRS}, k AS (SELECT b, count(*) AS k, count(*) * (count(*) - 1) // 2 AS pairs FROM blk GROUP BY b), g AS (SELECT *, pairs <= (SELECT avg(pairs) FROM k) AS complete FROM k),
 best AS (SELECT x.b, max(shared - p.d - q.d) AS gain FROM blk x JOIN blk y ON x.b = y.b AND x.cid < y.cid JOIN sh ON sh.a = x.cid AND sh.z = y.cid JOIN d p ON p.cid = x.cid JOIN d q ON q.cid = y.cid
@@ -341,7 +355,14 @@ def t04_warm_updates(spark, d):
     return requests.warm_updates(_runs(spark, d)).select("run", "id", "value")
 
 
-@query()
+@query(
+    """WITH RECURSIVE v AS MATERIALIZED (SELECT user_id AS run, epoch_us(ts) AS t, event_id AS id, event_type = 'purchase' AS better, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n, min(epoch_us(ts)) OVER (PARTITION BY user_id) AS first FROM events),
+s(run, n, improved, opened, spent, went, id) AS (SELECT DISTINCT run, 0::BIGINT, first, NULL::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::BIGINT FROM v
+  UNION ALL SELECT x.run, x.n, CASE WHEN better THEN t ELSE improved END, CASE WHEN go THEN t ELSE opened END, CASE WHEN go THEN spent + 21600000000 ELSE spent END, CASE WHEN go THEN t END, CASE WHEN go THEN x.vid END
+  FROM (SELECT v.run, v.n, v.t, v.id AS vid, v.better, s.improved, s.opened, s.spent, (NOT v.better AND v.t - v.first >= 86400000000 AND v.t - s.improved >= 43200000000 AND (s.opened IS NULL OR v.t - s.opened >= 172800000000)
+    AND 0.2::DOUBLE * (v.t - v.first) - s.spent >= 21600000000) AS go FROM s JOIN v ON v.run = s.run AND v.n = s.n + 1) x)
+SELECT run, went AS t, id FROM s WHERE id IS NOT NULL"""
+)
 def t08_gate(spark, d):
     hour = 3_600_000_000
     rows = table(spark, d, "events").select(F.col("user_id").alias("run"), micros("ts").alias("t"), F.col("event_id").alias("id"), (F.col("event_type") == "purchase").alias("better"))
@@ -383,7 +404,7 @@ def x20_signature(spark, d):
 
 @query(
     """SELECT event_id AS k, epoch_us(ts) * 1000 AS ns, CAST(round_even(value * 100, 0) AS BIGINT) * 10000 AS tick, strftime(ts, '%d %b %Y %H:%M:%S') || '.000000' AS shown, CASE WHEN user_id < 9223372036854775807 // 100000 - 1 THEN user_id * 100000 + event_id % 1000 END AS code,
-abs(value - round(value, 1)) <= 0.03 AS near FROM events"""
+abs(value - round(value, 1)) <= 0.03 AS near, epoch_us(ts) + CAST(round_even((event_id % 2000) / 1000.0, 0) AS BIGINT) AS micros, round(0.5::DOUBLE * pow(10.0::DOUBLE, -(1 + event_id % 6)) + 1e-6::DOUBLE, 12) AS tolerance FROM events"""
 )
 def x_times(spark, d):
     """Scalars of times, codes and tolerances, through the functions that hold their rules."""
@@ -394,4 +415,5 @@ def x_times(spark, d):
     return rows.select(
         F.col("event_id").alias("k"), ns.alias("ns"), X.ticks((cents / F.lit(100).cast("decimal(3,0)")).cast("decimal(30,9)")).alias("tick"), shown.alias("shown"),
         X.edge_code(F.col("user_id"), F.col("event_id") % 1000, F.lit(100_000)).alias("code"), X.is_close(F.col("value"), F.round("value", 1), 0.0, 0.03).alias("near"),
+        X.half_even_micros((micros("ts") * 1000 + F.col("event_id") % 2000).cast("decimal(38,0)")).alias("micros"), F.round(X.fraction_tolerance(F.expr("concat('00:00:12.', left('123456', cast(1 + event_id % 6 as int)))")), 12).alias("tolerance"),
     )

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,12 +75,39 @@ def _by(*columns: str):
 
 
 def read_json_strict(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
-    """JSON (lines) under a declared schema; malformed records and NaN constants fail the query."""
+    """JSON (lines) under a declared schema; malformed records, NaN constants and keys given twice fail the query."""
+    if repeated := repeated_keys(spark, path, multi_line).limit(1).collect():
+        raise ValueError(f"{repeated[0].file}: malformed, key {repeated[0].key} is given twice")
     return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", multi_line).option("allowNonNumericNumbers", False).json(path)
 
 
+def repeated_keys(spark: SparkSession, path: str, multi_line: bool = False, below: bool = False) -> DataFrame:
+    """(file, key) of keys that one object holds twice, at any depth; the reader would keep one of them silently."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[str, str]] = []
+            for file, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+
+                def held(pairs: list[tuple[str, object]], file: str = file) -> None:
+                    seen: set[str] = set()
+                    for key, _ in pairs:
+                        if key in seen:
+                            found.append((file, key))
+                        seen.add(key)
+
+                with contextlib.suppress(ValueError):  # the reader tells of what is not JSON
+                    json.loads(text or "null", object_pairs_hook=held)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], names=["file", "key"])
+
+    texts = spark.read.option("recursiveFileLookup", below).text(path, wholetext=multi_line).select(F.input_file_name().alias("file"), "value")
+    return texts.mapInArrow(run, "file string, key string")
+
+
 def read_snapshots(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Nested snapshot documents anywhere below ``path``, flattened to one row per request."""
+    if repeated := repeated_keys(spark, path, True, True).limit(1).collect():
+        raise ValueError(f"{repeated[0].file}: malformed, key {repeated[0].key} is given twice")
     docs = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("mode", "FAILFAST").json(path)
     return docs.select("snapshot_id", "snapshot.best_gain_seconds", F.explode("requests").alias("r")).select("snapshot_id", "best_gain_seconds", "r.*")
 

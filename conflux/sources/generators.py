@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,22 +22,56 @@ def normal(seed: int, *key: Column) -> Column:
     return F.sqrt(-2.0 * F.log(near_one)) * F.cos(2.0 * 3.141592653589793 * uniform(seed, F.lit("a"), *key))
 
 
+def random_pairs(spark: SparkSession, n: int, chance: float, seed: int, at_once: int = 1 << 16) -> DataFrame:
+    """(u, v), u < v: every pair of 0..n - 1 with the same chance, independently.
+
+    Pairs stand in a line of n (n - 1) / 2 places, and the gaps between those that are drawn are geometric; so a sparse
+    graph costs its edges.  The line is cut into pieces of about ``at_once`` edges, each with a generator of its own,
+    whatever task draws it.
+    """
+    total = n * (n - 1) // 2
+    if not chance or not total:
+        return spark.createDataFrame([], "u long, v long")
+    span = max(1, int(at_once / chance))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in batch.column(0).to_pylist():
+                rnd, lo, hi = np.random.default_rng([seed, piece]), piece * span, min(total, (piece + 1) * span)
+                at = lo - 1
+                while True:
+                    place = at + np.cumsum(rnd.geometric(chance, at_once))
+                    at, place = int(place[-1]), place[place < hi]
+                    v = ((1 + np.sqrt(1 + 8 * place.astype(np.float64))) / 2).astype(np.int64)
+                    v -= v * (v - 1) // 2 > place  # the root may be rounded either way
+                    v += v * (v + 1) // 2 <= place
+                    yield pa.RecordBatch.from_arrays([pa.array(place - v * (v - 1) // 2), pa.array(v)], names=["u", "v"])
+                    if at >= hi - 1:
+                        break
+
+    pieces = -(-total // span)
+    return spark.range(0, pieces, 1, min(pieces, 4096)).mapInArrow(run, "u long, v long")
+
+
 def block_graph(spark: SparkSession, seed: int, coupling: float = 0.5, compatibility: float = 0.5, n: int = 96, k: int = 4) -> tuple[DataFrame, DataFrame]:
     """(vertices, edges) of bundles of three vertices among k agents.
 
     The first of each bundle is adjacent to the other two.  Any pair may be adjacent besides: of one agent with probability
     0.065, of two with 0.015 + 0.105 * coupling; an edge between two vertices that lead no bundle stays with probability
-    1 - compatibility.  Weights are uniform in [3, 20).  All pairs are drawn, so n is meant to be small.
+    1 - compatibility.  Weights are uniform in [3, 20).  Pairs are drawn with the larger of the two probabilities, then
+    thinned, so the work grows with the edges.
     """
     if not (0 <= coupling <= 1 and 0 <= compatibility <= 1) or n < 3 or not 2 <= k <= n:
         raise ValueError("coupling and compatibility lie in [0, 1], and 2 <= k <= n, 3 <= n")
     ids = spark.range(n)
     vertices = ids.select(F.col("id").alias("cid"), (3 + 17 * uniform(seed, F.lit("w"), F.col("id"))).alias("w"), (F.col("id") % k).alias("owner"))
-    pairs = ids.where(F.col("id") < n - 1).select(F.col("id").alias("u"), F.explode(F.sequence(F.col("id") + 1, F.lit(n - 1).cast("long"))).alias("v"))
+    most = max(0.065, 0.015 + 0.105 * coupling)
+    drawn = random_pairs(spark, n, most, seed)
     chance = F.when(F.col("u") % k == F.col("v") % k, 0.065).otherwise(0.015 + 0.105 * coupling)
-    bundle = (F.floor(F.col("u") / 3) == F.floor(F.col("v") / 3)) & (F.col("u") % 3 == 0)
     spared = (F.col("u") % 3 != 0) & (F.col("v") % 3 != 0) & (uniform(seed, F.lit("c"), F.col("u"), F.col("v")) < compatibility)
-    edges = pairs.where((bundle | (uniform(seed, F.lit("e"), F.col("u"), F.col("v")) < chance)) & ~spared)
+    drawn = drawn.where((uniform(seed, F.lit("e"), F.col("u"), F.col("v")) * most < chance) & ~spared)
+    bundles = ids.where(F.col("id") % 3 == 0).select(F.col("id").alias("u"), F.explode(F.array(F.col("id") + 1, F.col("id") + 2)).alias("v")).where(F.col("v") < n)
+    edges = drawn.unionByName(bundles).distinct()
     return vertices, edges
 
 

@@ -30,6 +30,9 @@ def test_json_and_snapshots(spark, tmp_path):
     assert sorted(r.x for r in ok.collect()) == [1, 2]
     with pytest.raises(Exception, match="(?i)malformed|NaN"):
         S.read_json_strict(spark, write(tmp_path, "b.jsonl", '{"x": NaN}\n'), "x double").collect()
+    for text in ('{"x": 1, "x": 2}\n', '{"x": 1, "deep": [{"a": 1, "a": 1}]}\n'):
+        with pytest.raises(ValueError, match="twice"):
+            S.read_json_strict(spark, write(tmp_path, "twice.jsonl", text), "x double")
     (tmp_path / "deep/er").mkdir(parents=True)
     doc = {"snapshot_id": "s", "snapshot": {"best_gain_seconds": 1.5}, "requests": [{"action_index": 0}, {"action_index": 3}]}
     (tmp_path / "deep/er/snapshot_1.json").write_text(json.dumps(doc))
@@ -168,3 +171,16 @@ def test_the_first_schedule_prefers_leaves_to_a_hub(spark):
     assert [r.cid for r in generators.initial_schedule(v, e, perturbation=0.0, anchors=F.col("cid") == 0).collect()] == [0]
     with pytest.raises(ValueError, match="negative"):
         generators.initial_schedule(v, e, perturbation=-0.1)
+
+
+def test_sparse_pairs_cost_their_edges(spark):
+    n, chance = 1_000_000, 1e-6
+    got = generators.random_pairs(spark, n, chance, 5)
+    rows = got.selectExpr("count(*) as c", "count(distinct u, v) as d", "min(u) as lo", "max(v) as hi", "count_if(u >= v) as bad").first()
+    want = n * (n - 1) / 2 * chance
+    assert abs(rows.c - want) < 6 * want**0.5 and rows.d == rows.c and rows.bad == 0 and rows.lo >= 0 and rows.hi < n
+    few = generators.random_pairs(spark, 40, 1.0, 5)
+    assert {(r.u, r.v) for r in few.collect()} == {(u, v) for v in range(40) for u in range(v)}
+    one = {(r.u, r.v) for r in generators.random_pairs(spark, 300, 0.05, 9, 100).collect()}
+    assert one == {(r.u, r.v) for r in generators.random_pairs(spark, 300, 0.05, 9, 100).repartition(5).collect()}
+    assert abs(len(one) - 300 * 299 / 2 * 0.05) < 6 * 47
