@@ -404,7 +404,7 @@ def x20_signature(spark, d):
 
 @query(
     """SELECT event_id AS k, epoch_us(ts) * 1000 AS ns, CAST(round_even(value * 100, 0) AS BIGINT) * 10000 AS tick, strftime(ts, '%d %b %Y %H:%M:%S') || '.000000' AS shown, CASE WHEN user_id < 9223372036854775807 // 100000 - 1 THEN user_id * 100000 + event_id % 1000 END AS code,
-abs(value - round(value, 1)) <= 0.03 AS near, epoch_us(ts) + CAST(round_even((event_id % 2000) / 1000.0, 0) AS BIGINT) AS micros, round(0.5::DOUBLE * pow(10.0::DOUBLE, -(1 + event_id % 6)) + 1e-6::DOUBLE, 12) AS tolerance FROM events"""
+abs(value - round(value, 1)) <= 0.03 AS near, epoch_us(ts) + event_id % 2000 // 1000 + CASE WHEN event_id % 1000 > 500 OR (event_id % 1000 = 500 AND (epoch_us(ts) + event_id % 2000 // 1000) % 2 = 1) THEN 1 ELSE 0 END AS micros, round(0.5::DOUBLE * pow(10.0::DOUBLE, -(1 + event_id % 6)) + 1e-6::DOUBLE, 12) AS tolerance FROM events"""
 )
 def x_times(spark, d):
     """Scalars of times, codes and tolerances, through the functions that hold their rules."""
