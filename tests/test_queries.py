@@ -6,6 +6,7 @@ from conflux.plans import (
     queries,
     reports,  # noqa: F401  (registers its queries)
     requests,  # noqa: F401
+    searches,  # noqa: F401
 )
 
 DATA = "/root/testdata/sf0.001"
