@@ -11,7 +11,7 @@ A document's language is the label with the largest sum of posterior probabiliti
 its score that label's mean probability.
 
 The model is fitted on a bounded sample of labelled rows (parameters of ``fit``): at most ``per_lang`` documents of each
-language and ``in_all`` together, those of smallest hash, of at most ``longest`` bytes each.  Where a language has fewer
+language and ``in_all`` together, those of smallest hash, of at most ``longest`` bytes each and ``size`` bytes in all.  Where a language has fewer
 texts of that length, longer ones follow, each by a window of a quarter as many code points from its middle.  Training
 takes ``runs`` runs of words put together from them.  Prediction sees the whole text and nothing else.
 
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ from .tables import bounded
 PER_LANG = 300
 LONGEST = 20_000
 IN_ALL = 30_000
+SIZE = 32 << 20
 RUN = 64
 FEATURES = 1 << 16
 PASSES, STEP, BATCH, DECAY = 3, 0.3, 128, 1e-6
@@ -269,17 +271,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, in_all: int = IN_ALL, longest: int = LONGEST, runs: int = TRAIN_RUNS) -> Model:
-    """Learns from text and lang of the rows that are not held out; collects at most ``in_all`` texts of ``longest`` bytes."""
+def fit(docs: DataFrame, per_lang: int = PER_LANG, in_all: int = IN_ALL, longest: int = LONGEST, runs: int = TRAIN_RUNS, size: int = SIZE) -> Model:
+    """Learns from text and lang of the rows that are not held out; collects at most ``in_all`` texts of ``longest`` bytes, ``size`` bytes together."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.octet_length("text") > 0))
-    usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", (F.octet_length("text") > longest).alias("long"))
+    usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", (F.octet_length("text") > longest).alias("long"), F.least(F.octet_length("text"), F.lit(longest)).alias("size"))
     order = ["long", F.xxhash64("doc_id"), "doc_id"]
-    each = usable.select("doc_id", "lang", "long").groupBy("doc_id", "lang").agg(F.min("long").alias("long"))
+    each = usable.select("doc_id", "lang", "long", "size").groupBy("doc_id", "lang").agg(F.min("long").alias("long"), F.max("size").alias("size"))
     # ranked in shares of each language first, for one may have most of the rows
     each = each.withColumn("share", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     each = each.withColumn("n", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).where(F.col("n") <= per_lang)
     each = each.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("n") <= per_lang)
-    keys = each.orderBy("n", "lang").limit(in_all).select("doc_id", "lang", "long").collect()
+    first = each.orderBy("n", "lang").limit(in_all).select("doc_id", "lang", "long", "size").collect()
+    keys = [(r.doc_id, r.lang, r.long) for r, total in zip(first, accumulate(r.size for r in first), strict=True) if total <= size]
     if not keys:
         return train([], number=runs)
     chosen = docs.sparkSession.createDataFrame(keys, "doc_id long, lang string, long boolean")

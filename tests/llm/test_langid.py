@@ -54,6 +54,9 @@ def test_repeated_ids_teach_once(spark, monkeypatch):
     assert len(taught[0]) <= 91
     langid.fit(docs, in_all=12)
     assert len(taught[1]) == 12 and {lang for _, lang in taught[1]} == {"aa", "bb", "cc"}
+    langid.fit(docs, size=3000)
+    sizes = [len(t.encode()) for t, _ in taught[2]]
+    assert 3000 - max(len(t.encode()) for t, _ in taught[0]) < sum(sizes) <= 3000 and {lang for _, lang in taught[2]} == {"aa", "bb", "cc"}
 
 
 def test_held_out_accuracy_of_query(spark):
