@@ -184,3 +184,32 @@ def test_sparse_pairs_cost_their_edges(spark):
     one = {(r.u, r.v) for r in generators.random_pairs(spark, 300, 0.05, 9, 100).collect()}
     assert one == {(r.u, r.v) for r in generators.random_pairs(spark, 300, 0.05, 9, 100).repartition(5).collect()}
     assert abs(len(one) - 300 * 299 / 2 * 0.05) < 6 * 47
+
+
+def test_catalog_of_documents(spark, tmp_path):
+    """Bad documents are told, not fatal; an unfinished source keeps neither counts nor graphs, though its arrays are there."""
+    from conflux.sources import catalog
+
+    for name, text in {
+        "a": '{"graph_id": "a", "source_group": 1, "arrays": true}',
+        "b": '{"graph_id": "b", "source_group": 1, "arrays": false}',
+        "c": '{"graph_id": "c", "source_group": 2, "arrays": true}',
+        "d": '{"graph_id": "d", "arrays": true}',
+        "e": '{"source_group": 1}',
+        "f": '{"graph_id": ',
+    }.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    graphs, warnings = catalog.read_documents(spark, str(tmp_path), "graph_id string, source_group long, arrays boolean", "graph_id")
+    assert {(r.file[-6:], r.warning) for r in warnings.collect()} == {("e.json", "no graph_id"), ("f.json", "unreadable")}
+    rows = [("x", 1, "train", "success", 5, 2), ("y", 2, "test", "failed", 7, 3), ("z", 3, "test", None, None, None), ("n", None, "other", "success", 1, None)]
+    sources = spark.createDataFrame(rows, "scene_id string, source_group long, split string, status string, full long, crossing long")
+    listed, linked = catalog.catalog(sources, graphs, 4)
+    assert {r.scene_id: (r.status, r.completed, r.full, r.completed_graphs) for r in listed.collect()} == {
+        "x": ("success", True, 5, 1), "y": ("failed", False, None, 0), "z": ("not_generated", False, None, 0), "n": ("success", True, 1, 0),
+    }
+    assert {r.graph_id: r.completed for r in linked.collect()} == {"a": True, "b": False, "c": False, "d": False}
+    got = catalog.catalog_summary(listed, linked).first().asDict()
+    assert got == {
+        "planned_sources": 4, "completed_sources": 2, "planned_graphs": 16, "completed_graphs": 1, "full": 6, "crossing": 2,
+        "train_planned": 1, "train_completed": 1, "validation_planned": 0, "validation_completed": 0, "test_planned": 2, "test_completed": 0,
+    }
