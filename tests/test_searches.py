@@ -5,7 +5,7 @@ import itertools
 import random
 
 import pytest
-from conflux.operators import cells, sketches
+from conflux.operators import cells, history, sketches
 from pyspark.sql import functions as F
 
 
@@ -170,3 +170,28 @@ def test_kernels_are_whole_and_lifts_feasible(spark):
     assert {r.cid for r in full.collect()} == (base - inside[best]) | after[best]
     bad = found.union(spark.createDataFrame([(best, v) for v in inside[best]], "kernel long, cid long")).distinct()
     assert sketches.lifts(members, bad, support, vertices, adj).where(F.col("kernel") == best).first().clashes > 0
+
+
+def test_one_step_of_history(spark):
+    """Place by remainder, ties of places by action; improved, equal, lost and missing requests; the other rows stay."""
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    states = table([(s, 10, 12) for s in range(1, 7)], "state long, original long, best long")
+    actions = table([(1, 0, 7), (1, 0, 5), (1, 9, 6), (2, 3, 5), (3, 0, 5), (4, 0, 5), (6, 0, 5), (6, 1, 6), (9, 0, 5)], "state long, place int, action long")
+    outcomes = table([(1, 7, 4, 15), (1, 5, 99, 99), (2, 5, 4, 12), (3, 5, None, None), (6, 6, 3, 5), (9, 5, 9, 99)], "state long, action long, recovery long, complete long")
+    warm = table([(1, 7, 3), (1, 5, 1), (2, 5, 4), (3, 5, 2), (4, 5, 8)], "state long, action long, value long")
+    spent = table([(1, 5), (1, 5), (4, 5)], "state long, action long")
+    after, warmer, gone = history.stepped(states, actions, outcomes, warm, spent, 4)  # 4 mod 3 = 1, 4 mod 1 = 0, 4 mod 2 = 0
+    assert {r.state: (r.status, r.action, r.best, r.gain) for r in after.collect()} == {
+        1: ("returned", 7, 15, 5), 2: ("returned", 5, 12, 2), 3: ("returned", 5, 12, 2), 4: ("not_returned", 5, 12, 2),
+        5: ("no_prepared_actions", None, 12, 2), 6: ("not_returned", 5, 12, 2),
+    }
+    assert {(r.state, r.action, r.value, r.changed) for r in warmer.collect()} == {(1, 7, 4, True), (1, 5, 1, False), (2, 5, 4, False), (3, 5, 2, False), (4, 5, 8, False)}
+    assert sorted(tuple(r) for r in gone.collect()) == [(1, 5), (1, 7), (2, 5), (3, 5), (4, 5), (6, 5)]
+    first = history.stepped(states, actions, outcomes, warm, spent, 5)[1].where("state = 6").collect()
+    assert [tuple(r) for r in first] == [(6, 6, 3, True)]  # the first warm value of its action
+
+
+def test_hot_state_is_placed_over_ranges(spark):
+    actions = spark.range(20_000).select(F.lit(1).cast("long").alias("state"), (F.col("id") % 7).alias("place"), F.col("id").alias("action"))
+    want = sorted((i % 7, i) for i in range(20_000))[12_345][1]
+    assert [tuple(r) for r in history.declared(actions, 20_000 + 12_345).collect()] == [(1, want)]
