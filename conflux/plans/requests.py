@@ -274,29 +274,6 @@ def l12_units(spark, d):
     return requests.units(rows, "request", "members", "warm")
 
 
-_SCOPE_SQL = f"""{ELIGIBLE}, sc AS MATERIALIZED (SELECT action, cid, w, owner FROM elig JOIN c USING (cid)), k AS (SELECT x.action, count(*) AS edges, count(*) FILTER (x.owner <> y.owner) AS cross_edges FROM sc x JOIN e ON e.u = x.cid JOIN sc y ON y.cid = e.v AND y.action = x.action GROUP BY x.action)"""
-
-
-@query(
-    f"""{_SCOPE_SQL} SELECT action, count(*) AS n, CAST(sum(w) AS BIGINT) AS total, max(w) AS largest, count(DISTINCT owner) AS owners, coalesce(any_value(edges), 0) AS edges, coalesce(any_value(cross_edges), 0) AS cross_edges,
-round(sum(w)::DOUBLE / count(*), 3) AS mean, round(stddev_pop(w) / 1e4, 3) AS deviation, round(ln(1.0 + coalesce(any_value(edges), 0)), 9) AS log_edges, round(2.0::DOUBLE * coalesce(any_value(edges), 0) / greatest(1, count(*) * (count(*) - 1)), 9) AS density
-FROM sc LEFT JOIN k USING (action) GROUP BY action"""
-)
-def a20_scope_features(spark, d):
-    g = Graph(spark, d)
-    out = requests.scope_features(g.weighed, g.e)
-    return out.select(
-        "action", "n", F.col("total").cast("long").alias("total"), "largest", "owners", "edges", "cross_edges", F.round("mean", 3).alias("mean"), F.round(F.col("deviation") / 1e4, 3).alias("deviation"),
-        F.round("log_edges", 9).alias("log_edges"), F.round("density", 9).alias("density"),
-    )
-
-
-@query(f"{_SCOPE_SQL} SELECT action, count(*) AS n, coalesce(any_value(edges), 0) AS edges, coalesce(any_value(cross_edges), 0) AS cross_edges, count(DISTINCT owner) AS owners FROM sc LEFT JOIN k USING (action) GROUP BY action")
-def a19_scope_statistics(spark, d):
-    g = Graph(spark, d)
-    return requests.scope_features(g.weighed, g.e).select("action", "n", "edges", "cross_edges", "owners")
-
-
 @query(
     f"""{ELIGIBLE}, q AS (SELECT action, sum(x) AS q FROM (SELECT action, w AS x FROM act JOIN c USING (cid) UNION ALL SELECT action, -w FROM gone JOIN c USING (cid)) GROUP BY action), a AS (SELECT action, sum(w) AS x FROM elig JOIN c USING (cid) GROUP BY action)
 SELECT action, CAST(q AS BIGINT) AS immediate, CAST(q + coalesce(x, 0) AS BIGINT) AS with_all FROM q LEFT JOIN a USING (action)"""

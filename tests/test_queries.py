@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 from conflux.plans import (
+    features,  # noqa: F401  (registers its queries)
     queries,
     reports,  # noqa: F401  (registers its queries)
     requests,  # noqa: F401
