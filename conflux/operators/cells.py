@@ -7,7 +7,7 @@ whole by one task.  Where the order is free it is that of md5("seed:cid"), so it
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,9 +25,10 @@ def shuffled(cid: str = "cid") -> Column:
     return F.md5(F.concat_ws(":", "seed", cid))
 
 
-def commitments(vertices: DataFrame, adj: DataFrame, sel: DataFrame, seeds: Sequence[int], most: int = max(COMMITS), leading: int = 32, drawn: int = 32) -> DataFrame:
+def commitments(vertices: DataFrame, adj: DataFrame, sel: DataFrame, seeds: Sequence[int], most: int = max(COMMITS), leading: int = 32, drawn: int = 32, inside: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(seed, pos, cid): up to ``most`` unselected vertices without conflicts, from a pool that takes the ``leading`` largest
-    immediate gains and then ``drawn`` others in the seed's order; each is taken if it fits those before it."""
+    immediate gains and then ``drawn`` others in the seed's order; each is taken if it fits those before it.  With ``inside``, which gives the arcs (seed, u, v) inside such pools, ``adj`` needs
+    only have those to selected vertices."""
     w = vertices.select("cid", "w")
     lost = adj.join(sel.withColumnRenamed("cid", "v"), "v", "left_semi").join(w.withColumnRenamed("cid", "v"), "v").groupBy(F.col("u").alias("cid")).agg(F.sum("w").alias("lost"))
     free = w.join(sel, "cid", "left_anti").join(lost, "cid", "left").select("cid", (F.col("w") - F.coalesce("lost", F.lit(0))).alias("gain"))
@@ -37,7 +38,10 @@ def commitments(vertices: DataFrame, adj: DataFrame, sel: DataFrame, seeds: Sequ
     others = free.join(top.select("cid"), "cid", "left_anti").select("cid", per_seed)
     others = others.withColumn("pos", F.row_number().over(Window.partitionBy("seed").orderBy(shuffled(), "cid"))).where(F.col("pos") <= drawn)
     pool = stored(first.select("seed", "pos", "cid").union(others.select("seed", F.col("pos") + leading, "cid")), "pool")
-    hits = pool.select("seed", F.col("cid").alias("u")).join(adj, "u").join(pool.select("seed", F.col("cid").alias("v")), ["seed", "v"])
+    if inside is None:
+        hits = pool.select("seed", F.col("cid").alias("u")).join(adj, "u").join(pool.select("seed", F.col("cid").alias("v")), ["seed", "v"])
+    else:
+        hits = inside(pool)
     hits = hits.groupBy("seed", F.col("u").alias("cid")).agg(F.collect_set("v").alias("hits"))
     none = F.array().cast("array<bigint>")
     listed = pool.join(hits, ["seed", "cid"], "left").groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("pos", "cid", F.coalesce("hits", none).alias("hits")))).alias("pool"))
@@ -80,8 +84,8 @@ def extra_releases(mandatory: DataFrame, short: DataFrame, adj: DataFrame, sel:
     seed's order.  Such restarts are made at once, as trees of their own: as many as releases are missing will do, since each
     gives one at least or lies in the tree of an earlier one, which then gives more.
     """
-    half = adj.join(sel.withColumnRenamed("cid", "u"), "u", "left_semi").join(sel.withColumnRenamed("cid", "v"), "v", "left_anti")
-    steps = stored(half.select(F.col("u").alias("s"), F.col("v").alias("x")).distinct(), "steps")
+    half = adj.join(sel.withColumnRenamed("cid", "v"), "v", "left_semi").join(sel.withColumnRenamed("cid", "u"), "u", "left_anti")
+    steps = stored(half.select(F.col("v").alias("s"), F.col("u").alias("x")).distinct(), "steps")
     by_id = F.row_number().over(Window.partitionBy(*SEARCH).orderBy("cid")).cast("long")
     seen = searched(mandatory.select(*SEARCH, F.lit(0).alias("tree"), "cid", by_id.alias("place"), F.lit(False).alias("free")), steps, limit)
     found = seen.where("free").groupBy(*SEARCH).agg(F.count(F.lit(1)).alias("n"))
@@ -98,7 +102,7 @@ def extra_releases(mandatory: DataFrame, short: DataFrame, adj: DataFrame, sel:
     return once.withColumn("rank", rank).where(F.col("rank") <= limit).select(*SEARCH, "cid", "rank")
 
 
-def coordination_cells(vertices: DataFrame, adj: DataFrame, sel: DataFrame, seeds: Sequence[int]) -> DataFrame:
+def coordination_cells(vertices: DataFrame, adj: DataFrame, sel: DataFrame, seeds: Sequence[int], inside: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The eleven cells of every seed: commitments 0, 2, 4, 8 by extra releases 0, 16, 64, without 0 by 0.
 
     A cell's inserts are the first commitments, its mandatory vertices their selected neighbours, its releases the first extra
@@ -109,7 +113,7 @@ def coordination_cells(vertices: DataFrame, adj: DataFrame, sel: DataFrame, seed
     spark = vertices.sparkSession
     grid = [(c, e) for c in COMMITS for e in RELEASES if c or e]
     cells = spark.createDataFrame([(s, i, c, e) for s in seeds for i, (c, e) in enumerate(grid)], "seed long, cell int, target_c int, target_e int")
-    chosen = stored(commitments(vertices, adj, sel, seeds), "chosen")
+    chosen = stored(commitments(vertices, adj, sel, seeds, inside=inside), "chosen")
     have = chosen.groupBy("seed").agg(F.count(F.lit(1)).alias("have"))
     open_ = cells.select(*SEARCH).distinct().join(have, "seed", "left").where(F.coalesce("have", F.lit(0)) >= F.col("target_c")).select(*SEARCH)
     inserts = open_.join(chosen, "seed").where("pos <= target_c").select(*SEARCH, "cid")
