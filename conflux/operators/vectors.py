@@ -21,16 +21,20 @@ def means(rows: DataFrame, key: str, h: str, width: int, name: str) -> DataFrame
     return rows.groupBy(key).agg(F.array(*(F.avg(F.get(F.col(h), F.lit(i))) for i in range(width))).alias(name))
 
 
-def message_round(nodes: DataFrame, arcs: DataFrame, incidence: DataFrame, own: Matrix, edge: Matrix, factor: Matrix, bias: list[float] | None = None) -> DataFrame:
+def message_round(
+    nodes: DataFrame, arcs: DataFrame | None, incidence: DataFrame, own: Matrix, edge: Matrix, factor: Matrix, bias: list[float] | None = None, near: DataFrame | None = None
+) -> DataFrame:
     """(node, h) after a round: relu of own * h + bias, the mean of edge * h over neighbours and of factor * g over factors.
 
     ``arcs`` (u, v) are both directions of every edge, ``incidence`` (node, factor) the members of cliques or other
     factors, g the mean of h over a factor's members.  A node without neighbours or factors gets zeros from there.
+    ``near`` (node, message) has the means over neighbours where they are known without arcs.
     """
     width = len(own)
     zero = F.array(*(F.lit(0.0) for _ in range(width)))
-    sent = arcs.select(F.col("u").alias("node"), F.col("v").alias("to")).join(nodes, "node").select("to", linear(F.col("h"), edge).alias("h"))
-    near = means(sent, "to", "h", width, "message").withColumnRenamed("to", "node")
+    if near is None:
+        sent = arcs.select(F.col("u").alias("node"), F.col("v").alias("to")).join(nodes, "node").select("to", linear(F.col("h"), edge).alias("h"))
+        near = means(sent, "to", "h", width, "message").withColumnRenamed("to", "node")
     pooled = means(incidence.join(nodes, "node").select("factor", "h"), "factor", "h", len(factor[0]), "g")
     relayed = incidence.join(pooled, "factor").select("node", linear(F.col("g"), factor).alias("h"))
     relay = means(relayed, "node", "h", width, "relay")
