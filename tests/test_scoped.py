@@ -5,6 +5,7 @@ import random
 import pytest
 from conflux.operators import conflict, selection
 from conflux.plans import queries, reports, searches  # noqa: F401  (register their queries)
+from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
 
@@ -34,7 +35,7 @@ def test_scopes_of_any_overlap(spark, windows):
     assert both[0] == both[1]
 
 
-@pytest.mark.parametrize("name", ["g04_coordination_cells", "j08_induced", "o03_greedy_order"])
+@pytest.mark.parametrize("name", ["g04_coordination_cells", "j08_induced", "o03_greedy_order", "l07_message_round", "j12_touched_cliques"])
 def test_no_table_of_all_conflicts(spark, monkeypatch, name):
     def refused(self):
         raise AssertionError("all conflicts are made")
@@ -42,3 +43,27 @@ def test_no_table_of_all_conflicts(spark, monkeypatch, name):
     for table in ("e", "adj", "plain"):
         monkeypatch.setattr(queries.Graph, table, property(refused))
     assert queries.QUERIES[name](spark, DATA).columns
+
+
+def test_means_over_neighbours_without_pairs(spark, windows):
+    rule = {"ant": 7, "owner": 20}
+    value = {r.cid: (r.w, -r.cid) for r in windows.collect()}
+    near = {}
+    for u, v in conflict.conflict_edges(windows, 7, 20).select("u", "v").collect():
+        near.setdefault(u, []).append(v)
+        near.setdefault(v, []).append(u)
+    got = conflict.neighbour_means(windows, rule, [F.col("w"), -F.col("cid")]).collect()
+    assert {r.cid: r.means for r in got} == {u: [sum(value[v][n] for v in vs) / len(vs) for n in (0, 1)] for u, vs in near.items()}
+
+
+def test_touched_windows_are_the_touched_cliques(spark, windows):
+    rule = {"ant": 7, "owner": 20}
+    sel = selection.local_best_windows(windows, rule)
+    near = selection.near_selected(windows, rule, sel)
+    edges = conflict.conflict_edges(windows, 7, 20)
+    adj = conflict.symmetric(edges)
+    outs = windows.select("cid").join(sel, "cid", "left_anti")
+    gone = selection.displaced(outs.select(F.col("cid").alias("action"), "cid"), adj, sel).cache()
+    want = selection.touched_cliques(windows.where("ant is not null").select(F.col("ant").alias("clique"), "cid"), selection.sphere(gone, adj), edges)
+    got = sorted(map(tuple, selection.touched_windows(windows, gone, near, rule, "ant").collect()))
+    assert got and got == sorted(map(tuple, want.collect()))
