@@ -1,12 +1,29 @@
 """Work that must not grow faster than the input."""
 
+import random
+
 import pytest
+from conflux.operators import conflict
 from conflux.plans import queries
 from conflux.plans import reports as plans
 
 DATA = "/root/testdata/sf0.001"
 
 
+@pytest.mark.parametrize("larger", [{"ant": 9, "owner": 20}, {"ant": 3, "owner": 20}, {"ant": 3, "owner": 4}])
+def test_only_the_band_between_two_gaps_is_met(spark, larger):
+    rnd = random.Random(4)
+    rows = [(i, rnd.choice([None, 1, 2]), rnd.choice([None, 1, 2, 3]), s, s + rnd.choice([0, 1, 4, 90, -30])) for i, s in enumerate(rnd.choices(range(90), k=60))]
+    smaller = {"ant": 9, "owner": 12}
+    after = [(a, b) for a in rows for b in rows if (a[3], a[0]) < (b[3], b[0])]
+    meet = lambda a, b, rule, least: any(a[k] is not None and a[k] == b[k] and a[4] + least.get(r, -(10**6)) <= b[3] < a[4] + rule[r] for k, r in ((1, "ant"), (2, "owner")))
+    df = spark.createDataFrame(rows, "cid long, ant int, owner long, s long, e long")
+    band = sorted((a[0], b[0]) for a, b in after if meet(a, b, smaller, larger))
+    assert sorted((r.i, r.j) for r in conflict.conflict_pairs(df, smaller, floor=larger).collect()) == band
+    lost = sorted((min(a[0], b[0]), max(a[0], b[0])) for a, b in after if meet(a, b, smaller, {}) and not meet(a, b, larger, {}))
+    assert sorted((r.u, r.v) for r in conflict.beyond(df, smaller, larger).collect()) == lost
+
+
 def test_degrees_of_nodes_are_counted(spark, monkeypatch):
     monkeypatch.setattr(queries.Graph, "plain", property(lambda self: pytest.fail("all edges are made")))
     assert plans.l13_node_features(spark, DATA).count()
