@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conflux.operators import conflict
+from conflux.operators import conflict, requests
 from conflux.plans import queries
 from conflux.plans import reports as plans
 
@@ -27,3 +27,10 @@ def test_only_the_band_between_two_gaps_is_met(spark, larger):
 def test_degrees_of_nodes_are_counted(spark, monkeypatch):
     monkeypatch.setattr(queries.Graph, "plain", property(lambda self: pytest.fail("all edges are made")))
     assert plans.l13_node_features(spark, DATA).count()
+
+
+def test_sets_of_items_make_no_rows(spark):
+    df = spark.createDataFrame([(1, 0, 3, 1), (1, 1, 0, 6), (2, 0, None, 1), (2, 1, 5, 3)], "k long, i long, w long, mask long")
+    out = requests.coalitions(df, ["k"])
+    assert "Generate" not in out._jdf.queryExecution().toString()
+    assert sorted((r.k, r.best_any, r.least_paying) for r in out.collect()) == [(1, 2, 1), (2, 3, 1)]
