@@ -1,9 +1,9 @@
-"""Work that must not grow faster than the input."""
+"""Work that must not grow faster than the input: bands of pairs, counted degrees, tasks of fixed size, sets without rows."""
 
 import random
 
 import pytest
-from conflux.operators import conflict, requests
+from conflux.operators import conflict, reports, requests
 from conflux.plans import queries
 from conflux.plans import reports as plans
 
@@ -29,6 +29,14 @@ def test_degrees_of_nodes_are_counted(spark, monkeypatch):
     assert plans.l13_node_features(spark, DATA).count()
 
 
+def test_tasks_of_agreed_anchors_have_as_many_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(k, float(k % 3 if k % 5 else n)) for k in range(40) for n in range(3)], "k long, a double")
+    monkeypatch.setattr(reports, "ROWS", 10)
+    out = reports.agreed_anchor(df, "k", "a")
+    assert out.rdd.getNumPartitions() == 12
+    assert {(r.k, r.agreed) for r in out.collect()} == {(k, float(k % 3) if k % 5 else None) for k in range(40)}
+
+
 def test_sets_of_items_make_no_rows(spark):
     df = spark.createDataFrame([(1, 0, 3, 1), (1, 1, 0, 6), (2, 0, None, 1), (2, 1, 5, 3)], "k long, i long, w long, mask long")
     out = requests.coalitions(df, ["k"])
