@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conflux.operators import conflict, features, groups
+from conflux.operators import conflict, features, groups, recover
 from conflux.plans import features as plans
 from conflux.plans import queries
 
@@ -49,7 +49,15 @@ def test_large_scopes_still_grow_in_rounds(spark, monkeypatch):
     assert sorted(map(tuple, plans.a20_scope_features(spark, DATA).collect())) == told
 
 
-@pytest.mark.parametrize("name", ["g05_clique_cover", "a19_scope_statistics", "a20_scope_features"])
+@pytest.mark.parametrize("name", ["g05_clique_cover", "a19_scope_statistics", "a20_scope_features", "g02_greedy_recovery", "g05_scope_bounds", "g10_local_search"])
 def test_no_conflict_of_a_scope_is_stored(spark, monkeypatch, name):
     monkeypatch.setattr(queries.Graph, "inside", lambda *_: pytest.fail("conflicts are stored"))
     assert queries.QUERIES[name](spark, DATA).count()
+
+
+def test_recovery_of_windows(spark, scope, small_batches):
+    nodes = recover.scoped(scope, conflict.scope_conflicts(scope, scope, RULE)).cache()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(recover.scope_bounds(scope, RULE)) == rows(recover.bounds(nodes)) != []
+    for backend in (lambda w, n: (recover.portfolio(w, n), False), lambda w, n: recover.branch_and_bound(w, n, 50)):
+        assert rows(recover.recovered_scopes(scope, RULE, backend)) == rows(recover.recovered(nodes, backend))
