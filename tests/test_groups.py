@@ -61,3 +61,10 @@ def test_recovery_of_windows(spark, scope, small_batches):
     assert rows(recover.scope_bounds(scope, RULE)) == rows(recover.bounds(nodes)) != []
     for backend in (lambda w, n: (recover.portfolio(w, n), False), lambda w, n: recover.branch_and_bound(w, n, 50)):
         assert rows(recover.recovered_scopes(scope, RULE, backend)) == rows(recover.recovered(nodes, backend))
+
+
+def test_conflicts_of_named_scopes(spark, scope, small_batches):
+    named = scope.selectExpr("concat('s', action, ':', action % 2) as kernel", "cid")
+    own = scope.drop("action").distinct()
+    rows = lambda df: sorted(map(tuple, df.select("kernel", "u", "v").collect()))
+    assert rows(groups.window_conflicts(named, own, RULE, "kernel")) == rows(conflict.scope_conflicts(named, own, RULE, "kernel")) != []
