@@ -13,12 +13,13 @@ them alone, which is WAND's choice of the pivot, made once for the whole shard.
 Then blocks are skipped: where a block's best sum and its maxima of all frequent terms stay below the threshold, none of
 its contributions is read.  In the others the frequent terms that were not passed over are added, documents that cannot
 reach the threshold with the block's maxima of the terms passed over are skipped, and only the rest is looked up in those.
-All documents of a shard take these steps together in array operations, instead of one cursor movement after another.
+All documents of a shard take these steps together in array operations, instead of one cursor movement after another, and
+so do up to ``TOGETHER`` queries whose bounds of the blocks are alike: the blocks that any of them opens are read once.
 
 Thresholds come from the documents themselves, by hash: those of the first of ``SHARES`` are searched without one, the
 next with the k-th best score so far, and the rest with the best of both.  So a shard returns only documents that are
 among the best of a known share, and rows returned grow with queries * k, not with shards.  The early shares are few
-documents, so their terms are written once, by shard, and each task reads one shard and one block of ``ASKED`` queries; of
+documents, so their terms are written once, by shard, and each task reads one shard and blocks of ``ASKED`` queries; of
 the last share each task indexes what it reads, and texts are not shuffled.
 
 A term is a lower-cased word (see textcore) and is known by its 64-bit hash.  Scores: sum over the query's distinct
@@ -50,10 +51,14 @@ HEAD = 32
 K = 10
 SHARD_WORDS = 3_000_000  # postings of a shard, about 60 bytes each
 TERM_WORDS = 1_000_000
-PASSED = 0.5  # of the threshold, at most, may be left to terms that are passed over
+PASSED = 0.25  # of the threshold, at most, may be left to terms that are passed over
 MARGIN = 1e-4  # relative error allowed to single precision
 PARTS = 64
 ASKED = 2048
+TASKS = 256  # of an early share; beyond that a task asks several blocks of queries
+TOGETHER = 64  # queries in one product, at most
+OPENED = 32  # blocks in one product
+CELLS = 1 << 20  # of an array over queries and places, or postings read at once
 SHARES = (1, 8, PARTS)  # documents are searched in these steps, in units of 1 / PARTS
 
 
@@ -174,57 +179,115 @@ class Shard:
         at = np.minimum(np.searchsorted(self.terms, once), len(self.terms) - 1)
         return np.where(self.terms[at] == once, at, -1)[spot]
 
-    def summed(self, lists: np.ndarray, by: np.ndarray) -> np.ndarray:
-        """Sums over the postings of some terms, for every place."""
-        if not len(lists):
-            return np.zeros(self.blocks * BLOCK, np.float32)
-        first, last = self.first[lists], self.first[lists + 1]
-        one = last - first == 1
-        many = ~one
-        found = np.concatenate([self.postings[first[one]], *(self.postings[a:b] for a, b in zip(first[many].tolist(), last[many].tolist(), strict=True))])
-        part = found[:, 1].view(np.float32) * np.concatenate([by[one], np.repeat(by[many], (last - first)[many])])
-        return np.bincount(found[:, 0], weights=part, minlength=self.blocks * BLOCK).astype(np.float32)
+    def summed(self, owner: np.ndarray, lists: np.ndarray, by: np.ndarray, number: int) -> np.ndarray:
+        """Sums over the postings of some terms of each of ``number`` queries, for every block and place."""
+        first, width = self.first[lists], self.blocks * BLOCK
+        size = self.first[lists + 1] - first
+        spot = np.repeat((first - np.cumsum(size) + size), size)
+        spot += np.arange(len(spot))
+        found = self.postings.view(np.int64).ravel()[spot].view(np.int32).reshape(-1, 2)
+        at = np.repeat(owner * width, size)
+        at += found[:, 0]
+        part = np.repeat(by, size)
+        part *= found[:, 1].view(np.float32)
+        return np.bincount(at, weights=part, minlength=number * width).astype(np.float32).reshape(number, self.blocks, BLOCK)
 
     def top(self, at: np.ndarray, weight: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """The k best documents and their scores, of those with a score of at least ``least``, for terms at ``places``."""
-        nothing = np.zeros(0, np.int64), np.zeros(0)
+        for _, docs, scores in self.tops(np.array([0, len(at)]), at, weight, k, np.array([least])):
+            return docs, scores
+        return np.zeros(0, np.int64), np.zeros(0)
+
+    def tops(self, cut: np.ndarray, at: np.ndarray, weight: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """``top`` of many queries, those that find something; the terms of query i are from cut[i] to cut[i + 1]."""
+        step = max(1, CELLS // max(self.blocks, 1))
+        for lo in range(0, len(least), step):
+            hi = min(lo + step, len(least))
+            terms = slice(cut[lo], cut[hi])
+            for i, docs, scores in self._tops(cut[lo : hi + 1] - cut[lo], at[terms], weight[terms], k, least[lo:hi]):
+                yield lo + i, docs, scores
+
+    def _tops(self, cut: np.ndarray, at: np.ndarray, weight: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        number = len(least)
+        owner = np.repeat(np.arange(number), np.diff(cut))
+        floor = (least * (1 - MARGIN)).astype(np.float32)
         there = at >= 0
-        at, weight = at[there], weight[there]
-        by = weight.astype(np.float32)
-        floor = np.float32(least * (1 - MARGIN))
-        bound = by * self.most[at]
-        if not len(at) or float(bound.sum()) * (1 + MARGIN) < least:
-            return nothing
-        rare = self.head[at] < 0
-        total = self.summed(at[rare], by[rare])
-        order = np.argsort(bound[~rare])
-        heads, share = self.head[at[~rare]][order], by[~rare][order]
-        passed = int(np.searchsorted(np.cumsum(bound[~rare][order]), PASSED * floor, side="right"))
-        if len(heads):
-            most = self.block_most[heads]
-            low = share[:passed] @ most[:passed]
-            blocks = np.flatnonzero(total.reshape(-1, BLOCK).max(axis=1) + low + share[passed:] @ most[passed:] >= floor)
-            opened = total.reshape(-1, BLOCK)[blocks]
-            if passed < len(heads):
-                opened = opened + (share[passed:] @ self.dense[heads[passed:, None], blocks].reshape(len(heads) - passed, -1)).reshape(-1, BLOCK)
-            block, spot = np.nonzero((opened > 0) & (opened >= (floor - low[blocks])[:, None]))
-            found, total = blocks[block] * BLOCK + spot, opened[block, spot]
-            if passed:
-                total = total + share[:passed] @ self.dense.reshape(len(self.dense), -1)[heads[:passed, None], found]
-        else:
-            found = np.flatnonzero(total > 0)
-            total = total[found]
-        good = total >= floor
-        found, total = found[good], total[good]
-        if len(found) > k:
-            found = found[total >= np.partition(total, len(total) - k)[len(total) - k] * (1 - MARGIN)]
-        if not len(found):
-            return nothing
-        found = self.given[found]
-        scores = self.exact(found, at, weight)
-        good = np.flatnonzero(scores >= least)
-        good = good[np.lexsort((self.ids[found[good]], -scores[good]))[:k]]
-        return found[good], scores[good]
+        bound = np.zeros(len(at), np.float32)
+        bound[there] = weight[there].astype(np.float32) * self.most[at[there]]
+        total = np.bincount(owner, weights=bound, minlength=number)
+        there &= ((total > 0) & (total * (1 + MARGIN) >= least))[owner]
+        owner, at, weight, bound = owner[there], at[there], weight[there], bound[there]
+        order = np.lexsort((bound, owner))  # the pivot of each query
+        owner, at, weight, bound = owner[order], at[order], weight[order], bound[order]
+        by, head = weight.astype(np.float32), self.head[at]
+        frequent = np.flatnonzero(head >= 0)
+        run = np.cumsum(bound[frequent], dtype=np.float64)
+        who = owner[frequent]
+        run -= np.concatenate([[0.0], run])[np.searchsorted(who, who)]
+        over = np.zeros(len(at), bool)
+        over[frequent] = run <= PASSED * floor[who]
+        cut = np.searchsorted(owner, np.arange(number + 1))
+        held = [np.arange(a, b) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        low, high = (np.zeros((number, self.blocks), np.float32) for _ in "ab")
+        for i in np.flatnonzero(np.diff(cut)).tolist():
+            for most, chosen in ((low[i], held[i][over[held[i]]]), (high[i], held[i][(head[held[i]] >= 0) & ~over[held[i]]])):
+                if len(chosen):
+                    np.matmul(by[chosen], self.block_most[head[chosen]], out=most)
+        alike = low + high
+        alike /= np.maximum(np.linalg.norm(alike, axis=1, keepdims=True), 1e-30)
+        read = np.bincount(owner, weights=np.where(head < 0, self.first[at + 1] - self.first[at], 0), minlength=number)
+        together = max(1, min(TOGETHER, CELLS // max(self.blocks * BLOCK, 1)))
+        left = np.flatnonzero(np.diff(cut))
+        while len(left):
+            left = left[np.argsort(-(alike[left] @ alike[left[0]]), kind="stable")]
+            size = min(together, max(1, int(np.searchsorted(np.cumsum(read[left]), CELLS, side="right"))))
+            group, left = left[:size], left[size:]
+            mine = np.concatenate([held[i] for i in group])
+            spot = np.repeat(np.arange(size), np.diff(cut)[group])
+            yield from self._group(group, spot, at[mine], weight[mine], by[mine], head[mine], over[mine], low[group], high[group], k, floor[group], least[group])
+
+    def _group(self, group, owner, at, weight, by, head, over, low, high, k, floor, least) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Queries that open similar blocks are asked in one product of their weights and the blocks' contributions."""
+        number, rare = len(group), head < 0
+        total = self.summed(owner[rare], at[rare], by[rare], number)
+        open_ = total.max(axis=2) + low + high >= floor[:, None]
+        kept = np.flatnonzero(~rare & ~over)
+        used, column = np.unique(head[kept], return_inverse=True)
+        share = np.zeros((number, len(used)), np.float32)
+        share[owner[kept], column] = by[kept]
+        limit = np.where(open_, floor[:, None] - low, np.inf).astype(np.float32)
+        blocks = np.flatnonzero(open_.any(axis=0))
+        if not len(blocks):
+            return
+        hits: list[tuple[np.ndarray, ...]] = []
+        for some in np.split(blocks, range(OPENED, len(blocks), OPENED)):
+            opened = total[:, some]
+            if len(used):
+                opened += (share @ self.dense[used[:, None], some].reshape(len(used), -1)).reshape(opened.shape)
+            who, block, spot = np.nonzero((opened > 0) & (opened >= limit[:, some, None]))
+            hits.append((who, some[block] * BLOCK + spot, opened[who, block, spot]))
+        who, found, total = (np.concatenate(x) for x in zip(*hits, strict=True))
+        order = np.argsort(who, kind="stable")
+        found, total = found[order], total[order]
+        cut, own = np.searchsorted(who[order], np.arange(number + 1)), np.searchsorted(owner, np.arange(number + 1))
+        flat = self.dense.reshape(len(self.dense), self.blocks * BLOCK)
+        for i in np.flatnonzero(np.diff(cut)).tolist():
+            mine, terms = slice(cut[i], cut[i + 1]), slice(own[i], own[i + 1])
+            docs, scores, passed = found[mine], total[mine], np.flatnonzero(over[terms]) + own[i]
+            if len(passed):
+                scores = scores + by[passed] @ flat[head[passed, None], docs]
+            good = scores >= floor[i]
+            docs, scores = docs[good], scores[good]
+            if len(docs) > k:
+                docs = docs[scores >= np.partition(scores, len(scores) - k)[len(scores) - k] * (1 - MARGIN)]
+            if not len(docs):
+                continue
+            docs = self.given[docs]
+            scores = self.exact(docs, at[terms], weight[terms])
+            good = np.flatnonzero(scores >= least[i])
+            good = good[np.lexsort((self.ids[docs[good]], -scores[good]))[:k]]
+            if len(good):
+                yield int(group[i]), docs[good], scores[good]
 
 
 def _indexed(column: pa.Array, ids: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
@@ -257,7 +320,8 @@ def _searched(docs: DataFrame, asked: DataFrame, known: DataFrame | None, mean:
     """query_id, doc_id and score: the best documents of each shard, at least as good as the query's known threshold.
 
     With ``shards`` the documents are few: their terms are written in so many shards, and a task is one of these and one
-    block of queries (a file of ``asked``); else a shard is what a task reads.
+    block of queries (a file of ``asked``), or several where these would make more than ``TASKS``, as each task builds its
+    shard anew; else a shard is what a task reads.
     """
     files, known_files = asked.inputFiles(), known.inputFiles() if known is not None else []
     most_words = SHARD_WORDS
@@ -284,11 +348,10 @@ def _searched(docs: DataFrame, asked: DataFrame, known: DataFrame | None, mean:
             there = np.minimum(spot, max(len(who) - 1, 0))
             least = np.where(who[there] == queries, floors[there], 0.0) if len(who) else np.zeros(len(queries))
             terms, weights = batch.column("term"), batch.column("weight").flatten().to_numpy()
-            bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(terms).to_numpy())]).tolist()
+            bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(terms).to_numpy())])
             places = shard.places(terms.flatten().to_numpy().view(np.uint64))
-            for i, (q, floor) in enumerate(zip(queries.tolist(), least.tolist(), strict=True)):
-                d, s = shard.top(places[bounds[i] : bounds[i + 1]], weights[bounds[i] : bounds[i + 1]], k, floor)
-                rows.append((np.full(len(d), q), shard.ids[d], s))
+            for i, d, s in shard.tops(bounds, places, weights, k, least):
+                rows.append((np.full(len(d), queries[i]), shard.ids[d], s))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names=names)
 
@@ -309,14 +372,17 @@ def _searched(docs: DataFrame, asked: DataFrame, known: DataFrame | None, mean:
     if not shards:
         return docs.mapInArrow(lambda batches: search((p for b in batches for p in _indexed(b.column(1), b.column(0))), files), schema)
     index = stored(_term_rows(docs).repartition(shards), "index").inputFiles()
+    span = max(1, min(len(files), len(index) * len(files) // TASKS))
+    each = -(-len(files) // span)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for task in batch.column(0).to_pylist():
-                rows = parquet_batches([index[task // len(files)]], 256, ["doc_id", "terms", "tf", "length"])
-                yield from search((_from_rows(b) for b in rows), [files[task % len(files)]])
+                rows = parquet_batches([index[task // each]], 256, ["doc_id", "terms", "tf", "length"])
+                first = task % each * span
+                yield from search((_from_rows(b) for b in rows), files[first : first + span])
 
-    tasks = len(index) * len(files)
+    tasks = len(index) * each
     return docs.sparkSession.range(0, tasks, 1, max(tasks, 1)).mapInArrow(run, schema)
 
 
